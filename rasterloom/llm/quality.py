@@ -87,7 +87,8 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     )
     return five.select(
         *kept,
-        F.col(m["n_words"]).alias("n_words"),
+        # not deterministic for the optimiser, so that no filter moves below and repeats the nested expressions
+        (F.col(m["n_words"]) + F.monotonically_increasing_id() * 0).alias("n_words"),
         (F.length(F.translate(F.col(t), SPACE, ""))).cast("long").alias("word_chars"),
         length(SYMBOLS).cast("long").alias("n_symbols"),
         F.col(m["n_dup_lines"]).alias("n_dup_lines"),

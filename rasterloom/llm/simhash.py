@@ -29,9 +29,10 @@ from rasterloom.llm.graph import components
 SEED = 42
 WIDTH = 3
 BUDGET = 2
-#: Fingerprints in a leaf at most, unless the corpus has over LEAVES times as many.
-LEAF = 8_000
-LEAVES = 2_000
+#: A leaf holds about this part of the fingerprints, so that the copies that pairs of
+#: leaves need stay in proportion to the input; but no fewer and no more than LEAF allows.
+LEAVES = 32
+LEAF = (500, 500_000)
 #: Histogram bits for one refinement of the leaves.
 STEP = 12
 _CHUNK = 1 << 16
@@ -171,13 +172,13 @@ def forest(a: np.ndarray, b: np.ndarray | None, budget: int = BUDGET) -> tuple[n
     return values[moved], values[labels[moved]]
 
 
-def leaves(prints: DataFrame, total: int, leaf: int = LEAF) -> list[tuple[int, int]]:
-    """(prefix, depth) of subtrees that hold at most ``leaf`` fingerprints each.
+def leaves(prints: DataFrame, total: int, leaf: tuple[int, int] = LEAF) -> list[tuple[int, int]]:
+    """(prefix, depth) of subtrees that hold at most total / LEAVES fingerprints each, within the bounds.
 
     Only counts by prefix come to the driver: at most 2**STEP for each subtree that is
-    still too large, and at most total / leaf of these exist.
+    still too large, and at most total / cap of these exist.
     """
-    cap = max(leaf, -(-total // LEAVES))
+    cap = int(np.clip(-(-total // LEAVES), *leaf))
     done: list[tuple[int, int]] = []
     open_: list[tuple[int, int]] = [(0, 0)]
     depth = 0
@@ -231,7 +232,7 @@ def tasks_of(cut: list[tuple[int, int]], budget: int = BUDGET) -> tuple[np.ndarr
     return starts, [np.array(x, np.int64) for x in left], [np.array(x, np.int64) for x in right]
 
 
-def links(spark: SparkSession, prints: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
+def links(spark: SparkSession, prints: DataFrame, budget: int = BUDGET, leaf: tuple[int, int] = LEAF) -> DataFrame:
     """Spanning links (u, v) between distinct fingerprints ``prints(fp)`` within ``budget`` bits."""
     ship(spark)
     cut = leaves(prints, prints.count(), leaf)
