@@ -6,37 +6,19 @@ import atexit
 import os
 import tempfile
 import uuid
-import zipfile
 from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.session import ship  # noqa: F401
+
 #: ASCII white space that separates words in every contract of this package.
 SPACE = " \t\n\x0b\f\r"
 
-_shipped: set[str] = set()
 _staged: list[tuple[SparkSession, str]] = []
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    fd, path = tempfile.mkstemp(prefix="rasterloom-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
-
-
 def staging_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a local one only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
