@@ -448,7 +448,7 @@ def visible_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f", b AS (SELECT lago, fecha FROM (SELECT *, row_number() OVER (PARTITION BY lago ORDER BY quality_flag = '{S.COMPUTED}' DESC, cyano_promedio, fecha) AS k FROM series) WHERE k = 1), a AS (SELECT lago, fecha FROM (SELECT *, row_number() OVER (PARTITION BY lago ORDER BY cyano_promedio DESC, fecha) AS k FROM series) WHERE k = 1) SELECT b.lago, b.fecha || ';' || a.fecha || ';{_COMMON}' AS fechas FROM b JOIN a ON a.lago = b.lago",
+    f", b AS (SELECT lago, fecha FROM (SELECT *, row_number() OVER (PARTITION BY lago ORDER BY quality_flag = '{S.COMPUTED}' DESC, cyano_promedio, fecha) AS k FROM series) WHERE k = 1), a AS (SELECT lago, fecha FROM (SELECT *, row_number() OVER (PARTITION BY lago ORDER BY cyano_promedio DESC, fecha) AS k FROM series) WHERE k = 1) SELECT b.lago, b.fecha::VARCHAR || CASE WHEN a.fecha <> b.fecha THEN ';' || a.fecha ELSE '' END || CASE WHEN DATE '{_COMMON}' NOT IN (a.fecha, b.fecha) THEN ';{_COMMON}' ELSE '' END AS fechas FROM b JOIN a ON a.lago = b.lago",
     "obs", "series",
 )
 def panel_dates(spark: SparkSession, sf: str) -> DataFrame:
