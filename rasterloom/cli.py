@@ -1,4 +1,8 @@
-"""Command line: ``python -m rasterloom.cli list | explain NAME DIR | run NAME DIR [OUT] | check``."""
+"""Command line: ``python -m rasterloom.cli list | explain NAME DIR | run NAME DIR [OUT] | check``.
+
+``run`` takes a registered query and a table folder, or a workflow step (``compute``, ``temporal``,
+``extent``, ``persistence``, ...) and a work folder.
+"""
 
 from __future__ import annotations
 
@@ -16,22 +20,29 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("out", nargs="?")
     given = parser.parse_args(args)
     from rasterloom.operators import checks
+    from rasterloom.plans import workflows
     from rasterloom.plans.queries import QUERIES
 
+    known = QUERIES | workflows.STEPS
     try:
         if given.action == "list":
-            print(*QUERIES, sep="\n")
+            print(*known, "compute", sep="\n")
             return 0
         if given.action == "check":
             found = checks.configuration()
             if found:
                 raise InputDataError(", ".join(found))
             return 0
-        if given.name not in QUERIES or not given.folder:
+        if given.name == "compute" and given.folder:
+            from rasterloom.session import session
+
+            workflows.run_indices(session(), given.folder)
+            return 0
+        if given.name not in known or not given.folder:
             raise InputDataError(f"unknown query or no folder: {given.name}")
         from rasterloom.session import session
 
-        df = QUERIES[given.name](session(), given.folder)
+        df = known[given.name](session(), given.folder)
         if given.action == "explain":
             df.explain("formatted")
         elif given.out:
