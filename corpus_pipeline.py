@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterloom.llm import langid, lines, packing, quality, simhash
-from rasterloom.llm.common import release, stage
+from rasterloom.llm.common import release, release_since, stage, staged_paths
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -60,10 +60,12 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, function) in enumerate(STAGES):
+        before = staged_paths()
         out = function(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
         done = stage(spark, out, name)
+        release_since(before, done)  # what the stage itself had written
         release(docs)
         docs = done
     return docs
