@@ -56,6 +56,19 @@ def release(*frames: DataFrame) -> None:
                     break
 
 
+def staged_paths() -> set[str]:
+    return {path for _, path in _staged}
+
+
+def release_since(before: set[str], keep: DataFrame) -> None:
+    """Delete what was staged after ``before`` was taken, but for ``keep``."""
+    kept = getattr(keep, "_rasterloom_path", None)
+    for spark, path in list(_staged):
+        if path not in before and path != kept:
+            _delete(spark, path)
+            _staged.remove((spark, path))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm  # noqa: SLF001
     target = jvm.org.apache.hadoop.fs.Path(path)

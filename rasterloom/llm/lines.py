@@ -65,10 +65,10 @@ def remove(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
     wide = wide.select(F.col("key").alias("k"), "first")
     first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos"))
     out = seen.join(wide, seen["key"] == wide["k"]).where(~first)
-    (key, bad) = fresh(docs, "row", "bad")
+    key, bad, own = fresh(docs, "row", "bad", "own")
     out = out.groupBy(F.col("row").alias(key)).agg(F.collect_set("pos").alias(bad))
-    keyed = docs.select("*", _row_key(doc_id, text).alias("_row_of"))
-    joined = keyed.join(out, keyed["_row_of"] == out[key], "left")
+    keyed = docs.select("*", _row_key(doc_id, text).alias(own))
+    joined = keyed.join(out, keyed[own] == out[key], "left")
     split = F.split(F.col(text), "\n", -1)
     rest = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(bad))
     # the lines are bound once by the outer lambda, not split again for each position
