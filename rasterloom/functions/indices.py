@@ -165,3 +165,9 @@ def escape_quotes(text: Column) -> Column:
 def joined(values: Column, separator: str = ";") -> Column:
     """Sorted distinct values as one text."""
     return F.array_join(F.array_sort(F.array_distinct(values)), separator)
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """The path below ``root``; unchanged elsewhere."""
+    prefix = root.rstrip("/") + "/"
+    return F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)

@@ -77,3 +77,9 @@ def expected_indices(spark: SparkSession) -> DataFrame:
     """Scenes times indices."""
     names = F.explode(F.array(*map(F.lit, S.INDICES))).alias("indice")
     return expected_scenes(spark).select("lago", "fecha", names).withColumn("quality_flag", F.lit(S.PENDING))
+
+
+def uneven_grids(rasters: DataFrame, grid: str = "grid") -> DataFrame:
+    """Scenes whose rasters do not share one grid, or lack an index."""
+    found = rasters.groupBy("lago", "fecha").agg(F.collect_set(grid).alias("_g"), F.collect_set("indice").alias("_i"))
+    return found.where((F.size("_g") != 1) | (F.size("_i") != len(S.INDICES))).select("lago", "fecha", F.size("_g").alias("n_mallas"), F.size("_i").alias("n_indices"))

@@ -152,3 +152,21 @@ def outlines(spark: SparkSession, zones: dict[str, Sequence[Ring]]) -> DataFrame
     """(lago, ring, k, x, y) of the points of outlines."""
     rows = [(z, r, k, float(x), float(y)) for z, rings in zones.items() for r, ring in enumerate(rings) for k, (x, y) in enumerate(ring)]
     return spark.createDataFrame(rows, "lago string, ring int, k int, x double, y double")
+
+
+def warp_wgs84(source: DataFrame, keys: Sequence[str], origin: tuple[float, float], pixel: float, bounds: tuple[float, float, float, float], width: int, height: int, most: int = 1000, zone: int = 15) -> DataFrame:
+    """A UTM grid (keys, row, col, v) on a longitude-latitude grid of at most ``most`` pixels a side.
+
+    ``origin`` is the grid's upper left corner, ``bounds`` are west, east, south, north.
+    """
+    scale = min(1.0, most / max(width, height))
+    w, h = max(1, round(width * scale)), max(1, round(height * scale))
+    west, east, south, north = bounds
+    cells = source.sparkSession.range(w * h).select((F.col("id") / w).cast("int").alias("row"), (F.col("id") % w).cast("int").alias("col"))
+    lon = west + (F.col("col") + 0.5) * ((east - west) / w)
+    lat = north - (F.col("row") + 0.5) * ((north - south) / h)
+    e, n = to_utm(lon, lat, zone)
+    placed = cells.withColumns({"_y": (origin[1] - n) / pixel - 0.5, "_x": (e - origin[0]) / pixel - 0.5})
+    placed = source.select(*keys).distinct().join(placed)  # a row a scene, times the capped grid
+    out = align_bilinear(source, placed, keys, F.col("_y"), F.col("_x"))
+    return out.drop("_y", "_x")

@@ -91,3 +91,8 @@ def test_p_values():
     assert p_text(p_value(None, 5)) == "" and math.isnan(p_value(0.3, 2))
     # degrees of freedom 1: P = 1 - 2 asin(r) / pi
     assert p_value(0.8, 3) == pytest.approx(1 - 2 * math.asin(0.8) / math.pi)
+
+
+def test_relative_path(spark):
+    got = spark.createDataFrame([("/a/b/c.tif",), ("/z/c.tif",)], "p string").select(M.relative_path(F.col("p"), "/a/b")).collect()
+    assert [r[0] for r in got] == ["c.tif", "/z/c.tif"]

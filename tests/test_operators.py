@@ -175,3 +175,21 @@ def test_grid_consistency(spark):
 def test_extent_bounds(spark, values):
     r = scenes.extent(table(spark, [("a", "2025-01-01", v) for v in values], "lago string, fecha date, v double")).first()
     assert 0 <= r.pixeles_altos <= r.pixeles_validos_lago <= len(values) and 0 <= r.porcentaje_alto <= 100 and math.isfinite(r.porcentaje_alto)
+
+
+def test_warp_keeps_a_plane(spark):
+    # v is the easting in kilometres, so that the warped value tells the target's easting
+    src = spark.range(60 * 60).select(F.lit("a").alias("lago"), (F.col("id") / 60).cast("int").alias("row"), (F.col("id") % 60).cast("int").alias("col"))
+    src = src.withColumn("v", (700000 + (F.col("col") + 0.5) * 100) / 1000)
+    got = spatial.warp_wgs84(src, ["lago"], (700000.0, 1600000.0), 100.0, (-91.13, -91.11, 14.43, 14.45), 40, 40, most=10)
+    rows = got.where("v IS NOT NULL").collect()
+    assert got.count() == 100 and len(rows) > 50
+    for r in rows[:20]:
+        e, _ = spatial.to_utm(F.lit(-91.13 + (r.col + 0.5) * 0.002), F.lit(14.45 - (r.row + 0.5) * 0.002))
+        assert spark.range(1).select(e).first()[0] / 1000 == pytest.approx(r.v, abs=1e-3)
+
+
+def test_uneven_grids(spark):
+    rows = [("a", "2025-01-01", i, w) for i, w in zip(S.INDICES, (1, 1, 2), strict=True)] + [("b", "2025-01-01", i, 1) for i in S.INDICES] + [("c", "2025-01-01", "ndvi", 1)]
+    df = table(spark, rows, "lago string, fecha date, indice string, w int").withColumn("grid", F.struct("w"))
+    assert {r.lago: (r.n_mallas, r.n_indices) for r in checks.uneven_grids(df).collect()} == {"a": (2, 3), "c": (1, 1)}
