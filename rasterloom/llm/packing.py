@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = b"\0\0\0\0"
 #: Words that a worker remembers the ids of at most; beyond it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 #: Rows in a salted group of one length, about; salts at most.
 GROUP, SALTS = 5_000, 4_096
 
@@ -68,8 +69,10 @@ class Encoder(dict):
         self[word] = ids
         return ids
 
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").lower().split()))
+    def encode(self, text: str | bytes | None) -> bytes:
+        text = text.encode("utf-8", "replace") if isinstance(text, str) else text or b""
+        words = text.lower().split()
+        return b"".join(itemgetter(*words)(self)) if len(words) > 1 else b"".join([self[w] for w in words])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -91,7 +94,7 @@ def pieces(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
         coder = encoder(path)
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for k, value in enumerate(batch.column(1).to_pylist()):
+            for k, value in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 ids = coder.encode(value) + END
                 for p, lo in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[lo : lo + 4 * capacity]
@@ -188,7 +191,7 @@ def places(patterns: list[tuple[int, list[int]]], capacity: int = CAPACITY) -> d
     return {x: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for x, rows in runs.items()}
 
 
-def pack(spark: SparkSession, parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def place(spark: SparkSession, parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``parts`` (with doc_id, piece, length, ids_crc32; staged) and sequence_id, offset."""
     rows = parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a length, ``capacity`` at most
     counts = {int(r["length"]): int(r["n"]) for r in rows}
@@ -225,4 +228,4 @@ def pack(spark: SparkSession, parts: DataFrame, capacity: int = CAPACITY) -> Dat
 def report(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     parts = stage(spark, pieces(spark, docs, capacity=capacity), "pieces")
-    return pack(spark, parts, capacity)
+    return place(spark, parts, capacity)
