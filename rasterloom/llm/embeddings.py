@@ -1,16 +1,21 @@
 """Near-duplicate vectors by product quantisation.
 
 An index is fitted on a bounded sample: coarse centroids (inverted lists) and
-codebooks for the subspaces of the residuals. Every vector is coded in its home
-list and visits the ``probes`` lists it lies next to (the distance to the plane
-between two centroids orders them). In a list, a visitor's table of subspace
-distances gives its distance to the coded members; with the stored quantisation
-error of each member the triangle inequality makes that filter lossless. What is
-left is reranked by the exact cosine in double precision. A pair is found if
-either vector visits the home list of the other, and is counted once.
-
-Lists larger than ``BLOCK`` are dealt in blocks of members and of visitors, so no
-task holds a whole hot list. Tasks return counts of links and a spanning forest.
+codebooks for the subspaces of the residuals; centroids within the reach of another
+(the distance at the least cosine) are merged. Every vector is coded in its home list
+and visits all lists whose plane to its home is within half the reach. The two vectors
+of a link lie on different sides of the plane between their homes, so one of them is
+that near to it: no link is lost. In a list, a visitor's table of subspace distances
+gives its distance to the coded members; with the stored quantisation error of each
+member the triangle inequality makes that filter lossless too. What is left is
+reranked by the exact cosine in double precision. A pair is found if either vector
+visits the home list of the other, and is counted once.
+
+Members within half the reach of their centroid are its core. They all link with each
+other, so those pairs are counted without a search. Lists larger than ``BLOCK`` are
+dealt in blocks of members and of visitors, so no task holds a whole hot list; the
+pairs of a hot list outside its core are its square. Tasks return counts of links and
+a spanning forest.
 
 Defined results: a vector that is null, zero, or holds null or non-finite parts
 links with nothing; vectors of unequal length are compared as if padded with
@@ -38,7 +43,8 @@ SAMPLE = 20_000
 LISTS = 4_096
 PARTS = 8
 CODES = 256
-PROBES = 12
+#: Lists that a vector visits at least; more than the needed ones change no result.
+PROBES = 1
 BLOCK = 4_096
 SEED = 7
 
@@ -75,7 +81,11 @@ def _checked(x: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     """Lloyd's rounds from distinct random rows; an empty centre stays where it was."""
     k = min(k, len(x))
-    c = x[rng.choice(len(x), k, replace=False)].copy()
+    return lloyd(x, x[rng.choice(len(x), k, replace=False)].copy(), rounds)
+
+
+def lloyd(x: np.ndarray, c: np.ndarray, rounds: int) -> np.ndarray:
+    k = len(c)
     for _ in range(rounds):
         near = nearest(x, c)
         n = np.bincount(near, minlength=k)
@@ -85,6 +95,16 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return c
 
 
+def merged(x: np.ndarray, c: np.ndarray, reach: float) -> np.ndarray:
+    """The centres without those within ``reach`` of one that more rows are nearest to."""
+    c = c[np.argsort(-np.bincount(nearest(x, c), minlength=len(c)), kind="stable")]
+    left = np.ones(len(c), bool)
+    for k in range(len(c)):
+        if left[k]:
+            left[k + 1 :] &= ((c[k + 1 :] - c[k]) ** 2).sum(axis=1) > reach**2
+    return c[left]
+
+
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     half = (c**2).sum(axis=1) / 2
     out = np.empty(len(x), np.int64)
@@ -99,14 +119,15 @@ class Index:
 
     coarse: np.ndarray
     books: np.ndarray
+    reach: float
     probes: int
 
     @property
     def dim(self) -> int:
         return self.coarse.shape[1]
 
-    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Home lists, visited lists (the home first), codes and quantisation errors."""
+    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Home lists, which lists are visited (rows, lists), codes, quantisation errors, which rows are in the core of their home."""
         c = self.coarse
         half = (c**2).sum(axis=1) / 2
         gap = half - x @ c.T  # half the squared distance less a constant of the row
@@ -114,13 +135,14 @@ class Index:
         apart = np.sqrt(np.maximum(((c**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None] - 2 * c @ c.T), 1e-12))
         margin = (gap - gap[np.arange(len(x)), home][:, None]) / apart[home]
         margin[np.arange(len(x)), home] = -1
+        visit = margin <= self.reach / 2 + 1e-6
         p = min(self.probes, len(c))
-        visit = np.argpartition(margin, p - 1, axis=1)[:, :p] if p < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
+        np.put_along_axis(visit, np.argpartition(margin, p - 1, axis=1)[:, :p], True, axis=1)
         rest = x - c[home]
         parts, _, width = self.books.shape
         codes = np.stack([nearest(rest[:, m * width : (m + 1) * width], self.books[m]) for m in range(parts)], axis=1).astype(np.uint8)
         error = np.sqrt(((rest - self.decode(codes)) ** 2).sum(axis=1))
-        return home, visit, codes, error
+        return home, visit, codes, error, np.sqrt((rest**2).sum(axis=1)) <= self.reach / 2 - 1e-6
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([self.books[m][codes[:, m]] for m in range(len(self.books))], axis=1)
@@ -129,29 +151,47 @@ class Index:
         """Squared distances (rows, parts, codes) from the parts of x - coarse[at] to the codewords."""
         parts, codes, width = self.books.shape
         rest = (x - self.coarse[at]).reshape(len(x), parts, width)
-        return np.stack([((rest[:, m, None, :] - self.books[m][None]) ** 2).sum(axis=2) for m in range(parts)], axis=1)
+        return np.stack([(rest[:, m] ** 2).sum(axis=1)[:, None] + (self.books[m] ** 2).sum(axis=1) - 2 * rest[:, m] @ self.books[m].T for m in range(parts)], axis=1)
 
 
-def fit(x: np.ndarray, total: int, probes: int = PROBES) -> Index:
+def fit(x: np.ndarray, total: int, reach: float, probes: int = PROBES) -> Index:
     """Index for ``total`` vectors from a sample ``x`` of unit rows whose width divides by PARTS."""
     rng = np.random.default_rng(SEED)
     lists = int(np.clip(np.sqrt(total) / 2, 4, min(LISTS, max(1, len(x) // 4 or 1))))
     coarse = kmeans(x, lists, 8, rng)
+    for _ in range(3):
+        coarse = merged(x, lloyd(x, merged(x, coarse, reach), 1), reach)
     rest = x - coarse[nearest(x, coarse)]
     width = x.shape[1] // PARTS
     books = [kmeans(rest[:, m * width : (m + 1) * width], CODES, 6, rng) for m in range(PARTS)]
     size = max(map(len, books))
     books = [np.concatenate((b, np.repeat(b[:1], size - len(b), axis=0))) for b in books]
-    return Index(coarse, np.stack(books), probes)
+    return Index(coarse, np.stack(books), reach, probes)
 
 
-def candidates(index: Index, at: int, x: np.ndarray, codes: np.ndarray, error: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """(visitor, member) index pairs of list ``at`` whose distance may be ``reach`` or less."""
+def candidates(index: Index, at: int, x: np.ndarray, codes: np.ndarray, error: np.ndarray, reach: float) -> np.ndarray:
+    """Which (visitor, member) pairs of list ``at`` may have a distance of ``reach`` or less."""
     table = index.tables(x, at)
     total = np.zeros((len(x), len(codes)))
     for m in range(codes.shape[1]):
-        total += table[:, m][:, codes[:, m]]
-    return np.nonzero(total <= (reach + error[None] + 1e-6) ** 2)
+        total += table[:, m].take(codes[:, m], axis=1)
+    return total <= (reach + error[None] + 1e-6) ** 2
+
+
+def linked(x: np.ndarray, y: np.ndarray, may: np.ndarray, cosine: float) -> np.ndarray:
+    """Which pairs among those that ``may`` have the cosine; a product of matrices where they are many."""
+    if may.sum() * 8 > may.size:
+        near = x @ y.T
+        doubt = may & (np.abs(near - cosine) < 1e-12)  # the product may round otherwise than from the other side
+        near = may & (near >= cosine) & ~doubt
+        may = doubt
+    else:
+        near = np.zeros(may.shape, bool)
+    i, j = np.nonzero(may)
+    for c in range(0, len(i), 50_000):
+        a, b = i[c : c + 50_000], j[c : c + 50_000]
+        near[a, b] = np.einsum("ij,ij->i", x[a], y[b]) >= cosine
+    return near
 
 
 def find_links(spark: SparkSession, vectors: DataFrame, column: str = "embedding", cosine: float = COSINE, probes: int = PROBES, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -170,8 +210,8 @@ def find_links(spark: SparkSession, vectors: DataFrame, column: str = "embedding
         x = np.random.default_rng(SEED).normal(size=(64, dim))  # an index over no known vector is still a right one
         x /= np.sqrt((x**2).sum(axis=1))[:, None]
         ok = np.ones(64, bool)
-    index = fit(x[ok], total, probes)
     reach = float(np.sqrt(2 - 2 * cosine))
+    index = fit(x[ok], total, reach, probes)
     shared = spark.sparkContext.broadcast(index)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,41 +224,55 @@ def find_links(spark: SparkSession, vectors: DataFrame, column: str = "embedding
                 x = x[ok]
                 if not len(x):
                     continue
-                home, visit, codes, error = index.code(x)
-                raw = [r.tobytes() for r in x]
-                lists = [r.astype("<i4").tobytes() for r in visit]
-                code = [r.tobytes() for r in codes]
-                n, p = visit.shape
+                home, visit, codes, error, core = index.code(x)
+                raw = pa.array([r.tobytes() for r in x], pa.binary())
+                n = len(x)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate((home, visit.ravel()))), pa.array(np.concatenate((np.ones(n, bool), np.zeros(n * p, bool)))),
-                     pa.array(np.concatenate((uid, np.repeat(uid, p)))), pa.array(np.concatenate((home, np.repeat(home, p)))),
-                     pa.array(raw + [r for r in raw for _ in range(p)], pa.binary()), pa.array(lists + [None] * (n * p), pa.binary()),
-                     pa.array(code + [None] * (n * p), pa.binary()), pa.array(np.concatenate((error, np.zeros(n * p))))],
-                    ["list", "member", "uid", "home", "x", "lists", "code", "error"],
+                    [pa.array(home), pa.array(np.ones(n, bool)), pa.array(uid), pa.array(home), pa.array(core), raw,
+                     pa.array([r.tobytes() for r in np.packbits(visit, axis=1)], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(error)],
+                    names,
                 )
-
-    cells = rows.select("uid", column).mapInArrow(deal, "list long, member boolean, uid long, home long, x binary, lists binary, code binary, error double")
-    cells = stage(spark, cells, "cells")
-    sizes = cells.groupBy("list").agg(F.count_if("member").alias("members"), F.count_if(~F.col("member")).alias("visitors")).collect()  # one row a list, LISTS at most
-    parts = {r["list"]: (max(1, -(-r["members"] // block)), max(1, -(-r["visitors"] // block))) for r in sizes}
+                row, to = np.nonzero(visit)
+                for lo in range(0, len(row), 20_000):
+                    r, t = row[lo : lo + 20_000], to[lo : lo + 20_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(t), pa.array(np.zeros(len(r), bool)), pa.array(uid[r]), pa.array(home[r]), pa.array(core[r]), raw.take(pa.array(r)),
+                         pa.nulls(len(r), pa.binary()), pa.nulls(len(r), pa.binary()), pa.array(np.zeros(len(r)))],
+                        names,
+                    )
+
+    schema = "list long, member boolean, uid long, home long, core boolean, x binary, lists binary, code binary, error double"
+    names = [f.split()[0] for f in schema.split(", ")]
+    cells = stage(spark, rows.select("uid", column).mapInArrow(deal, schema), "cells")
+    own = F.col("core") & (F.col("home") == F.col("list"))
+    sizes = cells.groupBy("list").agg(
+        F.count_if(F.col("member") & own).alias("core"), F.count_if(F.col("member") & ~own).alias("loose"), F.count_if(~F.col("member") & ~own).alias("visitors"), F.min(F.when(F.col("member") & own, F.col("uid"))).alias("hub")
+    ).collect()  # fmt: skip  # one row a list, LISTS at most
+    # blocks of core members, of the others, of visitors out of the core (they meet both), of those in it (they meet the others)
+    parts = {r["list"]: [-(-r[c] // block) for c in ("core", "loose", "visitors", "core")] for r in sizes}
     of = spark.sparkContext.broadcast(parts)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = of.value
         for batch in batches:
-            at = batch.column("list").to_pylist()
-            member = batch.column("member").to_pylist()
-            uid = batch.column("uid").to_pylist()
             take, task = [], []
-            for k, (a, m, u) in enumerate(zip(at, member, uid, strict=True)):
-                pm, pv = parts[a]
+            columns = (batch.column(c).to_pylist() for c in ("list", "member", "uid", "home", "core"))
+            for k, (a, member, u, home, core) in enumerate(zip(*columns, strict=True)):
+                mc, ml, vo, vc = parts[a]
                 mix = (u * 0x9E3779B97F4A7C15 >> 20) & 0xFFFFFFFF
-                own = mix % (pm if m else pv)
-                blocks = [(own, j) for j in range(pv)] if m else [(j, own) for j in range(pm)]
+                core = core and home == a
+                if member:
+                    own = mix % mc if core else mc + mix % ml
+                    blocks = [(own, j) for j in range(vo if core else vo + vc)]
+                else:
+                    own = vo + mix % vc if core else mix % vo
+                    blocks = [(j, own) for j in range(mc if core else 0, mc + ml)]
                 take += [k] * len(blocks)
                 task += [(a << 40) | (i << 20) | j for i, j in blocks]
-            out = batch.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(task, pa.int64()), *out.columns], ["task", *out.schema.names])
+                if len(take) >= 20_000 or k + 1 == batch.num_rows:
+                    out = batch.take(pa.array(take, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(task, pa.int64()), *out.columns], ["task", *out.schema.names])
+                    take, task = [], []
 
     def join(table: pa.Table) -> pa.Table:
         index = shared.value
@@ -231,7 +285,7 @@ def find_links(spark: SparkSession, vectors: DataFrame, column: str = "embedding
         mx = np.frombuffer(b"".join(m.column("x").to_pylist())).reshape(len(m), -1)
         vx = np.frombuffer(b"".join(v.column("x").to_pylist())).reshape(len(v), -1)
         codes = np.frombuffer(b"".join(m.column("code").to_pylist()), np.uint8).reshape(len(m), -1)
-        visits = np.frombuffer(b"".join(m.column("lists").to_pylist()), "<i4").reshape(len(m), -1)
+        visits = np.unpackbits(np.frombuffer(b"".join(m.column("lists").to_pylist()), np.uint8).reshape(len(m), -1), axis=1).astype(bool)
         error = m.column("error").to_numpy()
         mu, vu, home = m.column("uid").to_numpy(), v.column("uid").to_numpy(), v.column("home").to_numpy()
         n_m, n_v = np.zeros(len(m), np.int64), np.zeros(len(v), np.int64)
@@ -239,28 +293,26 @@ def find_links(spark: SparkSession, vectors: DataFrame, column: str = "embedding
         labels = np.arange(len(ids))
         step = max(1, 400_000 // len(m))
         for lo in range(0, len(v), step):
-            i, j = candidates(index, at, vx[lo : lo + step], codes, error, reach)
-            i = i + lo
-            ok = vu[i] != mu[j]
-            i, j = i[ok], j[ok]
-            for c in range(0, len(i), 50_000):
-                a, b = i[c : c + 50_000], j[c : c + 50_000]
-                ok = np.einsum("ij,ij->i", vx[a], mx[b]) >= cosine
-                a, b = a[ok], b[ok]
-                if not len(a):
-                    continue
-                labels = merge(labels, inverse[len(m) + a], inverse[b])
-                n_v += np.bincount(a, minlength=len(v))
-                back = ~(visits[b] == home[a][:, None]).any(axis=1)  # the member does not come to the visitor's home
-                n_m += np.bincount(b[back], minlength=len(m))
+            a = np.arange(lo, min(lo + step, len(v)))
+            may = candidates(index, at, vx[a], codes, error, reach) & (vu[a][:, None] != mu[None])
+            near = linked(vx[a], mx, may, cosine)
+            n_v[a] += near.sum(axis=1)
+            n_m += (near & ~visits[:, home[a]].T).sum(axis=0)  # the member does not come to the visitor's home
+            i, j = np.nonzero(near & (labels[inverse[len(m) + a]][:, None] != labels[inverse[: len(m)]][None]))
+            if len(i):
+                labels = merge(labels, inverse[len(m) + a[i]], inverse[j])
         moved = np.flatnonzero(labels != np.arange(len(ids)))
         u = np.concatenate((ids[moved], mu[n_m > 0], vu[n_v > 0]))
         w = np.concatenate((ids[labels[moved]], n_m[n_m > 0], n_v[n_v > 0]))
         kind = np.concatenate((np.zeros(len(moved), np.int32), np.ones(len(u) - len(moved), np.int32)))
         return pa.table({"kind": kind, "u": u, "v": w})
 
-    schema = "task long, list long, member boolean, uid long, home long, x binary, lists binary, code binary, error double"
-    found = stage(spark, cells.mapInArrow(split, schema).groupBy("task").applyInArrow(join, "kind int, u long, v long"), "links")
+    hubs = spark.createDataFrame([(r["list"], r["core"] - 1, r["hub"]) for r in sizes if r["core"] > 1], "l long, others long, hub long")
+    core = cells.where(F.col("member") & F.col("core")).select("list", "uid").join(F.broadcast(hubs), F.col("list") == F.col("l"))
+    both = F.array(F.struct(F.lit(1).alias("kind"), F.col("uid").alias("u"), F.col("others").alias("v")), F.struct(F.lit(0).alias("kind"), F.col("uid").alias("u"), F.col("hub").alias("v")))
+    core = core.select(F.explode(both).alias("e")).select("e.kind", "e.u", "e.v")
+    found = cells.mapInArrow(split, f"task long, {schema}").groupBy("task").applyInArrow(join, "kind int, u long, v long")
+    found = stage(spark, found.unionByName(core), "links")
     release(cells)
     degrees = found.where("kind = 1").groupBy(F.col("u").alias("uid")).agg(F.sum("v").alias("n"))
     return rows, degrees, found.where("kind = 0").select("u", "v")

@@ -128,3 +128,23 @@ def test_embeddings_recall_with_few_probes_and_small_blocks(spark):
     found = sum(r.n for r in degrees.collect())
     assert 0.9 * (near.sum() - len(x)) <= found <= near.sum() - len(x)
     assert embeddings.near_duplicates(spark, df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("noise", [0.002, 0.02, 0.03])
+def test_embeddings_of_a_dense_ball_lose_no_link(spark, noise):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 32))
+    x[:2400] = x[0] / np.linalg.norm(x[0]) + noise * r.normal(size=(2400, 32))
+    x[2400:2700] = x[2700:] + 0.2 * r.normal(size=(300, 32))
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = embeddings.near_duplicates(spark, df).collect()
+    assert {g.vec_id: g.n_links for g in got} == dict(enumerate(near.sum(axis=1).tolist()))
+    low, before = np.arange(len(x)), None
+    while before is None or (low != before).any():
+        before, low = low, np.minimum(low, np.where(near, low[None], len(x)).min(axis=1))
+    assert [g.component_id for g in sorted(got)] == low.tolist()
+    _, degrees, _ = embeddings.find_links(spark, df, block=256)
+    assert sum(g.n for g in degrees.collect()) == near.sum()
