@@ -179,3 +179,24 @@ def test_quality_classifier(spark):
     assert kneser.keep(spark, df.withColumn("threshold", F.lit(1)), labels).columns == [*df.columns, "threshold"]
     assert all(x.kept and x.perplexity is None for x in kneser.report(spark, df, labels.limit(0)).collect())
     assert kneser.report(spark, df.limit(0), labels).count() == 0
+
+
+def test_quality_thresholds_cover_all_trusted_documents_and_rare_languages(spark):
+    texts, _ = many(spark, 1200)
+    lang = ["rare" if k % 100 == 0 else "common" for k in range(1200)]
+    df = docs(spark, texts, lang)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(1200)], "doc_id long, quality int, toxic int")
+    good = kneser.trusted(spark, df, labels, bound=40)
+    n = {(r.l, r.train): r["count"] for r in good.groupBy("l", "train").count().collect()}
+    assert sum(n.values()) == 1200 and 0 < n["rare", True] < 12 and n["common", True] < 80
+    _, limits, _ = kneser.fit(spark, df, labels, bound=40)
+    assert {name: m for name, band, _, m in limits if name and band is None} == {"rare": n["rare", False], "common": n["common", False]}
+
+
+def test_quality_training_rates():
+    assert kneser.rates({"a": 30, "b": 70}, 4000) == {"a": 0.5, "b": 0.5}
+    sizes = {"a": 1_000_000, "b": 200, None: 40}
+    got = kneser.rates(sizes, 4000)
+    assert got["b"] == got[None] == 0.5 and sum(sizes[k] * got[k] for k in sizes) <= 4000
+    got = kneser.rates({k: 10_000 for k in range(1000)}, 4000)
+    assert sum(10_000 * x for x in got.values()) <= 4000
