@@ -8,7 +8,7 @@ best score from the left. These are the exact heuristics of an A-star search tha
 starts at the end: the hypotheses leave the queue in the order of their whole scores
 (kept as the loss against the best), so the first N complete ones are the N best. For the whole text the N best are made
 from the chunks' alternatives: only the N - 1 places whose second best loses least
-can take part. Characters without a piece fall back to the pieces of their bytes.
+can take part. All N are given with their ids. Characters without a piece fall back to the pieces of their bytes.
 
 Defined results: a null text counts as empty; an empty text has one segmentation,
 without pieces, of score 0; ties are ordered by the search (the same for the same
@@ -89,6 +89,8 @@ class Segmenter(dict):
         self.best, self.count, self.loss = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024)
         self.coded: list[bytes] = []
         self.others: list[tuple] = []
+        self.found: list[tuple[str, tuple]] = []
+        self.other_coded: dict[tuple[int, int], bytes] = {}
 
     def search(self, chunk: str, n_best: int) -> list[tuple[float, tuple[int, ...]]]:
         """The best segmentations of one chunk: (score, borders from the left)."""
@@ -157,25 +159,47 @@ class Segmenter(dict):
         self.loss[at] = found[0][0] - found[1][0] if len(found) > 1 else np.inf
         self.coded.append(np.array(ids, "<u4").tobytes())
         self.others.append(tuple(found[0][0] - s for s, _ in found[1:]))
+        self.found.append((chunk, tuple(b for _, b in found[1:])))
         self[chunk] = at
         return at
 
-    def segment(self, text: str | None) -> tuple[bytes, int, list[float]]:
-        """Ids of the best segmentation (little-endian, 32 bits), their number, the N best scores."""
+    def alternative(self, at: int, rank: int) -> bytes:
+        """Ids of a kept chunk's segmentation of that rank (0 is the best), coded when first wanted."""
+        if not rank:
+            return self.coded[at]
+        ids = self.other_coded.get((at, rank))
+        if ids is None:
+            chunk, borders = self.found[at]
+            ids = self.other_coded[at, rank] = np.array(self.encode_chunk(chunk, borders[rank - 1]), "<u4").tobytes()
+        return ids
+
+    def segments(self, text: str | None) -> tuple[list[bytes], int, list[float]]:
+        """Ids of the N best segmentations (little-endian, 32 bits), the number of the best one's, the N scores."""
         if len(self) > REMEMBERED:
             self.forget()
         if not text:
-            return b"", 0, [0.0]
+            return [b""], 0, [0.0]
         chunks = self.cut.findall(" " + text)
         at = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
         score = float(self.best[at].sum())
         loss = self.loss[at]
         k = min(self.n_best - 1, len(at))
         open_ = np.argpartition(loss, k - 1)[:k] if 0 < k < len(at) else np.arange(len(at))
-        options = [(0.0, *self.others[at[i]]) for i in open_]
-        losses = sorted(sum(c) for c in product(*options))[: self.n_best]
-        coded = self.coded
-        return b"".join([coded[i] for i in at.tolist()]), int(self.count[at].sum()), [score - x for x in losses]
+        options = [list(enumerate((0.0, *self.others[at[i]]))) for i in open_]
+        chosen = sorted(((sum(x for _, x in c), c) for c in product(*options)), key=lambda r: r[0])[: self.n_best]
+        coded, numbers = self.coded, at.tolist()
+        parts = [coded[i] for i in numbers]
+        ids = [b"".join(parts)]
+        for _, c in chosen[1:]:
+            for i, (rank, _) in zip(open_.tolist(), c, strict=True):
+                parts[i] = self.alternative(numbers[i], rank)
+            ids.append(b"".join(parts))
+        return ids, int(self.count[at].sum()), [score - x for x, _ in chosen]
+
+    def segment(self, text: str | None) -> tuple[bytes, int, list[float]]:
+        """Ids of the best segmentation, their number, the N best scores."""
+        ids, n, scores = self.segments(text)
+        return ids[0], n, scores
 
     def n_best_ids(self, text: str) -> list[tuple[float, list[int]]]:
         """The N best segmentations of a whole text, with their ids."""
@@ -202,7 +226,7 @@ def segmenter(path: str, n_best: int = N_BEST) -> Segmenter:
 
 
 def encode(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, n_best: int = N_BEST) -> DataFrame:
-    """doc_id, ids (binary), n_pieces, scores (the N best), decodes (the ids give the text back)."""
+    """doc_id, ids (binary), n_pieces, scores (the N best), decodes (the ids give the text back), alternatives (the ids of the 2nd to Nth)."""
     ship(spark)
     path = path or vocabulary_path()
 
@@ -212,15 +236,15 @@ def encode(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
             for cut in range(0, whole.num_rows, 1024):
                 batch = whole.slice(cut, 1024)
                 texts = batch.column(1).to_pylist()
-                found = [coder.segment(t) for t in texts]
-                back = [coder.decode(ids) == (t or "") for t, (ids, _, _) in zip(texts, found, strict=True)]
+                found = [coder.segments(t) for t in texts]
+                back = [coder.decode(ids[0]) == (t or "") for t, (ids, _, _) in zip(texts, found, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([x for x, _, _ in found], pa.binary()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.list_(pa.float64())), pa.array(back)],
-                    ["doc_id", "ids", "n_pieces", "scores", "decodes"],
+                    [batch.column(0), pa.array([x[0] for x, _, _ in found], pa.binary()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.list_(pa.float64())), pa.array(back), pa.array([x[1:] for x, _, _ in found], pa.list_(pa.binary()))],
+                    ["doc_id", "ids", "n_pieces", "scores", "decodes", "alternatives"],
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, ids binary, n_pieces long, scores array<double>, decodes boolean")
+    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, ids binary, n_pieces long, scores array<double>, decodes boolean, alternatives array<binary>")
 
 
 def decode(spark: SparkSession, coded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -239,9 +263,10 @@ def decode(spark: SparkSession, coded: DataFrame, ids: str = "ids", path: str |
 
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, best score, scores of the N best, decodes."""
+    """doc_id, n_pieces, ids_crc32, best score, scores of the N best, decodes, and ids_crc32_k of each further rank (null where there is none)."""
     done = encode(spark, docs)
-    return done.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.get("scores", F.lit(0)).alias("score"), "scores", "decodes")
+    others = [F.crc32(F.get("alternatives", F.lit(k))).alias(f"ids_crc32_{k + 2}") for k in range(N_BEST - 1)]
+    return done.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.get("scores", F.lit(0)).alias("score"), "scores", "decodes", *others)
 
 
 def crc(ids: list[int]) -> int:

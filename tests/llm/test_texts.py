@@ -172,3 +172,17 @@ def test_warc_files_are_read(spark, tmp_path):
     assert len(got) == 2 and got[0].text == warc.plain(PAGE)
     with pytest.raises(ValueError, match="no WARC record"):
         list(warc.parse(b"junk"))
+
+
+def test_n_best_ids_reach_the_query(spark, coder):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(EDGE[:9])], DOCS)
+    for r in pieces.encode(spark, df).collect():
+        text = EDGE[r.doc_id] or ""
+        ids = [np.frombuffer(x, "<u4").tolist() for x in (r.ids, *r.alternatives)]
+        assert len(ids) == len(r.scores) == len({tuple(x) for x in ids})
+        assert all(coder.decode(np.array(x, "<u4").tobytes()) == text for x in ids)
+        want = coder.n_best_ids(text)
+        if len({round(s, 6) for s, _ in want}) == len(want):
+            assert [x for x in ids[:-1]] == [x for _, x in want][:-1]
+    for r in pieces.report(spark, df).collect():
+        assert [x is not None for x in (r.ids_crc32, r.ids_crc32_2, r.ids_crc32_3, r.ids_crc32_4)] == [k < len(r.scores) for k in range(4)]
