@@ -1,9 +1,11 @@
 """WARC derivatives: metadata and plain-text conversion records of responses.
 
 Each response gives one ``metadata`` record (application/warc-fields: status, type,
-title, links) and one ``conversion`` record (text/plain). Both refer to the response
+title, all source headers, links) and one ``conversion`` record (text/plain). Both refer to the response
 by WARC-Refers-To, the metadata names the conversion by WARC-Concurrent-To, and both
-keep the response's target, date, address and payload digest. Record ids are
+keep the response's target, date, address and payload digest. The metadata's block
+has every other HTTP header as ``http-<name>`` and every other WARC header of the
+response as ``source-<name>``, repeated ones and their order included. Record ids are
 name-based UUIDs, so a task that runs again makes the same records.
 
 Defined results: a null payload counts as empty (empty text, no title); a null URL
@@ -38,7 +40,12 @@ _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
 _RUN = re.compile(r"[ \t\f\v\xa0]+")
 
-RECORD = "record_id string, type string, target string, date string, address string, payload_digest string, block_digest string, content_type string, block binary"
+RECORD = "record_id string, type string, target string, date string, address string, payload_digest string, block_digest string, content_type string, block binary, headers array<struct<name:string,value:string>>"
+_HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+_TYPES = {"block": pa.binary(), "headers": _HEADERS}
+_NAMES = [x.split()[0] for x in RECORD.split(", ")]
+#: WARC headers that the derived records have in their own place.
+_CARRIED = {"warc-target-uri", "warc-date", "warc-ip-address", "warc-record-id", "warc-payload-digest"}
 
 
 def digest(data: bytes) -> str:
@@ -59,6 +66,23 @@ def plain(page: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def header_fields(lines: list[str]) -> list[tuple[str, str]]:
+    """Names (lower case) and values of header lines; a line that begins with a space goes on with the one before."""
+    out: list[tuple[str, str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+        elif line:
+            k, _, v = line.partition(":")
+            out.append((k.strip().lower(), v.strip()))
+    return out
+
+
+def http_headers(block: bytes) -> list[tuple[str, str]]:
+    """All headers of an HTTP response, in order."""
+    return header_fields(block.partition(b"\r\n\r\n")[0].decode("latin-1").split("\r\n")[1:]) if block.startswith(b"HTTP/") else []
+
+
 def split_http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
     """Status, headers (lower-case names) and payload of an HTTP response."""
     if not block.startswith(b"HTTP/"):
@@ -66,7 +90,7 @@ def split_http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
     head, _, payload = block.partition(b"\r\n\r\n")
     lines = head.decode("latin-1").split("\r\n")
     words = lines[0].split(" ")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    headers = dict(header_fields(lines[1:]))
     return int(words[1]) if len(words) > 1 and words[1].isdigit() else None, headers, payload
 
 
@@ -88,6 +112,11 @@ def serialise(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Records (headers with lower-case names, block) of a WARC file, gzipped or not."""
+    return ((dict(fields), block) for fields, block in parse_fields(data))
+
+
+def parse_fields(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """Records with all their headers in order."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     at = 0
@@ -100,8 +129,8 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if not data.startswith(b"WARC/", at) or end < 0:
             raise ValueError(f"no WARC record at byte {at}")
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["content-length"])
+        headers = header_fields(lines)
+        size = int(dict(headers)["content-length"])
         yield headers, data[end + 4 : end + 4 + size]
         at = end + 4 + size
 
@@ -110,10 +139,10 @@ def response(page_id: object, url: str | None, page: str | None, date: str = DAT
     """A RECORD row for a stored page."""
     payload = (page or "").encode("utf-8", "replace")
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
-    return name("response", page_id, url), "response", url, date, None, digest(payload), digest(block), "application/http; msgtype=response", block
+    return name("response", page_id, url), "response", url, date, None, digest(payload), digest(block), "application/http; msgtype=response", block, None
 
 
-def derive(record_id: str, target: str | None, date: str | None, address: str | None, payload_digest: str | None, block: bytes | None) -> dict[str, object]:
+def derive(record_id: str, target: str | None, date: str | None, address: str | None, payload_digest: str | None, block: bytes | None, source_headers: list[dict[str, str]] | None = None) -> dict[str, object]:
     """The two derived records of a response, and what they say."""
     status, headers, payload = split_http(block or b"")
     page = decode(payload, headers)
@@ -124,6 +153,10 @@ def derive(record_id: str, target: str | None, date: str | None, address: str |
     meta_id, conv_id = name("metadata", record_id), name("conversion", record_id)
     payload_digest = payload_digest or digest(payload)
     fields = [("http-status", status), ("http-content-type", headers.get("content-type")), ("title", title), ("payload-length", len(payload)), ("text-length", len(text))]
+    every = http_headers(block or b"")
+    last = max((k for k, (x, _) in enumerate(every) if x == "content-type"), default=-1)  # that is http-content-type already
+    fields += [(f"http-{k}", v) for at, (k, v) in enumerate(every) if at != last]
+    fields += [(f"source-{h['name']}", h["value"]) for h in source_headers or [] if h["name"] not in _CARRIED]
     fields += [("outlink", x) for x in links]
     meta = "".join(f"{k}: {' '.join(str(v).split())}\r\n" for k, v in fields if v is not None).encode("utf-8", "replace")
     source = [("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-IP-Address", address), ("WARC-Refers-To", record_id), ("WARC-Payload-Digest", payload_digest)]
@@ -145,8 +178,8 @@ def responses(spark: SparkSession, pages: DataFrame, key: str = "page_id", url:
             for cut in range(0, whole.num_rows, 512):
                 batch = whole.slice(cut, 512)
                 rows = [response(*r, date) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-                columns = [pa.array(c, pa.binary() if k == 8 else pa.string()) for k, c in enumerate(zip(*rows, strict=True))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", *(x.split()[0] for x in RECORD.split(", "))])
+                columns = [pa.array(c, _TYPES.get(k, pa.string())) for k, c in zip(_NAMES, zip(*rows, strict=True), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", *_NAMES])
 
     return pages.select(F.col(key).alias("key"), url, page).mapInArrow(run, f"key {kind}, {RECORD}")
 
@@ -159,12 +192,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = [
-                    (file, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-ip-address"), h.get("warc-payload-digest"), h.get("warc-block-digest"), h.get("content-type"), block)
-                    for h, block in parse(content)
+                    (file, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-ip-address"), h.get("warc-payload-digest"), h.get("warc-block-digest"), h.get("content-type"), block, [{"name": k, "value": v} for k, v in fields])
+                    for fields, block in parse_fields(content)
+                    for h in (dict(fields),)
                 ]
                 for lo in range(0, len(rows), 512):
-                    columns = [pa.array(c, pa.binary() if k == 9 else pa.string()) for k, c in enumerate(zip(*rows[lo : lo + 512], strict=True))]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", *(x.split()[0] for x in RECORD.split(", "))])
+                    columns = [pa.array(c, _TYPES.get(k, pa.string())) for k, c in zip(("key", *_NAMES), zip(*rows[lo : lo + 512], strict=True), strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", *_NAMES])
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInArrow(run, f"key string, {RECORD}")
 
@@ -183,11 +217,11 @@ def derivatives(spark: SparkSession, records: DataFrame) -> DataFrame:
         for whole in batches:
             for cut in range(0, whole.num_rows, 512):
                 batch = whole.slice(cut, 512)
-                rows = [derive(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("record_id", "target", "date", "address", "payload_digest", "block")), strict=True)]
+                rows = [derive(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("record_id", "target", "date", "address", "payload_digest", "block", "headers")), strict=True)]
                 columns = [pa.array([r[c] for r in rows], types.get(c, pa.string())) for c in DERIVED]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "record_id", "target", "date")), *columns], ["key", "record_id", "target", "date", *DERIVED])
 
-    chosen = records.where("type = 'response'").select("key", "record_id", "target", "date", "address", "payload_digest", "block")
+    chosen = records.where("type = 'response'").select("key", "record_id", "target", "date", "address", "payload_digest", "block", "headers")
     return chosen.mapInArrow(run, schema)
 
 

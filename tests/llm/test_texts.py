@@ -186,3 +186,17 @@ def test_n_best_ids_reach_the_query(spark, coder):
             assert [x for x in ids[:-1]] == [x for _, x in want][:-1]
     for r in pieces.report(spark, df).collect():
         assert [x is not None for x in (r.ids_crc32, r.ids_crc32_2, r.ids_crc32_3, r.ids_crc32_4)] == [k < len(r.scores) for k in range(4)]
+
+
+def test_warc_source_headers_are_kept(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\nServer: x\r\nContent-Type: text/html\r\nSet-Cookie: a=1\r\nset-cookie: b=2\r\nLast-Modified: Mon,\r\n 1 Jan\r\nContent-Language: de\r\n\r\n<p>hi"
+    head = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Truncated", "length"), ("WARC-Warcinfo-ID", "<urn:uuid:0>"), ("WARC-Identified-Payload-Type", "text/html")]
+    (tmp_path / "x.warc").write_bytes(warc.serialise(head, block) + b"\r\n\r\n")
+    records = warc.read(spark, str(tmp_path))
+    kept = [(h.name, h.value) for h in records.first().headers]
+    assert kept == [*((k.lower(), v) for k, v in head), ("content-length", str(len(block)))]
+    (_, meta), = warc.parse(bytes(warc.derivatives(spark, records).first().metadata))
+    lines = meta.decode().split("\r\n")
+    for want in ("http-content-type: text/html", "http-server: x", "http-set-cookie: a=1", "http-set-cookie: b=2", "http-last-modified: Mon, 1 Jan", "http-content-language: de",
+                 "source-warc-truncated: length", "source-warc-warcinfo-id: <urn:uuid:0>", "source-warc-identified-payload-type: text/html"):
+        assert lines.count(want) == 1
