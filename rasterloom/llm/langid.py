@@ -2,8 +2,9 @@
 
 Features are TF-IDF weights of hashed character n-grams (one to three letters, other
 characters count as one space). Training uses follow-the-regularised-leader with an
-elastic net on a bounded sample, ``PER_LANG`` labelled rows for each language in
-expectation and twice as many at most; a part of the sample that the weights never
+elastic net on a bounded sample of every labelled language: ``PER_LANG`` rows of each
+in expectation, or equal parts of ``TOTAL`` rows where those are less, but ``FEWEST`` at
+least (all rows of a language that has no more), and twice as many at most; a part of the sample that the weights never
 saw sets the temperature of the scores. Every whole text is then scored.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0, and so
@@ -27,8 +28,9 @@ from rasterloom.llm.common import bucket_of, fresh, ship
 BITS = 14
 ORDERS = 3
 PER_LANG = 600
-#: Languages learned at most, the most frequent ones.
-LANGUAGES = 256
+#: Sampled rows of all languages together, and the part that every language has even beyond that.
+TOTAL = 24_000
+FEWEST = 30
 EPOCHS = 6
 BATCH = 32
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
@@ -94,26 +96,45 @@ class Model:
         return self.languages[k], float(p[k] / p.sum())
 
 
-def train(rows: list[tuple[str, np.ndarray]], seed: int = 3) -> Model:
-    """FTRL-proximal over dense minibatches of (language, counts), then the temperature."""
-    names = sorted({lang for lang, _ in rows})
-    rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes()))
+def per_language(sizes: list[int], per_lang: int = PER_LANG, total: int = TOTAL) -> float:
+    """Rows to sample of a language that has as many: equal parts of ``total``, within FEWEST and ``per_lang``."""
+    left, share = float(total), 0.0
+    for k, n in enumerate(sorted(sizes)):  # small languages leave the rest of their parts to the others
+        share = left / (len(sizes) - k)
+        if n > share:
+            break
+        left -= n
+        share = max(share, n)
+    return min(per_lang, max(share, FEWEST))
+
+
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 3) -> Model:
+    """FTRL-proximal over dense minibatches of (language, features, counts), then the temperature."""
+    names = sorted({lang for lang, _, _ in rows})
+    rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     rng = np.random.default_rng(seed)
-    y = np.array([names.index(lang) for lang, _ in rows])
-    n = np.stack([c for _, c in rows])
+    number = {name: k for k, name in enumerate(names)}
+    y = np.array([number[lang] for lang, _, _ in rows])
     held = np.zeros(len(rows), bool)
     for k in range(len(names)):
         own = np.flatnonzero(y == k)
         if len(own) >= 10:
             held[rng.choice(own, len(own) // 5, replace=False)] = True
-    df = (n[~held] > 0).sum(axis=0)
+    df = np.zeros(1 << BITS, np.int64)
+    for k in np.flatnonzero(~held):
+        df[rows[k][1]] += 1
     idf = np.log((1 + (~held).sum()) / (1 + df)) + 1
-    x = np.zeros(n.shape, np.float32)
-    for k, row in enumerate(n):
-        at, v = weigh(row, idf)
-        x[k, at] = v
-    f, m = x.shape[1] + 1, len(names)
-    x = np.concatenate((x, np.ones((len(x), 1), np.float32)), axis=1)
+    values = [((1 + np.log(n)) * idf[at]).astype(np.float64) for _, at, n in rows]
+    values = [(v / max(np.sqrt((v * v).sum()), 1e-12)).astype(np.float32) for v in values]
+    f, m = (1 << BITS) + 1, len(names)
+
+    def dense(chosen: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(chosen), f), np.float32)
+        x[:, -1] = 1
+        for k, row in enumerate(chosen.tolist()):
+            x[k, rows[row][1]] = values[row]
+        return x
+
     z, s, w = np.zeros((f, m)), np.zeros((f, m)), np.zeros((f, m))
     own = np.flatnonzero(~held)
     share = np.bincount(y[own], minlength=m) / max(1, len(own))
@@ -121,19 +142,20 @@ def train(rows: list[tuple[str, np.ndarray]], seed: int = 3) -> Model:
         order = rng.permutation(own)
         for lo in range(0, len(order), BATCH):
             at = order[lo : lo + BATCH]
-            p = x[at] @ w
+            x = dense(at)
+            p = x @ w
             p = np.exp(p - p.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(at)), y[at]] -= 1
             p /= (m * share[y[at]])[:, None] * len(at)  # every language weighs the same
-            g = x[at].T @ p
+            g = x.T @ p
             step = (np.sqrt(s + g * g) - np.sqrt(s)) / ALPHA
             z += g - step * w
             s += g * g
             w = np.where(np.abs(z) <= L1, 0, (np.sign(z) * L1 - z) / ((BETA * 0.01 + np.sqrt(s)) / ALPHA + L2))
     model = Model(names, idf, w[:-1].astype(np.float32), w[-1].astype(np.float32))
     check = np.flatnonzero(held) if held.any() else own
-    logits = x[check] @ w
+    logits = np.concatenate([dense(check[lo : lo + 256]) @ w for lo in range(0, len(check), 256)])
     best = (np.inf, 1.0)
     for t in np.exp(np.linspace(np.log(0.02), np.log(5), 60)):
         v = logits / t
@@ -144,17 +166,18 @@ def train(rows: list[tuple[str, np.ndarray]], seed: int = 3) -> Model:
     return model
 
 
-def fit(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, total: int = TOTAL) -> Model:
     """Model from the rows whose crc32 bucket is not the held-out one and whose language is known."""
     ship(spark)
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (bucket_of(doc_id, 4) != 2)).select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    sizes = known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
+    sizes = known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a language
     none = Model([], np.ones(1 << BITS), np.zeros((1 << BITS, 0)), np.zeros(0))
     if not sizes:
         return none
-    rate = F.create_map(*(F.lit(v) for r in sizes for v in (r["l"], float(per_lang) / r["n"])))
+    per_lang = per_language([r["n"] for r in sizes], per_lang, total)
+    rate = F.broadcast(spark.createDataFrame([(r["l"], per_lang / r["n"]) for r in sizes], "name string, rate double"))
     draw = F.pmod(F.xxhash64(F.col("i"), F.lit(11)), F.lit(1 << 52)) / float(1 << 52)
-    sample = known.where(draw < F.element_at(rate, F.col("l"))).select("l", "t")
+    sample = known.join(rate, F.col("l") == F.col("name")).where(draw < F.col("rate")).select("l", "t")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,9 +194,7 @@ def fit(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str
             for name, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen[name] = seen.get(name, 0) + 1
                 if seen[name] <= 2 * per_lang:
-                    full = np.zeros(1 << BITS, np.int32)
-                    full[np.frombuffer(at, "<i4")] = np.frombuffer(n, "<i4")
-                    rows.append((name, full))
+                    rows.append((name, np.frombuffer(at, "<i4"), np.frombuffer(n, "<i4")))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], ["model"])
 

@@ -200,3 +200,11 @@ def test_quality_training_rates():
     assert got["b"] == got[None] == 0.5 and sum(sizes[k] * got[k] for k in sizes) <= 4000
     got = kneser.rates({k: 10_000 for k in range(1000)}, 4000)
     assert sum(10_000 * x for x in got.values()) <= 4000
+
+
+def test_every_labelled_language_is_learned(spark):
+    names = [f"m{k:03d}" for k in range(400)]
+    model = langid.fit(spark, docs(spark, [f"{n} text" for n in names], names))
+    assert len(model.languages) == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(400)) > 256
+    assert langid.per_language([1000] * 4) == 600 and langid.per_language([1000] * 100) == 240 and langid.per_language([1000] * 3000) == 30
+    assert langid.per_language([5, 5]) == 600  # all of them
