@@ -130,39 +130,56 @@ def test_language_model_is_a_distribution():
     assert p == pytest.approx(1, abs=1e-4)
 
 
-def plain_kneser(model, u, v, w):
-    """P(w | u v) by single lookups."""
-
-    def place(keys, key):
-        at = int(np.searchsorted(keys, key))
-        return at if at < len(keys) and keys[at] == key else None
-
-    pair, context = place(model.pairs, v * model.size + w), place(model.pairs, u * model.size + v)
-    p = (0 if pair is None else model.alpha2[pair]) + model.gamma2[v] * model.p1[w]
-    if context is None:
-        return p
-    triple = place(model.triples, context * model.size + w)
-    return (0 if triple is None else model.alpha3[triple]) + model.gamma3[context] * p
+def plain_kneser(texts):
+    """P(w | u v) of interpolated modified Kneser-Ney, written out from the raw counts."""
+    n3 = Counter()
+    for t in texts:
+        x = ["<s>", "<s>", *t.lower().split(), ""]
+        n3.update(zip(x, x[1:], x[2:], strict=False))
+    n2 = Counter((v, w) for _, v, w in n3)  # distinct words before the bigram
+    n1 = Counter(w for _, w in n2)
+
+    def cuts(counts):
+        n = Counter(counts.values())
+        y = n[1] / (n[1] + 2 * n[2])
+        raw = [k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)]
+        d = [0.0, *(min(max(x, 0.1), k - 0.05) for k, x in zip((1, 2, 3), raw, strict=True))]
+        return lambda c: d[min(c, 3)]
+
+    d3, d2, known = cuts(n3), cuts(n2), len(n1)
+
+    def p(u, v, w):
+        low = (max(n1[w] - 0.75, 0) + 0.75 * known / (known + 1)) / sum(n1.values())
+        total = sum(c for (a, _), c in n2.items() if a == v)
+        if total:
+            low = (max(n2[v, w] - d2(n2[v, w]), 0) + low * sum(d2(c) for (a, _), c in n2.items() if a == v)) / total
+        total = sum(c for (a, b, _), c in n3.items() if (a, b) == (u, v))
+        if total:
+            low = (max(n3[u, v, w] - d3(n3[u, v, w]), 0) + low * sum(d3(c) for (a, b, _), c in n3.items() if (a, b) == (u, v))) / total
+        return low
+
+    return p, set(n1)
+
+
+def test_kneser_ney_equals_the_plain_model_and_sums_to_one(spark):
+    r = np.random.default_rng(0)
+    texts = [" ".join(f"w{int(x) % 20}" for x in r.zipf(1.5, 12)) for _ in range(60)]
+    p, known = plain_kneser(texts)
+    for u, v in (("<s>", "<s>"), ("w1", "w1"), ("w1", "never"), ("w2", "w1")):
+        assert sum(p(u, v, w) for w in [*known, "unknown"]) == pytest.approx(1)
+    made, facts = kneser.tables(spark, kneser.trigrams(spark.createDataFrame([(t,) for t in texts], "t string")))
+    scorer = kneser.Scorer(facts, *(list(kneser.shards(made[c], 3)) for c in ("tri", "pair", "uni")))
+    new = ["w1 w1 w2 w3 unknown", None, "w5", "W1  w1\tw2", *texts[:20]]
+    got, n = scorer.score(new)
+    for t, s, m in zip(new, got, n, strict=True):
+        x = ["<s>", "<s>", *(t or "").lower().split(), ""]
+        assert m == len(x) - 2 and s == pytest.approx(sum(np.log10(p(*x[i : i + 3])) for i in range(m)), rel=1e-5)
 
 
-def test_kneser_ney_sums_to_one_and_matches_lookups():
-    r = np.random.default_rng(0)
-    grams = Counter()
-    for _ in range(60):
-        a = [1, 1, *(kneser.word_hash(b"w%d" % (int(x) % 20)) for x in r.zipf(1.5, 12)), kneser.word_hash(b"")]
-        grams.update(zip(a, a[1:], a[2:], strict=False))
-    k = np.array(list(grams), np.int64)
-    model = kneser.build(k[:, 0], k[:, 1], k[:, 2], np.array(list(grams.values())))
-    for u, v in ((3, 4), (0, 0), (5, 5), (model.size - 1,) * 2):
-        assert sum(plain_kneser(model, u, v, w) for w in range(model.size)) == pytest.approx(1)
-    cut = kneser.Shards(model, 3)
-    scorer = kneser.Scorer(cut.head, cut.pairs, cut.triples)
-    texts = ["w1 w1 w2 w3 unknown", None, "w5", "W1  w1\tw2"]
-    bos = int(np.searchsorted(model.vocabulary, 1))
-    got, n = scorer.score(texts)
-    for t, s, m in zip(texts, got, n, strict=True):
-        x = [bos, bos, *(scorer.number(w) for w in [*kneser.words_of(t), b""])]
-        assert m == len(x) - 2 and s == pytest.approx(sum(np.log10(plain_kneser(model, *x[i : i + 3])) for i in range(m)), rel=1e-5)
+def test_chained_hash_is_that_of_the_jvm(spark):
+    x = np.random.default_rng(0).integers(-(2**62), 2**62, (50, 3))
+    want = [r.h for r in spark.createDataFrame(x.tolist(), "a long, b long, c long").select(F.xxhash64("a", "b", "c").alias("h")).collect()]
+    assert kneser.chain(kneser.chain(kneser.chain(np.uint64(42), x[:, 0].copy()), x[:, 1].copy()), x[:, 2].copy()).view(np.int64).tolist() == want
 
 
 def test_quality_classifier(spark):
@@ -190,18 +207,31 @@ def test_quality_thresholds_cover_all_trusted_documents_and_rare_languages(spark
     n = {(r.l, r.train): r["count"] for r in good.groupBy("l", "train").count().collect()}
     assert sum(n.values()) == 1200 and 0 < n["rare", True] < 12 and n["common", True] < 80
     _, limits, _ = kneser.fit(spark, df, labels, bound=40)
-    assert {name: m for name, band, _, m in limits if name and band is None} == {"rare": n["rare", False], "common": n["common", False]}
+    assert {name: m for name, band, _, m in limits if name != kneser.ANY and band == kneser.ANY} == {"rare": n["rare", False], "common": n["common", False]}
 
 
 def test_quality_training_rates():
-    assert kneser.rates({"a": 30, "b": 70}, 4000) == {"a": 0.5, "b": 0.5}
-    sizes = {"a": 1_000_000, "b": 200, None: 40}
-    got = kneser.rates(sizes, 4000)
-    assert got["b"] == got[None] == 0.5 and sum(sizes[k] * got[k] for k in sizes) <= 4000
-    got = kneser.rates({k: 10_000 for k in range(1000)}, 4000)
+    few = 10**12
+    assert kneser.rates({"a": (30, 0), "b": (70, 0)}, 4000, few) == {"a": 0.5, "b": 0.5}
+    sizes = {"a": (1_000_000, 9_000_000), "b": (200, 1000), None: (40, 0)}
+    got = kneser.rates(sizes, 4000, few)
+    assert got["b"] == got[None] == 0.5 and sum(sizes[k][0] * got[k] for k in sizes) <= 4000
+    assert sum(c * kneser.rates(sizes, 4000, 500)[k] for k, (_, c) in sizes.items()) <= 501
+    got = kneser.rates({k: (10_000, 0) for k in range(1000)}, 4000, few)
     assert sum(10_000 * x for x in got.values()) <= 4000
 
 
+def test_quality_model_over_its_rows_is_drawn_again(spark, monkeypatch):
+    monkeypatch.setattr(kneser, "ROWS", 400)
+    texts, lang = many(spark, 400)
+    texts[0] = "der und " * 40_000  # too long to train on, judged all the same
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    shared, _, measured = kneser.fit(spark, docs(spark, texts, lang), labels, bound=200)
+    assert sum(shared.facts.sizes.values()) <= 400
+    got = {r.id: r for r in measured.collect()}
+    assert len(got) == 400 and got[0].n == 80_001 and all(r.x > 0 for r in got.values())
+
+
 def test_every_labelled_language_is_learned(spark):
     names = [f"m{k:03d}" for k in range(400)]
     model = langid.fit(spark, docs(spark, [f"{n} text" for n in names], names))
