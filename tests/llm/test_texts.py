@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import glob
+import time
 import zlib
 from html.parser import HTMLParser
 
@@ -103,6 +104,33 @@ def test_n_best_of_texts(coder, text):
         assert scores == pytest.approx(every_score(coder, " " + text if text else "")[:4])
 
 
+def test_chunks_solved_together_equal_the_search(coder):
+    r = np.random.default_rng(2)
+    chunks = sorted({" " + "".join(r.choice(list("thenaed\u00e9\u4e00\U0001f600 "), int(n))) for n in r.integers(0, 14, 300)} - {" "})
+    best, loss, count, ids = coder.lattices.solve(chunks)
+    ends = np.cumsum(count)
+    for k, chunk in enumerate(chunks):
+        found = coder.search(chunk, 2)
+        assert best[k] == pytest.approx(found[0][0])
+        assert loss[k] == (pytest.approx(found[0][0] - found[1][0]) if len(found) > 1 else np.inf)
+        if (own := ids[ends[k] - count[k] : ends[k]]).min() >= 0:
+            assert own.tolist() == coder.encode_chunk(chunk, found[0][1])
+
+
+def test_long_chunks_take_time_in_proportion(coder):
+    text = "".join(np.random.default_rng(0).choice(list("thenadrs"), 100_000))
+    began = time.process_time()
+    ids, n, scores = coder.segment(text)
+    assert coder.decode(ids) == text and len(scores) == 4 and time.process_time() - began < 10
+
+
+def test_forgetting_changes_nothing(coder, monkeypatch):
+    texts = [t or "" for t in EDGE[:9]]
+    want = coder.segments(texts)
+    monkeypatch.setattr(pieces, "REMEMBERED", 1)
+    assert [coder.segments([t])[0] for t in texts] == want
+
+
 def test_pieces_round_trip(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(EDGE)] + [(4, EDGE[4])], DOCS)
     coded = pieces.encode(spark, df)
