@@ -10,7 +10,9 @@ name-based UUIDs, so a task that runs again makes the same records.
 
 Defined results: a null payload counts as empty (empty text, no title); a null URL
 leaves WARC-Target-URI out; a response that is not HTTP is taken as the payload
-itself; repeated rows give repeated records; an empty table gives an empty one;
+itself; very long and broken pages are read whole, in time in proportion to their
+length; of several titles the first one counts, links keep their order and repeats;
+repeated rows give repeated records; an empty table gives an empty one;
 other columns are ignored.
 """
 
@@ -20,6 +22,7 @@ import base64
 import gzip
 import hashlib
 import html as entities
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -31,13 +34,16 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import ship
 
 DATE = "2024-01-01T00:00:00Z"
+#: Bytes of blocks that the reader passes on at once, one block more at most.
+HELD = 16 << 20
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:rasterloom:warc")
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BLOCK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|table|tr|section|article|header|footer|nav|main|aside|blockquote|pre|form|figure|figcaption|address)\b[^>]*>", re.I)
 _CELL = re.compile(r"</?(?:td|th)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[/!?]?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b", re.I), re.compile(r"</title\s*>", re.I)
+_ANCHOR, _HREF, _BARE = re.compile(r"<a\b", re.I), re.compile(r"\bhref\s*=\s*", re.I), re.compile(r"[^\s>]+")
+_DIGITS = re.compile(r"&#([0-9]{9,})|&#[xX]([0-9a-fA-F]{9,})")
 _RUN = re.compile(r"[ \t\f\v\xa0]+")
 
 RECORD = "record_id string, type string, target string, date string, address string, payload_digest string, block_digest string, content_type string, block binary, headers array<struct<name:string,value:string>>"
@@ -56,16 +62,62 @@ def name(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, chr(31).join(map(str, parts)))}>"
 
 
+def resolved(text: str) -> str:
+    """Entities resolved; numbers of any length are taken as their first digits, which are beyond all characters already."""
+    short = lambda m: f"&#{m[1].lstrip('0')[:9] or '0'}" if m[1] else f"&#x{m[2].lstrip('0')[:9] or '0'}"
+    return entities.unescape(_DIGITS.sub(short, text))
+
+
+def _tags(pattern: re.Pattern, to: str, page: str) -> str:
+    """``pattern`` replaced up to the last end of a tag: behind it every start would be read to the end of the page."""
+    cut = page.rfind(">") + 1
+    return pattern.sub(to, page[:cut]) + page[cut:]
+
+
 def plain(page: str) -> str:
     """Visible text: one line for each block, entities resolved, spaces collapsed."""
     page = _DROP.sub(" ", page)
     page = re.sub(r"[\r\n]+", " ", page)
-    page = _CELL.sub("\t", _BLOCK.sub("\n", page))
-    page = entities.unescape(_TAG.sub("", page))
+    page = _tags(_CELL, "\t", _tags(_BLOCK, "\n", page))
+    page = resolved(_tags(_TAG, "", page))
     lines = (_RUN.sub(" ", line).strip() for line in page.split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def title_of(page: str) -> str:
+    """Text of the first title element, or nothing."""
+    found = _TITLE.search(page)
+    start = page.find(">", found.end()) + 1 if found else 0
+    end = _TITLE_END.search(page, start) if start else None
+    return " ".join(resolved(_tags(_TAG, "", page[start : end.start()])).split()) if end else ""
+
+
+def links_of(page: str) -> list[str]:
+    """Targets of the anchors, in one pass."""
+    out: list[str] = []
+    at, closes = 0, {"\"": True, "'": True}  # whether that quote can still be closed
+    while found := _ANCHOR.search(page, at):
+        end = page.find(">", found.end())
+        href = _HREF.search(page, found.end(), end if end >= 0 else len(page))
+        if not href:
+            if end < 0:
+                break
+            at = end + 1
+            continue
+        at = href.end()
+        quote = page[at : at + 1]
+        close = page.find(quote, at + 1) if closes.get(quote) else -1
+        if close >= 0:
+            out.append(page[at + 1 : close])
+            at = close + 1
+            continue
+        closes[quote] = False
+        if bare := _BARE.match(page, at):
+            out.append(bare[0])
+            at = bare.end()
+    return [resolved(x) for x in out]
+
+
 def header_fields(lines: list[str]) -> list[tuple[str, str]]:
     """Names (lower case) and values of header lines; a line that begins with a space goes on with the one before."""
     out: list[tuple[str, str]] = []
@@ -100,7 +152,7 @@ def decode(payload: bytes, headers: dict[str, str]) -> str:
     charset = charset.decode("ascii") if isinstance(charset, bytes) else charset
     try:
         return payload.decode(charset, "replace")
-    except LookupError:
+    except (LookupError, ValueError):  # no charset of texts
         return payload.decode("utf-8", "replace")
 
 
@@ -116,23 +168,24 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def parse_fields(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """Records with all their headers in order."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
+    """Records with all their headers in order; beside ``data`` itself only one of them is held at a time."""
+    stream = gzip.open(io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
+        at = stream.tell()
+        line = stream.readline()
+        if not line:
             return
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
+        if line == b"\r\n":
+            continue
+        if not line.startswith(b"WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        lines = []
+        while (line := stream.readline()) != b"\r\n":
+            if not line:
+                raise ValueError(f"no WARC record at byte {at}")
+            lines.append(line.decode("utf-8", "replace").rstrip("\r\n"))
         headers = header_fields(lines)
-        size = int(dict(headers)["content-length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        yield headers, stream.read(int(dict(headers)["content-length"]))
 
 
 def response(page_id: object, url: str | None, page: str | None, date: str = DATE) -> tuple:
@@ -147,9 +200,7 @@ def derive(record_id: str, target: str | None, date: str | None, address: str |
     status, headers, payload = split_http(block or b"")
     page = decode(payload, headers)
     text = plain(page).encode("utf-8", "replace")
-    found = _TITLE.search(page)
-    title = " ".join(entities.unescape(_TAG.sub("", found[1])).split()) if found else ""
-    links = [entities.unescape(a or b or c) for a, b, c in _LINK.findall(page)]
+    title, links = title_of(page), links_of(page)
     meta_id, conv_id = name("metadata", record_id), name("conversion", record_id)
     payload_digest = payload_digest or digest(payload)
     fields = [("http-status", status), ("http-content-type", headers.get("content-type")), ("title", title), ("payload-length", len(payload)), ("text-length", len(text))]
@@ -188,17 +239,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Response records (RECORD) of the WARC files under ``path``; the key is the file's path."""
     ship(spark)
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        names = ("key", *_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(c, _TYPES.get(k, pa.string())) for k, c in zip(names, zip(*rows, strict=True), strict=True)], list(names))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = [
-                    (file, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-ip-address"), h.get("warc-payload-digest"), h.get("warc-block-digest"), h.get("content-type"), block, [{"name": k, "value": v} for k, v in fields])
-                    for fields, block in parse_fields(content)
-                    for h in (dict(fields),)
-                ]
-                for lo in range(0, len(rows), 512):
-                    columns = [pa.array(c, _TYPES.get(k, pa.string())) for k, c in zip(("key", *_NAMES), zip(*rows[lo : lo + 512], strict=True), strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", *_NAMES])
+                rows, held = [], 0
+                for fields, block in parse_fields(content):
+                    h = dict(fields)
+                    rows.append((file, *(h.get(k) for k in ("warc-record-id", "warc-type", "warc-target-uri", "warc-date", "warc-ip-address", "warc-payload-digest", "warc-block-digest", "content-type")), block, [{"name": k, "value": v} for k, v in fields]))
+                    held += len(block)
+                    if len(rows) == 512 or held > HELD:
+                        yield table(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield table(rows)
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInArrow(run, f"key string, {RECORD}")
 

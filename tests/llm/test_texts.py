@@ -174,6 +174,22 @@ def test_plain_text_against_a_parser():
     assert warc.plain(PAGE) == parsed(PAGE) == "X\nY\nOne\ntwo <3 café\na b c"
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<p", "<title>", "<a href=\"x", "<a href='", "<!", "<td ", "<script>", "</script ", "&#1", "&#x", "<a href", "<![", "<?x"])
+def test_hostile_pages_take_time_in_proportion(unit):
+    page = (unit * (1 + 1_000_000 // len(unit)))[:1_000_000]
+    began = time.process_time()
+    row = warc.response(1, "http://a/", page)
+    warc.derive(row[0], row[2], row[3], row[4], row[5], row[8])
+    assert time.process_time() - began < 4
+
+
+def test_links_and_titles():
+    page = "<a href=x><A title='t' HREF = \"a>b\">1</A><a>none</a><a href='y &amp; z'><title>T <b>1</b></title><title>2</title><a href=\"open>rest <a href=q>"
+    assert warc.links_of(page) == ["x", "a>b", "y & z", "\"open", "q"] and warc.title_of(page) == "T 1"
+    assert warc.title_of("<title>open") == warc.title_of("<title") == "" and warc.plain("&#" + "9" * 5000 + ";&#x" + "0" * 5000 + "41;") == "\ufffdA"
+    assert warc.decode(b"abc", {"content-type": "text/html; charset=undefined"}) == "abc"
+
+
 def test_warc_derivatives(spark, tmp_path):
     rows = [(1, "http://a/", PAGE), (2, None, None), (3, "http://b/", ""), (1, "http://a/", PAGE), (4, "http://c/", "plain < text & é" * 2000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -198,8 +214,9 @@ def test_warc_files_are_read(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(raw + b"\r\n\r\n" + raw + b"\r\n\r\n")
     got = warc.derivatives(spark, warc.read(spark, str(tmp_path))).collect()
     assert len(got) == 2 and got[0].text == warc.plain(PAGE)
-    with pytest.raises(ValueError, match="no WARC record"):
-        list(warc.parse(b"junk"))
+    for junk in (b"junk", b"WARC/1.1\r\nContent-Length: 3\r\n"):
+        with pytest.raises(ValueError, match="no WARC record"):
+            list(warc.parse(junk))
 
 
 def test_n_best_ids_reach_the_query(spark, coder):
