@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from contextlib import suppress
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,11 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; a local one only where it is unset and Spark runs on this machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.environ.get("RASTERLOOM_STAGING")
         if not root:
             root = os.environ["RASTERLOOM_STAGING"] = tempfile.mkdtemp(prefix="rasterloom-")
@@ -97,6 +100,32 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+#: A key with over 1 / HOT of all rows, and over LEAST, is dealt over several tasks; HOT keys can be so at most.
+HOT, LEAST = 2_000, 500
+
+
+def join_split(rows: DataFrame, keys: list[str], table: DataFrame, others: list[str], n: str, mix: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (staged, a row a key) where ``keys`` equal ``others``; no task gets a hot key whole.
+
+    ``n`` is the column of ``table`` that has the number of rows with that key. Hot
+    keys, HOT at most, are broadcast to salt their rows by a hash of ``mix``; the table
+    has such a key once for each salt.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    limit = max(LEAST, total // HOT)
+    equal = lambda a, b: F.lit(True) if not a else reduce(lambda x, y: x & y, (F.col(i) == F.col(j) for i, j in zip(a, b, strict=True)))
+    hot = table.where(F.col(n) > limit)
+    if hot.isEmpty():
+        return rows.join(table, equal(keys, others), how)
+    names = [f"_hot_{k}" for k in range(len(keys))]
+    hot = hot.select(*(F.col(o).alias(h) for o, h in zip(others, names, strict=True)), F.ceil(F.col(n) / limit).cast("int").alias("_salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*mix), F.col("_salts")), F.lit(0)).cast("int")
+    left = rows.join(F.broadcast(hot), equal(keys, names), "left").select(*(F.col(c) for c in rows.columns), salt.alias("_salt"))
+    right = table.withColumn("_of", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(n) / limit).cast("int"), F.lit(1)) - 1)))
+    out = left.join(right, equal([*keys, "_salt"], [*others, "_of"]), how)
+    return out.drop("_salt", "_of")
+
+
 def bucket_of(doc_id, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

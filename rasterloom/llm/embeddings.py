@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import release, ship, stage
+from rasterloom.llm.common import join_split, release, ship, stage
 from rasterloom.llm.graph import components
 from rasterloom.llm.simhash import merge
 
@@ -325,6 +325,6 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, vec_id: str = "vec_
     ids = rows.select("uid", F.col(vec_id).alias("vec_id"))
     joined = ids.join(found, ids["uid"] == found["node"], "left").select("uid", "vec_id", F.coalesce("root", "uid").alias("root"))
     joined = stage(spark, joined, "roots")
-    low = joined.groupBy(F.col("root").alias("r")).agg(F.min("vec_id").alias("component_id"))
-    out = joined.join(low, joined["root"] == low["r"]).join(degrees.withColumnRenamed("uid", "d"), F.col("uid") == F.col("d"), "left")
+    low = stage(spark, joined.groupBy(F.col("root").alias("r")).agg(F.min("vec_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "low")
+    out = join_split(joined, ["root"], low, ["r"], "size", ["uid"]).join(degrees.withColumnRenamed("uid", "d"), F.col("uid") == F.col("d"), "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -1,16 +1,19 @@
 """Cross-site line dedup by the spread of lines over distinct sites.
 
-DataFrame operations only. Lines are known by the 64-bit hash of their trimmed text.
-Counts prune lines that cannot reach ``min_sites``; the others get a HyperLogLog
-sketch of their sites, merged by aggregation. Where the estimate is near the
-threshold the distinct sites are counted exactly. Lines that reach it are
-boilerplate: their first occurrence (smallest id, then position) stays, so that no
-content is lost altogether, and all others go.
+DataFrame operations only. Lines are known by two independent 64-bit hashes of their
+trimmed text, so that lines of a very large corpus don't meet by chance. Counts prune
+lines that cannot reach ``min_sites``; the others get a HyperLogLog sketch of their
+sites, merged by aggregation. Where the estimate is near the threshold the distinct
+sites are counted exactly. Lines that reach it are boilerplate: their first occurrence
+(smallest id, then position) stays, so that no content is lost altogether, and all
+others go. Aggregates are staged before they are joined with the occurrences, and the
+occurrences of a very frequent line are salted.
 
 Defined results: blank lines are never removed; a null site is no site; a null text
-stays null and counts as no lines; rows repeated with the same id and text are
-treated alike; documents stay even if no line of theirs does (their text is empty);
-an empty table gives an empty one; other columns stay as they are.
+stays null and counts as no lines; very long texts are split whole; of equal lines the
+smallest (id, row, position) is the first; rows repeated with the same id and text are
+treated alike; documents stay even if no line of theirs does (their text is empty); an
+empty table gives an empty one; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import SPACE, fresh, stage
+from rasterloom.llm.common import SPACE, fresh, join_split, stage
 
 MIN_SITES = 10
 #: Sketch size 2**LG_K; estimates within BAND of the threshold are counted exactly.
@@ -26,8 +29,10 @@ LG_K = 10
 BAND = 0.25
 
 
-def line_key(line: Column) -> Column:
-    return F.xxhash64(F.btrim(line, F.lit(SPACE)))
+def line_keys(line: Column) -> list[Column]:
+    """Two hashes of a line, independent of each other."""
+    line = F.btrim(line, F.lit(SPACE))
+    return [F.xxhash64(line).alias("key"), F.xxhash64(F.lit(1), line).alias("key2")]
 
 
 def _row_key(doc_id: str, text: str) -> Column:
@@ -35,25 +40,31 @@ def _row_key(doc_id: str, text: str) -> Column:
 
 
 def exploded(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
-    """row, id, site, pos and key of every line with a word."""
+    """row, id, site, pos and the keys of every line with a word."""
     lines = docs.select(_row_key(doc_id, text).alias("row"), F.col(doc_id).alias("id"), F.col(site).alias("site"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
-    return lines.where(F.length(F.btrim("line", F.lit(SPACE))) > 0).select("row", "id", "site", "pos", line_key(F.col("line")).alias("key"))
+    return lines.where(F.length(F.btrim("line", F.lit(SPACE))) > 0).select("row", "id", "site", "pos", *line_keys(F.col("line")))
+
+
+_KEYS = ["key", "key2"]
+_OTHERS = ["k", "k2"]
 
 
 def boilerplate(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> tuple[DataFrame, DataFrame]:
-    """(occurrences of lines seen often enough, boilerplate(key, sites, first))."""
+    """(occurrences of lines seen often enough, boilerplate(k, k2, sites, first, n))."""
+    as_others = [F.col(a).alias(b) for a, b in zip(_KEYS, _OTHERS, strict=True)]
     every = exploded(docs, doc_id, text, site)
-    often = every.groupBy(F.col("key").alias("k")).agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).select("k")
+    often = every.groupBy(*as_others).agg(F.count("site").alias("with_site"), F.count(F.lit(1)).alias("n")).where(F.col("with_site") >= min_sites)
+    often = stage(spark, often.drop("with_site"), "often")
     # stays of the size of what repeats: lines seen fewer than min_sites times are gone
-    seen = stage(spark, every.join(often, every["key"] == often["k"], "left_semi"), "lines")
-    spread = seen.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("about"), F.min(F.struct("id", "row", "pos")).alias("first"))
+    seen = stage(spark, join_split(every, _KEYS, often, _OTHERS, "n", ["row", "pos"]).select(*every.columns), "lines")
+    spread = seen.groupBy(*as_others).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("about"), F.min(F.struct("id", "row", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     spread = stage(spark, spread.where(F.col("about") >= min_sites * (1 - BAND)), "spread")
-    near = spread.where(F.col("about") <= min_sites * (1 + BAND)).select(F.col("key").alias("k"))
-    pairs = seen.join(near, seen["key"] == near["k"], "left_semi").where("site IS NOT NULL").select("key", "site").distinct()
-    exact = pairs.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("exact"))
-    joined = spread.join(exact, spread["key"] == exact["k"], "left")
-    wide = joined.where(F.coalesce("exact", "about") >= min_sites).select("key", F.coalesce("exact", "about").alias("sites"), "first")
-    return seen, wide
+    near = spread.where(F.col("about") <= min_sites * (1 + BAND)).select(*_OTHERS, "n")
+    pairs = join_split(seen, _KEYS, near, _OTHERS, "n", ["row", "pos"]).where("site IS NOT NULL").select(*_KEYS, "site").distinct()
+    exact = pairs.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("exact"))
+    joined = spread.join(exact, (F.col("k") == F.col("key")) & (F.col("k2") == F.col("key2")), "left")
+    sites = F.coalesce("exact", "about")
+    return seen, stage(spark, joined.where(sites >= min_sites).select(*_OTHERS, sites.alias("sites"), "first", "n"), "wide")
 
 
 def remove(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, report: bool = False) -> DataFrame:
@@ -62,13 +73,12 @@ def remove(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
     ``report`` adds n_lines and n_removed.
     """
     seen, wide = boilerplate(spark, docs, doc_id, text, site, min_sites)
-    wide = wide.select(F.col("key").alias("k"), "first")
     first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos"))
-    out = seen.join(wide, seen["key"] == wide["k"]).where(~first)
-    key, bad, own = fresh(docs, "row", "bad", "own")
-    out = out.groupBy(F.col("row").alias(key)).agg(F.collect_set("pos").alias(bad))
+    out = join_split(seen, _KEYS, wide, _OTHERS, "n", ["row", "pos"]).where(~first)
+    key, key_id, bad, own = fresh(docs, "row", "row_id", "bad", "own")
+    out = out.groupBy(F.col("row").alias(key), F.col("id").alias(key_id)).agg(F.collect_set("pos").alias(bad))
     keyed = docs.select("*", _row_key(doc_id, text).alias(own))
-    joined = keyed.join(out, keyed[own] == out[key], "left")
+    joined = keyed.join(out, (keyed[own] == out[key]) & keyed[doc_id].eqNullSafe(out[key_id]), "left")
     split = F.split(F.col(text), "\n", -1)
     rest = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(bad))
     # the lines are bound once by the outer lambda, not split again for each position

@@ -9,9 +9,10 @@ exceeded. It returns a spanning forest of the links it found, so a dense group o
 near copies yields one row per fingerprint, not one per pair.
 
 Defined results: a null or wordless text has fingerprint zero and links like any
-other; fewer than three words give one shingle of them all; repeated rows and
-repeated ids each get their row; an empty table gives an empty one; other columns
-of the input are ignored.
+other; fewer than three words give one shingle of them all; very long texts are hashed
+whole, in blocks of shingles; bits at exactly half are 0; repeated rows and repeated
+ids each get their row; an empty table gives an empty one; other columns of the input
+are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import fresh, release, ship, stage
+from rasterloom.llm.common import fresh, join_split, release, ship, stage
 from rasterloom.llm.graph import components
 
 SEED = 42
@@ -270,53 +271,50 @@ def links(spark: SparkSession, prints: DataFrame, budget: int = BUDGET, leaf: tu
     return dealt.groupBy("task").applyInArrow(one, "u long, v long")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET, keep: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``fp``, classes(fp, component_id, size of the class in rows)).
+def classes_of(spark: SparkSession, rows: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """classes(class_fp, n, root, component_id, class_rows) of staged rows (id, fp): a row for each fingerprint.
 
-    ``component_id`` is the smallest id whose document is reachable by links. ``keep``
-    stages all columns, so that a filter can be applied without reading texts twice.
+    ``component_id`` is the smallest id whose document is reachable by links.
     """
-    ship(spark)
-    (out,) = fresh(docs, "fp")
-    frame = docs if keep else docs.select(doc_id, text)
-    rows = fingerprints(frame, text, out)
-    rows = stage(spark, rows if keep else rows.drop(text), "fingerprints")
-    prints = stage(spark, rows.groupBy(F.col(out).alias("fp")).agg(F.min(doc_id).alias("low"), F.count(F.lit(1)).alias("n")), "prints")
+    prints = stage(spark, rows.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "prints")
     found = components(spark, links(spark, prints, budget))
     member = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     member = stage(spark, member, "member")
-    low = member.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("class_rows"))
-    classes = stage(spark, member.select("fp", "root").join(low, "root").select(F.col("fp").alias("class_fp"), "root", "component_id", "class_rows"), "classes")
-    release(prints, member)
-    return rows, classes
+    low = stage(spark, member.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"), F.sum("n").alias("class_rows"), F.count(F.lit(1)).alias("m")), "low")
+    out = join_split(member, ["root"], low, ["r"], "m", ["fp"])
+    classes = stage(spark, out.select(F.col("fp").alias("class_fp"), "n", "root", "component_id", "class_rows"), "classes")
+    release(prints, member, low)
+    return classes
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
+    """id, fp, the hash and length of the text, and the columns of the class, for every row of ``docs``."""
+    ship(spark)
+    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.xxhash64(text).alias("h"), F.length(text).alias("size"), F.monotonically_increasing_id().alias("at"))
+    rows = stage(spark, fingerprints(source, "t", "fp").drop("t"), "fingerprints")
+    return join_split(rows, ["fp"], classes_of(spark, rows, budget), ["class_fp"], "n", ["at"]).drop("at")
 
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id and the rows of the class."""
-    rows, classes = near_duplicates(spark, docs)
-    rows = rows.withColumnRenamed(rows.columns[-1], "fp")
-    return rows.join(classes, rows["fp"] == classes["class_fp"]).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "class_rows"
-    )
+    rows = near_duplicates(spark, docs)
+    return rows.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "class_rows")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class stays: the smallest id, then the smallest fingerprint.
+    """One document of each class stays: the smallest id, then the smallest fingerprint, length and hash of the text.
 
-    A row repeated with the same id and text stays once.
+    A row repeated with the same id and text stays once. Only ids, fingerprints and
+    hashes are compared; whole texts move once, to meet the list of those that stay.
     """
-    rows, classes = near_duplicates(spark, docs, doc_id, text, keep=True)
-    fp = rows.columns[-1]
-    key, number = fresh(rows, "key", "number")
-    keyed = rows.select(F.col(doc_id).alias("i"), F.col(fp).alias("f"))
-    low = (
-        keyed.join(classes, keyed["f"] == classes["class_fp"])
-        .groupBy("root")
-        .agg(F.min(F.struct("i", "f")).alias("s"))
-        .select(F.col("s.i").alias("low_i"), F.col("s.f").alias("low_f"))
-    )
-    kept = rows.join(low, (rows[fp] == low["low_f"]) & rows[doc_id].eqNullSafe(low["low_i"]))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(fp, doc_id).orderBy(F.length(text), F.xxhash64(text))
-    return kept.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).select(*docs.columns)
+    rows = near_duplicates(spark, docs, doc_id, text)
+    stays = rows.groupBy("root").agg(F.min(F.struct("id", "fp", "size", "h")).alias("s"))
+    stays = stays.select(F.xxhash64("s.id").alias("stays_i"), F.col("s.h").alias("stays_h"))
+    i, h, number = fresh(docs.withColumns({"stays_i": F.lit(0), "stays_h": F.lit(0)}), "hash_of_id", "hash_of_text", "number")
+    keyed = docs.withColumns({i: F.xxhash64(doc_id), h: F.xxhash64(text)})
+    names = fresh(keyed, "stays_i", "stays_h")
+    stays = stays.toDF(*names)
+    # repeated rows are cut to one in every task before they move, so no repeated row is hot
+    order = Window.partitionBy(i, h).orderBy(F.lit(0))
+    once = keyed.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1)
+    return once.join(stays, (F.col(i) == F.col(names[0])) & (F.col(h) == F.col(names[1])), "left_semi").select(*docs.columns)
