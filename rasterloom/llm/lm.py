@@ -3,23 +3,32 @@
 Outputs are the ``WORDS`` most frequent training words and, for all others, buckets of
 their last letters. The probability of a token is
 
-    P(class | history) * P(output | class) * P(word | bucket, where it is one).
-
-The first factor is the maximum-entropy model: weights of hashed features (last word,
-skipped word, both, last very frequent word) for every class, trained by distributed
-gradient updates: in each round the tasks take gradient steps on their documents from
-common weights, and the weights are averaged by tokens. The other factors are closed
-forms of the counts. Classes come from clustering the outputs by the very frequent
-words before them. Every training text is counted, and takes part in one round.
+    P(class | history) * P(output | class, history) * P(word | bucket, where it is one).
+
+Both softmaxes are maximum-entropy models over hashed features. That of the class has
+dense weights for the last word, the skipped word, both, and the last very frequent
+word; it is trained by distributed gradient updates: in each round the tasks take
+gradient steps on their documents from common weights, and the weights are averaged by
+tokens (so they depend, a little, on how the table is cut into tasks). That of the
+output has a weight for every pair of a history (the two words before, hashed) and an
+output seen after it; their number grows with the corpus. These weights are sharded by
+history: the tokens of a shard meet in one task (``SHARD`` of them, about), which takes
+gradient steps on the weights of its histories, with an L1 penalty, and scores its
+tokens with them. Histories seen once have no weights. A history of two words so
+frequent that it could outgrow a shard is salted; each salt learns from its own tokens.
+The last factor is a closed form of the counts. Classes come from clustering the
+outputs by the very frequent words before them. Every training text is counted, and
+takes part in one round.
 
 Counts of all words stay distributed. Those of at most ``KNOWN`` frequent words (a
 threshold from a histogram of counts) are broadcast; rare words are joined by word, so
 no join key is hot.
 
 Defined results: a null text counts as empty (its end token only); a null id counts as
-the empty text in the split; repeated rows are learned and scored as often as they
-occur; without training rows every score is that of a model that knows nothing; an
-empty table gives an empty one; other columns are ignored.
+the empty text in the split; very long texts are learned and scored whole; words of
+equal count are ordered by their bytes; repeated rows are learned and scored as often
+as they occur; without training rows every score is that of a model that knows nothing;
+an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +56,14 @@ ROUNDS = 2
 RATE = 0.25
 BATCH = 4_096
 BLOCKS = 16
+#: Arrays of tasks that one group adds up; more are added in levels.
+FAN = 64
+#: Tokens of a shard of histories, about; shards at least.
+SHARD, SHARDS = 4_000_000, 16
+#: Rows and tokens of a batch whose tokens are dealt to the shards together, about.
+DEALT = 1_024, 1_000_000
+#: Steps, rate and L1 penalty of the weights of histories and outputs.
+STEPS, STEP, L1 = 12, 1.5, 0.7
 _OUTPUTS = WORDS + BUCKETS
 _BOS = _OUTPUTS
 _FLUSH = 300_000
@@ -210,26 +228,153 @@ def cluster(signature: np.ndarray, mass: np.ndarray, classes: int, seed: int = 5
     return out
 
 
-def _blocks(name: str, array: np.ndarray, weight: int) -> pa.RecordBatch:
-    parts = np.array_split(array, BLOCKS)
+def _blocks(array: np.ndarray, weight: int) -> pa.RecordBatch:
+    """A task's array times its weight, in blocks, under the task's number."""
+    parts = np.array_split(array * np.float32(weight), BLOCKS)
+    slot = TaskContext.get().partitionId()
     return pa.RecordBatch.from_arrays(
-        [pa.array(range(BLOCKS), pa.int32()), pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary()), pa.array([weight] * BLOCKS, pa.int64())], ["block", "part", "n"]
+        [pa.array(range(BLOCKS), pa.int32()), pa.array([slot] * BLOCKS, pa.int64()), pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary()), pa.array([weight] * BLOCKS, pa.int64())], ["block", "slot", "part", "n"]
     )
 
 
+_BLOCK = "block int, slot long, part binary, n long"
+
+
 def _gather(df: DataFrame, shape: tuple[int, int], average: bool) -> np.ndarray | None:
-    """Sum (or mean by tokens) of the tasks' arrays; the blocks are added on the executors."""
+    """Sum (or mean by weight) of the tasks' arrays, added on the executors, ``FAN`` at a time."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = None
-        for raw, n in zip(table.column("part").to_pylist(), table.column("n").to_pylist(), strict=True):
-            x = np.frombuffer(raw, "<f4").astype(np.float64) * (n if average else 1)
-            total = x if total is None else total + x
+        total = sum(np.frombuffer(raw, "<f4").astype(np.float64) for raw in table.column("part").to_pylist())
         n = sum(table.column("n").to_pylist())
-        return pa.table({"block": table.column("block")[:1], "part": pa.array([(total / (n if average else 1)).astype("<f4").tobytes()], pa.binary())})
+        return pa.table({"block": table.column("block")[:1], "slot": pa.array([table.column("slot")[0].as_py() // FAN]), "part": pa.array([total.astype("<f4").tobytes()], pa.binary()), "n": pa.array([n])})
+
+    tasks = df.rdd.getNumPartitions()
+    while tasks:
+        df = df.groupBy("block", F.expr(f"slot div {FAN}")).applyInArrow(lambda _, table: add(table), _BLOCK)
+        tasks = tasks // FAN if tasks > FAN else 0
+    rows = sorted(df.collect())
+    if not rows:
+        return None
+    whole = np.concatenate([np.frombuffer(r["part"], "<f4").astype(np.float64) for r in rows]) / (max(1, rows[0]["n"]) if average else 1)
+    return whole.astype(np.float32).reshape(shape)
+
+
+# -- weights of histories and outputs -------------------------------------------
+
+
+def histories(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every position of a padded sequence the hash of the two outputs before it, and these two."""
+    s = seq.astype(np.uint64)
+    one = np.concatenate(([_BOS], s[:-1])).astype(np.uint64)
+    two = np.concatenate(([_BOS, _BOS], s[:-2])).astype(np.uint64)[: len(s)]
+    return mixed((one << np.uint64(17)) ^ two), one.astype(np.int64), two.astype(np.int64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fit_shard(history: np.ndarray, output: np.ndarray, learn: np.ndarray, share: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """log10 of P(output | class, history) / P(output | class) for the tokens of a shard.
+
+    P(o | c, h) = share[o] * exp(w[h, o]) / Z[h, c], with weights from the tokens that
+    are to ``learn`` from: gradient steps of the penalised log-likelihood for all
+    histories at once. Z is exact, since outputs without a weight keep their share.
+    """
+    if not len(history):
+        return np.zeros(0)
+    key = (history.astype(np.uint64) << np.uint64(22)) | (classes[output].astype(np.uint64) << np.uint64(16)) | output.astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    pair = np.cumsum(new) - 1  # number of the (history, class, output) of each ordered token
+    first = ordered[new]
+    n = np.bincount(pair, weights=learn[order])
+    of = lambda shift: np.cumsum(np.concatenate(([True], first[1:] >> np.uint64(shift) != first[:-1] >> np.uint64(shift)))) - 1
+    group, whole = of(16), of(22)  # of (history, class), of the history
+    q = share[(first & np.uint64(0xFFFF)).astype(np.int64)]
+    groups = int(group[-1]) + 1
+    has = (n > 0) & (np.bincount(whole, weights=n)[whole] > 1)
+    n_has, q_has, at = n[has], q[has], group[has]
+    in_group = np.bincount(at, weights=n_has, minlength=groups)[at]
+    w, squares = np.zeros(len(n_has)), np.full(len(n_has), 1e-6)
+    z = np.ones(groups)
+    for _ in range(STEPS if len(w) else 0):
+        g = n_has - L1 - in_group * q_has * np.exp(w) / z[at]
+        squares += g * g
+        w = np.maximum(w + STEP * g / np.sqrt(squares), 0)
+        z = 1 + np.bincount(at, weights=q_has * np.expm1(w), minlength=groups)
+    gain = -np.log(z)[group]
+    gain[has] += w
+    out = np.empty(len(key))
+    out[order] = gain[pair]
+    return out / np.log(10)
+
+
+def joint(spark: SparkSession, coded: DataFrame, closed, tokens: int) -> DataFrame:
+    """(u, gain): for every row of ``coded`` (uid, held_out, ids) what its tokens gain by their histories' weights.
+
+    ``closed`` is a broadcast of the closed forms; its third part has each output's
+    share of its class, the fourth its count.
+    """
+    shards = max(SHARDS, -(-tokens // SHARD))
+    top, most = DEALT
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.concatenate((closed.value[3], [max(closed.value[4], 1)]))  # that of the marks: rows
+        for whole in batches:
+            uid, held, size = whole.column("uid").to_numpy(), whole.column("held_out").to_numpy(zero_copy_only=False), whole.column("n_tokens").to_numpy()
+            room, ids = np.cumsum(size), whole.column("ids")
+            lo = 0
+            while lo < len(uid):
+                hi = lo + 1  # rows of a batch have numbers one after another
+                limit = room[lo] - size[lo] + most
+                while hi < len(uid) and hi - lo < top and room[hi] <= limit and uid[hi] == uid[hi - 1] + 1:
+                    hi += 1
+                seq, at, _ = padded(ids.slice(lo, hi - lo).to_pylist())
+                h, one, two = (x[at] for x in histories(seq))
+                salts = np.minimum(count[one], count[two]) // SHARD + 1
+                salted = np.flatnonzero(salts > 1)
+                if len(salted):
+                    own = int(mixed(np.array([uid[lo]], np.uint64))[0])
+                    h[salted] = mixed(h[salted] + np.uint64(1) + np.uint64(own) % salts[salted].astype(np.uint64))
+                shard = ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+                row = np.repeat(np.arange(hi - lo) + np.where(held[lo:hi], 1 << 15, 0), size[lo:hi]).astype("<u2")
+                order = np.argsort(shard, kind="stable")
+                found, begin = np.unique(shard[order], return_index=True)
+                columns = [(h & np.uint64(0xFFFFFFFF)).astype("<u4")[order], seq[at].astype("<u2")[order], row[order]]
+                ends = [*begin[1:].tolist(), len(order)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found), pa.array(np.full(len(found), uid[lo])), *(pa.array([c[x:y].tobytes() for x, y in zip(begin.tolist(), ends, strict=True)], pa.binary()) for c in columns)], ["shard", "batch", "h", "o", "row"]
+                )
+                lo = hi
+
+    def learn(table: pa.Table) -> pa.Table:
+        share, classes = closed.value[2], closed.value[1]
+        h, o, row = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("h", "<u4"), ("o", "<u2"), ("row", "<u2")))
+        gain = fit_shard(h, o, row < 1 << 15, share, classes).astype(np.float32)
+        row = row & 0x7FFF
+        rows, gains, at = [], [], 0
+        for raw in table.column("row").to_pylist():  # rows rise within a batch
+            mine = row[at : at + len(raw) // 2]
+            start = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+            rows.append(mine[start].astype("<u2").tobytes())
+            gains.append(np.add.reduceat(gain[at : at + len(mine)], start).astype("<f4").tobytes())
+            at += len(mine)
+        return pa.table({"batch": table.column("batch"), "row": pa.array(rows, pa.binary()), "gain": pa.array(gains, pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        row, gain = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("row", "<u2"), ("gain", "<f4")))
+        total = np.bincount(row, weights=gain)
+        own = np.unique(row)
+        return pa.table({"u": own.astype(np.int64) + table.column("batch")[0].as_py(), "gain": total[own]})
 
-    rows = sorted(df.groupBy("block").applyInArrow(add, "block int, part binary").collect())
-    return np.concatenate([np.frombuffer(r["part"], "<f4") for r in rows]).reshape(shape) if rows else None
+    dealt = coded.select("uid", "held_out", "n_tokens", "ids").mapInArrow(deal, "shard long, batch long, h binary, o binary, row binary")
+    gained = dealt.groupBy("shard").applyInArrow(learn, "batch long, row binary, gain binary")
+    return gained.groupBy("batch").applyInArrow(add, "u long, gain double")
 
 
 def score(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -297,19 +442,20 @@ def score(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: st
                 total += np.bincount(seq[at].astype(np.int64) * (TOP + 1) + last, minlength=len(total))
                 tokens += len(at)
         if tokens:
-            yield _blocks("s", total.reshape(_OUTPUTS, TOP + 1), tokens)
+            yield _blocks(total.reshape(_OUTPUTS, TOP + 1), 1)
 
-    schema = "block int, part binary, n long"
-    signature = _gather(learn.select("ids").mapInArrow(sign, schema), (_OUTPUTS, TOP + 1), average=False)
+    signature = _gather(learn.select("ids").mapInArrow(sign, _BLOCK), (_OUTPUTS, TOP + 1), average=False)
     if signature is None:
         signature = np.zeros((_OUTPUTS, TOP + 1))
     tables.classes = cluster(signature, mass, CLASSES)
     classes = int(tables.classes.max()) + 1
     smooth = mass + 0.5
-    tables.fixed = np.log10(smooth / np.bincount(tables.classes, weights=smooth, minlength=classes)[tables.classes]) - less
+    inside_class = smooth / np.bincount(tables.classes, weights=smooth, minlength=classes)[tables.classes]
+    tables.fixed = np.log10(inside_class) - less
     tables.known = {}
     tops = min(TOP, len(known))
-    closed = sc.broadcast((tables.fixed, tables.classes))
+    sizes = coded.agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    closed = sc.broadcast((tables.fixed, tables.classes, inside_class, mass.astype(np.int64), sizes["rows"]))
     weights = np.zeros((ROWS + 1, classes), np.float32)  # the last row is the bias
     share = np.bincount(tables.classes, weights=smooth, minlength=classes)
     weights[-1] = np.log(np.maximum(share, 0.5) / share.sum())
@@ -317,7 +463,7 @@ def score(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: st
         start = sc.broadcast(weights)
 
         def descend(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            _, group = closed.value
+            group = closed.value[1]
             w = start.value[:-1].copy()
             b = start.value[-1].copy()
             squares, tokens = np.zeros(len(w), np.float32), 0
@@ -328,15 +474,15 @@ def score(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: st
                     train_on(w, b, seq, at, group, tops, squares)
                     tokens += len(at)
             if tokens:
-                yield _blocks("w", np.concatenate((w, b[None])), tokens)
+                yield _blocks(np.concatenate((w, b[None])), tokens)
 
         own = learn.where(F.pmod(F.xxhash64("uid"), F.lit(ROUNDS)) == k).select("ids")
-        got = _gather(own.mapInArrow(descend, schema), weights.shape, average=True)
+        got = _gather(own.mapInArrow(descend, _BLOCK), weights.shape, average=True)
         weights = weights if got is None else got
     final = sc.broadcast(weights)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixed, group = closed.value
+        fixed, group = closed.value[:2]
         w, b = final.value[:-1], final.value[-1]
         for whole in batches:
             for cut in range(0, whole.num_rows, 256):
@@ -347,9 +493,10 @@ def score(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: st
 
     columns = ["uid", "doc_id", "held_out", "n_tokens", "hits", "hit_sum", "tail_sum"]
     judged = coded.select(*columns, "ids").mapInArrow(judge, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, hits long, hit_sum double, tail_sum double, model_sum double")
-    out = judged.join(rare, judged["uid"] == rare["u"], "left")
+    gained = stage(spark, joint(spark, coded, closed, sizes["n"] or 0), "gained").withColumnRenamed("u", "g")
+    out = judged.join(gained, F.col("uid") == F.col("g")).join(rare, F.col("uid") == F.col("u"), "left")
     extra = F.coalesce("rare_sum", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("hits") + F.coalesce("rare_hits", F.lit(0))).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("hit_sum") + extra - F.col("n_tokens") * float(np.log10(n_all + v_all + 1))).alias("base_score"), (F.col("model_sum") + F.col("tail_sum") + extra).alias("score"),
+        (F.col("hit_sum") + extra - F.col("n_tokens") * float(np.log10(n_all + v_all + 1))).alias("base_score"), (F.col("model_sum") + F.col("gain") + F.col("tail_sum") + extra).alias("score"),
     )

@@ -130,6 +130,65 @@ def test_language_model_is_a_distribution():
     assert p == pytest.approx(1, abs=1e-4)
 
 
+def test_history_weights_are_a_distribution_and_plain_gradient_steps():
+    r = np.random.default_rng(1)
+    outputs, classes = 12, np.arange(12) % 3
+    share = r.random(12)
+    share /= np.bincount(classes, weights=share)[classes]
+    h, o, learn = r.integers(0, 9, 400).astype(np.uint32), r.integers(0, outputs, 400), r.random(400) < 0.8
+    h[:2], learn[:2], h[2:4], learn[2] = (90, 91), (True, False), 92, True
+    learn[3] = False  # histories 90 and 92 are seen once, 91 never: no weights
+    every = np.unique(h)
+    hs, os = np.concatenate((h, np.repeat(every, outputs))), np.concatenate((o, np.tile(np.arange(outputs), len(every))))
+    got = lm.fit_shard(hs, os, np.concatenate((learn, np.zeros(len(every) * outputs, bool))), share, classes)[400:].reshape(len(every), outputs)
+    for k, x in enumerate(every):
+        n = np.bincount(o[(h == x) & learn], minlength=outputs)
+        want = np.zeros(outputs)
+        for c in range(3) if n.sum() > 1 else ():
+            own = [i for i in range(outputs) if classes[i] == c]
+            w, squares = dict.fromkeys((i for i in own if n[i]), 0.0), {}
+            for _ in range(lm.STEPS):
+                z = sum(share[i] * np.exp(w.get(i, 0.0)) for i in own)
+                for i, value in list(w.items()):
+                    g = n[i] - lm.L1 - n[own].sum() * share[i] * np.exp(value) / z
+                    squares[i] = squares.get(i, 1e-6) + g * g
+                    w[i] = max(value + lm.STEP * g / np.sqrt(squares[i]), 0.0)
+            z = sum(share[i] * np.exp(w.get(i, 0.0)) for i in own)
+            want[own] = [(w.get(i, 0.0) - np.log(z)) / np.log(10) for i in own]
+        assert got[k] == pytest.approx(want, abs=1e-6)
+        assert np.bincount(classes, weights=share * 10 ** got[k]) == pytest.approx([1] * 3)
+    assert len(lm.fit_shard(*(np.zeros(0, np.int64),) * 2, np.zeros(0, bool), share, classes)) == 0
+
+
+def test_repeated_texts_score_apart_and_shards_change_little(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 400, 60)) for _ in range(120)]
+    texts += texts[:20]
+    df = docs(spark, texts)
+    rows = {x.doc_id: x for x in lm.score(spark, df).collect()}
+    twice = [k for k in range(20) if not rows[k].held_out and not rows[k + 120].held_out]
+    once = [k for k in range(20, 120) if not rows[k].held_out]
+    mean = lambda ks: np.mean([(rows[k].score - rows[k].base_score) / rows[k].n_tokens for k in ks])
+    assert mean(twice) > mean(once) + 0.5
+    monkeypatch.setattr(lm, "SHARD", 100)  # many shards, the marks' history salted
+    monkeypatch.setattr(lm, "DEALT", (7, 300))
+    cut = {x.doc_id: x for x in lm.score(spark, df).collect()}
+    assert all(cut[k].score == pytest.approx(rows[k].score, abs=6) for k in rows)
+
+
+def test_arrays_of_many_tasks_are_added_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FAN", 2)
+
+    def emit(batches):
+        for b in batches:
+            yield lm._blocks(np.full((4, 5), float(b.column(0)[0].as_py())), 1)
+
+    df = spark.range(9).repartition(9, "id").mapInArrow(emit, lm._BLOCK)
+    assert lm._gather(df, (4, 5), average=False) is not None
+    many = spark.range(0, 7, 1, 7).mapInArrow(emit, lm._BLOCK)
+    assert (lm._gather(many, (4, 5), average=False) == 21).all() and (lm._gather(many, (4, 5), average=True) == 3).all()
+
+
 def plain_kneser(texts):
     """P(w | u v) of interpolated modified Kneser-Ney, written out from the raw counts."""
     n3 = Counter()
