@@ -21,7 +21,7 @@ def main(args: list[str] | None = None) -> int:
     given = parser.parse_args(args)
     from rasterloom.operators import checks
     from rasterloom.plans import workflows
-    from rasterloom.plans.queries import QUERIES
+    from rasterloom.plans.tables import QUERIES
 
     known = QUERIES | workflows.STEPS
     try:

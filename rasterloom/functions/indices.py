@@ -15,6 +15,17 @@ def number(c: Column) -> Column:
     return F.when(~F.isnan(c.cast("double")), c.cast("double"))
 
 
+def finite(c: Column) -> Column:
+    """Neither missing nor NaN nor infinite."""
+    x = c.cast("double")
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+
+
+def fixed_text(c: Column, digits: int) -> Column:
+    """A number with that many digits behind the point; the empty text for none."""
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c.cast("double"))).otherwise(F.lit(""))
+
+
 def normalized_difference(a: Column, b: Column) -> Column:
     """(a - b) / (a + b); NULL where the sum is zero."""
     return F.try_divide(a - b, a + b)
@@ -149,6 +160,18 @@ def day_interval(date: Column) -> tuple[Column, Column]:
     return date, F.date_add(date, 1)
 
 
+def day_range(date: Column) -> tuple[Column, Column]:
+    """First and last second of a day, as request texts."""
+    day = F.date_format(date, "yyyy-MM-dd")
+    return F.concat(day, F.lit("T00:00:00Z")), F.concat(day, F.lit("T23:59:59Z"))
+
+
+def band_name(text: Column) -> Column:
+    """A band's name from a free text: trimmed, upper case, one digit padded (b3 is B03)."""
+    name = F.upper(F.trim(text))
+    return F.regexp_replace(name, "^B([0-9])$", "B0$1")
+
+
 def request_size(west: Column, east: Column, south: Column, north: Column, resolution: float = S.TARGET_M, limit: int = S.REQUEST_LIMIT) -> Column:
     """struct(width, height) of a request in pixels, scaled so that neither side is over the limit."""
     side = lambda a, b: F.greatest(F.lit(1.0), F.bround((b - a) * float(S.METRES_PER_DEGREE) / float(resolution)))

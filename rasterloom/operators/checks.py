@@ -66,6 +66,32 @@ def guard_batch(n_scenes: int, confirmed: bool) -> None:
         raise InputDataError("more than one scene needs a confirmation")
 
 
+def manifest_violations(have: DataFrame, expected: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """(problema, clave): columns and keys that are missing or too many, repeated keys; an empty table passes."""
+    spark = have.sparkSession
+    wrong = column_differences(have, columns) if columns else {}
+    rows = [(f"columna {side}", c) for side, names in wrong.items() for c in names]
+    out = spark.createDataFrame(rows, "problema string, clave string")
+    if set(keys) - set(have.columns):
+        return out
+    name = F.concat_ws(" ", *(F.col(k).cast("string") for k in keys)).alias("clave")
+    twice = duplicate_keys(have, keys).select(F.lit("clave repetida").alias("problema"), name)
+    differs = key_differences(expected, have, keys).select(F.concat(F.lit("clave "), "lado").alias("problema"), name)
+    return out.unionByName(twice).unionByName(differs)
+
+
+def flag_violations(rows: DataFrame, flags: Sequence[str] = (S.PENDING, S.COMPUTED, S.PARTIAL, S.OUTLIERS)) -> DataFrame:
+    """Rows whose flag is none of the domain."""
+    return rows.where(~F.coalesce(F.col("quality_flag").isin(*flags), F.lit(False)))
+
+
+def require_none(violations: DataFrame, what: str) -> None:
+    """An error that names up to five of the violations, if there are any."""
+    found = violations.limit(5).collect()
+    if found:
+        raise InputDataError(f"{what}: " + "; ".join(" ".join(map(str, r)) for r in found))
+
+
 def expected_scenes(spark: SparkSession) -> DataFrame:
     """The manifest rows that the configuration expects."""
     rows = [(z, d, sat, cloud, cover, *S.ZONES[z]) for z, d, cloud, sat, cover in S.SCENES]

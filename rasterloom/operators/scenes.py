@@ -5,6 +5,7 @@ Every function takes and returns DataFrames; ``keys`` name a scene. NULL is noda
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,44 @@ def split_ready(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(ready), rows.where(~ready)
 
 
+def of_index(rows: DataFrame, indice: str) -> DataFrame:
+    """Rows of one index; a name that isn't one is an error."""
+    if indice not in S.INDICES:
+        raise InputDataError(f"unknown index: {indice}")
+    return rows.where(F.col("indice") == indice)
+
+
+def ready_of(rows: DataFrame, lago: str, indice: str = "cianobacteria") -> DataFrame:
+    """Ready rows of a zone and index by date; none is an error."""
+    ready, _ = split_ready(of_index(rows, indice).where(F.col("lago") == lago))
+    if ready.isEmpty():
+        raise InputDataError(f"no ready dates of {indice} for {lago}")
+    return ready.orderBy("fecha")
+
+
+def lookup(rows: DataFrame, lago: str, fecha: str, indice: str = "cianobacteria") -> DataFrame:
+    """The rows of one zone, date and index; none is an error, and so is one without a path."""
+    found = of_index(rows, indice).where((F.col("lago") == lago) & (F.col("fecha") == F.lit(fecha).cast("date")))
+    if found.isEmpty():
+        raise InputDataError(f"no row of {indice} for {lago} {fecha}")
+    if not found.where(F.coalesce("ruta_raster", F.lit("")) == "").isEmpty():
+        raise InputDataError(f"{lago} {fecha} {indice} has no raster yet")
+    return found
+
+
+def distinct_sets(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(columna, valores): the sorted distinct values of each column, as text; for columns of few values."""
+    sets = rows.agg(*(F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in columns))
+    return sets.select(F.explode(F.array(*(F.struct(F.lit(c).alias("columna"), F.col(c).alias("valores")) for c in columns))).alias("e")).select("e.*")
+
+
+def coerced_summary(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("indice",)) -> DataFrame:
+    """(keys, columna, n, media, minimo, maximo) of columns of text: blanks and words that are no numbers don't count."""
+    number = lambda c: F.expr(f"try_cast(nullif(trim(cast(`{c}` AS string)), '') AS double)")
+    long = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("columna"), number(c).alias("v")) for c in columns))).alias("e")).select(*keys, "e.*")
+    return long.groupBy(*keys, "columna").agg(F.count("v").alias("n"), F.avg("v").alias("media"), F.min("v").alias("minimo"), F.max("v").alias("maximo"))
+
+
 def suspicious(rows: DataFrame) -> DataFrame:
     """Rows whose flag is anything but computed, pending ones included."""
     return rows.where(F.col("quality_flag") != S.COMPUTED)
@@ -108,18 +147,60 @@ QUANTILE_NAMES = ("p01", "p05", "q25", "mediana", "q75", "p95", "p99")
 def distribution(pixels: DataFrame, value: str = "v", keys: Sequence[str] = KEYS) -> DataFrame:
     """Count, extremes, exact interpolated percentiles, mean and population deviation.
 
-    Values are counted first, so a scene's percentile buffers merge before the shuffle.
+    One aggregation: the percentiles' buffers hold counts of equal values and merge
+    before the shuffle, the deviation merges means and centred squares.
     """
     v = F.col(value)
-    counted = pixels.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    at = F.expr(f"percentile(_v, array({', '.join(map(str, QUANTILES))}), _n)")
-    n = F.sum("_n")
-    mean = F.sum(F.col("_v") * F.col("_n")) / n
-    agg = counted.groupBy(*keys).agg(
-        n.alias("n_pixeles"), F.min("_v").alias("min"), F.max("_v").alias("max"), mean.alias("media"), at.alias("_q"), F.sum(F.col("_v") * F.col("_v") * F.col("_n")).alias("_s2")
-    )
-    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("_s2") / F.col("n_pixeles") - F.col("media") * F.col("media")))
-    return agg.select(*keys, "n_pixeles", "min", *(F.get("_q", F.lit(k)).alias(c) for k, c in enumerate(QUANTILE_NAMES)), "media", "max", deviation.alias("desviacion_std"))
+    agg = pixels.where(v.isNotNull()).groupBy(*keys).agg(
+        F.count(v).alias("n_pixeles"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("media"), F.percentile(v, F.array(*map(F.lit, QUANTILES))).alias("_q"), F.stddev_pop(v).alias("desviacion_std")
+    )
+    return agg.select(*keys, "n_pixeles", "min", *(F.get("_q", F.lit(k)).alias(c) for k, c in enumerate(QUANTILE_NAMES)), "media", "max", "desviacion_std")
+
+
+BINS = 4_096
+
+
+def quantiles(df: DataFrame, value: str | Column, shares: Sequence[float]) -> list[float] | None:
+    """Exact interpolated percentiles of a whole column; None without values.
+
+    No task gathers the values: histograms of BINS bins narrow each rank down to a bin
+    of few distinct values, and only these come to the driver, BINS at most at a time.
+    """
+    v = df.select((F.col(value) if isinstance(value, str) else value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    whole = v.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not whole["n"]:
+        return None
+    known: dict[int, float] = {}
+
+    def at(rank: int, lo: float, hi: float, before: int) -> float:
+        """The value of that rank among those in [lo, hi], of which ``before`` smaller ones aren't."""
+        while lo < hi:
+            part = v.where(F.col("v").between(lo, hi))
+            few = part.groupBy("v").agg(F.count(F.lit(1)).alias("n")).limit(BINS + 1).collect()
+            if len(few) <= BINS:
+                for r in sorted(few):
+                    before += r["n"]
+                    if rank < before:
+                        return r["v"]
+            width = (hi - lo) / BINS
+            b = F.least(F.lit(BINS - 1), F.floor((F.col("v") - lo) / width)) if width > 0 else F.lit(0)
+            for r in sorted(part.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()):
+                if rank < before + r["n"]:
+                    lo, hi = r["lo"], r["hi"]
+                    break
+                before += r["n"]
+        return lo
+
+    out = []
+    for share in shares:
+        place = share * (whole["n"] - 1)
+        ends = []
+        for rank in (math.floor(place), math.ceil(place)):
+            if rank not in known:
+                known[rank] = at(rank, whole["lo"], whole["hi"], 0)
+            ends.append(known[rank])
+        out.append(ends[0] + (ends[1] - ends[0]) * (place - math.floor(place)))
+    return out
 
 
 def halves(pixels: DataFrame, height: int, value: str = "v", keys: Sequence[str] = ("lago",)) -> DataFrame:
@@ -129,14 +210,15 @@ def halves(pixels: DataFrame, height: int, value: str = "v", keys: Sequence[str]
 
 
 def comparison_scale(pixels: DataFrame, floor: float = S.HIGH_UGL, value: str = "v") -> DataFrame:
-    """Common ends of a colour scale: 0 and the 98th percentile, at least the threshold."""
-    top = F.greatest(F.percentile(F.col(value), F.lit(0.98)), F.lit(float(floor)))
-    return pixels.agg(F.lit(0.0).alias("vmin"), F.coalesce(top, F.lit(float(floor))).alias("vmax"))
+    """Common ends of a colour scale: 0 and the 98th percentile, at least the threshold. One row."""
+    top = quantiles(pixels, value, [0.98]) or [floor]
+    return pixels.sparkSession.createDataFrame([(0.0, max(float(floor), top[0]))], "vmin double, vmax double")
 
 
 def difference_scale(differences: DataFrame, value: str = "diferencia") -> DataFrame:
-    """Half-width of a change map's scale: the 98th percentile of absolute change, at least 1."""
-    return differences.agg(F.greatest(F.lit(1.0), F.percentile(F.abs(F.col(value)), F.lit(0.98))).alias("vmax"))
+    """Half-width of a change map's scale: the 98th percentile of absolute change, at least 1; and the number of changes."""
+    top = quantiles(differences, F.abs(F.col(value)), [0.98]) or [1.0]
+    return differences.agg(F.count(value).alias("n_pares")).withColumn("vmax", F.lit(max(1.0, top[0])))
 
 
 def pending_report(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

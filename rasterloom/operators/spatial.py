@@ -121,6 +121,64 @@ def align_bilinear(source: DataFrame, targets: DataFrame, keys: Sequence[str], r
     return met.groupBy(*targets.columns).agg(F.try_divide(F.sum(weight * F.col("_v")), F.sum(weight)).alias("v"))
 
 
+def align(source: DataFrame, targets: DataFrame, keys: Sequence[str], of: dict, to: dict) -> DataFrame:
+    """``source`` (keys, row, col, v) of one grid at the cells of another; equal grids only meet by row and column."""
+    if same_grid(of, to):
+        return targets.join(source.select(*keys, "row", "col", "v"), [*keys, "row", "col"], "left")
+    (x0, y0, px, py), (x1, y1, qx, qy) = of["transform"], to["transform"]
+    row = (F.lit(float(y0 - y1)) + (F.col("row") + 0.5) * float(qy)) / float(py) - 0.5
+    col = (F.lit(float(x1 - x0)) + (F.col("col") + 0.5) * float(qx)) / float(px) - 0.5
+    return align_bilinear(source, targets, keys, row, col)
+
+
+def boxes(zones: DataFrame) -> DataFrame:
+    """(lago, k, x, y): the closed ring of each zone's box (west, east, south, north)."""
+    c = F.col
+    point = lambda k, x, y: F.struct(F.lit(k).alias("k"), c(x).alias("x"), c(y).alias("y"))
+    corners = [("west", "south"), ("east", "south"), ("east", "north"), ("west", "north"), ("west", "south")]
+    return zones.select("lago", F.explode(F.array(*(point(k, *p) for k, p in enumerate(corners)))).alias("p")).select("lago", "p.*")
+
+
+def outline_areas(points: DataFrame, keys: Sequence[str] = ("lago",)) -> DataFrame:
+    """Area of outlines (keys, ring, k, x, y): the first ring less its holes."""
+    rings = ring_area(points.withColumn("k", F.col("k").cast("int")), [*keys, "ring"])
+    sign = F.when(F.col("ring") == 0, F.col("area")).otherwise(-F.col("area"))
+    return rings.groupBy(*keys).agg(F.sum(sign).alias("area"))
+
+
+def coverage(outlines_: DataFrame, box_points: DataFrame, keys: Sequence[str] = ("lago",)) -> DataFrame:
+    """Areas of outline and box of each zone, and their ratio to four digits."""
+    a = outline_areas(outlines_, keys).withColumnRenamed("area", "area_contorno")
+    b = ring_area(box_points, keys).withColumnRenamed("area", "area_caja")
+    return a.join(b, list(keys)).withColumn("razon", F.round(F.try_divide("area_contorno", "area_caja"), 4))
+
+
+def largest_outline(points: DataFrame, candidate: str = "contorno") -> DataFrame:
+    """The points of each zone's largest candidate outline; the smallest name on ties."""
+    from rasterloom.operators.series import first_of
+
+    areas = outline_areas(points, ("lago", candidate))
+    best = first_of(areas, ["lago"], F.col("area").desc(), F.col(candidate)).select("lago", candidate)
+    return points.join(F.broadcast(best), ["lago", candidate], "left_semi")  # a row a zone
+
+
+def rings_on_grid(points: DataFrame, grids: dict[str, dict], zone: int = 15) -> dict[str, list[list[tuple[float, float]]]]:
+    """Rings in pixel coordinates (column, row) of outlines in degrees (lago, ring, k, x, y), for ``inside``.
+
+    Outlines are reprojected on the executors; their points (a few thousand a zone) are literals of the plan.
+    """
+    e, n = to_utm(F.col("x"), F.col("y"), zone)
+    out: dict[str, list[list[tuple[float, float]]]] = {}
+    for r in points.select("lago", "ring", "k", e.alias("e"), n.alias("n")).orderBy("lago", "ring", "k").collect():
+        if r["lago"] in grids:
+            x, y, px, py = grids[r["lago"]]["transform"]
+            rings = out.setdefault(r["lago"], [])
+            while len(rings) <= r["ring"]:
+                rings.append([])
+            rings[r["ring"]].append(((r["e"] - x) / px, (y - r["n"]) / py))
+    return out
+
+
 def same_grid(a: dict, b: dict) -> bool:
     """Grids are the same if system, transform, width and height are."""
     return all(a.get(k) == b.get(k) for k in ("crs", "transform", "width", "height"))

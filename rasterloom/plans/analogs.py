@@ -52,6 +52,13 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("id", "part", "scl", "lago", year, F.col("b1").alias("x"), long).select("id", "part", "scl", "lago", "fecha", "x", F.col("e.i").alias("indice"), F.col("e.y").alias("y"))
 
 
+def obs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the observations' values with their pixel and their hour, by zone and month."""
+    e = table(spark, sf_dir, "events")
+    long = F.explode(F.array(F.struct(F.lit("ndvi").alias("i"), F.col("user_id").cast("double").alias("y")), F.struct(F.lit("ndwi").alias("i"), F.hour("ts").cast("double").alias("y")))).alias("e")
+    return e.select(F.col("event_type").alias("lago"), F.to_date(F.trunc("ts", "month")).alias("fecha"), F.col("value").alias("x"), long).select("lago", "fecha", "x", F.col("e.i").alias("indice"), F.col("e.y").alias("y"))
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as manifest rows: some pending, some without a path."""
     o = table(spark, sf_dir, "orders")
@@ -71,6 +78,7 @@ SQL = {
     "bands": "bands AS (SELECT l_orderkey AS id, l_returnflag AS lago, CAST(l_shipdate AS DATE) AS fecha, l_linenumber AS scl, l_quantity AS b1, l_extendedprice AS b2, l_discount AS b3, l_tax AS b4, l_partkey AS part FROM lineitem)",
     "series": f"series AS (SELECT lago, fecha, avg(v) AS cyano_promedio, CASE WHEN day(fecha) % 7 = 0 THEN '{S.PARTIAL}' ELSE '{S.COMPUTED}' END AS quality_flag FROM obs GROUP BY lago, fecha)",
     "pairs": "pairs AS (SELECT id, part, scl, lago, CAST(date_trunc('year', fecha) AS DATE) AS fecha, b1 AS x, 'ndvi' AS indice, b2 AS y FROM bands UNION ALL SELECT id, part, scl, lago, CAST(date_trunc('year', fecha) AS DATE), b1, 'ndwi', b4 FROM bands)",
+    "obs_pairs": "obs_pairs AS (SELECT event_type AS lago, CAST(date_trunc('month', ts) AS DATE) AS fecha, value AS x, 'ndvi' AS indice, CAST(user_id AS DOUBLE) AS y FROM events UNION ALL SELECT event_type, CAST(date_trunc('month', ts) AS DATE), value, 'ndwi', CAST(hour(ts) AS DOUBLE) FROM events)",
     "manifest": f"manifest AS (SELECT o_orderpriority AS lago, CAST(o_orderdate AS DATE) AS fecha, (['ndvi', 'ndwi', 'cianobacteria'])[o_custkey % 3 + 1] AS indice, CASE o_orderstatus WHEN 'P' THEN '{S.PENDING}' WHEN 'F' THEN '{S.PARTIAL}' ELSE '{S.COMPUTED}' END AS quality_flag, CASE WHEN o_orderkey % 5 <> 0 THEN 'r/' || o_orderkey ELSE '' END AS ruta_raster, o_orderkey AS id FROM orders)",
     "extent": "extent AS (SELECT lago, fecha, 10.0::DOUBLE AS umbral_alto_ugl, 100.0::DOUBLE AS area_pixel_m2, count(v) AS pixeles_validos_lago, count(*) FILTER (v >= 10) AS pixeles_altos, count(v) * 100.0::DOUBLE AS area_valida_m2, count(*) FILTER (v >= 10) * 100.0::DOUBLE AS area_alta_m2, coalesce(round(100.0::DOUBLE * count(*) FILTER (v >= 10) / nullif(count(v), 0), 4), 0) AS porcentaje_alto FROM obs GROUP BY lago, fecha)",
 }

@@ -140,10 +140,10 @@ def quality_flag(spark: SparkSession, sf: str) -> DataFrame:
 _QUANTILES = ", ".join(f"round(quantile_cont(v, {q}), 6) AS {n}" for q, n in zip(scenes.QUANTILES, scenes.QUANTILE_NAMES, strict=True))
 
 
-@query(f"SELECT lago, CAST(fecha AS VARCHAR) AS fecha, count(v) AS n_pixeles, round(min(v), 6) AS min, round(max(v), 6) AS max, {_QUANTILES}, round(avg(v), 6) AS media, round(stddev_pop(v), 4) AS desviacion_std FROM obs GROUP BY lago, fecha", "obs")
+@query(f"SELECT lago, CAST(fecha AS VARCHAR) AS fecha, count(v) AS n_pixeles, round(min(v), 6) AS min, round(max(v), 6) AS max, {_QUANTILES}, round(avg(v), 6) AS media, round(stddev_pop(v), 6) AS desviacion_std FROM obs GROUP BY lago, fecha", "obs")
 def distribution(spark: SparkSession, sf: str) -> DataFrame:
     out = scenes.distribution(A.obs(spark, sf))
-    return _rounded(out, "min", "max", "media", *scenes.QUANTILE_NAMES).withColumns({"desviacion_std": F.round("desviacion_std", 4), "fecha": text("fecha")})
+    return _rounded(out, "min", "max", "media", "desviacion_std", *scenes.QUANTILE_NAMES).withColumn("fecha", text("fecha"))
 
 
 _RANKS = ", k AS (SELECT *, rank() OVER (PARTITION BY lago, fecha, indice ORDER BY x) + (count(*) OVER (PARTITION BY lago, fecha, indice, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY lago, fecha, indice ORDER BY y) + (count(*) OVER (PARTITION BY lago, fecha, indice, y) - 1) / 2.0 AS ry FROM pairs), c AS (SELECT lago, fecha, indice, count(*) AS n_pares, CASE WHEN count(*) >= 3 AND min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS pearson, CASE WHEN count(*) >= 3 AND min(x) < max(x) AND min(y) < max(y) THEN corr(rx, ry) END AS spearman FROM k GROUP BY lago, fecha, indice) "
@@ -165,15 +165,26 @@ _LABEL = "CASE WHEN r IS NULL THEN 'indeterminada' WHEN r > 0 THEN 'positiva' WH
 _LONG = _RANKS + ", u AS (SELECT lago, fecha, indice, n_pares, 'pearson' AS metodo, pearson AS r FROM c UNION ALL SELECT lago, fecha, indice, n_pares, 'spearman', spearman FROM c) "
 
 
-@query(_LONG + f"SELECT lago, CAST(fecha AS VARCHAR) AS fecha, indice, metodo, round(r, 6) AS coeficiente, n_pares, {_LABEL} FROM u", *_PAIRS)
+@query(_LONG + f"SELECT lago, CAST(fecha AS VARCHAR) AS fecha, indice, metodo, round(round(r, 8), 6) AS coeficiente, n_pares, {_LABEL} FROM u", *_PAIRS)
 def corr_labels(spark: SparkSession, sf: str) -> DataFrame:
     rows = correlate.by_date(A.pairs(spark, sf)).drop("p_value")
     return rows.withColumns({"fecha": text("fecha"), "coeficiente": F.round("coeficiente", 6)})
 
 
-@query()
+#: The two-sided probability as 2 / B(v / 2, 1 / 2) times the integral of cos(a)^(v - 1) from asin |r| to pi / 2, by Simpson's rule in 2000 steps.
+_P_VALUE = (
+    ", g AS (SELECT *, n_pares - 2 AS v, asin(least(1.0, abs(r))) AS a, (pi() / 2 - asin(least(1.0, abs(r)))) / 2000 AS h FROM u WHERE r IS NOT NULL), "
+    "s AS (SELECT lago, fecha, indice, metodo, exp(max(lgamma((v + 1) / 2.0) - lgamma(v / 2.0))) / sqrt(pi()) * 2 * max(h) / 3 * sum((CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp((v - 1) * ln(greatest(cos(a + k * h), 1e-300)))) AS p FROM g, range(2001) t(k) GROUP BY ALL) "
+    "SELECT u.lago, CAST(u.fecha AS VARCHAR) AS fecha, u.indice, u.metodo, n_pares, CASE WHEN r IS NULL THEN 'vacio' WHEN p < 1e-300 THEN 'minimo' ELSE 'finito' END AS clase, round(CASE WHEN p < 1e-300 THEN 0 ELSE p END, 6) AS p FROM u LEFT JOIN s USING (lago, fecha, indice, metodo)"
+)
+
+
+@query(_LONG + _P_VALUE, *_PAIRS)
 def corr_p_values(spark: SparkSession, sf: str) -> DataFrame:
-    return correlate.by_date(A.pairs(spark, sf)).select("lago", text("fecha"), "indice", "metodo", "n_pares", "p_value")
+    p = F.col("p_value")
+    kind = F.when(p == "", "vacio").when(p.startswith("<"), "minimo").otherwise("finito")
+    value = F.when(p.startswith("<"), 0.0).otherwise(F.round(F.expr("try_cast(p_value AS double)"), 6))
+    return correlate.by_date(A.pairs(spark, sf)).select("lago", text("fecha"), "indice", "metodo", "n_pares", kind.alias("clase"), value.alias("p"))
 
 
 @query(
@@ -214,7 +225,7 @@ def difference_map(spark: SparkSession, sf: str) -> DataFrame:
 def difference_scale(spark: SparkSession, sf: str) -> DataFrame:
     a, b = A.obs(spark, sf).agg(F.min("fecha"), F.max("fecha")).first()
     d = compare.difference_map(A.pixels(spark, sf), str(a), str(b), ("lago", "pix"))
-    return scenes.difference_scale(d).select(F.round("vmax", 6).alias("vmax")).join(d.agg(F.count(F.lit(1)).alias("n_pares")))
+    return _rounded(scenes.difference_scale(d), "vmax")
 
 
 _COMMON = "2024-01-15"
@@ -248,21 +259,23 @@ def trend_label(spark: SparkSession, sf: str) -> DataFrame:
  e AS (SELECT extent.* FROM extent JOIN c USING (lago, fecha)), a AS (SELECT lago, avg(porcentaje_alto) AS pa, max(porcentaje_alto) AS pm FROM e GROUP BY lago),
  l AS (SELECT lago, fecha AS lf FROM (SELECT *, row_number() OVER (PARTITION BY lago ORDER BY porcentaje_alto DESC, fecha) AS k FROM e) WHERE k = 1),
  h AS (SELECT *, row_number() OVER (PARTITION BY lago ORDER BY fecha) AS k, count(*) OVER (PARTITION BY lago) AS n FROM c), t AS (SELECT lago, avg(cyano_promedio) FILTER (k <= n // 2 OR n = 1) AS a, avg(cyano_promedio) FILTER (k > n // 2) AS b FROM h GROUP BY lago),
- n AS (SELECT lago, count(*) AS n_fechas_total FROM series GROUP BY lago)
-SELECT lago, n_fechas_total, n_fechas_calculado, round(m, 6) AS cyano_promedio_general, round(u, 6) AS cyano_mediana_general, f AS frecuencia_fechas_sobre_umbral, round(100.0 * f / n_fechas_calculado, 4) AS pct_fechas_sobre_umbral,
+ n AS (SELECT lago, count(*) AS n_fechas_total FROM series GROUP BY lago),
+ pp AS (SELECT lago, pix, count(v) AS nv, count(*) FILTER (v >= 10) AS nh FROM pixels GROUP BY lago, pix),
+ held AS (SELECT lago, round(100.0 * count(*) FILTER (nv >= 3 AND nh > 0) / nullif(count(*) FILTER (nv >= 3), 0), 3) AS una, round(100.0 * count(*) FILTER (nv >= 3 AND 2 * nh >= nv) / nullif(count(*) FILTER (nv >= 3), 0), 3) AS dos FROM pp GROUP BY lago),
+ cc AS (SELECT lago, fecha, indice, CASE WHEN count(*) >= 3 AND min(x) < max(x) AND min(y) < max(y) THEN round(corr(x, y), 8) END AS r FROM obs_pairs GROUP BY ALL),
+ cz AS (SELECT lago, quantile_cont(r, 0.5) FILTER (indice = 'ndvi') AS c1, quantile_cont(r, 0.5) FILTER (indice = 'ndwi') AS c2 FROM cc WHERE r IS NOT NULL GROUP BY lago)
+SELECT lago, una AS pct_area_alguna_vez_alta, dos AS pct_area_persistente, round(c1, 6) AS correlacion_ndvi_pearson_mediana, round(c2, 6) AS correlacion_ndwi_pearson_mediana, n_fechas_total, n_fechas_calculado, round(m, 6) AS cyano_promedio_general, round(u, 6) AS cyano_mediana_general, f AS frecuencia_fechas_sobre_umbral, round(100.0 * f / n_fechas_calculado, 4) AS pct_fechas_sobre_umbral,
  round(pa, 6) AS porcentaje_alto_promedio, pm AS porcentaje_alto_maximo, CAST(lf AS VARCHAR) AS fecha_porcentaje_alto_maximo, CASE WHEN abs(b - a.a0) < 0.5 THEN 'estable' WHEN b > a.a0 THEN 'creciente' ELSE 'decreciente' END AS tendencia_temporal
-FROM n LEFT JOIN g USING (lago) LEFT JOIN (SELECT lago, pa, pm FROM a) USING (lago) LEFT JOIN l USING (lago) LEFT JOIN (SELECT lago, a AS a0, b FROM t) a USING (lago)""",
-    "obs", "series", "extent",
+FROM n LEFT JOIN g USING (lago) LEFT JOIN (SELECT lago, pa, pm FROM a) USING (lago) LEFT JOIN l USING (lago) LEFT JOIN (SELECT lago, a AS a0, b FROM t) a USING (lago) LEFT JOIN held USING (lago) LEFT JOIN cz USING (lago)""",
+    "obs", "series", "extent", "pixels", "obs_pairs",
 )
 def zone_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    obs = A.obs(spark, sf)
-    none = spark.createDataFrame([], "lago string, indice string, metodo string, coef_mediana double")
     held = scenes.persistence_summary(scenes.persistence(A.pixels(spark, sf), keys=("lago", "pix")))
-    out = compare.zone_comparison(A.series(spark, sf), scenes.extent(obs), held, none)
-    return _rounded(out, "cyano_promedio_general", "cyano_mediana_general", "porcentaje_alto_promedio").select(
-        "lago", "n_fechas_total", "n_fechas_calculado", "cyano_promedio_general", "cyano_mediana_general", "frecuencia_fechas_sobre_umbral", "pct_fechas_sobre_umbral",
-        "porcentaje_alto_promedio", "porcentaje_alto_maximo", text("fecha_porcentaje_alto_maximo"), "tendencia_temporal",
-    )
+    held = held.select("lago", F.col("pct_alguna_vez").alias("pct_area_alguna_vez_alta"), F.col("pct_persistente").alias("pct_area_persistente"))
+    zones = correlate.by_zone(correlate.by_date(A.obs_pairs(spark, sf)))
+    out = compare.zone_comparison(A.series(spark, sf), scenes.extent(A.obs(spark, sf)), held, zones)
+    out = _rounded(out, "cyano_promedio_general", "cyano_mediana_general", "porcentaje_alto_promedio", "correlacion_ndvi_pearson_mediana", "correlacion_ndwi_pearson_mediana")
+    return out.withColumn("fecha_porcentaje_alto_maximo", text("fecha_porcentaje_alto_maximo"))
 
 
 _MONTHS = ", s AS (SELECT o_orderpriority AS lago, CAST(date_trunc('month', o_orderdate) AS DATE) AS fecha, avg(o_totalprice) AS c FROM orders GROUP BY 1, 2), e AS (SELECT *, CASE WHEN month(fecha) IN (11, 12, 1, 2, 3, 4) THEN 'seca' ELSE 'lluviosa' END AS estacion FROM s)"
@@ -463,11 +476,14 @@ def raster_inspection(spark: SparkSession, sf: str) -> DataFrame:
     return scenes.file_coverage(files, ["lago"]).join(files.groupBy("lago").agg(F.sum("total").alias("n")), "lago")
 
 
-@query("SELECT lago, CAST(floor(b1) AS BIGINT) AS b1, CAST(greatest(1, round_even(b1 * 1113.2, 0)) AS BIGINT) AS lado FROM bands GROUP BY ALL", "bands")
+@query(
+    ", q AS (SELECT DISTINCT lago, floor(b1) AS b1 FROM bands), z AS (SELECT *, greatest(1, round_even(b1 * 0.1 * 111320.0 / 10, 0)) AS w, greatest(1, round_even(0.03 * 111320.0 / 10, 0)) AS h FROM q), f AS (SELECT *, least(1.0, 2500.0 / greatest(w, h)) AS k FROM z) SELECT lago, CAST(b1 AS BIGINT) AS b1, CAST(greatest(1, round_even(w * k, 0)) AS BIGINT) AS ancho, CAST(greatest(1, round_even(h * k, 0)) AS BIGINT) AS alto FROM f",
+    "bands",
+)
 def request_pixels(spark: SparkSession, sf: str) -> DataFrame:
     b = A.bands(spark, sf).select("lago", F.col("b1").cast("long").alias("b1")).distinct()
-    size = M.request_size(F.lit(0.0), F.col("b1") * 0.1, F.lit(0.0), F.lit(0.001), limit=10**9)
-    return b.select("lago", "b1", size["width"].cast("long").alias("lado"))
+    size = M.request_size(F.lit(0.0), F.col("b1") * 0.1, F.lit(0.0), F.lit(0.03))
+    return b.select("lago", "b1", size["width"].cast("long").alias("ancho"), size["height"].cast("long").alias("alto"))
 
 
 @query("SELECT lago, indice, quality_flag, count(*) AS n FROM manifest GROUP BY ALL", "manifest")
@@ -488,17 +504,33 @@ def coerce_text(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), F.expr("round(try_cast(nullif(trim(substring(c_name, 11)), '') AS double), 2)").alias("valor"))
 
 
-@query()
+_EXPECTED = "(VALUES " + ", ".join(f"('{z}', '{d}')" for z, d, *_ in S.SCENES) + ") e(lago, fecha)"
+
+
+@query(f"SELECT lago, fecha, indice, '{S.PENDING}' AS quality_flag FROM {_EXPECTED}, (VALUES ('ndvi'), ('ndwi'), ('cianobacteria')) i(indice)")
 def expected_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return checks.expected_indices(spark).withColumn("fecha", text("fecha"))
 
 
-@query()
+def utm_sql(points: str) -> str:
+    """SQL of easting and northing (zone 15) of a relation with lon and lat, beside its columns: the same series, written out."""
+    n = (1 / 298.257223563) / (2 - 1 / 298.257223563)
+    radius = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * n**0.5 / (1 + n)
+    east = " + ".join(["eta", *(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(alpha, 1))])
+    north = " + ".join(["xi", *(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(alpha, 1))])
+    return (
+        f"(SELECT * EXCLUDE (s, t, l, xi, eta), 500000 + {0.9996 * radius!r} * ({east}) AS este, {0.9996 * radius!r} * ({north}) AS norte FROM (SELECT *, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta "
+        f"FROM (SELECT *, sinh(atanh(s) - {e!r} * atanh({e!r} * s)) AS t FROM (SELECT *, sin(radians(lat)) AS s, radians(lon + 93) AS l FROM {points}))))"
+    )
+
+
+@query(f"SELECT lon, lat, round(este, 3) AS este, round(norte, 3) AS norte, 0.0::DOUBLE AS error_lon, 0.0::DOUBLE AS error_lat FROM {utm_sql('(SELECT round(row * 0.001::DOUBLE - 91.3::DOUBLE, 6) AS lon, round(col * 0.002::DOUBLE + 14.4::DOUBLE, 6) AS lat FROM tile)')}", "tile")
 def utm_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    points = A.tile(spark, sf).select((F.col("row") * 0.001 - 91.3).alias("lon"), (F.col("col") * 0.002 + 14.4).alias("lat"))
+    points = A.tile(spark, sf).select(F.round(F.col("row") * 0.001 - 91.3, 6).alias("lon"), F.round(F.col("col") * 0.002 + 14.4, 6).alias("lat"))
     e, n = spatial.to_utm(F.col("lon"), F.col("lat"))
     out = points.withColumns({"este": e, "norte": n})
     lon, lat = spatial.from_utm(F.col("este"), F.col("norte"))
-    return out.withColumns({"error_lon": F.abs(lon - F.col("lon")), "error_lat": F.abs(lat - F.col("lat"))})
-
-
+    out = out.withColumns({"error_lon": F.round(F.abs(lon - F.col("lon")), 9), "error_lat": F.round(F.abs(lat - F.col("lat")), 9)})
+    return out.withColumns({c: F.round(c, 3) for c in ("este", "norte")})

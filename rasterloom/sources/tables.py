@@ -46,6 +46,21 @@ def outline_geojson(lago: str, rings: Sequence[Sequence[tuple[float, float]]]) -
     return json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"lago": lago, "is_lake_boundary": True}, "geometry": shape}]})
 
 
+def geojson(points: DataFrame) -> DataFrame:
+    """(lago, geojson): a FeatureCollection of each zone's outline (lago, ring, k, x, y)."""
+    ring = points.groupBy("lago", "ring").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("p"))
+    ring = ring.select("lago", "ring", F.transform("p", lambda p: F.array(p["x"], p["y"])).alias("p"))
+    zone = ring.groupBy("lago").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "p"))), lambda r: r["p"]).alias("coordinates"))
+    shape = F.struct(F.lit("Polygon").alias("type"), "coordinates")
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct("lago", F.lit(True).alias("is_lake_boundary")).alias("properties"), shape.alias("geometry"))
+    return zone.select("lago", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("geojson"))
+
+
+def write_geojson(points: DataFrame, path: str) -> None:
+    """One text file of GeoJSON for each zone below ``path``, never over another."""
+    geojson(points).repartition("lago").write.mode("errorifexists").partitionBy("lago").text(path)
+
+
 def write_once(df: DataFrame, path: str) -> None:
     """Parquet that is never overwritten."""
     df.write.mode("errorifexists").parquet(path)

@@ -6,7 +6,7 @@ import math
 
 import pytest
 
-from rasterloom.plans.queries import ORACLES, QUERIES
+from rasterloom.plans.tables import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -16,7 +16,7 @@ def norm(v):
         return "~"
     if isinstance(v, bool):
         return str(v)
-    return f"{float(v):.4f}".replace("-0.0000", "0.0000") if isinstance(v, (int, float)) else str(v)
+    return f"{float(v):.6f}".replace("-0.000000", "0.000000") if isinstance(v, (int, float)) else str(v)
 
 
 @pytest.fixture(scope="module")
