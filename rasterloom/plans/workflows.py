@@ -1,7 +1,10 @@
 """The engine's workflows over a work folder: each step reads tables and writes tables.
 
     <work>/scenes       manifest of scenes (CSV)          prepare
-    <work>/bands        b02..b12, scl by pixel (Parquet)  input
+    <work>/rasters      files that the manifest declares  input
+    <work>/bands        b02..b12, scl by pixel (Parquet)  ingest
+    <work>/grids        grid of each zone (CSV)           input, for outlines
+    <work>/outlines     outlines in degrees (GeoJSON)     input, where there are any
     <work>/pixels       indices by pixel (Parquet)        compute
     <work>/indices      manifest of indices (CSV)         compute
     <work>/<table>      temporal, extent, ... (CSV)       build steps
@@ -12,12 +15,14 @@ so a choice of scenes prunes files.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom import schema as S
 from rasterloom.functions import indices as M
-from rasterloom.operators import checks, compare, correlate, scenes, series, spatial
+from rasterloom.operators import checks, compare, correlate, render, scenes, series, spatial
 from rasterloom.operators.scenes import InputDataError
 from rasterloom.sources import tables
 
@@ -51,6 +56,51 @@ def plan(spark: SparkSession, work: str) -> DataFrame:
     return rows.select(*KEYS, begin.alias("desde"), end.alias("hasta"), M.request_size(*map(F.col, ("west", "east", "south", "north"))).alias("tamano"))
 
 
+BANDS = ("B02", "B03", "B04", "B05", "B08", "B11", "B12", "SCL")
+
+
+def ingest(spark: SparkSession, work: str) -> DataFrame:
+    """Bands by pixel from the rasters that the manifest of scenes declares (those without a file are left for later)."""
+    from rasterloom.sources import geotiff
+
+    rows = prepare(spark, work).where("coalesce(ruta_local, '') <> ''")
+    if rows.isEmpty():
+        raise InputDataError("no scene of the manifest declares a raster")
+    bands = geotiff.read_bands(spark, rows, BANDS, f"{work}/rasters")
+    return bands.withColumn("scl", F.col("scl").cast("int"))
+
+
+def validate(spark: SparkSession, work: str) -> DataFrame:
+    """Violations of both manifests; those of the scenes alone where there is no manifest of indices yet."""
+    have = spark.read.option("header", True).csv(f"{work}/scenes")
+    out = checks.manifest_violations(have.withColumn("fecha", F.to_date("fecha")), checks.expected_scenes(spark), KEYS, S.SCENE_MANIFEST.names).withColumn("tabla", F.lit("scenes"))
+    if _exists(spark, f"{work}/indices"):
+        have = spark.read.option("header", True).csv(f"{work}/indices").withColumn("fecha", F.to_date("fecha"))
+        more = checks.manifest_violations(have, checks.expected_indices(spark), [*KEYS, "indice"], S.INDEX_MANIFEST.names)
+        flags = checks.flag_violations(have).select(F.lit("marca").alias("problema"), F.concat_ws(" ", "lago", F.col("fecha").cast("string"), "indice", "quality_flag").alias("clave"))
+        out = out.unionByName(more.unionByName(flags).withColumn("tabla", F.lit("indices")))
+    return out
+
+
+def check_grid(spark: SparkSession, work: str) -> DataFrame:
+    """Scenes whose grid differs from that of their zone's first date."""
+    size = read_pixels(spark, work).groupBy(*KEYS).agg(F.struct((F.max("row") + 1).alias("alto"), (F.max("col") + 1).alias("ancho")).alias("grid"))
+    return compare.reference_grid(size).select(*KEYS, "grid.alto", "grid.ancho", F.col("grid_referencia.alto").alias("alto_referencia"), F.col("grid_referencia.ancho").alias("ancho_referencia"))
+
+
+def grids(spark: SparkSession, work: str) -> dict[str, dict]:
+    """Grid of each zone: upper left corner and pixel size in metres."""
+    rows = tables.read_csv(spark, f"{work}/grids", S.GRIDS).collect()  # a row a zone
+    return {r["lago"]: {"crs": r["crs"], "transform": (r["x"], r["y"], r["resolucion"], r["resolucion"]), "width": r["ancho"], "height": r["alto"]} for r in rows}
+
+
+def zone_outlines(spark: SparkSession, work: str) -> dict[str, list] | None:
+    """Outlines on the zones' grids; None where the work folder has none."""
+    if not _exists(spark, f"{work}/outlines"):
+        return None
+    return spatial.rings_on_grid(tables.read_outlines(spark, f"{work}/outlines"), grids(spark, work))
+
+
 def compute(bands: DataFrame, nodata: float | None = None) -> DataFrame:
     """ndvi, ndwi and cyano of every pixel of a wide band table; NULL outside their masks.
 
@@ -92,9 +142,14 @@ def index_manifest(pixels: DataFrame, scenes_table: DataFrame, root: str) -> Dat
 
 
 def run_indices(spark: SparkSession, work: str) -> None:
+    if not _exists(spark, f"{work}/bands"):
+        ingest(spark, work).write.parquet(f"{work}/bands")
     pixels = compute(spark.read.parquet(f"{work}/bands"))
     pixels.repartition(*KEYS).write.mode("overwrite").partitionBy(*KEYS).parquet(f"{work}/pixels")
-    tables.write_csv(index_manifest(read_pixels(spark, work), prepare(spark, work), f"{work}/pixels"), f"{work}/indices", files=1)
+    found = index_manifest(read_pixels(spark, work), prepare(spark, work), f"{work}/pixels")
+    waiting = checks.missing_rows(checks.expected_indices(spark), found, [*KEYS, "indice"])  # scenes without rasters yet
+    waiting = waiting.select(*((F.col(c) if c in waiting.columns else F.lit(None).cast(S.INDEX_MANIFEST[c].dataType)).alias(c) for c in S.INDEX_MANIFEST.names))
+    tables.write_csv(found.unionByName(waiting), f"{work}/indices", files=1)
 
 
 def read_pixels(spark: SparkSession, work: str) -> DataFrame:
@@ -128,12 +183,37 @@ def inside_outlines(pixels: DataFrame, outlines: dict[str, list] | None) -> Data
 
 
 def extent(spark: SparkSession, work: str, outlines: dict[str, list] | None = None) -> DataFrame:
+    """Extent within the outlines given, or those of the work folder."""
+    outlines = outlines or zone_outlines(spark, work)
     e = scenes.extent(inside_outlines(read_pixels(spark, work), outlines).withColumn("v", F.col("cyano")))
     return e.join(_flags(spark, work), KEYS).withColumn("resolucion_m", F.lit(float(S.TARGET_M))).select(*S.BLOOM_EXTENT.names)
 
 
 def persistence(spark: SparkSession, work: str, least_dates: int = 3) -> DataFrame:
-    return scenes.persistence(read_pixels(spark, work).withColumn("v", F.col("cyano")), least_dates=least_dates)
+    return scenes.persistence(inside_outlines(read_pixels(spark, work), zone_outlines(spark, work)).withColumn("v", F.col("cyano")), least_dates=least_dates)
+
+
+def export_persistence(spark: SparkSession, work: str, out: str) -> None:
+    """Two rasters for each zone: share of high dates, and valid dates; on a file system that all workers mount."""
+    from rasterloom.sources import geotiff
+
+    spark.dataSource.register(geotiff.GeoTiffSource)
+    found = persistence(spark, work)
+    for zone, grid in grids(spark, work).items():
+        x, y, step, _ = grid["transform"]
+        for name, value, unit in (("proporcion_alto", "proporcion", "fraccion_0_1"), ("conteo_valido", "n_valido", "conteo_de_fechas")):
+            rows = found.where(F.col("lago") == zone).select(F.lit(f"{zone}_{name}.tif").alias("path"), F.lit(1).alias("band"), "row", "col", F.col(value).cast("double").alias("value"))
+            tags = {"lago": zone, "indice": name, "unidad": unit, "fecha": "todas_las_fechas_listas", "formula_version": "persistencia-v1"}
+            options = {"crs": grid["crs"], "x": x, "y": y, "resolution": step, "width": grid["width"], "height": grid["height"], "description": name, "tags": json.dumps(tags)}
+            rows.coalesce(1).write.format("geotiff").options(**{k: str(v) for k, v in options.items()}).mode("append").save(out)  # one raster is one file
+
+
+def maps(spark: SparkSession, work: str) -> DataFrame:
+    """Metadata of the maps of all scenes and indices; cyano's on the common scale."""
+    top = scenes.comparison_scale(read_pixels(spark, work), value="cyano").first()
+    each = read_pixels(spark, work).select(*KEYS).distinct()
+    parts = [render.map_rows(each.select(*KEYS, F.lit(low).alias("vmin"), F.lit(high).alias("vmax")), i, "mapa") for i, low, high in (("ndvi", -1.0, 1.0), ("ndwi", -1.0, 1.0), ("cianobacteria", top["vmin"], top["vmax"]))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def pairs(spark: SparkSession, work: str) -> DataFrame:
@@ -152,7 +232,7 @@ def correlations(spark: SparkSession, work: str) -> tuple[DataFrame, DataFrame]:
 
 
 def distributions(spark: SparkSession, work: str) -> DataFrame:
-    full = read_pixels(spark, work).where("cyano IS NOT NULL AND ndvi IS NOT NULL AND ndwi IS NOT NULL").withColumn("v", F.col("cyano"))
+    full = inside_outlines(read_pixels(spark, work), zone_outlines(spark, work)).where("cyano IS NOT NULL AND ndvi IS NOT NULL AND ndwi IS NOT NULL").withColumn("v", F.col("cyano"))
     table = scenes.distribution(full).join(_flags(spark, work).drop("cobertura_valida_pct"), KEYS, "left")
     return compare.with_reasons(table, series.select_dates(temporal(spark, work), extent(spark, work)))
 
@@ -169,5 +249,23 @@ def seasonal(spark: SparkSession, work: str) -> DataFrame:
 STEPS = {
     "temporal": temporal, "peaks": lambda s, w: series.flag_peaks(temporal(s, w)), "extent": extent, "persistence": persistence, "distributions": distributions,
     "correlations": lambda s, w: correlations(s, w)[0], "zones": lambda s, w: correlations(s, w)[1], "comparison": comparison, "seasonal": seasonal,
-    "pending": lambda s, w: scenes.pending_report(tables.read_csv(s, f"{w}/indices", S.INDEX_MANIFEST)), "plan": plan, "prepare": prepare,
+    "pending": lambda s, w: scenes.pending_report(tables.read_csv(s, f"{w}/indices", S.INDEX_MANIFEST)), "plan": plan, "prepare": prepare, "validate": validate,
+    "check-grid": check_grid, "maps": maps, "ingest": ingest,
 }
+
+#: Tables of the whole run, in order.
+TABLES = ("temporal", "peaks", "extent", "persistence", "correlations", "zones", "distributions", "comparison", "seasonal", "pending", "maps")
+
+
+def run_all(spark: SparkSession, work: str) -> list[str]:
+    """Manifest, indices and every table of the work folder; tables that are there already are kept."""
+    prepare(spark, work)
+    checks.require_none(validate(spark, work), "manifest")
+    if not _exists(spark, f"{work}/indices"):
+        run_indices(spark, work)
+    done = []
+    for name in TABLES:
+        if not _exists(spark, f"{work}/tables/{name}"):
+            tables.write_once(STEPS[name](spark, work), f"{work}/tables/{name}")
+            done.append(name)
+    return done

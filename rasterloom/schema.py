@@ -7,14 +7,6 @@ from pyspark.sql.types import (
 )
 
 
-def _table(text: str, kind, dates: tuple[str, ...] = ("fecha",), longs: tuple[str, ...] = (), strings: tuple[str, ...] = ()) -> StructType:
-    out = []
-    for name in text.split():
-        of = DateType() if name in dates else LongType() if name in longs else StringType() if name in strings else kind
-        out.append(StructField(name, of))
-    return StructType(out)
-
-
 # Fixed values of the domain.
 HIGH_UGL = 10.0
 OUTLIER_FRACTION = 0.10
@@ -60,27 +52,38 @@ SCENES = (
     ("atitlan", "2026-07-22", 4.02, "Sentinel-2B", None),
 )
 
-SCENE_MANIFEST = _table(
-    "lago fecha satelite_oficial nubosidad_oficial_pct cobertura_valida_oficial_pct west east south north producto bandas metodo_descarga id_adquisicion estado ruta_local cobertura_valida_pct crs_salida resolucion_salida quality_flag observaciones",
-    StringType(), strings=(),
-)
-_DOUBLES = {"nubosidad_oficial_pct", "cobertura_valida_oficial_pct", "west", "east", "south", "north", "cobertura_valida_pct"}
-SCENE_MANIFEST = StructType([StructField(f.name, DoubleType()) if f.name in _DOUBLES else f for f in SCENE_MANIFEST])
-INDEX_MANIFEST = _table(
-    "lago fecha indice ruta_raster metodo formula_version unidad dtype nodata crs resolucion_m pixeles_validos pixeles_lago cobertura_valida_pct frac_valores_atipicos quality_flag",
-    DoubleType(), longs=("pixeles_validos", "pixeles_lago"), strings=("lago", "indice", "ruta_raster", "metodo", "formula_version", "unidad", "dtype", "nodata", "crs", "quality_flag"),
-)
-TEMPORAL_SUMMARY = _table("lago fecha cyano_promedio cyano_mediana cyano_std pixeles_validos cobertura_valida_pct quality_flag", DoubleType(), longs=("pixeles_validos",), strings=("lago", "quality_flag"))
-BLOOM_EXTENT = _table(
-    "lago fecha umbral_alto_ugl resolucion_m area_pixel_m2 pixeles_validos_lago pixeles_altos area_valida_m2 area_alta_m2 porcentaje_alto cobertura_valida_pct quality_flag",
-    DoubleType(), longs=("pixeles_validos_lago", "pixeles_altos"), strings=("lago", "quality_flag"),
-)
-PIXEL = StructType(
-    [StructField("lago", StringType()), StructField("fecha", DateType()), StructField("row", IntegerType()), StructField("col", IntegerType())]
-    + [StructField(c, FloatType()) for c in ("cyano", "ndvi", "ndwi")]
-)
-MAP_METADATA = StructType(
-    [StructField(c, StringType() if c not in ("fecha",) else DateType()) for c in ("lago", "fecha", "indice", "tipo_mapa", "archivo", "formato")]
-    + [StructField(c, DoubleType()) for c in ("vmin", "vmax", "umbral_alto_ugl")]
-    + [StructField("generado_en", TimestampType())]
-)
+# Fixed values of the domain: columns of the tables, in their order.
+_TEXT, _DAY, _REAL, _WHOLE = StringType(), DateType(), DoubleType(), LongType()
+SCENE_MANIFEST = StructType([
+    StructField("lago", _TEXT), StructField("fecha", _DAY), StructField("satelite_oficial", _TEXT), StructField("nubosidad_oficial_pct", _REAL),
+    StructField("cobertura_valida_oficial_pct", _REAL), StructField("west", _REAL), StructField("east", _REAL), StructField("south", _REAL), StructField("north", _REAL),
+    StructField("producto", _TEXT), StructField("bandas", _TEXT), StructField("metodo_descarga", _TEXT), StructField("id_adquisicion", _TEXT), StructField("estado", _TEXT),
+    StructField("ruta_local", _TEXT), StructField("cobertura_valida_pct", _REAL), StructField("crs_salida", _TEXT), StructField("resolucion_salida", _TEXT),
+    StructField("quality_flag", _TEXT), StructField("observaciones", _TEXT),
+])
+INDEX_MANIFEST = StructType([
+    StructField("lago", _TEXT), StructField("fecha", _DAY), StructField("indice", _TEXT), StructField("ruta_raster", _TEXT), StructField("metodo", _TEXT),
+    StructField("formula_version", _TEXT), StructField("unidad", _TEXT), StructField("dtype", _TEXT), StructField("nodata", _TEXT), StructField("crs", _TEXT),
+    StructField("resolucion_m", _REAL), StructField("pixeles_validos", _WHOLE), StructField("pixeles_lago", _WHOLE), StructField("cobertura_valida_pct", _REAL),
+    StructField("frac_valores_atipicos", _REAL), StructField("quality_flag", _TEXT),
+])
+TEMPORAL_SUMMARY = StructType([
+    StructField("lago", _TEXT), StructField("fecha", _DAY), StructField("cyano_promedio", _REAL), StructField("cyano_mediana", _REAL), StructField("cyano_std", _REAL),
+    StructField("pixeles_validos", _WHOLE), StructField("cobertura_valida_pct", _REAL), StructField("quality_flag", _TEXT),
+])
+BLOOM_EXTENT = StructType([
+    StructField("lago", _TEXT), StructField("fecha", _DAY), StructField("umbral_alto_ugl", _REAL), StructField("resolucion_m", _REAL), StructField("area_pixel_m2", _REAL),
+    StructField("pixeles_validos_lago", _WHOLE), StructField("pixeles_altos", _WHOLE), StructField("area_valida_m2", _REAL), StructField("area_alta_m2", _REAL),
+    StructField("porcentaje_alto", _REAL), StructField("cobertura_valida_pct", _REAL), StructField("quality_flag", _TEXT),
+])
+PIXEL = StructType([
+    StructField("lago", _TEXT), StructField("fecha", _DAY), StructField("row", IntegerType()), StructField("col", IntegerType()),
+    StructField("cyano", FloatType()), StructField("ndvi", FloatType()), StructField("ndwi", FloatType()),
+])
+MAP_METADATA = StructType([
+    StructField("lago", _TEXT), StructField("fecha", _DAY), StructField("indice", _TEXT), StructField("tipo_mapa", _TEXT), StructField("archivo", _TEXT), StructField("formato", _TEXT),
+    StructField("vmin", _REAL), StructField("vmax", _REAL), StructField("umbral_alto_ugl", _REAL), StructField("generado_en", TimestampType()),
+])
+GRIDS = StructType([
+    StructField("lago", _TEXT), StructField("crs", IntegerType()), StructField("x", _REAL), StructField("y", _REAL), StructField("resolucion", _REAL), StructField("ancho", IntegerType()), StructField("alto", IntegerType()),
+])

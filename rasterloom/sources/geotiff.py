@@ -4,14 +4,16 @@
     spark.read.format("geotiff").option("bands", "1,2").load("/scenes/*.tif")   # a row a valid pixel
     df.write.format("geotiff").mode("append").save("/out")                      # path, row, col, value
 
-Supported: strips and tiles, no compression or deflate, predictors 1 to 3, 8 to 64 bit
-integers and floats, one or several bands, both byte orders, a nodata tag, the model
-pixel scale and tie point, and the EPSG code of the geo keys.
+Supported: classic and big files, strips and tiles, no compression, LZW or deflate,
+predictors 1 to 3, 8 to 64 bit integers and floats, one or several bands with their
+descriptions, both byte orders, a nodata tag, the model pixel scale and tie point, and
+the EPSG code of the geo keys.
 """
 
 from __future__ import annotations
 
 import glob
+import json
 import os
 import struct
 import zlib
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from rasterloom.operators.scenes import InputDataError
 
@@ -45,6 +47,7 @@ class Raster:
     nodata: float | None = None
     description: str = ""
     tags: dict[str, str] = field(default_factory=dict)
+    bands: list[str] = field(default_factory=list)  # descriptions by position, where the file has them
 
     @property
     def grid(self) -> dict:
@@ -68,19 +71,24 @@ class Raster:
 
 def _directory(raw: bytes) -> tuple[str, dict[int, tuple]]:
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if order is None or struct.unpack(order + "H", raw[2:4])[0] != 42:
+    version = struct.unpack(order + "H", raw[2:4])[0] if order and len(raw) > 8 else 0
+    if version not in (42, 43):
         raise InputDataError("not a TIFF file")
-    at = struct.unpack(order + "I", raw[4:8])[0]
+    big = version == 43
+    word, count, entry = ("Q", "Q", 20) if big else ("I", "H", 12)
+    room, head = struct.calcsize("=" + word), struct.calcsize("=" + count)
+    at = struct.unpack(order + word, raw[8:16] if big else raw[4:8])[0]
     out = {}
-    for k in range(struct.unpack(order + "H", raw[at : at + 2])[0]):
-        tag, kind, n = struct.unpack(order + "HHI", raw[at + 2 + 12 * k : at + 10 + 12 * k])
+    for k in range(struct.unpack(order + count, raw[at : at + head])[0]):
+        start = at + head + entry * k
+        tag, kind, n = struct.unpack(order + "HH" + word, raw[start : start + 4 + room])
         code = _TYPES.get(kind)
         if code is None:
             continue
         size = struct.calcsize("=" + code) * n
-        start = at + 10 + 12 * k
-        if size > 4:
-            start = struct.unpack(order + "I", raw[start : start + 4])[0]
+        start += 4 + room
+        if size > room:
+            start = struct.unpack(order + word, raw[start : start + room])[0]
         body = raw[start : start + size]
         out[tag] = (body.split(b"\0")[0].decode("utf-8", "replace"),) if code == "s" else struct.unpack(order + code * n if len(code) == 1 else order + code * n, body)
     return order, out
@@ -108,6 +116,8 @@ def decode(raw: bytes) -> Raster:
         compression = tags.get(COMPRESSION, (1,))[0]
         if compression in (8, 32946):
             body = zlib.decompress(body)
+        elif compression == 5:
+            body = unlzw(body)
         elif compression != 1:
             raise InputDataError(f"compression {compression} is not supported")
         rows = h if tiled else min(h, height - y)
@@ -124,7 +134,35 @@ def decode(raw: bytes) -> Raster:
     except ValueError:
         nodata = None
     origin = (tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1])
-    return Raster(out, codes.get(3072, codes.get(2048)), origin, (scale[0], scale[1]), nodata, tags.get(DESCRIPTION, ("",))[0], _items(tags.get(METADATA, ("",))[0]))
+    return Raster(out, codes.get(3072, codes.get(2048)), origin, (scale[0], scale[1]), nodata, tags.get(DESCRIPTION, ("",))[0], *_items(tags.get(METADATA, ("",))[0], samples))
+
+
+def unlzw(body: bytes) -> bytes:
+    """LZW as TIFF has it: codes of 9 to 12 bits, the highest bit first, widened one code early."""
+    out = bytearray()
+    table: list[bytes] = []
+    width, bits, held, last = 9, 0, 0, b""
+    for byte in body:
+        held, bits = (held << 8) | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        if not table or code > len(table) or (code == len(table) and not last):
+            raise InputDataError("broken LZW data")
+        word = table[code] if code < len(table) else last + last[:1]
+        out += word
+        if last:
+            table.append(last + word[:1])
+        last = word
+        if len(table) + 1 >= 1 << width and width < 12:
+            width += 1
+    return bytes(out)
 
 
 def _unpredict(body: bytes, rows: int, width: int, inner: int, dtype: np.dtype, predictor: int) -> np.ndarray:
@@ -136,10 +174,20 @@ def _unpredict(body: bytes, rows: int, width: int, inner: int, dtype: np.dtype,
     return np.cumsum(part, axis=1, dtype=dtype.newbyteorder("=")) if predictor == 2 else part
 
 
-def _items(text: str) -> dict[str, str]:
+def _items(text: str, samples: int) -> tuple[dict[str, str], list[str]]:
+    """Tags of the file, and the descriptions of its bands if it has any."""
     import re
+    from html import unescape
 
-    return dict(re.findall(r'<Item name="([^"]+)"[^>]*>([^<]*)</Item>', text))
+    tags: dict[str, str] = {}
+    bands = [""] * samples
+    for attributes, value in re.findall(r"<Item ([^>]*)>([^<]*)</Item>", text):
+        a = dict(re.findall(r'(\w+)="([^"]*)"', attributes))
+        if a.get("role") == "description" and a.get("sample", "").isdigit() and int(a["sample"]) < samples:
+            bands[int(a["sample"])] = unescape(value)
+        elif "name" in a and "sample" not in a:
+            tags[a["name"]] = unescape(value)
+    return tags, bands if any(bands) else []
 
 
 def encode(raster: Raster, rows_per_strip: int = 64) -> bytes:
@@ -156,8 +204,11 @@ def encode(raster: Raster, rows_per_strip: int = 64) -> bytes:
     ]
     if raster.description:
         fields.append((DESCRIPTION, 2, raster.description.encode() + b"\0"))
-    if raster.tags:
-        text = "".join(f'<Item name="{k}">{v}</Item>' for k, v in raster.tags.items())
+    if raster.tags or raster.bands:
+        from html import escape
+
+        text = "".join(f'<Item name="{escape(k)}">{escape(v)}</Item>' for k, v in raster.tags.items())
+        text += "".join(f'<Item name="DESCRIPTION" sample="{k}" role="description">{escape(v)}</Item>' for k, v in enumerate(raster.bands))
         fields.append((METADATA, 2, f"<GDALMetadata>{text}</GDALMetadata>".encode() + b"\0"))
     if raster.nodata is not None:
         fields.append((NODATA, 2, (b"nan" if np.isnan(raster.nodata) else f"{raster.nodata:g}".encode()) + b"\0"))
@@ -188,7 +239,10 @@ def encode(raster: Raster, rows_per_strip: int = 64) -> bytes:
 
 
 def load_bands(rasters: dict[str, Raster], wanted: Sequence[str]) -> dict[str, np.ndarray]:
-    """Bands by name: one file with as many bands by position, else one file whose name holds the band's."""
+    """Bands by name: by their descriptions, else one file with as many bands by position, else one file whose name holds the band's."""
+    described = {b.upper(): (r, k) for r in rasters.values() for k, b in enumerate(r.bands)}
+    if all(b.upper() in described for b in wanted):
+        return {b: described[b.upper()][0].values(described[b.upper()][1]) for b in wanted}
     if len(rasters) == 1:
         (only,) = rasters.values()
         if only.data.shape[0] == len(wanted):
@@ -204,6 +258,71 @@ def load_bands(rasters: dict[str, Raster], wanted: Sequence[str]) -> dict[str, n
     return out
 
 
+STRIPE = 256
+
+
+def read_bands(spark: SparkSession, rows: DataFrame, wanted: Sequence[str], root: str, paths: str = "ruta_local") -> DataFrame:
+    """(lago, fecha, row, col, the wanted bands in lower case) of scenes from the raster files that manifest rows declare.
+
+    ``paths`` holds a scene's files, parted by ``;``, below ``root``. A blank or a file
+    that isn't there is an error. The files of a scene meet by stripes of rows, so no
+    task holds a whole scene of several files.
+    """
+    from rasterloom.session import ship
+
+    ship(spark)
+    blank = rows.where(F.coalesce(F.col(paths), F.lit("")) == "").limit(5).collect()
+    if blank:
+        raise InputDataError("no raster declared for " + "; ".join(f"{r['lago']} {r['fecha']}" for r in blank))
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^[a-z0-9]+:/*", "/"), "/+", "/")
+    below = lambda c: F.when(c.rlike("^([a-z0-9]+:)?/"), c).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), c))
+    declared = rows.select("lago", "fecha", F.explode(F.split(paths, ";")).alias("_p")).select("lago", "fecha", plain(below(F.trim("_p"))).alias("_p"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tif*").load(root)
+    missing = declared.join(files.select(plain(F.col("path")).alias("_f")), F.col("_p") == F.col("_f"), "left_anti").limit(5).collect()
+    if missing:
+        raise InputDataError("no such raster: " + "; ".join(r["_p"] for r in missing))
+    met = files.join(F.broadcast(declared.limit(1_000_000)), plain(F.col("path")) == F.col("_p"))  # a row a file of the manifest
+    names = [b.lower() for b in wanted]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lago, fecha, path, raw in zip(*(batch.column(c).to_pylist() for c in ("lago", "fecha", "path", "content")), strict=True):
+                raster = decode(raw)
+                shown = raster.bands or ([*names] if raster.data.shape[0] == len(names) else [])
+                if not shown:
+                    found = [b for b in names if b in os.path.basename(path).lower()]
+                    shown = found if len(found) == raster.data.shape[0] else []
+                grid = json.dumps(raster.grid)
+                for k, band in enumerate(b.lower() for b in shown):
+                    if band in names:
+                        v = raster.values(k)
+                        for y in range(0, v.shape[0], STRIPE):
+                            part = v[y : y + STRIPE]
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([lago]), pa.array([fecha], pa.date32()), pa.array([y], pa.int32()), pa.array([band]), pa.array([part.shape[1]], pa.int32()), pa.array([grid]), pa.array([part.astype("<f8").tobytes()], pa.binary())],
+                                ["lago", "fecha", "stripe", "band", "width", "grid", "v"],
+                            )
+
+    def join(table: pa.Table) -> pa.Table:
+        part = {b: (w, g, v) for b, w, g, v in zip(*(table.column(c).to_pylist() for c in ("band", "width", "grid", "v")), strict=True)}
+        at = f"{table.column('lago')[0]} {table.column('fecha')[0]}"
+        if set(part) != set(names):
+            raise InputDataError(f"{at}: no band {sorted(set(names) - set(part))}")
+        if len({g for _, g, _ in part.values()}) > 1:
+            raise InputDataError(f"{at}: the bands lie on different grids")
+        width = part[names[0]][0]
+        values = {b: np.frombuffer(part[b][2]) for b in names}
+        row, col = np.divmod(np.arange(len(values[names[0]])), width)
+        n, y = len(row), table.column("stripe")[0].as_py()
+        return pa.table({
+            "lago": pa.array([table.column("lago")[0].as_py()] * n, pa.string()), "fecha": pa.array([table.column("fecha")[0].as_py()] * n, pa.date32()), "row": (row + y).astype(np.int32), "col": col.astype(np.int32),
+            **{b: pa.array(v, mask=np.isnan(v)) for b, v in values.items()},
+        })
+
+    stripes = met.select("lago", "fecha", "path", "content").mapInArrow(cut, "lago string, fecha date, stripe int, band string, width int, grid string, v binary")
+    return stripes.groupBy("lago", "fecha", "stripe").applyInArrow(join, "lago string, fecha date, row int, col int, " + ", ".join(f"{b} double" for b in names))
+
+
 def inspect(df: DataFrame) -> DataFrame:
     """Dimensions, system, nodata and valid cover of ``binaryFile`` rows (path, content)."""
     from rasterloom.session import ship
@@ -262,8 +381,8 @@ def scene_files(spark: SparkSession, path: str, without: Sequence[str] = ()) ->
     return files.select("path", "length")
 
 
-def encode_scenes(pixels: DataFrame, keys: Sequence[str], crs: int | None = None, origin: tuple[float, float] = (0.0, 0.0), pixel: tuple[float, float] = (10.0, 10.0)) -> DataFrame:
-    """(keys, content) with one float32 GeoTIFF for each scene of (keys, row, col, v)."""
+def encode_scenes(pixels: DataFrame, keys: Sequence[str], crs: int | None = None, origin: tuple[float, float] = (0.0, 0.0), pixel: tuple[float, float] = (10.0, 10.0), description: str = "", tags: dict[str, str] | None = None) -> DataFrame:
+    """(keys, content) with one float32 GeoTIFF for each scene of (keys, row, col, v); its keys are tags, too. A task holds one scene."""
     from rasterloom.session import ship
 
     ship(pixels.sparkSession)
@@ -273,7 +392,8 @@ def encode_scenes(pixels: DataFrame, keys: Sequence[str], crs: int | None = None
         rows, cols = table.column("row").to_numpy(), table.column("col").to_numpy()
         grid = np.full((1, rows.max() + 1, cols.max() + 1), np.nan, np.float32)
         grid[0, rows, cols] = table.column("v").to_numpy(zero_copy_only=False)
-        return table.select(list(keys)).slice(0, 1).append_column("content", pa.array([encode(Raster(grid, crs, origin, pixel, float("nan")))], pa.binary()))
+        named = {**(tags or {}), **{k: str(table.column(k)[0].as_py()) for k in keys}}
+        return table.select(list(keys)).slice(0, 1).append_column("content", pa.array([encode(Raster(grid, crs, origin, pixel, float("nan"), description, named))], pa.binary()))
 
     return pixels.select(*keys, "row", "col", "v").groupBy(*keys).applyInArrow(one, schema)
 
@@ -311,29 +431,37 @@ class _Done(WriterCommitMessage):
     files: list[str]
 
 
-class _Writer(DataSourceWriter):
-    """One file for each path; rows of a path must be in one partition (repartition by path)."""
+class _Writer(DataSourceArrowWriter):
+    """One file for each path; rows of a path must be in one partition (repartition by path).
+
+    Options: crs, x, y (upper left corner), resolution, width, height, description, tags (JSON).
+    """
 
     def __init__(self, options: dict, overwrite: bool):
         self.options, self.overwrite = options, overwrite
 
     def write(self, rows: Iterator) -> _Done:
-        cells: dict[str, list[tuple[int, int, float]]] = {}
-        for r in rows:
-            cells.setdefault(r["path"], []).append((r["row"], r["col"], r["value"]))
+        cells: dict[str, list[tuple[np.ndarray, ...]]] = {}
+        for batch in rows:
+            row, col, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "col", "value"))
+            place = batch.column("path").dictionary_encode()
+            for k, name in enumerate(place.dictionary.to_pylist()):
+                own = place.indices.to_numpy(zero_copy_only=False) == k
+                cells.setdefault(name, []).append((row[own], col[own], value[own]))
         folder, done = self.options["path"], []
         os.makedirs(folder, exist_ok=True)
         for name, values in cells.items():
             target = os.path.join(folder, os.path.basename(name))
             if os.path.exists(target) and not self.overwrite and self.options.get("replace", "false") != "true":
                 raise InputDataError(f"{target} exists")
-            y, x = max(v[0] for v in values) + 1, max(v[1] for v in values) + 1
-            grid = np.full((1, int(self.options.get("height", y)), int(self.options.get("width", x))), np.nan, np.float32)
-            for a, b, v in values:
-                grid[0, a, b] = np.nan if v is None else v
-            crs = self.options.get("crs")
+            row, col, value = (np.concatenate(c) for c in zip(*values, strict=True))
+            o = self.options
+            grid = np.full((1, int(o.get("height", row.max() + 1)), int(o.get("width", col.max() + 1))), np.nan, np.float32)
+            grid[0, row, col] = value
+            crs, step = o.get("crs"), float(o.get("resolution", 1))
+            raster = Raster(grid, int(crs) if crs else None, (float(o.get("x", 0)), float(o.get("y", 0))), (step, step), float("nan"), o.get("description", ""), json.loads(o.get("tags", "{}")))
             with open(target + ".tmp", "wb") as f:
-                f.write(encode(Raster(grid, int(crs) if crs else None, nodata=float("nan"))))
+                f.write(encode(raster))
             os.replace(target + ".tmp", target)
             done.append(target)
         return _Done(done)

@@ -21,6 +21,18 @@ class RemoteError(RuntimeError):
     """A service gave no usable answer."""
 
 
+def http(url: str, data: bytes, headers: dict[str, str], timeout: float) -> bytes:
+    """The transport of the command line: one request over HTTP."""
+    from urllib.error import URLError
+    from urllib.request import Request, urlopen
+
+    try:
+        with urlopen(Request(url, data or None, headers), timeout=timeout) as answer:  # noqa: S310
+            return answer.read()
+    except URLError as e:
+        raise RemoteError(f"{url}: {e}") from e
+
+
 def settings(path: str | None = None) -> dict[str, str]:
     """Environment values; those of a settings file only where the environment has none."""
     out = {}

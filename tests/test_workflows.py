@@ -32,7 +32,9 @@ def test_manifests(spark, work):
     scenes = {(r.lago, r.fecha) for r in rows}
     assert len(rows) == 3 * len(scenes)
     assert {r.quality_flag for r in rows if str(r.fecha) == "2026-02-07"} == {S.PARTIAL}
-    lake = [r for r in rows if r.indice == "ndvi"]
+    assert {r.quality_flag for r in rows if str(r.fecha) < "2026-02-01"} == {S.PENDING}
+    assert len(rows) == 66
+    lake = [r for r in rows if r.indice == "ndvi" and r.quality_flag != S.PENDING]
     assert all(r.pixeles_validos == r.pixeles_lago == 28 for r in lake)
 
 
