@@ -123,6 +123,7 @@ def test_from_rasters_to_the_comparison(spark, work):
 
 
 def test_persistence_rasters_have_their_place_and_tags(spark, work, tmp_path):
+    W.run_all(spark, work)
     W.export_persistence(spark, work, str(tmp_path / "p"))
     r = geotiff.decode((tmp_path / "p" / "atitlan_proporcion_alto.tif").read_bytes())
     assert r.grid == GRID["atitlan"] and r.tags["unidad"] == "fraccion_0_1" and r.description == "proporcion_alto"
@@ -142,7 +143,8 @@ def test_missing_rasters_are_errors(spark, work):
 
 
 def test_manifests_are_validated(spark, work, tmp_path):
-    assert W.validate(spark, work).where("tabla = 'scenes'").isEmpty() and cli.main(["check-grid", work]) == 0
+    W.run_all(spark, work)
+    assert cli.main(["prepare", work]) == cli.main(["check-grid", work]) == 0
     assert W.validate(spark, work).isEmpty() and cli.main(["validate", work]) == 0
     bad = W.prepare(spark, work).limit(21).drop("estado")
     tables.write_csv(bad, str(tmp_path / "scenes"))
