@@ -1,6 +1,7 @@
 """Near-duplicate vectors by product quantisation.
 
-An index is fitted on a bounded sample: coarse centroids (inverted lists) and
+Equal vectors (by two independent hashes of their parts) are collapsed first and count
+with their number. An index is fitted on a bounded sample of the distinct ones: coarse centroids (inverted lists) and
 codebooks for the subspaces of the residuals; centroids within the reach of another
 (the distance at the least cosine) are merged. Every vector is coded in its home list
 and visits all lists whose plane to its home is within half the reach. The two vectors
@@ -17,9 +18,12 @@ dealt in blocks of members and of visitors, so no task holds a whole hot list; t
 pairs of a hot list outside its core are its square. Tasks return counts of links and
 a spanning forest.
 
+Vectors go to their lists as they are stored (32 or 64 bits a part) and are normalised
+there in double precision.
+
 Defined results: a vector that is null, zero, or holds null or non-finite parts
 links with nothing; vectors of unequal length are compared as if padded with
-zeros; repeated rows are rows of their own; ids may be null (they are no component
+zeros, however long; pairs at exactly the least cosine link; repeated rows are rows of their own; ids may be null (they are no component
 id unless alone); an empty table gives an empty one; other columns are ignored.
 """
 
@@ -32,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from rasterloom.llm.common import join_split, release, ship, stage
 from rasterloom.llm.graph import components
@@ -50,22 +55,24 @@ SEED = 7
 
 
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Double matrix of a list column, padded with zeros to ``dim``, and which rows are valid."""
+    """Double matrix of a list column, padded with zeros to ``dim`` and normalised, and which rows are valid."""
+    return _checked(*_padded(column, dim))
+
+
+def _padded(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.list_(pa.float64()))
     n = len(column)
-    out = np.zeros((n, dim))
-    ok = np.ones(n, bool)
     if column.null_count == 0 and n and column.flatten().null_count == 0 and len(column.flatten()) == n * dim:
         sizes = np.diff(column.offsets.to_numpy())
         if (sizes == dim).all():
-            out = column.flatten().to_numpy(zero_copy_only=False).reshape(n, dim).copy()
-            return _checked(out, ok)
+            return column.flatten().to_numpy(zero_copy_only=False).reshape(n, dim).copy(), np.ones(n, bool)
+    out, ok = np.zeros((n, dim)), np.ones(n, bool)
     for k, row in enumerate(column.to_pylist()):
         if row is None or any(x is None for x in row):
             ok[k] = False
         else:
             out[k, : len(row)] = row
-    return _checked(out, ok)
+    return out, ok
 
 
 def _checked(x: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,11 +178,11 @@ def fit(x: np.ndarray, total: int, reach: float, probes: int = PROBES) -> Index:
 
 def candidates(index: Index, at: int, x: np.ndarray, codes: np.ndarray, error: np.ndarray, reach: float) -> np.ndarray:
     """Which (visitor, member) pairs of list ``at`` may have a distance of ``reach`` or less."""
-    table = index.tables(x, at)
-    total = np.zeros((len(x), len(codes)))
+    table = index.tables(x, at).astype(np.float32)
+    total = np.zeros((len(x), len(codes)), np.float32)
     for m in range(codes.shape[1]):
         total += table[:, m].take(codes[:, m], axis=1)
-    return total <= (reach + error[None] + 1e-6) ** 2
+    return total <= ((reach + error + 1e-6) ** 2 + 1e-4).astype(np.float32)  # more than single precision can lose
 
 
 def linked(x: np.ndarray, y: np.ndarray, may: np.ndarray, cosine: float) -> np.ndarray:
@@ -194,24 +201,32 @@ def linked(x: np.ndarray, y: np.ndarray, may: np.ndarray, cosine: float) -> np.n
     return near
 
 
-def find_links(spark: SparkSession, vectors: DataFrame, column: str = "embedding", cosine: float = COSINE, probes: int = PROBES, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with ``uid``, degrees(uid, n), forest(u, v)) of the links between all rows."""
+def distinct(spark: SparkSession, vectors: DataFrame, vec_id: str = "vec_id", column: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """Staged rows (uid, id, k, k2) and distinct valid vectors (k, k2, uid, low, m, vec): the smallest uid and id, and the number of rows.
+
+    Rows whose vector is not valid have no hashes.
+    """
+    v = F.col(column)
+    valid = F.coalesce(F.forall(v, lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0), F.lit(False))
+    hashes = (F.when(valid, F.xxhash64(v)).alias("k"), F.when(valid, F.xxhash64(F.lit(1), v)).alias("k2"))
+    rows = stage(spark, vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(vec_id).alias("id"), *hashes, v.alias("vec")), "vectors")
+    groups = rows.where("k IS NOT NULL").groupBy("k", "k2").agg(F.min("uid").alias("uid"), F.min("id").alias("low"), F.count(F.lit(1)).alias("m"), F.min_by("vec", "uid").alias("vec"))
+    return rows.drop("vec"), stage(spark, groups, "distinct")
+
+
+def find_links(spark: SparkSession, groups: DataFrame, cosine: float = COSINE, probes: int = PROBES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(degrees(uid, n), forest(u, v)) of the links between distinct vectors (uid, m, vec); n counts each with its number."""
     ship(spark)
-    rows = stage(spark, vectors.withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(column)).alias("d")).first()
+    stats = groups.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     total, dim = int(stats["n"]), max(1, int(stats["d"] or 1))
     dim = -(-dim // PARTS) * PARTS
-    sample = rows.select(column).orderBy(F.xxhash64("uid")).limit(SAMPLE).toArrow()
-    x, ok = matrix(sample.column(column).combine_chunks() if total else pa.array([], pa.list_(pa.float64())), dim)
-    none = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "uid long, n long")
-    if ok.sum() < 2:
-        if total <= SAMPLE:
-            return rows, none[1], none[0]
-        x = np.random.default_rng(SEED).normal(size=(64, dim))  # an index over no known vector is still a right one
-        x /= np.sqrt((x**2).sum(axis=1))[:, None]
-        ok = np.ones(64, bool)
+    sample = groups.select("vec").orderBy(F.xxhash64("uid")).limit(SAMPLE).toArrow()
+    if total < 2:
+        return spark.createDataFrame([], "uid long, n long"), spark.createDataFrame([], "u long, v long")
+    x, _ = matrix(sample.column("vec").combine_chunks(), dim)
+    stored = np.float32 if isinstance(groups.schema["vec"].dataType.elementType, FloatType) else np.float64
     reach = float(np.sqrt(2 - 2 * cosine))
-    index = fit(x[ok], total, reach, probes)
+    index = fit(x, total, reach, probes)
     shared = spark.sparkContext.broadcast(index)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,16 +234,14 @@ def find_links(spark: SparkSession, vectors: DataFrame, column: str = "embedding
         for whole in batches:
             for cut in range(0, whole.num_rows, 2048):
                 batch = whole.slice(cut, 2048)
-                x, ok = matrix(batch.column(column), dim)
-                uid = batch.column("uid").to_numpy()[ok]
-                x = x[ok]
-                if not len(x):
-                    continue
+                x, ok = _padded(batch.column("vec"), dim)
+                raw = pa.array([r.tobytes() for r in x.astype(stored)], pa.binary())
+                x, _ = _checked(x, ok)
+                uid, m = batch.column("uid").to_numpy(), batch.column("m").to_numpy()
                 home, visit, codes, error, core = index.code(x)
-                raw = pa.array([r.tobytes() for r in x], pa.binary())
                 n = len(x)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(home), pa.array(np.ones(n, bool)), pa.array(uid), pa.array(home), pa.array(core), raw,
+                    [pa.array(home), pa.array(np.ones(n, bool)), pa.array(uid), pa.array(m), pa.array(home), pa.array(core), raw,
                      pa.array([r.tobytes() for r in np.packbits(visit, axis=1)], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(error)],
                     names,
                 )
@@ -236,17 +249,17 @@ def find_links(spark: SparkSession, vectors: DataFrame, column: str = "embedding
                 for lo in range(0, len(row), 20_000):
                     r, t = row[lo : lo + 20_000], to[lo : lo + 20_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(t), pa.array(np.zeros(len(r), bool)), pa.array(uid[r]), pa.array(home[r]), pa.array(core[r]), raw.take(pa.array(r)),
+                        [pa.array(t), pa.array(np.zeros(len(r), bool)), pa.array(uid[r]), pa.array(m[r]), pa.array(home[r]), pa.array(core[r]), raw.take(pa.array(r)),
                          pa.nulls(len(r), pa.binary()), pa.nulls(len(r), pa.binary()), pa.array(np.zeros(len(r)))],
                         names,
                     )
 
-    schema = "list long, member boolean, uid long, home long, core boolean, x binary, lists binary, code binary, error double"
+    schema = "list long, member boolean, uid long, m long, home long, core boolean, x binary, lists binary, code binary, error double"
     names = [f.split()[0] for f in schema.split(", ")]
-    cells = stage(spark, rows.select("uid", column).mapInArrow(deal, schema), "cells")
+    cells = stage(spark, groups.select("uid", "m", "vec").mapInArrow(deal, schema), "cells")
     own = F.col("core") & (F.col("home") == F.col("list"))
     sizes = cells.groupBy("list").agg(
-        F.count_if(F.col("member") & own).alias("core"), F.count_if(F.col("member") & ~own).alias("loose"), F.count_if(~F.col("member") & ~own).alias("visitors"), F.min(F.when(F.col("member") & own, F.col("uid"))).alias("hub")
+        F.count_if(F.col("member") & own).alias("core"), F.count_if(F.col("member") & ~own).alias("loose"), F.count_if(~F.col("member") & ~own).alias("visitors"), F.min(F.when(F.col("member") & own, F.col("uid"))).alias("hub"), F.sum(F.when(F.col("member") & own, F.col("m"))).alias("mass")
     ).collect()  # fmt: skip  # one row a list, LISTS at most
     # blocks of core members, of the others, of visitors out of the core (they meet both), of those in it (they meet the others)
     parts = {r["list"]: [-(-r[c] // block) for c in ("core", "loose", "visitors", "core")] for r in sizes}
@@ -282,11 +295,11 @@ def find_links(spark: SparkSession, vectors: DataFrame, column: str = "embedding
         uid = np.concatenate((m.column("uid").to_numpy(), v.column("uid").to_numpy()))
         if not len(m) or not len(v):
             return pa.table({"kind": pa.array([], pa.int32()), "u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        mx = np.frombuffer(b"".join(m.column("x").to_pylist())).reshape(len(m), -1)
-        vx = np.frombuffer(b"".join(v.column("x").to_pylist())).reshape(len(v), -1)
+        mx, vx = (_checked(np.frombuffer(b"".join(t.column("x").to_pylist()), stored).reshape(len(t), -1).astype(np.float64), np.ones(len(t), bool))[0] for t in (m, v))
         codes = np.frombuffer(b"".join(m.column("code").to_pylist()), np.uint8).reshape(len(m), -1)
         visits = np.unpackbits(np.frombuffer(b"".join(m.column("lists").to_pylist()), np.uint8).reshape(len(m), -1), axis=1).astype(bool)
         error = m.column("error").to_numpy()
+        m_mass, v_mass = m.column("m").to_numpy(), v.column("m").to_numpy()
         mu, vu, home = m.column("uid").to_numpy(), v.column("uid").to_numpy(), v.column("home").to_numpy()
         n_m, n_v = np.zeros(len(m), np.int64), np.zeros(len(v), np.int64)
         ids, inverse = np.unique(uid, return_inverse=True)
@@ -296,8 +309,8 @@ def find_links(spark: SparkSession, vectors: DataFrame, column: str = "embedding
             a = np.arange(lo, min(lo + step, len(v)))
             may = candidates(index, at, vx[a], codes, error, reach) & (vu[a][:, None] != mu[None])
             near = linked(vx[a], mx, may, cosine)
-            n_v[a] += near.sum(axis=1)
-            n_m += (near & ~visits[:, home[a]].T).sum(axis=0)  # the member does not come to the visitor's home
+            n_v[a] += near @ m_mass
+            n_m += v_mass[a] @ (near & ~visits[:, home[a]].T)  # the member does not come to the visitor's home
             i, j = np.nonzero(near & (labels[inverse[len(m) + a]][:, None] != labels[inverse[: len(m)]][None]))
             if len(i):
                 labels = merge(labels, inverse[len(m) + a[i]], inverse[j])
@@ -307,24 +320,27 @@ def find_links(spark: SparkSession, vectors: DataFrame, column: str = "embedding
         kind = np.concatenate((np.zeros(len(moved), np.int32), np.ones(len(u) - len(moved), np.int32)))
         return pa.table({"kind": kind, "u": u, "v": w})
 
-    hubs = spark.createDataFrame([(r["list"], r["core"] - 1, r["hub"]) for r in sizes if r["core"] > 1], "l long, others long, hub long")
-    core = cells.where(F.col("member") & F.col("core")).select("list", "uid").join(F.broadcast(hubs), F.col("list") == F.col("l"))
-    both = F.array(F.struct(F.lit(1).alias("kind"), F.col("uid").alias("u"), F.col("others").alias("v")), F.struct(F.lit(0).alias("kind"), F.col("uid").alias("u"), F.col("hub").alias("v")))
+    hubs = spark.createDataFrame([(r["list"], r["mass"], r["hub"]) for r in sizes if r["core"] > 1], "l long, mass long, hub long")
+    core = cells.where(F.col("member") & F.col("core")).select("list", "uid", "m").join(F.broadcast(hubs), F.col("list") == F.col("l"))
+    both = F.array(F.struct(F.lit(1).alias("kind"), F.col("uid").alias("u"), (F.col("mass") - F.col("m")).alias("v")), F.struct(F.lit(0).alias("kind"), F.col("uid").alias("u"), F.col("hub").alias("v")))
     core = core.select(F.explode(both).alias("e")).select("e.kind", "e.u", "e.v")
     found = cells.mapInArrow(split, f"task long, {schema}").groupBy("task").applyInArrow(join, "kind int, u long, v long")
     found = stage(spark, found.unionByName(core), "links")
     release(cells)
     degrees = found.where("kind = 1").groupBy(F.col("u").alias("uid")).agg(F.sum("v").alias("n"))
-    return rows, degrees, found.where("kind = 0").select("u", "v")
+    return degrees, found.where("kind = 0").select("u", "v")
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, vec_id: str = "vec_id", column: str = "embedding", cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of ``vectors``."""
-    rows, degrees, forest = find_links(spark, vectors.select(vec_id, column), column, cosine, probes)
+    rows, groups = distinct(spark, vectors, vec_id, column)
+    degrees, forest = find_links(spark, groups, cosine, probes)
     found = components(spark, forest)
-    ids = rows.select("uid", F.col(vec_id).alias("vec_id"))
-    joined = ids.join(found, ids["uid"] == found["node"], "left").select("uid", "vec_id", F.coalesce("root", "uid").alias("root"))
-    joined = stage(spark, joined, "roots")
-    low = stage(spark, joined.groupBy(F.col("root").alias("r")).agg(F.min("vec_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "low")
-    out = join_split(joined, ["root"], low, ["r"], "size", ["uid"]).join(degrees.withColumnRenamed("uid", "d"), F.col("uid") == F.col("d"), "left")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    whole = groups.select("k", "k2", F.col("uid").alias("rep"), "low", "m").join(found, F.col("rep") == F.col("node"), "left").join(degrees, F.col("rep") == F.col("uid"), "left")
+    whole = whole.select(F.col("k").alias("g"), F.col("k2").alias("g2"), "rep", "low", "m", F.coalesce("root", "rep").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    whole = stage(spark, whole, "roots")
+    low = stage(spark, whole.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("size")), "low")
+    classes = stage(spark, join_split(whole, ["root"], low, ["r"], "size", ["rep"]).select("g", "g2", "m", "n_links", "component_id"), "classes")
+    out = join_split(rows, ["k", "k2"], classes, ["g", "g2"], "m", ["uid"], "left")
+    component = F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
