@@ -5,11 +5,15 @@ characters count as one space). Training uses follow-the-regularised-leader with
 elastic net on a bounded sample of every labelled language: ``PER_LANG`` rows of each
 in expectation, or equal parts of ``TOTAL`` rows where those are less, but ``FEWEST`` at
 least (all rows of a language that has no more), and twice as many at most; a part of the sample that the weights never
-saw sets the temperature of the scores. Every whole text is then scored.
+saw sets the temperature of the scores. A step only touches the weights of the features
+in its rows: they are made from two sums a weight when they are needed, so memory is
+that of the sample and of these sums. Every whole text is then scored.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0, and so
-is every text if no language was learned; repeated rows are scored alike; an empty
-table gives an empty one; other columns never enter a prediction.
+is every text if no language was learned; very long texts are counted whole; between
+languages of equal score the first by name is predicted; repeated rows are scored
+alike; an empty table gives an empty one; other columns never enter a prediction and
+may have any name.
 """
 
 from __future__ import annotations
@@ -108,8 +112,44 @@ def per_language(sizes: list[int], per_lang: int = PER_LANG, total: int = TOTAL)
     return min(per_lang, max(share, FEWEST))
 
 
+class Ftrl:
+    """Follow-the-regularised-leader with an elastic net; a row of sums for each feature, the last one for the bias."""
+
+    def __init__(self, features: int, classes: int):
+        self.z, self.s = np.zeros((features, classes)), np.zeros((features, classes))
+
+    def weights(self, at: np.ndarray) -> np.ndarray:
+        z, s = self.z[at], self.s[at]
+        return np.where(np.abs(z) <= L1, 0, (np.sign(z) * L1 - z) / ((BETA * 0.01 + np.sqrt(s)) / ALPHA + L2))
+
+    def step(self, x: np.ndarray, at: np.ndarray, y: np.ndarray, cost: np.ndarray) -> None:
+        """One step on rows over the features ``at``; ``cost`` weighs the rows."""
+        w = self.weights(at)
+        p = softmax(x @ w)
+        p[np.arange(len(y)), y] -= 1
+        g = x.T @ (p * cost[:, None])
+        s = self.s[at]
+        self.z[at] += g - (np.sqrt(s + g * g) - np.sqrt(s)) / ALPHA * w
+        self.s[at] = s + g * g
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def joined(rows: list[tuple[np.ndarray, np.ndarray]], bias: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (features, values) as a matrix over the features that any of them has, and those; the bias is the last."""
+    at = np.append(np.unique(np.concatenate([f for f, _ in rows])), bias)
+    x = np.zeros((len(rows), len(at)))
+    x[:, -1] = 1
+    for k, (f, v) in enumerate(rows):
+        x[k, np.searchsorted(at, f)] = v
+    return x, at
+
+
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 3) -> Model:
-    """FTRL-proximal over dense minibatches of (language, features, counts), then the temperature."""
+    """Weights from minibatches of (language, features, counts), then the temperature."""
     names = sorted({lang for lang, _, _ in rows})
     rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     rng = np.random.default_rng(seed)
@@ -124,38 +164,24 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 3) -> Mode
     for k in np.flatnonzero(~held):
         df[rows[k][1]] += 1
     idf = np.log((1 + (~held).sum()) / (1 + df)) + 1
-    values = [((1 + np.log(n)) * idf[at]).astype(np.float64) for _, at, n in rows]
-    values = [(v / max(np.sqrt((v * v).sum()), 1e-12)).astype(np.float32) for v in values]
-    f, m = (1 << BITS) + 1, len(names)
-
-    def dense(chosen: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(chosen), f), np.float32)
-        x[:, -1] = 1
-        for k, row in enumerate(chosen.tolist()):
-            x[k, rows[row][1]] = values[row]
-        return x
-
-    z, s, w = np.zeros((f, m)), np.zeros((f, m)), np.zeros((f, m))
+    values = []
+    for _, at, n in rows:
+        v = (1 + np.log(n)) * idf[at]
+        values.append((at, (v / max(np.sqrt((v * v).sum()), 1e-12)).astype(np.float32)))
+    m, bias = len(names), 1 << BITS
+    leader = Ftrl(bias + 1, m)
     own = np.flatnonzero(~held)
     share = np.bincount(y[own], minlength=m) / max(1, len(own))
     for _ in range(EPOCHS):
         order = rng.permutation(own)
         for lo in range(0, len(order), BATCH):
-            at = order[lo : lo + BATCH]
-            x = dense(at)
-            p = x @ w
-            p = np.exp(p - p.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(at)), y[at]] -= 1
-            p /= (m * share[y[at]])[:, None] * len(at)  # every language weighs the same
-            g = x.T @ p
-            step = (np.sqrt(s + g * g) - np.sqrt(s)) / ALPHA
-            z += g - step * w
-            s += g * g
-            w = np.where(np.abs(z) <= L1, 0, (np.sign(z) * L1 - z) / ((BETA * 0.01 + np.sqrt(s)) / ALPHA + L2))
+            chosen = order[lo : lo + BATCH]
+            x, at = joined([values[k] for k in chosen], bias)
+            leader.step(x, at, y[chosen], 1 / (m * share[y[chosen]] * len(chosen)))  # every language weighs the same
+    w = leader.weights(np.arange(bias + 1))
     model = Model(names, idf, w[:-1].astype(np.float32), w[-1].astype(np.float32))
     check = np.flatnonzero(held) if held.any() else own
-    logits = np.concatenate([dense(check[lo : lo + 256]) @ w for lo in range(0, len(check), 256)])
+    logits = np.stack([v @ w[at] + w[-1] for at, v in (values[k] for k in check)])
     best = (np.inf, 1.0)
     for t in np.exp(np.linspace(np.log(0.02), np.log(5), 60)):
         v = logits / t
@@ -184,7 +210,7 @@ def fit(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str
             out = [(lang, n) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (n := counts(t)) is not None]
             at = [np.flatnonzero(n) for _, n in out]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in out], pa.string()), pa.array([a.astype("<i4").tobytes() for a in at], pa.binary()), pa.array([n[a].astype("<i4").tobytes() for a, (_, n) in zip(at, out, strict=True)], pa.binary())],
+                [pa.array([x for x, _ in out], pa.string()), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([n[a].astype("<i4").tobytes() for a, (_, n) in zip(at, out, strict=True)], pa.binary())],
                 ["l", "at", "n"],
             )
 
@@ -194,7 +220,7 @@ def fit(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str
             for name, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen[name] = seen.get(name, 0) + 1
                 if seen[name] <= 2 * per_lang:
-                    rows.append((name, np.frombuffer(at, "<i4"), np.frombuffer(n, "<i4")))
+                    rows.append((name, np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(n, "<i4")))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], ["model"])
 

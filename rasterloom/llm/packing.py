@@ -1,27 +1,32 @@
 """Best-fit packing of tokenised documents by exact-complement hashing.
 
 Only the histogram of piece lengths (``capacity`` bins at most) comes to the driver.
-There the longest open length takes the combination of one, two or three lengths
-whose sum fills its gap exactly, as often as all their counts allow; if there is
-none it takes the best-fitting length and looks again for the rest. The result is a
+There the sums that one, two and three available lengths reach are indexed as bit sets.
+The longest open length takes the combination whose sum fills its gap exactly, found
+from the index, as often as all its counts allow; if there is none it takes the
+best-fitting length and looks again for the rest. The result is a
 list of patterns with multiplicities; every pattern uses up a length, so the list is
 bounded by the histogram, not by the corpus. Pieces are numbered within their length
-in salted groups and look their place up by that number.
+in salted groups and look their place up by that number; the salt is a running number
+of the pieces of a task, so repeated rows are spread as well.
 
 Defined results: a null text counts as empty and gives one piece with the end token
 only; repeated rows and ids are packed as documents of their own; an empty table
 gives an empty one; other columns are ignored. Very long texts are cut in pieces of
-the capacity; the last one may be shorter.
+the capacity; the last one may be shorter. Among combinations of equal sum the one
+with the longest length is taken.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from operator import itemgetter
+from functools import reduce
+from operator import itemgetter, or_
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,12 +91,13 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece."""
+    """doc_id, piece, start, length, ids_crc32 of every piece, and a running number ``spread``."""
     ship(spark)
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
+        count = TaskContext.get().partitionId() * 7919
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for k, value in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
@@ -100,12 +106,13 @@ def pieces(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
                     part = ids[lo : lo + 4 * capacity]
                     at.append(k), piece.append(p), start.append(lo // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(range(count, count + len(at)), pa.int64())],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "spread"],
             )
+            count += len(at)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, spread long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
@@ -113,12 +120,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
-    sums: np.ndarray | None = None  # which totals two available lengths reach
+    index: list[int] = []  # bit t is set where one, two, three available lengths reach the total t
+    whole = (1 << capacity + 1) - 1
     out: list[tuple[int, list[int]]] = []
 
     def complement(gap: int, used: list[int]) -> list[int] | None:
         """One, two or three available lengths that add up to the gap; the largest first."""
-        nonlocal sums
+        if not index:
+            for _ in range(3):
+                below = index[-1] if index else 1
+                index.append(reduce(or_, (below << int(x) for x in np.flatnonzero(left > 0)), 0) & whole)
+        if not any(sums >> gap & 1 for sums in index):
+            return None
         free = left[: gap + 1].copy()
         for x in used:
             if x <= gap:
@@ -135,15 +148,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
                     return [x, y]
             return None
 
-        if gap >= 2 and (found := pair(gap, gap)):
+        if index[1] >> gap & 1 and (found := pair(gap, gap)):
             return found
-        if gap >= 3:
-            if sums is None:
-                some = (left > 0).astype(np.float32)
-                sums = np.convolve(some, some)[: capacity + 1] > 0.5
+        if index[2] >> gap & 1:
             tops = np.arange(gap - 2, (gap + 2) // 3 - 1, -1)
-            for x in tops[have[tops] & sums[gap - tops]].tolist():
-                if found := pair(gap - x, x, x):
+            for x in tops[have[tops]].tolist():
+                if index[1] >> gap - x & 1 and (found := pair(gap - x, x, x)):
                     return [x, *found]
         return None
 
@@ -171,7 +181,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
             for x, k in need.items():
                 left[x] -= times * k
                 if left[x] == 0:
-                    sums = None
+                    index.clear()
             out.append((times, lengths))
     return out
 
@@ -192,18 +202,18 @@ def places(patterns: list[tuple[int, list[int]]], capacity: int = CAPACITY) -> d
 
 
 def place(spark: SparkSession, parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``parts`` (with doc_id, piece, length, ids_crc32; staged) and sequence_id, offset."""
+    """``parts`` (as ``pieces`` gives them; staged) without ``spread``, and sequence_id, offset."""
     rows = parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a length, ``capacity`` at most
     counts = {int(r["length"]): int(r["n"]) for r in rows}
     table = spark.sparkContext.broadcast(places(plan(counts, capacity), capacity))
     salts = int(np.clip(-(-sum(counts.values()) // GROUP), 16, SALTS))
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("spread"), F.lit(salts)))
     sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(F.col("length").alias("l"), F.col("salt").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inner = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
+    inner = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start", "spread")
     ranked = salted.join(sizes, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s")))
-    ranked = ranked.withColumn("number", F.col("before") + F.row_number().over(inner) - 1).select(*parts.columns, "number")
+    ranked = ranked.withColumn("number", F.col("before") + F.row_number().over(inner) - 1).select(*(c for c in parts.columns if c != "spread"), "number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value

@@ -4,26 +4,25 @@
 beside the measurements. A policy is a named, versioned mask of rules: applying it,
 or taking one of its rules out (an ablation), only reads the bits.
 
-Defined results: a null text counts as empty (no words: it fails ``few_words``);
-repeated rows and ids get a row each; an empty table gives an empty ledger; extra
+Defined results: a null text counts as empty (no words: it fails ``few_words``); very
+long texts are measured whole; a value at its limit passes; repeated rows and ids get a row each; an empty table gives an empty ledger; extra
 columns are carried along, and ledger columns that clash with them are not added
 twice (the ledger selects the id and its own columns only).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import SPACE, fresh
+from rasterloom.llm.common import SPACE, fresh, stage
 
 SYMBOLS = "#*$%&|<>"
 #: Rules in the order of their bits; a bit once given to a rule stays with it.
-RULES: dict[str, Column | None] = dict.fromkeys(
-    ("few_words", "repeated_words", "symbols", "repeated_lines", "word_length", "shouting")
-)
+ORDER = ("few_words", "repeated_words", "symbols", "repeated_lines", "word_length", "shouting")
 BASE = ("few_words", "repeated_words")
 #: Versioned policies. Results name the version; a change of rules is a new version.
 POLICIES: dict[str, tuple[str, ...]] = {
@@ -34,7 +33,7 @@ CURRENT = "web/1"
 
 
 def rules() -> dict[str, Column]:
-    """Failure conditions over the measurements."""
+    """Failure conditions over the measurements, by name."""
     c = F.col
     return {
         "few_words": c("n_words") < 50,
@@ -100,12 +99,11 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
 
 def bits() -> Column:
     """Bit k is set where rule k fails."""
-    return reduce(lambda a, b: a.bitwiseOR(b), (F.when(cond, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, cond in enumerate(rules().values())))
+    return reduce(lambda a, b: a.bitwiseOR(b), (F.when(cond, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, cond in enumerate(map(rules().get, ORDER))))
 
 
 def mask(policy: str, without: str | None = None) -> int:
-    order = list(rules())
-    return sum(1 << order.index(r) for r in POLICIES[policy] if r != without)
+    return sum(1 << ORDER.index(r) for r in POLICIES[policy] if r != without)
 
 
 def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,12 +120,11 @@ def ablations(book: DataFrame, policy: str = CURRENT) -> DataFrame:
 
     One pass over the ledger, one row for each rule.
     """
-    order = list(rules())
     full = mask(policy)
     held = F.col("fail_bits").bitwiseAND(F.lit(full).cast("long"))
     sums = [F.count(F.lit(1)).alias("n_rows"), F.count_if(held == 0).alias("n_kept")]
     for rule in POLICIES[policy]:
-        bit = 1 << order.index(rule)
+        bit = 1 << ORDER.index(rule)
         sums += [
             F.count_if(held.bitwiseAND(F.lit(bit).cast("long")) != 0).alias(f"{rule}_failed"),
             F.count_if(held == bit).alias(f"{rule}_only"),
@@ -144,6 +141,12 @@ def ablations(book: DataFrame, policy: str = CURRENT) -> DataFrame:
     return row.select("n_rows", "n_kept", each.alias("e")).select(F.lit(policy).alias("policy"), "n_rows", "n_kept", "e.*")
 
 
+def ablation_report(spark: SparkSession, docs: DataFrame, policies: Sequence[str] = ("base/1", "web/1")) -> DataFrame:
+    """Ablations of several policies from one ledger, staged so that texts are measured once."""
+    book = stage(spark, ledger(docs).select("fail_bits"), "ledger")
+    return reduce(lambda a, b: a.unionByName(b), (ablations(book, p) for p in policies))
+
+
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     book = ledger(docs)
     return book.select(
@@ -180,3 +183,12 @@ WITH base AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept,
  n_lines, n_upper, fail_bits, 'web/1' AS policy FROM f
 """
+
+_HELD = {p: f"(fail_bits & {mask(p)})" for p in ("base/1", "web/1")}
+#: Ablations of both policies in DuckDB, from the rows of ``SQL``.
+ABLATIONS_SQL = f"WITH r AS ({SQL}) " + " UNION ALL ".join(
+    f"SELECT '{p}' AS policy, count(*) AS n_rows, count(*) FILTER ({_HELD[p]} = 0) AS n_kept, '{rule}' AS rule, count(*) FILTER ((fail_bits & {1 << ORDER.index(rule)}) <> 0) AS n_failed, "
+    f"count(*) FILTER ({_HELD[p]} = {1 << ORDER.index(rule)}) AS n_only, count(*) FILTER (({_HELD[p]} & ~{1 << ORDER.index(rule)}) = 0) AS n_kept_without FROM r"
+    for p in ("base/1", "web/1")
+    for rule in POLICIES[p]
+)

@@ -25,6 +25,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy removes, over the ledger of operator 4."""
+    return quality.ablation_report(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_lm_scoring,
         op3_simhash_near_dedup,
         op4_quality_rules,
+        quality_ablations,
         op5_best_fit_packing,
         op6_line_dedup,
         op7_piece_segmentation,
@@ -66,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op4_quality_rules": quality.SQL, "op6_line_dedup": lines.SQL}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality.SQL, "quality_ablations": quality.ABLATIONS_SQL, "op6_line_dedup": lines.SQL}

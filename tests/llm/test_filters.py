@@ -102,6 +102,55 @@ def test_language_id(spark):
     assert langid.report(spark, df.limit(0)).count() == 0
 
 
+def test_character_n_grams_against_plain_counting():
+    text = "Ab c! ünï  日本 x"
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    padded = f" {' '.join(letters.split())} "
+    want = Counter()
+    for n in range(1, langid.ORDERS + 1):
+        for k in range(len(padded) - n + 1):
+            h = 0
+            for j, c in enumerate(padded[k : k + n]):
+                h = ord(c) if not j else (h * 0x01000193 + ord(c)) % 2**32
+            h = ((h + ((n - 1) * 0x9E3779B9)) * 0x85EBCA6B) % 2**32
+            want[h >> (32 - langid.BITS)] += 1
+    got = langid.counts(text)
+    assert {int(k): int(got[k]) for k in np.flatnonzero(got)} == dict(want)
+
+
+def test_sparse_steps_equal_plain_ftrl():
+    """Every weight by itself, over all features, as the published recurrence has it."""
+    r = np.random.default_rng(0)
+    features, classes = 9, 3
+    rows = [(np.sort(r.choice(features - 1, 3, replace=False)), r.random(3)) for _ in range(24)]
+    y = r.integers(0, classes, 24)
+    leader = langid.Ftrl(features, classes)
+    z, s = [[0.0] * classes for _ in range(features)], [[0.0] * classes for _ in range(features)]
+
+    def weight(f, c):
+        if abs(z[f][c]) <= langid.L1:
+            return 0.0
+        sign = 1 if z[f][c] > 0 else -1
+        return -(z[f][c] - sign * langid.L1) / ((langid.BETA * 0.01 + s[f][c] ** 0.5) / langid.ALPHA + langid.L2)
+
+    for lo in range(0, 24, 8):
+        cost = r.random(8)
+        leader.step(*langid.joined(rows[lo : lo + 8], features - 1), y[lo : lo + 8], cost)
+        w = [[weight(f, c) for c in range(classes)] for f in range(features)]
+        g = [[0.0] * classes for _ in range(features)]
+        for k in range(8):
+            x = {features - 1: 1.0} | dict(zip(rows[lo + k][0].tolist(), rows[lo + k][1].tolist(), strict=True))
+            e = [np.exp(sum(v * w[f][c] for f, v in x.items())) for c in range(classes)]
+            for c in range(classes):
+                for f, v in x.items():
+                    g[f][c] += cost[k] * v * (e[c] / sum(e) - (c == y[lo + k]))
+        for f in range(features):
+            for c in range(classes):
+                z[f][c] += g[f][c] - ((s[f][c] + g[f][c] ** 2) ** 0.5 - s[f][c] ** 0.5) / langid.ALPHA * w[f][c]
+                s[f][c] += g[f][c] ** 2
+    assert leader.weights(np.arange(features)) == pytest.approx(np.array([[weight(f, c) for c in range(classes)] for f in range(features)]))
+
+
 def test_language_model(spark):
     texts, _ = many(spark, 300)
     texts[:4] = [None, "", "unseen words only", "The THE the"]

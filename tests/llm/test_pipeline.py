@@ -32,3 +32,17 @@ def test_run(spark, data):
 
     assert corpus_pipeline.run(spark, data).count() > 0
     assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in entry.queries()}
+
+
+@pytest.mark.parametrize("name", ["op4_quality_rules", "op6_line_dedup", "quality_ablations"])
+def test_queries_equal_their_oracles(spark, data, name):
+    duckdb = pytest.importorskip("duckdb")
+    from rasterloom.llm.queries import ORACLES, QUERIES
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    found, got = c.sql(ORACLES[name]), QUERIES[name](spark, data)
+    columns = sorted(got.columns)
+    assert sorted(found.columns) == columns
+    at = [found.columns.index(x) for x in columns]
+    assert sorted(tuple(r[k] for k in at) for r in found.fetchall()) == sorted(tuple(r[x] for x in columns) for r in got.collect())
