@@ -36,6 +36,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +124,7 @@ def encode(tables: Tables, text: str | None) -> tuple[np.ndarray, float, int, fl
     words = words_of(text)
     words.append(b"")
     get = tables.known.get
-    at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+    at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
     hit = at[at >= 0]
     out = np.where((at >= 0) & (at < WORDS), at, 0)
     other = np.flatnonzero((at < 0) | (at >= WORDS)).tolist()
@@ -171,7 +172,7 @@ def logits(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.
 
 def train_on(weights: np.ndarray, bias: np.ndarray, seq: np.ndarray, at: np.ndarray, classes: np.ndarray, tops: int, squares: np.ndarray) -> None:
     """Gradient steps in place, with a rate for every row that falls with its squared gradients."""
-    rows = [f[at] for f in features(seq, tops)]
+    rows = [f[at].astype(np.uint16) for f in features(seq, tops)]
     y = classes[seq[at]]
     for lo in range(0, len(at), BATCH):
         part = [r[lo : lo + BATCH] for r in rows]
@@ -181,11 +182,14 @@ def train_on(weights: np.ndarray, bias: np.ndarray, seq: np.ndarray, at: np.ndar
         g[np.arange(len(g)), y[lo : lo + BATCH]] -= 1
         bias -= RATE * g.mean(axis=0)
         for r in part:
-            order = np.argsort(r, kind="stable")
-            found, first = np.unique(r[order], return_index=True)
+            order = np.argsort(r, kind="stable")  # rows are 16-bit numbers: sorted in linear time
+            rows_ = r[order]
+            first = np.flatnonzero(np.concatenate(([True], rows_[1:] != rows_[:-1])))
+            found = rows_[first]
             d = np.add.reduceat(g[order], first, axis=0)
-            squares[found] += (d * d).mean(axis=1)
-            weights[found] -= RATE * d / np.sqrt(1.0 + squares[found])[:, None]
+            squares[found] += np.einsum("ij,ij->i", d, d) / d.shape[1]
+            d *= (RATE / np.sqrt(1.0 + squares[found]))[:, None]
+            weights[found] -= d
 
 
 def log_probabilities(weights: np.ndarray, bias: np.ndarray, fixed: np.ndarray, classes: np.ndarray, tops: int, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
