@@ -24,7 +24,11 @@ def complete_pairs(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 
 def by_group(pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Both coefficients and the pairs of every group; ranks are averaged over ties."""
+    """Both coefficients and the pairs of every group; ranks are averaged over ties.
+
+    Ranks sort the pairs of a group (a scene and index) in one task, which spills: a
+    scene of a few million pixels is its bound. Pools of dates are sampled before.
+    """
     pairs = complete_pairs(pairs, x, y)
     ranked = average_ranks(average_ranks(pairs, keys, x, "_rx"), keys, y, "_ry")
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pares"), pearson(x, y).alias("pearson"), pearson("_rx", "_ry").alias("spearman"))

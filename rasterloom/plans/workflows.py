@@ -1,6 +1,7 @@
 """The engine's workflows over a work folder: each step reads tables and writes tables.
 
     <work>/scenes       manifest of scenes (CSV)          prepare
+    <work>/boxes        query boxes of the zones (GeoJSON) prepare
     <work>/rasters      files that the manifest declares  input
     <work>/bands        b02..b12, scl by pixel (Parquet)  ingest
     <work>/grids        grid of each zone (CSV)           input, for outlines
@@ -43,6 +44,12 @@ def prepare(spark: SparkSession, work: str) -> DataFrame:
     if not _exists(spark, path):
         full = wanted.select(*((F.col(c) if c in wanted.columns else F.lit("pendiente" if c == "estado" else None)).cast(S.SCENE_MANIFEST[c].dataType).alias(c) for c in S.SCENE_MANIFEST.names))
         tables.write_csv(full, path, "errorifexists", 1)
+    rings = spatial.boxes(wanted.select("lago", "west", "east", "south", "north").distinct()).withColumn("ring", F.lit(0))
+    if not _exists(spark, f"{work}/boxes"):
+        tables.write_geojson(rings, f"{work}/boxes")
+    kept = spark.read.text(f"{work}/boxes")
+    if not kept.select("lago", F.col("value").alias("geojson")).exceptAll(tables.geojson(rings)).isEmpty():
+        raise InputDataError(f"other boxes are kept in {work}/boxes; they are not overwritten")
     have = tables.read_csv(spark, path, S.SCENE_MANIFEST)
     if not checks.key_differences(wanted, have, KEYS).isEmpty() or not checks.duplicate_keys(have, KEYS).isEmpty():
         raise InputDataError("the manifest of scenes does not hold the configured ones")

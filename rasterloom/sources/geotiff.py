@@ -258,6 +258,14 @@ def load_bands(rasters: dict[str, Raster], wanted: Sequence[str]) -> dict[str, n
     return out
 
 
+def inspect_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Inspection of all raster files below ``path``; a folder without any is an error."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").option("recursiveFileLookup", True).load(path)
+    if files.isEmpty():
+        raise InputDataError(f"no raster under {path}")
+    return inspect(files)
+
+
 STRIPE = 256
 
 

@@ -104,6 +104,21 @@ def chain(segments: Sequence[Sequence[tuple[float, float]]]) -> list[list[tuple[
     return rings
 
 
+def cleaned(ring: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
+    """A closed ring without repeated points and without spikes (ways out and back); empty if nothing is left."""
+    points = list(ring[:-1]) if ring and ring[0] == ring[-1] else list(ring)
+    changed = True
+    while changed and len(points) > 2:
+        changed = False
+        for k in range(len(points)):
+            before, here, after = points[k - 1], points[k], points[(k + 1) % len(points)]
+            if here == before or before == after:
+                del points[k]
+                changed = True
+                break
+    return [*points, points[0]] if len(points) > 2 else []
+
+
 def rings_of(element: dict) -> list[list[tuple[float, float]]] | None:
     """Outer ring first, then holes, of a way or a relation; None if it encloses nothing."""
     points = lambda g: [(p["lon"], p["lat"]) for p in g]
@@ -113,6 +128,7 @@ def rings_of(element: dict) -> list[list[tuple[float, float]]] | None:
     else:
         parts = {r: chain([points(m["geometry"]) for m in element.get("members", []) if m.get("role") == r and m.get("geometry")]) for r in ("outer", "inner")}
         rings = [*sorted(parts["outer"], key=lambda r: -area([r])), *parts["inner"]]
+    rings = [r for r in map(cleaned, rings) if r]
     return rings if rings and area(rings[:1]) > 0 else None
 
 

@@ -221,3 +221,22 @@ def test_shifted_grids_and_layers(spark):
     assert got[0, 0] == 10.5 and got[3, 0] is None
     out = render.layers(cells, ["lago"], a | {"transform": (500000.0, 1600000.0, 10.0, 10.0)}, (-93.0, -92.9996, 14.4710, 14.4714), 0, 40)
     assert out.columns[-4:] == ["rojo", "verde", "azul", "alfa"] and out.count() == 16
+
+
+def test_rings_are_cleaned():
+    a, b, c, d = (0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (2.0, 2.0)
+    assert remote.cleaned([a, b, b, c, d, c, a]) == [a, b, c, a]
+    assert remote.cleaned([a, b, a]) == [] and remote.cleaned([]) == []
+
+
+def test_folders_and_boxes(spark, work, tmp_path):
+    assert geotiff.inspect_folder(spark, f"{work}/rasters").count() > 10
+    with pytest.raises(InputDataError):
+        (tmp_path / "none").mkdir()
+        geotiff.inspect_folder(spark, str(tmp_path / "none"))
+    W.prepare(spark, str(tmp_path / "w"))
+    box = spark.read.text(str(tmp_path / "w" / "boxes")).where("lago = 'atitlan'").first().value
+    assert json.loads(box)["features"][0]["geometry"]["coordinates"][0][0] == [-91.326256, 14.5948]
+    tables.write_geojson(spark.createDataFrame([("atitlan", 0, k, float(k), 1.0) for k in range(4)], "lago string, ring int, k int, x double, y double"), str(tmp_path / "w2" / "boxes"))
+    with pytest.raises(InputDataError, match="not overwritten"):
+        W.prepare(spark, str(tmp_path / "w2"))
