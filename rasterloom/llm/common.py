@@ -6,7 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +73,16 @@ def release_since(before: set[str], keep: DataFrame) -> None:
             _staged.remove((spark, path))
 
 
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[None]:
+    """A scope that deletes the tables staged within it when it ends; write what is to stay before."""
+    before = staged_paths()
+    try:
+        yield
+    finally:
+        release_since(before, spark.range(0))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm  # noqa: SLF001
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -79,3 +79,13 @@ def test_components_of_a_hub(spark):
     edges = spark.range(1, n).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")).unionByName(spark.range(n, n + 50).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")))
     got = graph.components(spark, edges).groupBy("root").count().collect()
     assert {r.root: r["count"] for r in got} == {0: n - 1, n: 50}
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    kept = common.stage(spark, spark.range(3), "kept")
+    with common.staged(spark):
+        gone = common.stage(spark, spark.range(5), "gone")
+        assert gone.count() == 5
+    assert kept.count() == 3 and gone._rasterloom_path not in common.staged_paths()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(gone._rasterloom_path).count()
