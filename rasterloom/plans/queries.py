@@ -175,7 +175,7 @@ def corr_labels(spark: SparkSession, sf: str) -> DataFrame:
 _P_VALUE = (
     ", g AS (SELECT *, n_pares - 2 AS v, asin(least(1.0, abs(r))) AS a, (pi() / 2 - asin(least(1.0, abs(r)))) / 2000 AS h FROM u WHERE r IS NOT NULL), "
     "s AS (SELECT lago, fecha, indice, metodo, exp(max(lgamma((v + 1) / 2.0) - lgamma(v / 2.0))) / sqrt(pi()) * 2 * max(h) / 3 * sum((CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp((v - 1) * ln(greatest(cos(a + k * h), 1e-300)))) AS p FROM g, range(2001) t(k) GROUP BY ALL) "
-    "SELECT u.lago, CAST(u.fecha AS VARCHAR) AS fecha, u.indice, u.metodo, n_pares, CASE WHEN r IS NULL THEN 'vacio' WHEN p < 1e-300 THEN 'minimo' ELSE 'finito' END AS clase, round(CASE WHEN p < 1e-300 THEN 0 ELSE p END, 6) AS p FROM u LEFT JOIN s USING (lago, fecha, indice, metodo)"
+    "SELECT u.lago, CAST(u.fecha AS VARCHAR) AS fecha, u.indice, u.metodo, n_pares, CASE WHEN r IS NULL THEN 'vacio' WHEN p < 1e-300 THEN 'minimo' ELSE 'finito' END AS clase, round(CASE WHEN p < 1e-300 THEN 0 ELSE p END, 5) AS p FROM u LEFT JOIN s USING (lago, fecha, indice, metodo)"
 )
 
 
@@ -183,7 +183,7 @@ _P_VALUE = (
 def corr_p_values(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("p_value")
     kind = F.when(p == "", "vacio").when(p.startswith("<"), "minimo").otherwise("finito")
-    value = F.when(p.startswith("<"), 0.0).otherwise(F.round(F.expr("try_cast(p_value AS double)"), 6))
+    value = F.when(p.startswith("<"), 0.0).otherwise(F.round(F.expr("try_cast(p_value AS double)"), 5))
     return correlate.by_date(A.pairs(spark, sf)).select("lago", text("fecha"), "indice", "metodo", "n_pares", kind.alias("clase"), value.alias("p"))
 
 

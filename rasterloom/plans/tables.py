@@ -36,10 +36,10 @@ def ready_rows(spark: SparkSession, sf: str) -> DataFrame:
     return scenes.ready_of(A.manifest(spark, sf), "1-URGENT").select("id", text("fecha"), "ruta_raster")
 
 
-@query(", f AS (SELECT lago, fecha FROM manifest WHERE indice = 'ndvi' AND id % 5 <> 0 ORDER BY id LIMIT 1) SELECT id, lago, CAST(fecha AS VARCHAR) AS fecha, ruta_raster FROM manifest JOIN f USING (lago, fecha) WHERE indice = 'ndvi'", "manifest")
+@query(", f AS (SELECT lago, fecha FROM manifest WHERE indice = 'ndvi' AND id % 5 <> 0 ORDER BY id LIMIT 1) SELECT id, lago, CAST(fecha AS VARCHAR) AS fecha, ruta_raster FROM manifest JOIN f USING (lago, fecha) WHERE indice = 'ndvi' AND id % 5 <> 0", "manifest")
 def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    m = A.manifest(spark, sf)
-    one = m.where("indice = 'ndvi' AND id % 5 <> 0").orderBy("id").select("lago", "fecha").first()
+    m = A.manifest(spark, sf).where("id % 5 <> 0")  # those with a path
+    one = m.where("indice = 'ndvi'").orderBy("id").select("lago", "fecha").first()
     return scenes.lookup(m, one["lago"], str(one["fecha"]), "ndvi").select("id", "lago", text("fecha"), "ruta_raster")
 
 
