@@ -377,7 +377,8 @@ def joint(spark: SparkSession, coded: DataFrame, closed, tokens: int) -> DataFra
         return pa.table({"u": own.astype(np.int64) + table.column("batch")[0].as_py(), "gain": total[own]})
 
     dealt = coded.select("uid", "held_out", "n_tokens", "ids").mapInArrow(deal, "shard long, batch long, h binary, o binary, row binary")
-    gained = dealt.groupBy("shard").applyInArrow(learn, "batch long, row binary, gain binary")
+    # as many tasks as shards, at every size of the corpus
+    gained = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(learn, "batch long, row binary, gain binary")
     return gained.groupBy("batch").applyInArrow(add, "u long, gain double")
 
 
