@@ -89,3 +89,16 @@ def test_staged_tables_go_with_their_scope(spark):
     assert kept.count() == 3 and gone._rasterloom_path not in common.staged_paths()
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
         spark.read.parquet(gone._rasterloom_path).count()
+
+
+def test_very_long_texts_are_taken_whole(spark):
+    words = [f"w{k % 977}x{k % 31}" for k in range(200_000)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"]), "short text of five words", None]
+    df = spark.createDataFrame([(k, t, "aa", "s", 1) for k, t in enumerate(texts)], SCHEMA)
+    scored = {r.doc_id: r for r in lm.score(spark, df).collect()}
+    assert [scored[k].n_tokens for k in range(4)] == [200_001, 200_001, 6, 1]
+    prints = {r.doc_id: r for r in simhash.report(spark, df).collect()}
+    assert prints[1].component_id == 0 and prints[2].component_id == 2  # one word of 200,000 differs
+    assert {r.doc_id: r.n_words for r in quality.report(spark, df).collect()} == {0: 200_000, 1: 200_000, 2: 5, 3: 0}
+    pieces_ = packing.report(spark, df).where("doc_id = 0").collect()
+    assert sum(r.length for r in pieces_) > 200_000 and max(r.length for r in pieces_) == 2048
