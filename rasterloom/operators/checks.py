@@ -93,9 +93,13 @@ def require_none(violations: DataFrame, what: str) -> None:
 
 
 def expected_scenes(spark: SparkSession) -> DataFrame:
-    """The manifest rows that the configuration expects."""
-    rows = [(z, d, sat, cloud, cover, *S.ZONES[z]) for z, d, cloud, sat, cover in S.SCENES]
-    df = spark.createDataFrame(rows, "lago string, fecha string, satelite_oficial string, nubosidad_oficial_pct double, cobertura_valida_oficial_pct double, west double, east double, south double, north double")
+    """The manifest rows that the configuration expects, as far as they are known before scenes are fetched."""
+    rows = [
+        (z, d, sat, cloud, cover, *S.ZONES[z], S.PRODUCT, ";".join(S.LEAST_BANDS), S.FETCHED_BY, "pendiente", S.NOT_FETCHED if cover is None else S.PARTIAL, S.NOTES.get((z, d)))
+        for z, d, cloud, sat, cover in S.SCENES
+    ]
+    names = "lago string, fecha string, satelite_oficial string, nubosidad_oficial_pct double, cobertura_valida_oficial_pct double, west double, east double, south double, north double"
+    df = spark.createDataFrame(rows, names + ", producto string, bandas string, metodo_descarga string, estado string, quality_flag string, observaciones string")
     return df.withColumn("fecha", F.to_date("fecha"))
 
 

@@ -26,6 +26,13 @@ def scene_selection(spark: SparkSession, sf: str) -> DataFrame:
     return chosen.select("lago", text("fecha"), "nubosidad_oficial_pct", "satelite_oficial", "cobertura_valida_oficial_pct")
 
 
+@query(
+    f"SELECT lago, fecha, '{S.PRODUCT}' AS producto, 'B03;B04;B08;SCL' AS bandas, 'pendiente' AS estado, CASE WHEN cobertura IS NULL THEN 'pendiente_descarga' ELSE '{S.PARTIAL}' END AS quality_flag, CASE WHEN cobertura IS NOT NULL THEN 'Fecha oficial incluida para completar 11 observaciones; cobertura válida parcial aproximada de 57.1 %.' END AS observaciones FROM {_SCENE_ROWS}"
+)
+def expected_scene_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.expected_scenes(spark).select("lago", text("fecha"), "producto", "bandas", "estado", "quality_flag", "observaciones")
+
+
 @query("SELECT id, lago, CAST(fecha AS VARCHAR) AS fecha, quality_flag FROM manifest WHERE indice = 'cianobacteria'", "manifest")
 def index_filter(spark: SparkSession, sf: str) -> DataFrame:
     return scenes.of_index(A.manifest(spark, sf), "cianobacteria").select("id", "lago", text("fecha"), "quality_flag")

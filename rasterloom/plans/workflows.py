@@ -42,7 +42,7 @@ def prepare(spark: SparkSession, work: str) -> DataFrame:
     wanted = checks.expected_scenes(spark)
     path = f"{work}/scenes"
     if not _exists(spark, path):
-        full = wanted.select(*((F.col(c) if c in wanted.columns else F.lit("pendiente" if c == "estado" else None)).cast(S.SCENE_MANIFEST[c].dataType).alias(c) for c in S.SCENE_MANIFEST.names))
+        full = wanted.select(*((F.col(c) if c in wanted.columns else F.lit(None)).cast(S.SCENE_MANIFEST[c].dataType).alias(c) for c in S.SCENE_MANIFEST.names))
         tables.write_csv(full, path, "errorifexists", 1)
     rings = spatial.boxes(wanted.select("lago", "west", "east", "south", "north").distinct()).withColumn("ring", F.lit(0))
     if not _exists(spark, f"{work}/boxes"):

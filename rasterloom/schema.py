@@ -52,6 +52,11 @@ SCENES = (
     ("atitlan", "2026-07-22", 4.02, "Sentinel-2B", None),
 )
 
+#: Notes of scenes; how scenes are fetched, and their flag until then.
+NOTES = {("amatitlan", "2026-02-07"): "Fecha oficial incluida para completar 11 observaciones; cobertura válida parcial aproximada de 57.1 %."}
+PRODUCT, FETCHED_BY, NOT_FETCHED = "SENTINEL2_L2A", "openEO Copernicus Data Space", "pendiente_descarga"
+LEAST_BANDS = ("B03", "B04", "B08", "SCL")
+
 # Fixed values of the domain: columns of the tables, in their order.
 _TEXT, _DAY, _REAL, _WHOLE = StringType(), DateType(), DoubleType(), LongType()
 SCENE_MANIFEST = StructType([
