@@ -55,7 +55,9 @@ CLASSES = 32
 HASH_BITS = 12
 ROUNDS = 2
 RATE = 0.25
-BATCH = 4_096
+BATCH = 8_192
+#: Bound of a logit, so that no exponential is out of range.
+CLIP = 60.0
 BLOCKS = 16
 #: Arrays of tasks that one group adds up; more are added in levels.
 FAN = 64
@@ -164,29 +166,31 @@ def padded(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def logits(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = weights[rows[0]] + bias
+    z = weights.take(rows[0], axis=0)
+    z += bias
     for r in rows[1:]:
-        z += weights[r]
-    return z
+        z += weights.take(r, axis=0)
+    return np.clip(z, -CLIP, CLIP, out=z)
 
 
 def train_on(weights: np.ndarray, bias: np.ndarray, seq: np.ndarray, at: np.ndarray, classes: np.ndarray, tops: int, squares: np.ndarray) -> None:
     """Gradient steps in place, with a rate for every row that falls with its squared gradients."""
     rows = [f[at].astype(np.uint16) for f in features(seq, tops)]
     y = classes[seq[at]]
+    ones = np.ones(weights.shape[1], np.float32)
     for lo in range(0, len(at), BATCH):
         part = [r[lo : lo + BATCH] for r in rows]
         g = logits(weights, bias, part)
-        np.exp(g - g.max(axis=1, keepdims=True), out=g)
-        g /= g.sum(axis=1, keepdims=True)
+        np.exp(g, out=g)
+        g /= (g @ ones)[:, None]
         g[np.arange(len(g)), y[lo : lo + BATCH]] -= 1
-        bias -= RATE * g.mean(axis=0)
+        bias -= RATE / len(g) * (np.ones(len(g), np.float32) @ g)
         for r in part:
             order = np.argsort(r, kind="stable")  # rows are 16-bit numbers: sorted in linear time
             rows_ = r[order]
             first = np.flatnonzero(np.concatenate(([True], rows_[1:] != rows_[:-1])))
             found = rows_[first]
-            d = np.add.reduceat(g[order], first, axis=0)
+            d = np.add.reduceat(g.take(order, axis=0), first, axis=0)
             squares[found] += np.einsum("ij,ij->i", d, d) / d.shape[1]
             d *= (RATE / np.sqrt(1.0 + squares[found]))[:, None]
             weights[found] -= d
@@ -199,10 +203,10 @@ def log_probabilities(weights: np.ndarray, bias: np.ndarray, fixed: np.ndarray,
     o = seq[at]
     for lo in range(0, len(at), 16_384):
         z = logits(weights, bias, [r[lo : lo + 16_384] for r in rows])
-        top = z.max(axis=1)
-        mass = np.log(np.exp(z - top[:, None]).sum(axis=1, dtype=np.float64)) + top
         mine = o[lo : lo + 16_384]
-        out[lo : lo + 16_384] = (z[np.arange(len(z)), classes[mine]] - mass) / np.log(10) + fixed[mine]
+        own = z[np.arange(len(z)), classes[mine]].astype(np.float64)
+        mass = np.log(np.exp(z, out=z) @ np.ones(z.shape[1]))
+        out[lo : lo + 16_384] = (own - mass) / np.log(10) + fixed[mine]
     return out
 
 
