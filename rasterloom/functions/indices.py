@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -194,3 +195,27 @@ def relative_path(path: Column, root: str) -> Column:
     """The path below ``root``; unchanged elsewhere."""
     prefix = root.rstrip("/") + "/"
     return F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
+
+
+#: Per-pixel formulas by name: the bands they take, in order, and the function of these columns.
+FORMULAS: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
+    "ndvi": (("b08", "b04"), ndvi),
+    "ndwi": (("b03", "b08"), ndwi),
+    "ndci": (("b04", "b05"), ndci),
+    "clorofila": (("b04", "b05"), lambda red, edge: chlorophyll(ndci(red, edge))),
+    "agua": (("b04", "b03", "b02", "b08", "b11", "b12"), water_body),
+    "algas": (("b04", "b07", "b8a"), floating_algae),
+}
+
+
+def register(name: str, bands: Sequence[str], function: Callable[..., Column]) -> None:
+    """Add a formula; a name that is taken is an error."""
+    if name in FORMULAS:
+        raise ValueError(f"formula {name} exists")
+    FORMULAS[name] = (tuple(bands), function)
+
+
+def formula(name: str, where: Callable[[str], Column] = F.col) -> Column:
+    """The column of a formula over the bands that ``where`` gives by name; NaN in a band counts as missing."""
+    bands, function = FORMULAS[name]
+    return function(*(number(where(b)) for b in bands))

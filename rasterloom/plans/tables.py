@@ -155,6 +155,16 @@ def floating_algae(spark: SparkSession, sf: str) -> DataFrame:
     return A.bands(spark, sf).select("id", "scl", "b1", out.alias("fai"), M.masked(M.class_water(c("scl")), c("b3")).alias("solo_agua"))
 
 
+@query(
+    ", x AS (SELECT id, scl, b1, b1 / 50 AS r, b2 / 100000 AS e, b3 AS n FROM bands) SELECT id, scl, b1, round((n - r) / nullif(n + r, 0), 6) AS ndvi, round((e - r) / nullif(e + r, 0), 6) AS ndci, round((826.57 * c - 176.43) * c * c + 19.0 * c + 4.071, 4) AS clorofila FROM (SELECT *, (e - r) / nullif(e + r, 0) AS c FROM x)",
+    "bands",
+)
+def per_pixel_formulas(spark: SparkSession, sf: str) -> DataFrame:
+    band = {"b04": F.col("b1") / 50, "b05": F.col("b2") / 100000, "b08": F.col("b3")}
+    value = {n: M.formula(n, band.__getitem__) for n in ("ndvi", "ndci", "clorofila")}
+    return A.bands(spark, sf).select("id", "scl", "b1", F.round(value["ndvi"], 6).alias("ndvi"), F.round(value["ndci"], 6).alias("ndci"), F.round(value["clorofila"], 4).alias("clorofila"))
+
+
 @query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 100.0::DOUBLE ELSE CAST(s_nationkey AS DOUBLE) * s_nationkey END AS area FROM supplier")
 def pixel_area(spark: SparkSession, sf: str) -> DataFrame:
     s = A.table(spark, sf, "supplier")

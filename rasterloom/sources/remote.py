@@ -142,6 +142,12 @@ def fetch_outline(send: Transport, url: str, names: Sequence[str], box: tuple[fl
     raise RemoteError(f"no outline for {list(names)}")
 
 
+def inspect_collection(connect: Callable[[], object], wanted: Sequence[str]) -> dict[str, list[str]]:
+    """Bands that a collection offers, and those of the wanted ones that it lacks."""
+    offered = sorted(connect().bands())
+    return {"ofrecidas": offered, "faltan": sorted(set(wanted) - set(offered))}
+
+
 def download_scene(connect: Callable[[], object], zone: str, fecha: str, bands: Sequence[str], folder: str) -> list[str]:
     """Run a collection job of an injected client into a folder that must not hold files yet."""
     if os.path.isdir(folder) and os.listdir(folder):

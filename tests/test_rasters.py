@@ -240,3 +240,23 @@ def test_folders_and_boxes(spark, work, tmp_path):
     tables.write_geojson(spark.createDataFrame([("atitlan", 0, k, float(k), 1.0) for k in range(4)], "lago string, ring int, k int, x double, y double"), str(tmp_path / "w2" / "boxes"))
     with pytest.raises(InputDataError, match="not overwritten"):
         W.prepare(spark, str(tmp_path / "w2"))
+
+
+def test_formulas_and_collections(spark):
+    from rasterloom.functions import indices as M
+
+    M.register("doble", ["b04"], lambda red: 2 * red)
+    try:
+        df = spark.createDataFrame([(1.5, 0.5), (float("nan"), 0.5)], "b04 double, b08 double")
+        got = df.select(M.formula("doble").alias("d"), M.formula("ndvi").alias("v")).collect()
+        assert [(r.d, r.v) for r in got] == [(3.0, -0.5), (None, None)]
+        with pytest.raises(ValueError, match="exists"):
+            M.register("doble", [], None)
+    finally:
+        del M.FORMULAS["doble"]
+
+    class Client:
+        def bands(self):
+            return ["B04", "B03"]
+
+    assert remote.inspect_collection(Client, ["B03", "B99"]) == {"ofrecidas": ["B03", "B04"], "faltan": ["B99"]}
