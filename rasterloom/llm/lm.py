@@ -62,7 +62,7 @@ BLOCKS = 16
 #: Arrays of tasks that one group adds up; more are added in levels.
 FAN = 64
 #: Tokens of a shard of histories, about; shards at least.
-SHARD, SHARDS = 4_000_000, 16
+SHARD, SHARDS = 2_000_000, 16
 #: Rows and tokens of a batch whose tokens are dealt to the shards together, about.
 DEALT = 1_024, 1_000_000
 #: Steps, rate and L1 penalty of the weights of histories and outputs.
@@ -293,17 +293,22 @@ def fit_shard(history: np.ndarray, output: np.ndarray, learn: np.ndarray, share:
     histories at once. Z is exact, since outputs without a weight keep their share.
     """
     if not len(history):
-        return np.zeros(0)
-    key = (history.astype(np.uint64) << np.uint64(22)) | (classes[output].astype(np.uint64) << np.uint64(16)) | output.astype(np.uint64)
+        return np.zeros(0, np.float32)
+    low = (classes.astype(np.uint64) << np.uint64(16)) | np.arange(len(classes), dtype=np.uint64)
+    key = history.astype(np.uint64)
+    key <<= np.uint64(22)
+    key |= low[output]
     order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    pair = np.cumsum(new) - 1  # number of the (history, class, output) of each ordered token
-    first = ordered[new]
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    first = key[new]
+    del key
+    pair = np.cumsum(new, dtype=np.int32) - np.int32(1)  # number of the (history, class, output) of each ordered token
     n = np.bincount(pair, weights=learn[order])
-    of = lambda shift: np.cumsum(np.concatenate(([True], first[1:] >> np.uint64(shift) != first[:-1] >> np.uint64(shift)))) - 1
+    of = lambda shift: np.cumsum(np.concatenate(([True], first[1:] >> np.uint64(shift) != first[:-1] >> np.uint64(shift))), dtype=np.int32) - np.int32(1)
     group, whole = of(16), of(22)  # of (history, class), of the history
-    q = share[(first & np.uint64(0xFFFF)).astype(np.int64)]
+    q = share[(first & np.uint64(0xFFFF)).astype(np.int32)]
+    del first, new
     groups = int(group[-1]) + 1
     has = (n > 0) & (np.bincount(whole, weights=n)[whole] > 1)
     n_has, q_has, at = n[has], q[has], group[has]
@@ -317,9 +322,9 @@ def fit_shard(history: np.ndarray, output: np.ndarray, learn: np.ndarray, share:
         z = 1 + np.bincount(at, weights=q_has * np.expm1(w), minlength=groups)
     gain = -np.log(z)[group]
     gain[has] += w
-    out = np.empty(len(key))
-    out[order] = gain[pair]
-    return out / np.log(10)
+    out = np.empty(len(order), np.float32)
+    out[order] = (gain / np.log(10)).astype(np.float32)[pair]
+    return out
 
 
 def joint(spark: SparkSession, coded: DataFrame, closed, tokens: int) -> DataFrame:
@@ -363,7 +368,7 @@ def joint(spark: SparkSession, coded: DataFrame, closed, tokens: int) -> DataFra
     def learn(table: pa.Table) -> pa.Table:
         share, classes = closed.value[2], closed.value[1]
         h, o, row = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("h", "<u4"), ("o", "<u2"), ("row", "<u2")))
-        gain = fit_shard(h, o, row < 1 << 15, share, classes).astype(np.float32)
+        gain = fit_shard(h, o, row < 1 << 15, share, classes)
         row = row & 0x7FFF
         rows, gains, at = [], [], 0
         for raw in table.column("row").to_pylist():  # rows rise within a batch
