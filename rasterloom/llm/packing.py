@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import release, ship, stage
+from rasterloom.llm.common import ship, stage
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
