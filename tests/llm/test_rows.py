@@ -55,7 +55,6 @@ def test_reports_ignore_other_columns(spark, docs, labels):
     extra = docs.withColumns({c: F.lit(k) for k, c in enumerate(NAMES) if c not in docs.columns})
     for report in (simhash.report, quality.report, packing.report, lines.report, pieces.report, langid.report, lm.score, lambda s, d: kneser.report(s, d, labels)):
         assert sorted(map(str, report(spark, extra).collect())) == sorted(map(str, report(spark, docs).collect()))
-        assert report(spark, extra.limit(0)).count() == 0
     pages = spark.createDataFrame([(1, "u", "<p>x", 2, "z")], "page_id long, url string, html string, key int, block string")
     assert warc.report(spark, pages).first().text_chars == 1
 
