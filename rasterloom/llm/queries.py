@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import embeddings, kneser, langid, lines, lm, packing, pieces, quality, simhash, warc
+from rasterloom.llm import conversations, credentials, embeddings, kneser, langid, lines, lm, negatives, packing, pieces, quality, simhash, warc
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser.report(spark, read(f"{sf_dir}/documents.parquet"), read(f"{sf_dir}/labels.parquet"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_credential_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.report(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,7 +81,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_warc_derivatives,
         op10_quality_classifier,
+        op11_conversation_trie,
+        op12_hard_negatives,
+        op13_credential_scan,
     )
 }
 
-ORACLES: dict[str, str] = {"op4_quality_rules": quality.SQL, "quality_ablations": quality.ABLATIONS_SQL, "op6_line_dedup": lines.SQL}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality.SQL, "quality_ablations": quality.ABLATIONS_SQL, "op6_line_dedup": lines.SQL, "op13_credential_scan": credentials.SQL}
