@@ -120,8 +120,9 @@ OVER = {"name": BASE, "address": (*BASE, "name"), "token": (*BASE, "name", "addr
 
 def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     """The matches that are reported: all of the base, and weak ones whose other parts are near in their scope."""
-    by = Window.partitionBy("uid", "scope").orderBy("start", "kind")
-    past, future = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    by, before = Window.partitionBy("uid", "scope"), (Window.unboundedPreceding, -1)
+    past = by.orderBy("start", "kind").rowsBetween(*before)
+    future = by.orderBy(F.desc("start"), F.desc("kind")).rowsBetween(*before)  # a frame that ends at the last row would be summed anew for each row
     hidden = F.lit(False)
     for kind, over in OVER.items():
         cover = F.coalesce(F.max(F.when(_is(*over), F.col("end"))).over(past) > F.col("start"), F.lit(False))
