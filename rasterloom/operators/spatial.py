@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,60 @@ def inside(x: Column, y: Column, rings: Sequence[Ring]) -> Column:
     return F.aggregate(table, F.lit(0), lambda n, e: n + crosses(e)) % 2 == 1
 
 
+def edge_table(points: DataFrame, keys: Sequence[str] = ("lago",), ring: str = "ring") -> DataFrame:
+    """(keys, ring, x0, y0, x1, y1): the edges of rings whose points (keys, ring, k, x, y) come in order; open rings are closed."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy(*keys, ring).orderBy("k")
+    after = [F.coalesce(F.lead(c).over(by), F.first(c).over(by)).alias(f"{c}1") for c in ("x", "y")]
+    return points.select(*keys, ring, F.col("x").alias("x0"), F.col("y").alias("y0"), *after)
+
+
+def scanlines(edges_: DataFrame, keys: Sequence[str] = ("lago",), height: Column | int | None = None, offset: float = 0.5) -> DataFrame:
+    """(keys, row, desde, hasta): the runs of columns of a grid that lie inside outlines by the even-odd rule.
+
+    ``edges_`` are in pixel coordinates. A cell is inside if its centre (its index plus
+    ``offset``) is. Each edge is active on the rows whose centres it spans, and gives the place where
+    it crosses each; the sorted crossings of a row are its runs' ends, two by two. What is made
+    is a crossing for each edge and row it spans, however wide the grid.
+    """
+    keys = list(keys)
+    low, high = (F.ceil(f("y0", "y1") - offset).cast("int") for f in (F.least, F.greatest))
+    top = high - 1 if height is None else F.least(high - 1, (height if isinstance(height, Column) else F.lit(height)) - 1)
+    active = edges_.withColumns({"_a": F.greatest(low, F.lit(0)), "_b": top}).where("y0 <> y1 AND _a <= _b").withColumn("row", F.explode(F.sequence("_a", "_b")))
+    cross = F.col("x0") + (F.col("row") + offset - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
+    ends = active.select(*keys, "row", cross.alias("_x")).groupBy(*keys, "row").agg(F.array_sort(F.collect_list("_x")).alias("_x"))
+    column = lambda i: F.ceil(F.get("_x", i) - offset).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.size("_x") - 2, F.lit(2)), lambda i: F.struct(column(i).alias("desde"), (column(i + 1) - 1).alias("hasta")))
+    return ends.where(F.size("_x") > 1).select(*keys, "row", F.explode(pairs).alias("_r")).select(*keys, "row", "_r.desde", "_r.hasta").where("desde <= hasta")
+
+
+#: Runs that are sent to all executors at most (about 32 bytes each).
+RUNS = 1_000_000
+
+
+def _sent(runs: DataFrame) -> DataFrame:
+    return F.broadcast(runs) if runs.limit(RUNS + 1).count() <= RUNS else runs
+
+
+def within(cells: DataFrame, runs: DataFrame, keys: Sequence[str] = ("lago",)) -> DataFrame:
+    """The cells (keys, row, col) that lie in one of the runs of their row; the cells aren't shuffled while the runs are few."""
+    return _met(cells, runs, keys, "left_semi")
+
+
+def _met(cells: DataFrame, runs: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    other = _sent(runs.select(*(F.col(k).alias(f"_{k}") for k in (*keys, "row")), "desde", "hasta", F.lit(True).alias("_in")))
+    same = F.col("col").between(F.col("desde"), F.col("hasta"))
+    for k in (*keys, "row"):
+        same &= F.col(k) == F.col(f"_{k}")
+    return cells.join(other, same, how)
+
+
+def marked(cells: DataFrame, runs: DataFrame, keys: Sequence[str] = ("lago",), name: str = "dentro") -> DataFrame:
+    """All cells, with whether they lie in one of the runs (a cell lies in one at most)."""
+    return _met(cells, runs, keys, "left").select(*cells.columns, F.coalesce("_in", F.lit(False)).alias(name))
+
+
 def ring_area(points: DataFrame, keys: Sequence[str], order: str = "k") -> DataFrame:
     """Shoelace area of the closed ring whose points each group holds in order."""
     from pyspark.sql import Window
@@ -84,6 +139,38 @@ def to_utm(lon: Column, lat: Column, zone: int = 15) -> tuple[Column, Column]:
     return 500000 + _K0 * radius * x, _K0 * radius * y
 
 
+def utm_arrays(lon: np.ndarray, lat: np.ndarray, zone: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """The same for arrays."""
+    n = _F / (2 - _F)
+    radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    e = 2 * math.sqrt(n) / (1 + n)
+    s = np.sin(np.radians(lat))
+    lam = np.radians(lon - (6 * zone - 183))
+    t = np.sinh(np.arctanh(s) - e * np.arctanh(e * s))
+    xi, eta = np.arctan2(t, np.cos(lam)), np.arctanh(np.sin(lam) / np.sqrt(1 + t * t))
+    x, y = eta, xi
+    for j, a in enumerate((n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240), 1):
+        x = x + a * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+        y = y + a * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+    return 500000 + _K0 * radius * x, _K0 * radius * y
+
+
+def degree_arrays(east: np.ndarray, north: np.ndarray, zone: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """Longitude and latitude of arrays of northern UTM points."""
+    n = _F / (2 - _F)
+    radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    xi, eta = north / (_K0 * radius), (east - 500000) / (_K0 * radius)
+    a, b = xi, eta
+    for j, k in enumerate((n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480), 1):
+        a = a - k * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+        b = b - k * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+    chi = np.arcsin(np.sin(a) / np.cosh(b))
+    lat = chi
+    for j, k in enumerate((2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15), 1):
+        lat = lat + k * np.sin(2 * j * chi)
+    return 6 * zone - 183 + np.degrees(np.arctan2(np.sinh(b), np.cos(a))), np.degrees(lat)
+
+
 def from_utm(east: Column, north: Column, zone: int = 15) -> tuple[Column, Column]:
     """Longitude and latitude of a northern UTM point."""
     n = _F / (2 - _F)
@@ -213,18 +300,22 @@ def outlines(spark: SparkSession, zones: dict[str, Sequence[Ring]]) -> DataFrame
 
 
 def warp_wgs84(source: DataFrame, keys: Sequence[str], origin: tuple[float, float], pixel: float, bounds: tuple[float, float, float, float], width: int, height: int, most: int = 1000, zone: int = 15) -> DataFrame:
-    """A UTM grid (keys, row, col, v) on a longitude-latitude grid of at most ``most`` pixels a side.
+    """A UTM grid (keys, row, col, v) on a longitude-latitude grid of at most ``most`` pixels a side; NULL where no neighbour is valid.
 
-    ``origin`` is the grid's upper left corner, ``bounds`` are west, east, south, north.
+    ``origin`` is the grid's upper left corner, ``bounds`` are west, east, south, north. Tiles, not pixels, meet in the shuffle.
     """
+    from rasterloom.operators import tiles
+
     scale = min(1.0, most / max(width, height))
     w, h = max(1, round(width * scale)), max(1, round(height * scale))
     west, east, south, north = bounds
+    grid = lambda *v: F.struct(*(F.lit(x).alias(n) for n, x in zip(("crs", "x", "y", "px", "py", "width", "height"), v, strict=True)))
+    every = (1 << 31) - 1  # the source's own cells bound it
+    of = grid(32600 + zone, float(origin[0]), float(origin[1]), float(pixel), float(pixel), every, every)
+    to = grid(4326, float(west), float(north), (east - west) / w, (north - south) / h, w, h)
+    made = tiles.from_cells(source, keys)
+    scenes = made.select(*keys).distinct().withColumns({"of": of, "to": to})
+    found = tiles.cells(tiles.resample(made, scenes, keys), keys)
     cells = source.sparkSession.range(w * h).select((F.col("id") / w).cast("int").alias("row"), (F.col("id") % w).cast("int").alias("col"))
-    lon = west + (F.col("col") + 0.5) * ((east - west) / w)
-    lat = north - (F.col("row") + 0.5) * ((north - south) / h)
-    e, n = to_utm(lon, lat, zone)
-    placed = cells.withColumns({"_y": (origin[1] - n) / pixel - 0.5, "_x": (e - origin[0]) / pixel - 0.5})
-    placed = source.select(*keys).distinct().join(placed)  # a row a scene, times the capped grid
-    out = align_bilinear(source, placed, keys, F.col("_y"), F.col("_x"))
-    return out.drop("_y", "_x")
+    every = scenes.select(*keys).join(cells)  # a row a scene, times the capped grid
+    return every.join(found, [*keys, "row", "col"], "left")

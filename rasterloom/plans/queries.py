@@ -315,7 +315,8 @@ _EDGES = "e(x0, y0, x1, y1) AS (VALUES " + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE
     "tile",
 )
 def point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
-    t = A.tile(spark, sf).withColumn("dentro", spatial.inside(F.col("col").cast("double"), F.col("row").cast("double"), _OUTLINE))
+    runs = spatial.scanlines(spatial.edge_table(spatial.outlines(spark, {"todas": _OUTLINE})), (), offset=0.0)
+    t = spatial.marked(A.tile(spark, sf), runs, ())
     return t.groupBy("lago").agg(F.count(F.lit(1)).alias("n_celdas"), F.count_if("dentro").alias("n_dentro"), F.count_if(F.col("dentro") & (F.col("v") >= 0)).alias("n_validas"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rasterloom import schema as S
 from rasterloom.functions import indices as M
 from rasterloom.operators import checks, compare, correlate, render, scenes, series, spatial
+from rasterloom.operators import tiles as tiles_
 from rasterloom.plans import analogs as A
 from rasterloom.plans.queries import _EXPECTED, _LONG, _PAIRS, _WBI, ORACLES, QUERIES, _rounded, query, r6, text, utm_sql
 from rasterloom.sources import tables
@@ -171,16 +172,30 @@ def pixel_area(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("id"), M.pixel_area(F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey").cast("double"))).alias("area"))
 
 
+_STAR = "((y0 > row + 0.5) <> (y1 > row + 0.5) AND col + 0.5 < x0 + (row + 0.5 - y0) / nullif(y1 - y0, 0) * (x1 - x0))::INT"
+#: Each zone's outline: a star of 40 points about a centre that moves with the zone, in pixels.
+_STAR_POINTS = "p AS (SELECT lago, k, 32 + 3 * (lago % 5) + (CASE WHEN k % 2 = 0 THEN 24 ELSE 11 END) * cos(k * 0.15707963267948966) AS x, 200 + 20.0::DOUBLE * (lago % 7) + (CASE WHEN k % 2 = 0 THEN 180 ELSE 70 END) * sin(k * 0.15707963267948966) AS y FROM (SELECT DISTINCT lago FROM tile), range(40) k(k))"
+
+
+def _stars(spark: SparkSession, sf: str) -> DataFrame:
+    """Outlines (lago, ring, k, x, y) of the zones of ``tile``."""
+    z = A.table(spark, sf, "embeddings").select(F.col("label").alias("lago")).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    odd, turn = F.col("k") % 2 == 0, F.col("k") * 0.15707963267948966
+    x = 32 + 3 * (F.col("lago") % 5) + F.when(odd, 24).otherwise(11) * F.cos(turn)
+    y = 200 + 20.0 * (F.col("lago") % 7) + F.when(odd, 180).otherwise(70) * F.sin(turn)
+    return z.select("lago", F.lit(0).alias("ring"), "k", x.alias("x"), y.alias("y"))
+
+
 @query(
-    ", f AS (SELECT id, lago, (scl <> 3)::INT AS valido, CASE WHEN scl % 2 = 0 THEN b3 END AS v FROM bands) SELECT lago, count(*) AS n, count(v) FILTER (valido = 1) AS n_validos, round(avg(v) FILTER (valido = 1), 6) AS media FROM f GROUP BY lago",
-    "bands",
+    f", {_STAR_POINTS}, e AS (SELECT lago, x AS x0, y AS y0, coalesce(lead(x) OVER (PARTITION BY lago ORDER BY k), first(x) OVER (PARTITION BY lago ORDER BY k)) AS x1, coalesce(lead(y) OVER (PARTITION BY lago ORDER BY k), first(y) OVER (PARTITION BY lago ORDER BY k)) AS y1 FROM p), "
+    f"d AS (SELECT lago, row, col, v, sum({_STAR}) % 2 = 1 AS dentro FROM tile JOIN e USING (lago) GROUP BY ALL) SELECT lago, count(*) AS n, count(*) FILTER (dentro) AS n_dentro, count(v) FILTER (dentro AND v > 0) AS n_positivos, round(avg(v) FILTER (dentro), 6) AS media FROM d GROUP BY lago",
+    "tile",
 )
 def pixel_mask_join(spark: SparkSession, sf: str) -> DataFrame:
-    b = A.bands(spark, sf)
-    mask = b.select("scl").distinct().withColumn("valido", M.class_valid(F.col("scl")) | (F.col("scl") != 3))
-    met = b.withColumn("v", F.when(F.col("scl") % 2 == 0, F.col("b3"))).join(F.broadcast(mask), "scl", "left")  # twelve classes
-    v = M.masked(F.col("valido"), F.col("v"))
-    return met.groupBy("lago").agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("n_validos"), F.round(F.avg(v), 6).alias("media"))
+    """Every zone's cells against its own outline, by (zone, row, run)."""
+    t = spatial.marked(A.tile(spark, sf), spatial.scanlines(spatial.edge_table(_stars(spark, sf))))
+    v = M.masked(F.col("dentro"), F.col("v"))
+    return t.groupBy("lago").agg(F.count(F.lit(1)).alias("n"), F.count_if("dentro").alias("n_dentro"), F.count_if(v > 0).alias("n_positivos"), F.round(F.avg(v), 6).alias("media"))
 
 
 # -- texts ------------------------------------------------------------------------------
@@ -269,17 +284,34 @@ _ORIGIN = (682000.0, 1594000.0)
 
 @query(
     f", g AS (SELECT * FROM {utm_sql('(SELECT r AS row, c AS col, -91.3::DOUBLE + (c + 0.5::DOUBLE) * (0.01::DOUBLE / 40) AS lon, 14.41::DOUBLE - (r + 0.5::DOUBLE) * (0.01::DOUBLE / 40) AS lat FROM range(40) r(r), range(40) c(c))')}), "
-    f"q AS (SELECT row, col, ({_ORIGIN[1]!r}::DOUBLE - norte) / 20 - 0.5::DOUBLE AS y, (este - {_ORIGIN[0]!r}::DOUBLE) / 20 - 0.5::DOUBLE AS x FROM g), t AS (SELECT lago, row AS sr, col AS sc, v FROM tile WHERE row < 200), z AS (SELECT DISTINCT lago FROM t), "
+    f"q AS (SELECT row, col, ({_ORIGIN[1]!r}::DOUBLE - norte) / 20 - 0.5::DOUBLE AS y, (este - {_ORIGIN[0]!r}::DOUBLE) / 20 - 0.5::DOUBLE AS x FROM g), t AS (SELECT lago, row AS sr, col AS sc, v FROM tile), z AS (SELECT DISTINCT lago FROM t), "
     "n AS (SELECT z.lago, q.row, q.col, t.v, (1 - abs(q.y - t.sr)) * (1 - abs(q.x - t.sc)) AS w FROM z CROSS JOIN q LEFT JOIN t ON t.lago = z.lago AND t.sr IN (floor(q.y), floor(q.y) + 1) AND t.sc IN (floor(q.x), floor(q.x) + 1)) "
     "SELECT lago, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(sum(w * v) / nullif(sum(w) FILTER (v IS NOT NULL), 0), 5) AS v FROM n GROUP BY lago, row, col",
     "tile",
 )
 def warp_to_degrees(spark: SparkSession, sf: str) -> DataFrame:
-    t = A.tile(spark, sf).where("row < 200").withColumn("row", F.col("row").cast("int"))
+    t = A.tile(spark, sf).withColumn("row", F.col("row").cast("int"))
     out = spatial.warp_wgs84(t, ["lago"], _ORIGIN, 20.0, _BOUNDS, 40, 40)
     return out.select("lago", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.round("v", 5).alias("v"))
 
 
+@query(
+    "WITH s AS (SELECT label AS lago, vec_id AS sr, p - 1 AS sc, CAST(embedding[p] AS DOUBLE) AS v FROM (SELECT label, vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS p FROM embeddings) WHERE embedding[p] >= -0.1), "
+    "h AS (SELECT label AS lago, max(vec_id) + 1 AS n FROM embeddings GROUP BY label), g AS (SELECT lago, r, c, (r + 0.5::DOUBLE) * 2.5::DOUBLE + 0.75::DOUBLE - 0.5::DOUBLE AS y, (c + 0.5::DOUBLE) * 1.6::DOUBLE + 0.25::DOUBLE - 0.5::DOUBLE AS x FROM (SELECT lago, unnest(range(CAST(ceil(n / 2.5::DOUBLE) AS BIGINT))) AS r FROM h), range(40) t(c)), "
+    "n AS (SELECT g.lago, r, c, v, (1 - abs(y - sr)) * (1 - abs(x - sc)) AS w FROM g JOIN s ON s.lago = g.lago AND sr IN (floor(y), floor(y) + 1) AND sc IN (floor(x), floor(x) + 1)) "
+    "SELECT lago, r AS row, c AS col, round(sum(w * v) / sum(w), 6) AS v FROM n WHERE w > 0 GROUP BY lago, r, c"
+)
+def resampled_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Each zone's cells on a coarser, shifted grid; rows of cells become tiles, and only tiles are shuffled."""
+    e = A.table(spark, sf, "embeddings").select(F.col("label").alias("lago"), F.col("vec_id").cast("int").alias("row"), F.lit(0).alias("col"), F.transform("embedding", lambda x: F.when(x >= -0.1, x.cast("double"))).alias("v"))
+    made = tiles_.build(e, ["lago"])
+    n = F.max("row") + 1
+    grid = lambda x, y, px, py, w, h: F.struct(F.lit(32615).alias("crs"), *(F.lit(float(v)).alias(k) for k, v in zip(("x", "y", "px", "py"), (x, y, px, py), strict=True)), F.lit(w).alias("width"), h.cast("int").alias("height"))
+    plan = e.groupBy("lago").agg(grid(0, 0, 1, 1, 64, n).alias("of"), grid(0.25, -0.75, 1.6, 2.5, 40, F.ceil(n / 2.5)).alias("to"))
+    out = tiles_.cells(tiles_.resample(made, plan, ["lago"]), ["lago"]).where("v IS NOT NULL")
+    return out.select("lago", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), r6("v"))
+
+
 @query(", a AS (SELECT lago, row, col, v FROM tile WHERE row % 2 = 0) SELECT t.lago, t.row, t.col, round(a.v, 6) AS v FROM tile t LEFT JOIN a USING (lago, row, col)", "tile")
 def align_equal_grids(spark: SparkSession, sf: str) -> DataFrame:
     t = A.tile(spark, sf)
@@ -332,7 +364,7 @@ def dates_and_pooled(spark: SparkSession, sf: str) -> DataFrame:
 )
 def outlined_distribution(spark: SparkSession, sf: str) -> DataFrame:
     half = [[(0.0, 0.0), (32.0, 0.0), (32.0, 250.0), (0.0, 250.0)]]
-    t = A.tile(spark, sf).where(spatial.inside(F.col("col") + 0.5, F.col("row") + 0.5, half))
+    t = spatial.within(A.tile(spark, sf), spatial.scanlines(spatial.edge_table(spatial.outlines(spark, {"mitad": half})), ()), ())
     out = scenes.distribution(t, keys=("lago",)).select("lago", "n_pixeles", "min", "mediana", "max", "media", "desviacion_std")
     return _rounded(out, "min", "mediana", "max", "media", "desviacion_std")
 

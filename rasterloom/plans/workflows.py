@@ -3,7 +3,8 @@
     <work>/scenes       manifest of scenes (CSV)          prepare
     <work>/boxes        query boxes of the zones (GeoJSON) prepare
     <work>/rasters      files that the manifest declares  input
-    <work>/bands        b02..b12, scl by pixel (Parquet)  ingest
+    <work>/tiles        bands and layers as tiles (Parquet) compute
+    <work>/bands        b02..b12, scl by pixel (Parquet)  input instead of rasters
     <work>/grids        grid of each zone (CSV)           input, for outlines
     <work>/outlines     outlines in degrees (GeoJSON)     input, where there are any
     <work>/pixels       indices by pixel (Parquet)        compute
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from rasterloom import schema as S
 from rasterloom.functions import indices as M
 from rasterloom.operators import checks, compare, correlate, render, scenes, series, spatial
+from rasterloom.operators import tiles as T
 from rasterloom.operators.scenes import InputDataError
 from rasterloom.sources import tables
 
@@ -64,17 +66,68 @@ def plan(spark: SparkSession, work: str) -> DataFrame:
 
 
 BANDS = ("B02", "B03", "B04", "B05", "B08", "B11", "B12", "SCL")
+#: Bands that the cyano index is derived from where no layer of it was fetched.
+DERIVE = ("b02", "b03", "b04", "b05", "b08", "b11", "b12")
+#: Fetched layers of the cyano index: <zone>/<date>/cyano....tif or <zone>_<date>_...cyano....tif
+LAYER = r"([a-z]+)[/_](\d{4}-\d{2}-\d{2})[/_][^/]*cyano[^/]*[.]tiff?$"
 
 
-def ingest(spark: SparkSession, work: str) -> DataFrame:
-    """Bands by pixel from the rasters that the manifest of scenes declares (those without a file are left for later)."""
+def layers(spark: SparkSession, work: str) -> DataFrame:
+    """(lago, fecha, path) of the fetched cyano layer of each scene that has one; the first by name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*cyano*.tif*").load(f"{work}/rasters").select("path")
+    found = files.select(F.regexp_extract("path", LAYER, 1).alias("lago"), F.to_date(F.nullif(F.regexp_extract("path", LAYER, 2), F.lit(""))).alias("fecha"), "path")
+    return found.where("lago <> ''").groupBy(*KEYS).agg(F.min("path").alias("path"))
+
+
+def scan(spark: SparkSession, work: str, rows: DataFrame) -> None:
+    """Append the tiles of the scenes' rasters, and of their cyano layers, to ``tiles``: partitioned by scene, so that a scene scanned again replaces its own."""
     from rasterloom.sources import geotiff
 
+    root = f"{work}/rasters"
+    bands = geotiff.read_tiles(spark, geotiff.declared_files(rows, root), BANDS, root)
+    layer = geotiff.read_tiles(spark, layers(spark, work).join(rows.select(*KEYS), KEYS, "left_semi"), ["cyano"], root)
+    bands.unionByName(layer).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(f"{work}/tiles")
+
+
+def read_tiles(spark: SparkSession, work: str) -> DataFrame:
+    return spark.read.parquet(f"{work}/tiles").withColumn("fecha", F.to_date("fecha"))
+
+
+def scene_grids(tiles_: DataFrame) -> DataFrame:
+    """(lago, fecha, grid) of the scenes' bands; only keys and grids are read."""
+    return tiles_.where("band <> 'cyano'").groupBy(*KEYS).agg(F.min("grid").alias("grid"))
+
+
+def aligned(tiles_: DataFrame) -> DataFrame:
+    """Pixels of all bands on their scene's grid, with ``cyano`` from its own grid.
+
+    B03, B04, B08 and the classes are needed; ``bandas`` tells which of the others the pixel's tile has.
+    """
+    bands, layer = tiles_.where("band <> 'cyano'"), tiles_.where("band = 'cyano'")
+    plan_ = layer.groupBy(*KEYS).agg(F.min("grid").alias("of")).join(scene_grids(bands).withColumnRenamed("grid", "to"), KEYS)
+    moved = T.resample(layer, plan_, KEYS).select(*KEYS, "tr", "tc", F.col("w").alias("lw"), "v")
+    # every tile of a scene with a layer has the layer, if only without values
+    each = bands.where("band = 'b03'").select(*KEYS, "tr", "tc", "h", "w", "grid").join(plan_.select(*KEYS), KEYS).join(moved, [*KEYS, "tr", "tc"], "left")
+    each = each.select(*KEYS, F.lit("cyano").alias("band"), "grid", "tr", "tc", "h", F.coalesce("lw", "w").alias("w"), "v")
+    every = bands.select(*KEYS, "band", "grid", "tr", "tc", "h", "w", "v").unionByName(each)
+    names = [b.lower() for b in BANDS]
+    return T.wide(every, KEYS, [*names, "cyano"], needed=[b.lower() for b in S.LEAST_BANDS], present="bandas")
+
+
+def ingest(spark: SparkSession, work: str) -> DataFrame:
+    """Bands by pixel from the rasters that the manifest of scenes declares (those without a file are left for later)."""
     rows = prepare(spark, work).where("coalesce(ruta_local, '') <> ''")
     if rows.isEmpty():
         raise InputDataError("no scene of the manifest declares a raster")
-    bands = geotiff.read_bands(spark, rows, BANDS, f"{work}/rasters")
-    return bands.withColumn("scl", F.col("scl").cast("int"))
+    if not _exists(spark, f"{work}/tiles"):
+        scan(spark, work, rows)
+    return _named(aligned(read_tiles(spark, work)))
+
+
+def _named(pixels: DataFrame) -> DataFrame:
+    """The columns of a band table: the layer, if any, and whether the cyano index can be had."""
+    whole = F.size(F.array_intersect("bandas", F.array(*map(F.lit, DERIVE)))) == len(DERIVE)
+    return pixels.withColumns({"scl": F.col("scl").cast("int"), "capa": F.array_contains("bandas", "cyano"), "derivable": whole}).withColumnRenamed("cyano", "cyano_capa").drop("bandas")
 
 
 def validate(spark: SparkSession, work: str) -> DataFrame:
@@ -90,7 +143,10 @@ def validate(spark: SparkSession, work: str) -> DataFrame:
 
 
 def check_grid(spark: SparkSession, work: str) -> DataFrame:
-    """Scenes whose grid differs from that of their zone's first date."""
+    """Scenes whose grid (system, place, pixels and size) differs from that of their zone's first date; only sizes are known without tiles."""
+    if _exists(spark, f"{work}/tiles"):
+        found = compare.reference_grid(scene_grids(read_tiles(spark, work)))
+        return found.select(*KEYS, F.to_json("grid").alias("rejilla"), F.to_json("grid_referencia").alias("rejilla_referencia"))
     size = read_pixels(spark, work).groupBy(*KEYS).agg(F.struct((F.max("row") + 1).alias("alto"), (F.max("col") + 1).alias("ancho")).alias("grid"))
     return compare.reference_grid(size).select(*KEYS, "grid.alto", "grid.ancho", F.col("grid_referencia.alto").alias("alto_referencia"), F.col("grid_referencia.ancho").alias("ancho_referencia"))
 
@@ -111,14 +167,19 @@ def zone_outlines(spark: SparkSession, work: str) -> dict[str, list] | None:
 def compute(bands: DataFrame, nodata: float | None = None) -> DataFrame:
     """ndvi, ndwi and cyano of every pixel of a wide band table; NULL outside their masks.
 
-    ndvi and ndwi need water by class and data in all bands; cyano has its own water test.
+    ndvi and ndwi need water by class and data in their bands. cyano is the fetched layer where the scene has
+    one (``capa``), else it is derived, with its own water test, where all its bands are there; ``con_cyano`` tells whether either is.
     """
-    c = lambda b: M.number(F.col(b))
+    has = set(bands.columns)
+    c = lambda b: M.number(F.col(b)) if b in has else F.lit(None).cast("double")
     lake = M.class_valid(F.col("scl")) & M.class_water(F.col("scl")) & M.bands_valid(c("b03"), c("b04"), c("b08"), nodata=nodata)
     water = M.water_body(c("b04"), c("b03"), c("b02"), c("b08"), c("b11"), c("b12"))
+    fetched = F.col("capa") if "capa" in has else F.lit(False)
+    derivable = F.col("derivable") if "derivable" in has else F.lit(has.issuperset(DERIVE))
+    derived = M.masked(water, M.chlorophyll(M.ndci(c("b04"), c("b05"))))
     wide = {
         "ndvi": M.masked(lake, M.ndvi(c("b08"), c("b04"))), "ndwi": M.masked(lake, M.ndwi(c("b03"), c("b08"))),
-        "cyano": M.masked(water, M.chlorophyll(M.ndci(c("b04"), c("b05")))), "lago_valido": lake,
+        "cyano": F.when(fetched, c("cyano_capa")).when(derivable, derived), "lago_valido": lake, "con_cyano": fetched | derivable,
     }
     return bands.select(*KEYS, "row", "col", *(v.alias(k) for k, v in wide.items()))
 
@@ -126,37 +187,89 @@ def compute(bands: DataFrame, nodata: float | None = None) -> DataFrame:
 def long_form(pixels: DataFrame) -> DataFrame:
     """One row for each pixel and index."""
     parts = F.explode(F.array(*(F.struct(F.lit(i).alias("indice"), F.col(c).alias("v")) for i, c in (("ndvi", "ndvi"), ("ndwi", "ndwi"), ("cianobacteria", "cyano"))))).alias("e")
-    return pixels.select(*KEYS, "row", "col", "lago_valido", parts).select(*KEYS, "row", "col", "lago_valido", "e.indice", "e.v")
+    return pixels.select(*KEYS, "row", "col", "lago_valido", "con_cyano", parts).select(*KEYS, "row", "col", "lago_valido", "con_cyano", "e.indice", "e.v")
 
 
-def index_manifest(pixels: DataFrame, scenes_table: DataFrame, root: str) -> DataFrame:
-    """Manifest rows of all indices and scenes, in one pass over the pixels."""
+def index_manifest(pixels: DataFrame, scenes_table: DataFrame, root: str, grids_: DataFrame | None = None) -> DataFrame:
+    """Manifest rows of the indices that scenes have, in one pass over the pixels.
+
+    ``grids_(lago, fecha, grid)`` gives the system and resolution; without it they stay blank.
+    """
     v = F.col("v")
     low, high = (F.element_at(F.create_map(*(F.lit(x) for i, r in RANGES.items() for x in (i, r[k]))), F.col("indice")) for k in (0, 1))
-    out = long_form(pixels).groupBy(*KEYS, "indice").agg(
+    out = long_form(pixels).where("indice <> 'cianobacteria' OR con_cyano").groupBy(*KEYS, "indice").agg(
         F.count(v).alias("pixeles_validos"), F.count_if("lago_valido").alias("pixeles_lago"), F.round(100 * F.count(v) / F.count(F.lit(1)), 4).alias("cobertura_valida_pct"),
         F.avg(F.when(v.isNotNull(), ((v < low) | (v > high)).cast("double"))).alias("frac_valores_atipicos"),
     )
     partial = scenes_table.select(*KEYS, F.col("cobertura_valida_oficial_pct").isNotNull().alias("parcial"))
     out = out.join(partial, KEYS, "left")
+    if grids_ is not None:
+        out = out.join(grids_.select(*KEYS, F.concat(F.lit("EPSG:"), F.col("grid.crs").cast("string")).alias("crs"), F.col("grid.px").alias("resolucion_m")), KEYS, "left")
     unit = F.element_at(F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv)), F.col("indice"))
     added: dict[str, Column] = {
         "quality_flag": M.quality_flag(F.coalesce("parcial", F.lit(False)), F.col("frac_valores_atipicos")), "unidad": unit, "dtype": F.lit("float32"), "nodata": F.lit("nan"),
-        "resolucion_m": F.lit(float(S.TARGET_M)), "metodo": F.lit("spark"), "formula_version": F.lit("1"), "crs": F.lit("EPSG:32615"),
+        "metodo": F.when(F.col("indice") == "cianobacteria", "capa recibida o NDCI derivado").otherwise("bandas y clases de la escena"), "formula_version": F.lit("1"),
         "ruta_raster": F.concat_ws("/", F.lit(root), F.concat(F.lit("lago="), "lago"), F.concat(F.lit("fecha="), F.col("fecha").cast("string"))),
     }
-    return out.withColumns(added).select(*(F.col(c).cast(S.INDEX_MANIFEST[c].dataType).alias(c) for c in S.INDEX_MANIFEST.names))
+    out = out.withColumns(added)
+    return out.select(*((F.col(c) if c in out.columns else F.lit(None)).cast(S.INDEX_MANIFEST[c].dataType).alias(c) for c in S.INDEX_MANIFEST.names))
+
+
+def _swap(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Write a table beside ``path`` and put it in its place, so that ``df`` may read the old one."""
+    tables.write_csv(df, f"{path}.next", "overwrite", files=1)
+    old, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.next"))  # noqa: SLF001
+    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise InputDataError(f"{path} could not be replaced")
+
+
+def _by_scene(pixels: DataFrame, path: str) -> None:
+    """Replace the partitions of these scenes alone; a scene's rows are dealt by stripes."""
+    stripes = pixels.repartition(*KEYS, F.floor(F.col("row") / T.SIZE))
+    stripes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(path)
 
 
-def run_indices(spark: SparkSession, work: str) -> None:
-    if not _exists(spark, f"{work}/bands"):
-        ingest(spark, work).write.parquet(f"{work}/bands")
-    pixels = compute(spark.read.parquet(f"{work}/bands"))
-    pixels.repartition(*KEYS).write.mode("overwrite").partitionBy(*KEYS).parquet(f"{work}/pixels")
-    found = index_manifest(read_pixels(spark, work), prepare(spark, work), f"{work}/pixels")
+def run_indices(spark: SparkSession, work: str) -> int:
+    """Indices of the scenes that have rasters and none yet; scenes computed before stay untouched. Gives how many were computed.
+
+    Pixels go to their scene's partition alone, by stripes of rows, and the scenes' rows
+    of the manifest of indices replace the pending ones.
+    """
+    manifest = prepare(spark, work)
+    known = _exists(spark, f"{work}/indices")
+    done = tables.read_csv(spark, f"{work}/indices", S.INDEX_MANIFEST) if known else None
+    grids_, declared = None, manifest.where("coalesce(ruta_local, '') <> ''").select(*KEYS)
+    rasters = _exists(spark, f"{work}/rasters") and not declared.isEmpty()
+    read = lambda: spark.read.parquet(f"{work}/bands").withColumn("fecha", F.to_date("fecha"))
+    if not rasters and not _exists(spark, f"{work}/bands"):
+        raise InputDataError("no scene of the manifest declares a raster")
+    todo = declared if rasters else read().select(*KEYS).distinct()
+    if done is not None:  # also a scene whose layer has come since
+        ready = done.where(F.col("quality_flag") != S.PENDING).select(*KEYS, "indice")
+        late = layers(spark, work) if rasters else None
+        whole = ready.groupBy(*KEYS).agg(F.count_if(F.col("indice") == "cianobacteria").alias("c"))
+        if late is not None:
+            whole = whole.join(late.select(*KEYS, F.lit(1).alias("layer")), KEYS, "left").where("c > 0 OR layer IS NULL")
+        todo = todo.join(whole, KEYS, "left_anti")
+    todo = spark.createDataFrame(todo.collect(), "lago string, fecha date")  # a row a scene of the manifest
+    n = todo.count()
+    if not n:
+        return 0
+    if rasters:
+        scan(spark, work, manifest.join(todo, KEYS, "left_semi"))
+        tiles_ = read_tiles(spark, work).join(F.broadcast(todo), KEYS, "left_semi")
+        grids_ = scene_grids(tiles_)
+        _by_scene(_named(aligned(tiles_)), f"{work}/bands")
+    _by_scene(compute(read().join(F.broadcast(todo), KEYS, "left_semi")), f"{work}/pixels")
+    found = index_manifest(read_pixels(spark, work).join(F.broadcast(todo), KEYS, "left_semi"), manifest, f"{work}/pixels", grids_)
+    if done is not None:
+        found = found.unionByName(done.where(F.col("quality_flag") != S.PENDING).join(F.broadcast(todo), KEYS, "left_anti"))
     waiting = checks.missing_rows(checks.expected_indices(spark), found, [*KEYS, "indice"])  # scenes without rasters yet
     waiting = waiting.select(*((F.col(c) if c in waiting.columns else F.lit(None).cast(S.INDEX_MANIFEST[c].dataType)).alias(c) for c in S.INDEX_MANIFEST.names))
-    tables.write_csv(found.unionByName(waiting), f"{work}/indices", files=1)
+    _swap(spark, found.unionByName(waiting), f"{work}/indices")
+    return n
 
 
 def read_pixels(spark: SparkSession, work: str) -> DataFrame:
@@ -179,25 +292,33 @@ def temporal(spark: SparkSession, work: str) -> DataFrame:
     return named.join(_flags(spark, work), KEYS).select(*S.TEMPORAL_SUMMARY.names)
 
 
-def inside_outlines(pixels: DataFrame, outlines: dict[str, list] | None) -> DataFrame:
-    """Pixels whose centres (x, y) lie in their zone's outline; all of them without outlines."""
-    if not outlines:
-        return pixels
-    ok = F.lit(False)
-    for zone, rings in outlines.items():
-        ok = ok | ((F.col("lago") == zone) & spatial.inside(F.col("col") + 0.5, F.col("row") + 0.5, rings))
-    return pixels.where(ok)
+def zone_runs(spark: SparkSession, work: str, outlines: dict[str, list] | None = None) -> DataFrame | None:
+    """Runs of cells within the zones' outlines: those given in pixels, else those of the work folder, made once and kept in ``runs``."""
+    if outlines:
+        return spatial.scanlines(spatial.edge_table(spatial.outlines(spark, outlines)))
+    if not _exists(spark, f"{work}/outlines"):
+        return None
+    if not _exists(spark, f"{work}/runs"):
+        points = tables.read_outlines(spark, f"{work}/outlines").join(F.broadcast(tables.read_csv(spark, f"{work}/grids", S.GRIDS).select("lago", F.col("x").alias("gx"), F.col("y").alias("gy"), "resolucion", "alto")), "lago")  # a row a zone
+        e, n = spatial.to_utm(F.col("x"), F.col("y"))
+        at = points.select("lago", "alto", "ring", "k", ((e - F.col("gx")) / F.col("resolucion")).alias("x"), ((F.col("gy") - n) / F.col("resolucion")).alias("y"))
+        spatial.scanlines(spatial.edge_table(at, ("lago", "alto")), ("lago", "alto"), F.col("alto")).drop("alto").write.parquet(f"{work}/runs")
+    return spark.read.parquet(f"{work}/runs")
+
+
+def inside_outlines(pixels: DataFrame, runs: DataFrame | None) -> DataFrame:
+    """Pixels whose centres lie in their zone's outline; all of them without outlines."""
+    return pixels if runs is None else spatial.within(pixels, runs)
 
 
 def extent(spark: SparkSession, work: str, outlines: dict[str, list] | None = None) -> DataFrame:
     """Extent within the outlines given, or those of the work folder."""
-    outlines = outlines or zone_outlines(spark, work)
-    e = scenes.extent(inside_outlines(read_pixels(spark, work), outlines).withColumn("v", F.col("cyano")))
+    e = scenes.extent(inside_outlines(read_pixels(spark, work), zone_runs(spark, work, outlines)).withColumn("v", F.col("cyano")))
     return e.join(_flags(spark, work), KEYS).withColumn("resolucion_m", F.lit(float(S.TARGET_M))).select(*S.BLOOM_EXTENT.names)
 
 
 def persistence(spark: SparkSession, work: str, least_dates: int = 3) -> DataFrame:
-    return scenes.persistence(inside_outlines(read_pixels(spark, work), zone_outlines(spark, work)).withColumn("v", F.col("cyano")), least_dates=least_dates)
+    return scenes.persistence(inside_outlines(read_pixels(spark, work), zone_runs(spark, work)).withColumn("v", F.col("cyano")), least_dates=least_dates)
 
 
 def export_persistence(spark: SparkSession, work: str, out: str) -> None:
@@ -239,7 +360,7 @@ def correlations(spark: SparkSession, work: str) -> tuple[DataFrame, DataFrame]:
 
 
 def distributions(spark: SparkSession, work: str) -> DataFrame:
-    full = inside_outlines(read_pixels(spark, work), zone_outlines(spark, work)).where("cyano IS NOT NULL AND ndvi IS NOT NULL AND ndwi IS NOT NULL").withColumn("v", F.col("cyano"))
+    full = inside_outlines(read_pixels(spark, work), zone_runs(spark, work)).where("cyano IS NOT NULL AND ndvi IS NOT NULL AND ndwi IS NOT NULL").withColumn("v", F.col("cyano"))
     table = scenes.distribution(full).join(_flags(spark, work).drop("cobertura_valida_pct"), KEYS, "left")
     return compare.with_reasons(table, series.select_dates(temporal(spark, work), extent(spark, work)))
 
@@ -268,8 +389,7 @@ def run_all(spark: SparkSession, work: str) -> list[str]:
     """Manifest, indices and every table of the work folder; tables that are there already are kept."""
     prepare(spark, work)
     checks.require_none(validate(spark, work), "manifest")
-    if not _exists(spark, f"{work}/indices"):
-        run_indices(spark, work)
+    run_indices(spark, work)
     done = []
     for name in TABLES:
         if not _exists(spark, f"{work}/tables/{name}"):

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -266,69 +266,74 @@ def inspect_folder(spark: SparkSession, path: str) -> DataFrame:
     return inspect(files)
 
 
-STRIPE = 256
+def declared_files(rows: DataFrame, root: str, paths: str = "ruta_local") -> DataFrame:
+    """(lago, fecha, path): the files that rows declare, parted by ``;``, below ``root``."""
+    below = lambda c: F.when(c.rlike("^([a-z0-9]+:)?/"), c).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), c))
+    return rows.select("lago", "fecha", F.explode(F.split(paths, ";")).alias("p")).select("lago", "fecha", below(F.trim("p")).alias("path"))
 
 
-def read_bands(spark: SparkSession, rows: DataFrame, wanted: Sequence[str], root: str, paths: str = "ruta_local") -> DataFrame:
-    """(lago, fecha, row, col, the wanted bands in lower case) of scenes from the raster files that manifest rows declare.
+def _plain(c: Column | str) -> Column:
+    """A path without its scheme and double slashes."""
+    return F.regexp_replace(F.regexp_replace(c, "^[a-z0-9]+:/*", "/"), "/+", "/")
 
-    ``paths`` holds a scene's files, parted by ``;``, below ``root``. A blank or a file
-    that isn't there is an error. The files of a scene meet by stripes of rows, so no
-    task holds a whole scene of several files.
+
+def read_tiles(spark: SparkSession, declared: DataFrame, wanted: Sequence[str], root: str) -> DataFrame:
+    """(lago, fecha, band, grid, tr, tc, h, w, v) of the bands in the files ``declared(lago, fecha, path)`` below ``root``.
+
+    Bands are known by their descriptions, else by position if a file has all of them,
+    else by the file's name. A file that isn't there is an error. A task decodes one file.
     """
+    from rasterloom.operators.tiles import GRID, SIZE
     from rasterloom.session import ship
 
     ship(spark)
-    blank = rows.where(F.coalesce(F.col(paths), F.lit("")) == "").limit(5).collect()
-    if blank:
-        raise InputDataError("no raster declared for " + "; ".join(f"{r['lago']} {r['fecha']}" for r in blank))
-    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^[a-z0-9]+:/*", "/"), "/+", "/")
-    below = lambda c: F.when(c.rlike("^([a-z0-9]+:)?/"), c).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), c))
-    declared = rows.select("lago", "fecha", F.explode(F.split(paths, ";")).alias("_p")).select("lago", "fecha", plain(below(F.trim("_p"))).alias("_p"))
+    declared = declared.select("lago", "fecha", _plain("path").alias("_p"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tif*").load(root)
-    missing = declared.join(files.select(plain(F.col("path")).alias("_f")), F.col("_p") == F.col("_f"), "left_anti").limit(5).collect()
+    missing = declared.join(files.select(_plain("path").alias("_f")), F.col("_p") == F.col("_f"), "left_anti").limit(5).collect()
     if missing:
         raise InputDataError("no such raster: " + "; ".join(r["_p"] for r in missing))
-    met = files.join(F.broadcast(declared.limit(1_000_000)), plain(F.col("path")) == F.col("_p"))  # a row a file of the manifest
     names = [b.lower() for b in wanted]
+    fields = ["crs", "x", "y", "px", "py", "width", "height"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lago, fecha, path, raw in zip(*(batch.column(c).to_pylist() for c in ("lago", "fecha", "path", "content")), strict=True):
+            for k, (path, raw) in enumerate(zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)):
                 raster = decode(raw)
                 shown = raster.bands or ([*names] if raster.data.shape[0] == len(names) else [])
                 if not shown:
                     found = [b for b in names if b in os.path.basename(path).lower()]
                     shown = found if len(found) == raster.data.shape[0] else []
-                grid = json.dumps(raster.grid)
-                for k, band in enumerate(b.lower() for b in shown):
-                    if band in names:
-                        v = raster.values(k)
-                        for y in range(0, v.shape[0], STRIPE):
-                            part = v[y : y + STRIPE]
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([lago]), pa.array([fecha], pa.date32()), pa.array([y], pa.int32()), pa.array([band]), pa.array([part.shape[1]], pa.int32()), pa.array([grid]), pa.array([part.astype("<f8").tobytes()], pa.binary())],
-                                ["lago", "fecha", "stripe", "band", "width", "grid", "v"],
-                            )
-
-    def join(table: pa.Table) -> pa.Table:
-        part = {b: (w, g, v) for b, w, g, v in zip(*(table.column(c).to_pylist() for c in ("band", "width", "grid", "v")), strict=True)}
-        at = f"{table.column('lago')[0]} {table.column('fecha')[0]}"
-        if set(part) != set(names):
-            raise InputDataError(f"{at}: no band {sorted(set(names) - set(part))}")
-        if len({g for _, g, _ in part.values()}) > 1:
-            raise InputDataError(f"{at}: the bands lie on different grids")
-        width = part[names[0]][0]
-        values = {b: np.frombuffer(part[b][2]) for b in names}
-        row, col = np.divmod(np.arange(len(values[names[0]])), width)
-        n, y = len(row), table.column("stripe")[0].as_py()
-        return pa.table({
-            "lago": pa.array([table.column("lago")[0].as_py()] * n, pa.string()), "fecha": pa.array([table.column("fecha")[0].as_py()] * n, pa.date32()), "row": (row + y).astype(np.int32), "col": col.astype(np.int32),
-            **{b: pa.array(v, mask=np.isnan(v)) for b, v in values.items()},
-        })
-
-    stripes = met.select("lago", "fecha", "path", "content").mapInArrow(cut, "lago string, fecha date, stripe int, band string, width int, grid string, v binary")
-    return stripes.groupBy("lago", "fecha", "stripe").applyInArrow(join, "lago string, fecha date, row int, col int, " + ", ".join(f"{b} double" for b in names))
+                g = raster.grid
+                grid = pa.array([dict(zip(fields, (g["crs"], *g["transform"], g["width"], g["height"]), strict=True))], pa.struct([("crs", pa.int32()), *((n, pa.float64()) for n in fields[1:5]), *((n, pa.int32()) for n in fields[5:])]))
+                for at, band in enumerate(b.lower() for b in shown):
+                    if band not in names:
+                        continue
+                    v = raster.values(at)
+                    for y in range(0, v.shape[0], SIZE):
+                        for x in range(0, v.shape[1], SIZE):
+                            part = v[y : y + SIZE, x : x + SIZE]
+                            flat = pa.array(part.ravel(), mask=np.isnan(part.ravel()))
+                            whole = [pa.array([n], pa.int32()) for n in (y // SIZE, x // SIZE, *part.shape)]
+                            one = batch.slice(k, 1)
+                            yield pa.RecordBatch.from_arrays([one.column("lago"), one.column("fecha"), pa.array([band]), grid, *whole, pa.ListArray.from_arrays(pa.array([0, part.size], pa.int32()), flat)], ["lago", "fecha", "band", "grid", "tr", "tc", "h", "w", "v"])
+
+    met = files.join(declared, _plain("path") == F.col("_p")).select("lago", "fecha", "path", "content")
+    return met.mapInArrow(cut, f"lago string, fecha date, band string, grid {GRID}, tr int, tc int, h int, w int, v array<double>")
+
+
+def read_bands(spark: SparkSession, rows: DataFrame, wanted: Sequence[str], root: str, paths: str = "ruta_local") -> DataFrame:
+    """(lago, fecha, row, col, the wanted bands in lower case) of scenes from the raster files that manifest rows declare.
+
+    ``paths`` holds a scene's files, parted by ``;``, below ``root``. A blank or a file
+    that isn't there is an error, and so is a scene without one of the bands or with bands on different grids. Files of a scene meet by tile.
+    """
+    from rasterloom.operators import tiles
+
+    blank = rows.where(F.coalesce(F.col(paths), F.lit("")) == "").limit(5).collect()
+    if blank:
+        raise InputDataError("no raster declared for " + "; ".join(f"{r['lago']} {r['fecha']}" for r in blank))
+    names = [b.lower() for b in wanted]
+    return tiles.wide(read_tiles(spark, declared_files(rows, root, paths), wanted, root), ["lago", "fecha"], names, needed=names)
 
 
 def inspect(df: DataFrame) -> DataFrame:
