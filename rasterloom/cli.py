@@ -31,6 +31,7 @@ def remote_action(action: str, name: str | None, folder: str | None, out: str |
     """One action of a remote service; the transport and the client can be injected."""
     from rasterloom import schema as S
     from rasterloom.operators import checks
+    from rasterloom.session import session
     from rasterloom.sources import remote, tables
 
     send = send or remote.http
@@ -44,10 +45,14 @@ def remote_action(action: str, name: str | None, folder: str | None, out: str |
     if action == "fetch-boundary":
         target = folder or _missing("a file")
         west, east, south, north = S.ZONES[name]
-        rings = remote.fetch_outline(send, need("OUTLINE_URL"), known.get("RASTERLOOM_NAMES", name).split(";"), (west, east, south, north))
-        with open(target, "x", encoding="utf-8") as f:
-            f.write(tables.outline_geojson(name, rings))
-        return target
+        for called in known.get("RASTERLOOM_NAMES", name).split(";"):
+            answer = remote.ask_outline(send, need("OUTLINE_URL"), called, (west, east, south, north))
+            found = tables.geojson(tables.largest_water(session().createDataFrame([(name, answer)], "lago string, answer string"))).first()
+            if found:
+                with open(target, "x", encoding="utf-8") as f:
+                    f.write(found["geojson"])
+                return target
+        raise remote.RemoteError(f"no outline for {name}")
     dates = [d for z, d, *_ in S.SCENES if z == name and folder in (None, "all", d)]
     if not dates or not out:
         raise InputDataError(f"no scene of {name} on {folder}, or no target")

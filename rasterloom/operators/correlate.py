@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.indices import correlation_direction, correlation_magnitude
 from rasterloom.functions.pvalues import p_value_text
-from rasterloom.operators.series import average_ranks
+from rasterloom.operators.ordering import average_ranks
 
 
 def pearson(x: str, y: str) -> Column:
@@ -26,8 +26,7 @@ def complete_pairs(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 def by_group(pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """Both coefficients and the pairs of every group; ranks are averaged over ties.
 
-    Ranks sort the pairs of a group (a scene and index) in one task, which spills: a
-    scene of a few million pixels is its bound. Pools of dates are sampled before.
+    Ranks come from counts of equal values in ranges, so no task sees a whole group.
     """
     pairs = complete_pairs(pairs, x, y)
     ranked = average_ranks(average_ranks(pairs, keys, x, "_rx"), keys, y, "_ry")

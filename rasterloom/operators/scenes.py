@@ -5,13 +5,13 @@ Every function takes and returns DataFrames; ``keys`` name a scene. NULL is noda
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom import schema as S
+from rasterloom.operators import ordering
 
 KEYS = ("lago", "fecha")
 
@@ -157,50 +157,15 @@ def distribution(pixels: DataFrame, value: str = "v", keys: Sequence[str] = KEYS
     return agg.select(*keys, "n_pixeles", "min", *(F.get("_q", F.lit(k)).alias(c) for k, c in enumerate(QUANTILE_NAMES)), "media", "max", "desviacion_std")
 
 
-BINS = 4_096
+BINS = ordering.BINS
 
 
 def quantiles(df: DataFrame, value: str | Column, shares: Sequence[float]) -> list[float] | None:
-    """Exact interpolated percentiles of a whole column; None without values.
+    """Exact interpolated percentiles of a whole column, in a fixed number of passes; None without values."""
+    from rasterloom.session import ship
 
-    No task gathers the values: histograms of BINS bins narrow each rank down to a bin
-    of few distinct values, and only these come to the driver, BINS at most at a time.
-    """
-    v = df.select((F.col(value) if isinstance(value, str) else value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    whole = v.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    if not whole["n"]:
-        return None
-    known: dict[int, float] = {}
-
-    def at(rank: int, lo: float, hi: float, before: int) -> float:
-        """The value of that rank among those in [lo, hi], of which ``before`` smaller ones aren't."""
-        while lo < hi:
-            part = v.where(F.col("v").between(lo, hi))
-            few = part.groupBy("v").agg(F.count(F.lit(1)).alias("n")).limit(BINS + 1).collect()
-            if len(few) <= BINS:
-                for r in sorted(few):
-                    before += r["n"]
-                    if rank < before:
-                        return r["v"]
-            width = (hi - lo) / BINS
-            b = F.least(F.lit(BINS - 1), F.floor((F.col("v") - lo) / width)) if width > 0 else F.lit(0)
-            for r in sorted(part.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()):
-                if rank < before + r["n"]:
-                    lo, hi = r["lo"], r["hi"]
-                    break
-                before += r["n"]
-        return lo
-
-    out = []
-    for share in shares:
-        place = share * (whole["n"] - 1)
-        ends = []
-        for rank in (math.floor(place), math.ceil(place)):
-            if rank not in known:
-                known[rank] = at(rank, whole["lo"], whole["hi"], 0)
-            ends.append(known[rank])
-        out.append(ends[0] + (ends[1] - ends[0]) * (place - math.floor(place)))
-    return out
+    ship(df.sparkSession)
+    return ordering.quantiles(df, value, shares, BINS)
 
 
 def halves(pixels: DataFrame, height: int, value: str = "v", keys: Sequence[str] = ("lago",)) -> DataFrame:

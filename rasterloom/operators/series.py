@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom import schema as S
 from rasterloom.functions.indices import joined, trend_label
+from rasterloom.operators import ordering
 
 
 def flag_peaks(series: DataFrame, value: str = "cyano_promedio", sigmas: float = S.PEAK_SIGMAS, key: str = "lago") -> DataFrame:
@@ -50,20 +51,12 @@ def half_split_trend(series: DataFrame, value: str = "cyano_promedio", key: str
     return out.withColumn("tendencia_temporal", trend_label(F.col("primera_mitad"), F.col("segunda_mitad"), flat))
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Ranks from 1 in which ties share their mean."""
-    w = Window.partitionBy(*keys)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return df.withColumn(out, F.rank().over(w.orderBy(value)) + (ties - 1) / 2)
-
-
 def systematic_sample(df: DataFrame, keys: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
     """Evenly spaced rows of each group, both ends included; whole groups up to ``most`` rows.
 
     Row k of n stays if it is floor(i (n - 1) / (most - 1)) for some i.
     """
-    w = Window.partitionBy(*keys)
-    numbered = df.withColumns({"_k": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    numbered = ordering.numbered(df, keys, order)
     if most == 1:
         return numbered.where("_k = 0").drop("_k", "_n")
     # the smallest i whose place is k or more, in whole numbers; k is taken if that place is k

@@ -107,9 +107,18 @@ def ring_area(points: DataFrame, keys: Sequence[str], order: str = "k") -> DataF
 
 
 def area(rings: Sequence[Ring]) -> float:
-    """Even-odd area of an outer ring less its holes (rings after the first)."""
-    one = lambda r: abs(sum(x0 * y1 - x1 * y0 for x0, y0, x1, y1 in edges([r]))) / 2
-    return one(rings[0]) - sum(map(one, rings[1:]))
+    """Even-odd area of rings that don't cross: those within an odd number of others are holes."""
+    total = 0.0
+    for k, ring in enumerate(rings):
+        x, y = (sum(p[i] for p in ring[:2]) / 2 for i in (0, 1))
+        depth = sum(_odd(x, y, other) for j, other in enumerate(rings) if j != k)
+        total += (-1) ** depth * abs(sum(x0 * y1 - x1 * y0 for x0, y0, x1, y1 in edges([ring]))) / 2
+    return total
+
+
+def _odd(x: float, y: float, ring: Ring) -> bool:
+    """Whether a way right from a point crosses a ring an odd number of times."""
+    return sum((y0 > y) != (y1 > y) and x < x0 + (y - y0) / (y1 - y0) * (x1 - x0) for x0, y0, x1, y1 in edges([ring])) % 2 == 1
 
 
 def coverage_ratio(outline: Sequence[Ring], box: Ring) -> dict[str, float | None]:
@@ -227,10 +236,10 @@ def boxes(zones: DataFrame) -> DataFrame:
 
 
 def outline_areas(points: DataFrame, keys: Sequence[str] = ("lago",)) -> DataFrame:
-    """Area of outlines (keys, ring, k, x, y): the first ring less its holes."""
-    rings = ring_area(points.withColumn("k", F.col("k").cast("int")), [*keys, "ring"])
-    sign = F.when(F.col("ring") == 0, F.col("area")).otherwise(-F.col("area"))
-    return rings.groupBy(*keys).agg(F.sum(sign).alias("area"))
+    """Even-odd area of outlines (keys, ring, k, x, y), whatever crosses, touches or lies within."""
+    from rasterloom.operators import polygons
+
+    return polygons.areas(points, keys, "parity")
 
 
 def coverage(outlines_: DataFrame, box_points: DataFrame, keys: Sequence[str] = ("lago",)) -> DataFrame:

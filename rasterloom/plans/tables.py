@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterloom import schema as S
 from rasterloom.functions import indices as M
-from rasterloom.operators import checks, compare, correlate, render, scenes, series, spatial
+from rasterloom.operators import checks, compare, correlate, polygons, render, scenes, series, spatial
 from rasterloom.operators import tiles as tiles_
 from rasterloom.plans import analogs as A
 from rasterloom.plans.queries import _EXPECTED, _LONG, _PAIRS, _WBI, ORACLES, QUERIES, _rounded, query, r6, text, utm_sql
@@ -278,6 +278,45 @@ def outline_geojson(spark: SparkSession, sf: str) -> DataFrame:
     return tables.geojson(spatial.boxes(_zones(spark, sf)).withColumn("ring", F.lit(0)))
 
 
+def _corners(df: DataFrame, *rings: tuple) -> DataFrame:
+    """(lago, ring, role, k, x, y) of rings given as (role, ((x, y), ...)) in columns."""
+    points = F.array(*(F.struct(F.lit(r).alias("ring"), F.lit(role).alias("role"), F.lit(k).alias("k"), x.cast("double").alias("x"), y.cast("double").alias("y")) for r, (role, ring) in enumerate(rings) for k, (x, y) in enumerate(ring)))
+    return df.select("lago", F.explode(points).alias("p")).select("lago", "p.*")
+
+
+def _supplied(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as zones, with the corner of a box and a shift of another."""
+    s = A.table(spark, sf, "supplier")
+    c = F.col
+    return s.select(c("s_suppkey").alias("lago"), (c("s_suppkey") * 0.5).alias("w"), c("s_nationkey").cast("double").alias("s"), (c("s_suppkey") % 4 * 0.75).alias("dx"), (c("s_nationkey") % 5 * 0.5).alias("dy"))
+
+
+@query(
+    "WITH z AS (SELECT s_suppkey AS lago, (s_suppkey % 4) * 0.75::DOUBLE AS dx, (s_nationkey % 5) * 0.5::DOUBLE AS dy FROM supplier) "
+    "SELECT lago, round(12 - greatest(2 - dx, 0) * greatest(3 - dy, 0) - 0.25::DOUBLE, 6) AS area, round(12 - 2 * greatest(2 - dx, 0) * greatest(3 - dy, 0) - 0.25::DOUBLE + 2 * greatest(0.625::DOUBLE - greatest(dx, 0.125::DOUBLE), 0) * greatest(0.625::DOUBLE - greatest(dy, 0.125::DOUBLE), 0), 6) AS area_par FROM z"
+)
+def united_outlines(spark: SparkSession, sf: str) -> DataFrame:
+    """Two outer boxes that overlap, coincide or lie apart, less a hole of the first: their union, and their even-odd area."""
+    z = _supplied(spark, sf)
+    c = F.col
+    box = lambda x, y, w, h: ((x, y), (x + w, y), (x + w, y + h), (x, y + h))
+    points = _corners(z, ("outer", box(c("w"), c("s"), 2, 3)), ("outer", box(c("w") + c("dx"), c("s") + c("dy"), 2, 3)), ("inner", box(c("w") + 0.125, c("s") + 0.125, 0.5, 0.5)))
+    whole, parity = polygons.areas(points), polygons.areas(points, rule="parity").withColumnRenamed("area", "area_par")
+    return _rounded(whole.join(parity, "lago"), "area", "area_par")
+
+
+@query(
+    "WITH z AS (SELECT s_suppkey AS lago, 2 + (s_nationkey % 5) * 0.5::DOUBLE AS w FROM supplier) SELECT lago, CAST(p AS INTEGER) AS part, CAST(3 AS BIGINT) AS puntos, round(w / 2, 6) AS area FROM z, range(2) t(p)"
+)
+def crossed_ways(spark: SparkSession, sf: str) -> DataFrame:
+    """Ways that cross themselves fall into two triangles each."""
+    z = _supplied(spark, sf)
+    x, y, w = F.col("w"), F.col("s"), 2 + F.col("dy")
+    found = polygons.polygons(_corners(z, ("outer", ((x, y), (x + w, y + 2), (x + w, y), (x, y + 2)))))
+    size = spatial.ring_area(found, ["lago", "part"])
+    return found.where("k > 0").groupBy("lago", "part").agg(F.count(F.lit(1)).alias("puntos")).join(size, ["lago", "part"]).select("lago", "part", "puntos", r6("area"))
+
+
 _BOUNDS = (-91.3, -91.29, 14.4, 14.41)
 _ORIGIN = (682000.0, 1594000.0)
 

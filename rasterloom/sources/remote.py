@@ -132,6 +132,11 @@ def rings_of(element: dict) -> list[list[tuple[float, float]]] | None:
     return rings if rings and area(rings[:1]) > 0 else None
 
 
+def ask_outline(send: Transport, url: str, name: str, box: tuple[float, float, float, float], timeout: float = 90) -> str:
+    """The service's answer for one name, as text; ``tables.largest_water`` makes polygons of it."""
+    return send(url, outline_query(name, box).encode(), {}, timeout).decode()
+
+
 def fetch_outline(send: Transport, url: str, names: Sequence[str], box: tuple[float, float, float, float], timeout: float = 90) -> list[list[tuple[float, float]]]:
     """Largest outline of the first name that has one."""
     for name in names:
