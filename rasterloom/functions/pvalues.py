@@ -29,25 +29,34 @@ def _fraction(a: float, b: float, x: float) -> float:
     return h
 
 
-def log_beta_part(a: float, b: float, x: float) -> float:
-    """log of the regularised incomplete beta function."""
-    if x <= 0:
+def log_gamma_step(a: float) -> float:
+    """log of gamma(a + 1/2) / gamma(a); by its series where the two logarithms would cancel."""
+    if a < 20:
+        return math.lgamma(a + 0.5) - math.lgamma(a)
+    b = 1 / (a * a)
+    return 0.5 * math.log(a) - (1 / 8 - b * (1 / 192 - b * (1 / 640 - b * (17 / 14336 - b * 31 / 18432)))) / a
+
+
+def log_beta_part(a: float, y: float) -> float:
+    """log of the regularised incomplete beta function of 1 - y, with parameters a and 1/2. y is given, as 1 - y would lose its digits."""
+    if y >= 1:
         return -math.inf
-    if x >= 1:
+    if y <= 0:
         return 0.0
-    front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    x, b = 1 - y, 0.5
+    front = log_gamma_step(a) - math.log(math.pi) / 2 + a * math.log1p(-y) + b * math.log(y)
     if x < (a + 1) / (a + b + 2):
         return front + math.log(_fraction(a, b, x)) - math.log(a)
-    return math.log1p(-math.exp(front) * _fraction(b, a, 1 - x) / b)
+    return math.log1p(-math.exp(front) * _fraction(b, a, y) / b)
 
 
 def p_value(r: float | None, n: int | None) -> float:
     """P of |t| for coefficient r over n pairs; NaN where it has none."""
     if r is None or n is None or n < 3 or not math.isfinite(r):
         return math.nan
-    free = n - 2
-    left = max(0.0, 1 - r * r)
-    return 0.0 if left == 0 else math.exp(max(log_beta_part(free / 2, 0.5, left), -745.2))
+    if abs(r) >= 1:
+        return 0.0
+    return math.exp(max(log_beta_part((n - 2) / 2, r * r), -745.2))
 
 
 def p_text(p: float) -> str:

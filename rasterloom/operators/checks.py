@@ -92,21 +92,48 @@ def require_none(violations: DataFrame, what: str) -> None:
         raise InputDataError(f"{what}: " + "; ".join(" ".join(map(str, r)) for r in found))
 
 
+def scene_rows(scenes: DataFrame) -> DataFrame:
+    """Manifest rows of scenes (lago, fecha, cobertura_valida_oficial_pct, ...) as far as they are known before they are fetched."""
+    note = F.lit(None).cast("string")
+    for (zone, day), said in S.NOTES.items():
+        note = F.when((F.col("lago") == zone) & (F.col("fecha") == F.lit(day).cast("date")), said).otherwise(note)
+    flag = F.when(F.col("cobertura_valida_oficial_pct").isNull(), S.NOT_FETCHED).otherwise(S.PARTIAL)
+    fixed = {"producto": F.lit(S.PRODUCT), "bandas": F.lit(";".join(S.LEAST_BANDS)), "metodo_descarga": F.lit(S.FETCHED_BY), "estado": F.lit("pendiente"), "quality_flag": flag, "observaciones": note}
+    return scenes.withColumns(fixed)
+
+
+def index_rows(scenes: DataFrame, indices: Sequence[str] = S.INDICES) -> DataFrame:
+    """Pending manifest rows: scenes (lago, fecha) times indices."""
+    return scenes.select("lago", "fecha", F.explode(F.array(*map(F.lit, indices))).alias("indice")).withColumn("quality_flag", F.lit(S.PENDING))
+
+
 def expected_scenes(spark: SparkSession) -> DataFrame:
-    """The manifest rows that the configuration expects, as far as they are known before scenes are fetched."""
-    rows = [
-        (z, d, sat, cloud, cover, *S.ZONES[z], S.PRODUCT, ";".join(S.LEAST_BANDS), S.FETCHED_BY, "pendiente", S.NOT_FETCHED if cover is None else S.PARTIAL, S.NOTES.get((z, d)))
-        for z, d, cloud, sat, cover in S.SCENES
-    ]
+    """The manifest rows that the configuration expects."""
+    rows = [(z, d, sat, cloud, cover, *S.ZONES[z]) for z, d, cloud, sat, cover in S.SCENES]
     names = "lago string, fecha string, satelite_oficial string, nubosidad_oficial_pct double, cobertura_valida_oficial_pct double, west double, east double, south double, north double"
-    df = spark.createDataFrame(rows, names + ", producto string, bandas string, metodo_descarga string, estado string, quality_flag string, observaciones string")
-    return df.withColumn("fecha", F.to_date("fecha"))
+    return scene_rows(spark.createDataFrame(rows, names).withColumn("fecha", F.to_date("fecha")))
 
 
 def expected_indices(spark: SparkSession) -> DataFrame:
-    """Scenes times indices."""
-    names = F.explode(F.array(*map(F.lit, S.INDICES))).alias("indice")
-    return expected_scenes(spark).select("lago", "fecha", names).withColumn("quality_flag", F.lit(S.PENDING))
+    return index_rows(expected_scenes(spark))
+
+
+def configuration_problems(scenes: DataFrame, zones: DataFrame, dates: int) -> DataFrame:
+    """(problema, clave): boxes (lago, west, east, south, north) that are no boxes, zones without one or with another number of dates, repeated scenes, clouds that are no percentage."""
+    key = F.concat_ws(" ", "lago", F.col("fecha").cast("string"))
+    row = lambda df, what, name: df.select(F.lit(what).alias("problema"), name.alias("clave"))
+    per = scenes.groupBy("lago", "fecha").agg(F.count(F.lit(1)).alias("n"))
+    found = [
+        row(zones.where("NOT (west < east AND south < north)"), "caja", F.col("lago")),
+        row(scenes.select("lago").distinct().join(zones, "lago", "left_anti"), "sin caja", F.col("lago")),
+        row(per.groupBy("lago").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != dates), "fechas", F.col("lago")),
+        row(per.where("n > 1"), "escena repetida", key),
+        row(scenes.where("NOT coalesce(nubosidad_oficial_pct BETWEEN 0 AND 100, false)"), "nubosidad", key),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def uneven_grids(rasters: DataFrame, grid: str = "grid") -> DataFrame:

@@ -70,8 +70,18 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as official scenes of the two zones; some clouds are no percentage."""
+    o, c = table(spark, sf_dir, "orders"), F.col
+    return o.select(
+        c("o_orderkey").alias("id"), F.when(c("o_custkey") % 2 == 0, "atitlan").otherwise("amatitlan").alias("lago"), F.to_date("o_orderdate").alias("fecha"), c("o_orderpriority").alias("satelite_oficial"),
+        (c("o_orderkey") % 1300 / F.lit(10.0)).alias("nubosidad_oficial_pct"), F.when(c("o_orderkey") % 9 == 0, 57.1).alias("cobertura_valida_oficial_pct"),
+    )
+
+
 #: The same relations for the oracle.
 SQL = {
+    "escenas": "escenas AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 THEN 'atitlan' ELSE 'amatitlan' END AS lago, CAST(o_orderdate AS DATE) AS fecha, o_orderpriority AS satelite_oficial, (o_orderkey % 1300) / 10.0::DOUBLE AS nubosidad_oficial_pct, CASE WHEN o_orderkey % 9 = 0 THEN 57.1::DOUBLE END AS cobertura_valida_oficial_pct FROM orders)",
     "obs": "obs AS (SELECT event_type AS lago, CAST(ts AS DATE) AS fecha, user_id AS pix, value AS v FROM events)",
     "pixels": "pixels AS (SELECT lago, fecha, pix, avg(v) AS v FROM obs GROUP BY ALL)",
     "tile": "tile AS (SELECT label AS lago, vec_id AS row, p - 1 AS col, CAST(embedding[p] AS DOUBLE) AS v FROM (SELECT label, vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS p FROM embeddings))",

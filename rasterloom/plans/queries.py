@@ -175,7 +175,7 @@ def corr_labels(spark: SparkSession, sf: str) -> DataFrame:
 _P_VALUE = (
     ", g AS (SELECT *, n_pares - 2 AS v, asin(least(1.0, abs(r))) AS a, least(pi() / 2 - asin(least(1.0, abs(r))), 12 / sqrt(n_pares - 2)) / 2000 AS h FROM u WHERE r IS NOT NULL), "
     "s AS (SELECT lago, fecha, indice, metodo, exp(max(lgamma((v + 1) / 2.0) - lgamma(v / 2.0))) / sqrt(pi()) * 2 * max(h) / 3 * sum((CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp((v - 1) * ln(greatest(cos(a + k * h), 1e-300)))) AS p FROM g, range(2001) t(k) GROUP BY ALL) "
-    "SELECT u.lago, CAST(u.fecha AS VARCHAR) AS fecha, u.indice, u.metodo, n_pares, CASE WHEN r IS NULL THEN 'vacio' WHEN p < 1e-300 THEN 'minimo' ELSE 'finito' END AS clase, round(CASE WHEN p < 1e-300 THEN 0 ELSE p END, 5) AS p FROM u LEFT JOIN s USING (lago, fecha, indice, metodo)"
+    "SELECT u.lago, CAST(u.fecha AS VARCHAR) AS fecha, u.indice, u.metodo, n_pares, CASE WHEN r IS NULL THEN 'vacio' WHEN p < 1e-300 THEN 'minimo' ELSE 'finito' END AS clase, round(CASE WHEN p >= 1e-300 THEN log10(p) END, 5) AS log10_p FROM u LEFT JOIN s USING (lago, fecha, indice, metodo)"
 )
 
 
@@ -183,8 +183,8 @@ _P_VALUE = (
 def corr_p_values(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("p_value")
     kind = F.when(p == "", "vacio").when(p.startswith("<"), "minimo").otherwise("finito")
-    value = F.when(p.startswith("<"), 0.0).otherwise(F.round(F.expr("try_cast(p_value AS double)"), 5))
-    return correlate.by_date(A.pairs(spark, sf)).select("lago", text("fecha"), "indice", "metodo", "n_pares", kind.alias("clase"), value.alias("p"))
+    value = F.round(F.log10(F.expr("try_cast(p_value AS double)")), 5)
+    return correlate.by_date(A.pairs(spark, sf)).select("lago", text("fecha"), "indice", "metodo", "n_pares", kind.alias("clase"), value.alias("log10_p"))
 
 
 @query(
@@ -456,9 +456,13 @@ def color_classes(spark: SparkSession, sf: str) -> DataFrame:
     return A.bands(spark, sf).select("id", "scl", "b1", M.colour_class(F.col("b2") / 200, F.col("b3")).cast("long").alias("clase"))
 
 
-@query(", q AS (SELECT quantile_cont(x, 0.01) AS xa, quantile_cont(x, 0.99) AS xb, quantile_cont(y, 0.01) AS ya, quantile_cont(y, 0.99) AS yb FROM pairs WHERE indice = 'ndvi') SELECT lago, count(*) AS n FROM pairs, q WHERE indice = 'ndvi' AND x BETWEEN xa AND xb AND y BETWEEN ya AND yb GROUP BY lago", *_PAIRS)
+@query(
+    ", q AS (SELECT indice, quantile_cont(x, 0.01) AS xa, quantile_cont(x, 0.99) AS xb, quantile_cont(y, 0.01) AS ya, quantile_cont(y, 0.99) AS yb FROM pairs GROUP BY indice) SELECT lago, indice, count(*) AS n FROM pairs JOIN q USING (indice) WHERE x BETWEEN xa AND xb AND y BETWEEN ya AND yb GROUP BY lago, indice",
+    *_PAIRS,
+)
 def visible_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return render.visible(A.pairs(spark, sf).where("indice = 'ndvi'").select("lago", "x", "y")).groupBy("lago").agg(F.count(F.lit(1)).alias("n"))
+    each = [render.visible(A.pairs(spark, sf).where(F.col("indice") == i).select("lago", "indice", "x", "y")) for i in ("ndvi", "ndwi")]
+    return each[0].unionByName(each[1]).groupBy("lago", "indice").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -505,12 +509,9 @@ def coerce_text(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), F.expr("round(try_cast(nullif(trim(substring(c_name, 11)), '') AS double), 2)").alias("valor"))
 
 
-_EXPECTED = "(VALUES " + ", ".join(f"('{z}', '{d}')" for z, d, *_ in S.SCENES) + ") e(lago, fecha)"
-
-
-@query(f"SELECT lago, fecha, indice, '{S.PENDING}' AS quality_flag FROM {_EXPECTED}, (VALUES ('ndvi'), ('ndwi'), ('cianobacteria')) i(indice)")
+@query(f"SELECT lago, CAST(fecha AS VARCHAR) AS fecha, indice, '{S.PENDING}' AS quality_flag FROM (SELECT DISTINCT lago, fecha FROM escenas), (VALUES ('ndvi'), ('ndwi'), ('cianobacteria')) i(indice)", "escenas")
 def expected_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.expected_indices(spark).withColumn("fecha", text("fecha"))
+    return checks.index_rows(A.scenes(spark, sf).select("lago", "fecha").distinct()).withColumn("fecha", text("fecha"))
 
 
 def utm_sql(points: str) -> str:

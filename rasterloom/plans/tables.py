@@ -10,28 +10,27 @@ from rasterloom.functions import indices as M
 from rasterloom.operators import checks, compare, correlate, polygons, render, scenes, series, spatial
 from rasterloom.operators import tiles as tiles_
 from rasterloom.plans import analogs as A
-from rasterloom.plans.queries import _EXPECTED, _LONG, _PAIRS, _WBI, ORACLES, QUERIES, _rounded, query, r6, text, utm_sql
+from rasterloom.plans.queries import _LONG, _PAIRS, _WBI, ORACLES, QUERIES, _rounded, query, r6, text, utm_sql
 from rasterloom.sources import tables
 
 __all__ = ["ORACLES", "QUERIES"]
 
-_SCENE_ROWS = "(VALUES " + ", ".join(f"('{z}', '{d}', {cloud}::DOUBLE, '{sat}', {'NULL' if cover is None else cover}::DOUBLE)" for z, d, cloud, sat, cover in S.SCENES) + ") e(lago, fecha, nubosidad, satelite, cobertura)"
-
 
 # -- selections and manifests -------------------------------------------------------
 
 
-@query(f"SELECT lago, fecha, nubosidad AS nubosidad_oficial_pct, satelite AS satelite_oficial, cobertura AS cobertura_valida_oficial_pct FROM {_SCENE_ROWS} WHERE lago = 'amatitlan' AND nubosidad < 5")
+@query("SELECT id, lago, CAST(fecha AS VARCHAR) AS fecha, nubosidad_oficial_pct, satelite_oficial, cobertura_valida_oficial_pct FROM escenas WHERE lago = 'amatitlan' AND nubosidad_oficial_pct < 5", "escenas")
 def scene_selection(spark: SparkSession, sf: str) -> DataFrame:
-    chosen = scenes.select_scenes(checks.expected_scenes(spark), "amatitlan").where("nubosidad_oficial_pct < 5")
-    return chosen.select("lago", text("fecha"), "nubosidad_oficial_pct", "satelite_oficial", "cobertura_valida_oficial_pct")
+    chosen = scenes.select_scenes(A.scenes(spark, sf), "amatitlan").where("nubosidad_oficial_pct < 5")
+    return chosen.select("id", "lago", text("fecha"), "nubosidad_oficial_pct", "satelite_oficial", "cobertura_valida_oficial_pct")
 
 
 @query(
-    f"SELECT lago, fecha, '{S.PRODUCT}' AS producto, 'B03;B04;B08;SCL' AS bandas, 'pendiente' AS estado, CASE WHEN cobertura IS NULL THEN 'pendiente_descarga' ELSE '{S.PARTIAL}' END AS quality_flag, CASE WHEN cobertura IS NOT NULL THEN 'Fecha oficial incluida para completar 11 observaciones; cobertura válida parcial aproximada de 57.1 %.' END AS observaciones FROM {_SCENE_ROWS}"
-)
+    f"SELECT id, lago, CAST(fecha AS VARCHAR) AS fecha, '{S.PRODUCT}' AS producto, 'B03;B04;B08;SCL' AS bandas, 'pendiente' AS estado, CASE WHEN cobertura_valida_oficial_pct IS NULL THEN 'pendiente_descarga' ELSE '{S.PARTIAL}' END AS quality_flag FROM escenas",
+    "escenas",
+)
 def expected_scene_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.expected_scenes(spark).select("lago", text("fecha"), "producto", "bandas", "estado", "quality_flag", "observaciones")
+    return checks.scene_rows(A.scenes(spark, sf)).select("id", "lago", text("fecha"), "producto", "bandas", "estado", "quality_flag")
 
 
 @query("SELECT id, lago, CAST(fecha AS VARCHAR) AS fecha, quality_flag FROM manifest WHERE indice = 'cianobacteria'", "manifest")
@@ -70,27 +69,40 @@ def coerced_summary(spark: SparkSession, sf: str) -> DataFrame:
     return scenes.coerced_summary(rows, ["saldo", "pais"]).withColumn("media", F.round("media", 6))
 
 
-@query("SELECT CAST('' AS VARCHAR) AS problema WHERE false")
+_ZONED = "z AS (SELECT DISTINCT o_orderpriority AS lago, CAST(left(o_orderpriority, 1) AS DOUBLE) AS p FROM orders), e AS (SELECT o_orderpriority AS lago, CAST(o_orderdate AS DATE) AS fecha, (o_orderkey % 1300) / 10.0::DOUBLE AS c FROM orders)"
+
+
+@query(
+    f"WITH {_ZONED} SELECT 'caja' AS problema, lago AS clave FROM z WHERE p % 3 = 0 UNION ALL SELECT DISTINCT 'sin caja', lago FROM z WHERE p = 5 UNION ALL SELECT 'fechas', lago FROM e GROUP BY lago HAVING count(DISTINCT fecha) <> 11 "
+    "UNION ALL SELECT 'escena repetida', lago || ' ' || fecha FROM e GROUP BY lago, fecha HAVING count(*) > 1 UNION ALL SELECT 'nubosidad', lago || ' ' || fecha FROM e WHERE c NOT BETWEEN 0 AND 100"
+)
 def configuration_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in checks.configuration()], "problema string")
+    """Orders as scenes of five zones: one zone's box is empty, another has none."""
+    o = A.scenes(spark, sf).withColumn("lago", F.col("satelite_oficial"))
+    p = F.left("lago", F.lit(1)).cast("double")
+    zones = o.select("lago").distinct().where(p < 5).select("lago", p.alias("west"), (p + p % 3).alias("east"), F.lit(0.0).alias("south"), F.lit(1.0).alias("north"))
+    return checks.configuration_problems(o, zones, 11)
 
 
 @query(
-    f"WITH e AS (SELECT lago, fecha FROM {_EXPECTED}), h AS (SELECT lago, fecha FROM e WHERE fecha <> '2026-04-13' UNION ALL SELECT lago, fecha FROM e WHERE fecha = '2026-04-28' UNION ALL SELECT 'atitlan', '2030-01-01') "
-    "SELECT 'clave repetida' AS problema, lago || ' ' || fecha AS clave FROM h GROUP BY lago, fecha HAVING count(*) > 1 UNION ALL SELECT 'clave falta', lago || ' ' || fecha FROM (SELECT * FROM e EXCEPT SELECT * FROM h) UNION ALL SELECT 'clave sobra', lago || ' ' || fecha FROM (SELECT * FROM h EXCEPT SELECT * FROM e) UNION ALL SELECT 'columna faltan', 'estado' UNION ALL SELECT 'columna sobran', 'sobrante'"
+    "WITH o AS (SELECT o_orderpriority AS lago, CAST(o_orderdate AS DATE) AS fecha, o_orderkey AS id, o_custkey AS c FROM orders), e AS (SELECT DISTINCT lago, fecha FROM o WHERE c % 10 <> 0), h AS (SELECT lago, fecha FROM o WHERE id % 7 <> 0) "
+    "SELECT 'clave repetida' AS problema, lago || ' ' || fecha AS clave FROM h GROUP BY lago, fecha HAVING count(*) > 1 UNION ALL SELECT 'clave falta', lago || ' ' || fecha FROM (SELECT * FROM e EXCEPT SELECT * FROM h) UNION ALL SELECT 'clave sobra', lago || ' ' || fecha FROM (SELECT * FROM h EXCEPT SELECT * FROM e) "
+    "UNION ALL SELECT 'columna faltan', 'estado' UNION ALL SELECT 'columna sobran', 'sobrante'"
 )
 def scene_manifest_violations(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = checks.expected_scenes(spark).select("lago", "fecha")
-    have = wanted.where("fecha <> '2026-04-13'").unionByName(wanted.where("fecha = '2026-04-28'")).unionByName(spark.createDataFrame([("atitlan", "2030-01-01")], "lago string, fecha string").withColumn("fecha", F.to_date("fecha")))
-    return checks.manifest_violations(have.withColumn("sobrante", F.lit(1)), wanted, ["lago", "fecha"], ["lago", "fecha", "estado"])
+    o = A.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("lago"), F.to_date("o_orderdate").alias("fecha"), "o_orderkey", "o_custkey")
+    have = o.where("o_orderkey % 7 <> 0").select("lago", "fecha", F.lit(1).alias("sobrante"))
+    return checks.manifest_violations(have, o.where("o_custkey % 10 <> 0").select("lago", "fecha").distinct(), ["lago", "fecha"], ["lago", "fecha", "estado"])
 
 
 @query(
-    f"WITH e AS (SELECT lago, fecha, indice FROM {_EXPECTED}, (VALUES ('ndvi'), ('ndwi'), ('cianobacteria')) i(indice)), h AS (SELECT * FROM e WHERE NOT (lago = 'amatitlan' AND indice = 'ndwi')) SELECT 'clave falta' AS problema, lago || ' ' || fecha || ' ' || indice AS clave FROM (SELECT * FROM e EXCEPT SELECT * FROM h)"
-)
+    ", e AS (SELECT lago, fecha, indice FROM (SELECT DISTINCT lago, fecha FROM manifest WHERE id % 4 <> 0), (VALUES ('ndvi'), ('ndwi'), ('cianobacteria')) i(indice)), h AS (SELECT lago, fecha, indice FROM manifest) SELECT 'clave falta' AS problema, lago || ' ' || fecha || ' ' || indice AS clave FROM (SELECT * FROM e EXCEPT SELECT * FROM h) "
+    "UNION ALL SELECT 'clave sobra', lago || ' ' || fecha || ' ' || indice FROM (SELECT * FROM h EXCEPT SELECT * FROM e) UNION ALL SELECT 'clave repetida', lago || ' ' || fecha || ' ' || indice FROM h GROUP BY lago, fecha, indice HAVING count(*) > 1",
+    "manifest",
+)
 def index_manifest_violations(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = checks.expected_indices(spark)
-    return checks.manifest_violations(wanted.where("NOT (lago = 'amatitlan' AND indice = 'ndwi')"), wanted, ["lago", "fecha", "indice"])
+    m = A.manifest(spark, sf)
+    return checks.manifest_violations(m, checks.index_rows(m.where("id % 4 <> 0").select("lago", "fecha").distinct()), ["lago", "fecha", "indice"])
 
 
 @query(f"SELECT id, quality_flag FROM (SELECT id, CASE WHEN id % 11 = 0 THEN 'otra' WHEN id % 13 = 0 THEN NULL ELSE quality_flag END AS quality_flag FROM manifest) WHERE coalesce(quality_flag NOT IN ('{S.PENDING}', '{S.COMPUTED}', '{S.PARTIAL}', '{S.OUTLIERS}'), true)", "manifest")
@@ -117,11 +129,13 @@ def uneven_grids(spark: SparkSession, sf: str) -> DataFrame:
     return checks.uneven_grids(m).withColumn("fecha", text("fecha"))
 
 
-@query("SELECT 'faltan' AS lado, 'c_otra' AS columna UNION ALL SELECT 'sobran', unnest(['c_address', 'c_comment', 'c_mktsegment', 'c_nationkey', 'c_phone']) EXCEPT SELECT 'sobran', x FROM (VALUES ('c_address'), ('c_comment'), ('c_phone')) v(x) WHERE x NOT IN (SELECT column_name FROM (DESCRIBE customer))")
+@query(
+    "WITH a AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size < 10), b AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size >= 35) SELECT 'falta' AS lado, p_brand, p_type FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'sobra', p_brand, p_type FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"
+)
 def column_sets(spark: SparkSession, sf: str) -> DataFrame:
-    c = A.table(spark, sf, "customer")
-    found = checks.column_differences(c, ["c_custkey", "c_name", "c_acctbal", "c_otra"])
-    return spark.createDataFrame([(side, x) for side, names in found.items() for x in names], "lado string, columna string")
+    """Set differences both ways of two selections' values."""
+    p = A.table(spark, sf, "part")
+    return checks.key_differences(p.where("p_size < 10"), p.where("p_size >= 35"), ["p_brand", "p_type"])
 
 
 @query("SELECT lago, pieza, count(*) AS n, round(sum(v), 4) AS suma FROM (SELECT lago, 'primera' AS pieza, v FROM obs WHERE day(fecha) <= 15 UNION ALL SELECT lago, 'segunda', v FROM obs WHERE day(fecha) > 15) GROUP BY lago, pieza", "obs")

@@ -96,3 +96,18 @@ def test_p_values():
 def test_relative_path(spark):
     got = spark.createDataFrame([("/a/b/c.tif",), ("/z/c.tif",)], "p string").select(M.relative_path(F.col("p"), "/a/b")).collect()
     assert [r[0] for r in got] == ["c.tif", "/z/c.tif"]
+
+
+@pytest.mark.parametrize(("r", "n"), [(0.3, 4), (0.02, 5_000), (0.0005, 13_300_000), (0.0001, 100_000_000), (0.002, 13_300_000)])
+def test_p_values_to_eight_digits(r, n):
+    """Against the integral of cos(a)^(v - 1), both parts by Simpson's rule; no gamma function is used."""
+    v, m = n - 2, 20_000
+
+    def integral(a, b):
+        x = np.linspace(a, b, m + 1)
+        y = np.exp((v - 1) / 2 * np.log1p(-np.minimum(np.sin(x) ** 2, 1 - 1e-16)))
+        return (b - a) / m / 3 * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum())
+
+    top = min(math.pi / 2, math.asin(r) + 12 / math.sqrt(v))
+    want = integral(math.asin(r), top) / integral(0, min(math.pi / 2, 12 / math.sqrt(v)))
+    assert p_value(r, n) == pytest.approx(want, rel=2e-9 if n > 10 else 1e-6)
