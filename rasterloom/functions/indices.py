@@ -27,6 +27,19 @@ def fixed_text(c: Column, digits: int) -> Column:
     return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c.cast("double"))).otherwise(F.lit(""))
 
 
+def general_text(c: Column) -> Column:
+    """A number with six significant digits and no zeros at its end; with an exponent below 1e-4 and from 1e6 on; the empty text for none."""
+    c = c.cast("double")
+    size = F.floor(F.log10(F.abs(c)))
+    place = F.pow(F.lit(10.0), size - 5)
+    digits = F.when(c == 0, F.lit(0.0)).otherwise(F.bround(c / place) * place)
+    large = F.format_string("%.5e", c)
+    plain = (c == 0) | ((F.abs(digits) >= 1e-4) & (F.abs(digits) < 1e6))
+    fixed = F.regexp_replace(F.format_string("%.10f", F.round(digits, 10)), "[.]?0+$", "")
+    text = F.when(plain, F.when(c == 0, "0").otherwise(fixed)).otherwise(F.regexp_replace(large, "[.]?0+e", "e"))
+    return F.when(c.isNotNull(), text).otherwise(F.lit(""))
+
+
 def normalized_difference(a: Column, b: Column) -> Column:
     """(a - b) / (a + b); NULL where the sum is zero."""
     return F.try_divide(a - b, a + b)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom import schema as S
 from rasterloom.functions.indices import correlation_direction, correlation_magnitude
 from rasterloom.functions.pvalues import p_value_text
 from rasterloom.operators.ordering import average_ranks
@@ -53,6 +54,23 @@ def by_zone(rows: DataFrame, keys: Sequence[str] = ("lago", "indice", "metodo"))
     )
 
 
+def dated_table(rows: DataFrame, flags: DataFrame) -> DataFrame:
+    """The table of coefficients by date: with the flags of both rasters, from manifest rows (lago, fecha, indice, quality_flag), and the note on inference."""
+    own = flags.select("lago", "fecha", "indice", F.col("quality_flag").alias("quality_flag_indice"))
+    cyano = flags.where("indice = 'cianobacteria'").select("lago", "fecha", F.col("quality_flag").alias("quality_flag_cianobacteria"))
+    out = rows.join(own, ["lago", "fecha", "indice"], "left").join(cyano, ["lago", "fecha"], "left").withColumn("nota_inferencia", F.lit(S.DATE_NOTE))
+    return out.select(*(F.col(c).cast(S.CORRELATION_BY_DATE[c].dataType).alias(c) for c in S.CORRELATION_BY_DATE.names))
+
+
+def zoned_table(rows: DataFrame) -> DataFrame:
+    """The table of coefficients by zone from ``by_zone`` beside the pooled ones (``..._agrupado``)."""
+    named = {
+        "coeficiente_medio_fechas": F.round("coef_media", 8), "coeficiente_mediano_fechas": F.round("coef_mediana", 8), "coeficiente_minimo_fecha": F.round("coef_min", 8), "coeficiente_maximo_fecha": F.round("coef_max", 8),
+        "coeficiente_agrupado_estratificado": F.col("coeficiente_agrupado"), "magnitud_agrupada": F.col("magnitud_agrupado"), "nota_inferencia": F.lit(S.ZONE_NOTE),
+    }
+    return rows.withColumns(named).select(*(F.col(c).cast(S.CORRELATION_BY_ZONE[c].dataType).alias(c) for c in S.CORRELATION_BY_ZONE.names))
+
+
 def strongest(rows: DataFrame, most: int = 12) -> DataFrame:
     """The largest absolute coefficients: a top-k report."""
     keys = [c for c in rows.columns if c != "coeficiente"]

@@ -225,6 +225,13 @@ def request_texts(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), M.escape_quotes(raw).alias("texto"), fixed.alias("fijo"), band.alias("banda"))
 
 
+@query("SELECT c_custkey AS id, printf('%g', c_acctbal) AS saldo, printf('%g', c_acctbal * 1000) AS grande, printf('%g', c_acctbal / 100000000) AS chico, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE printf('%g', CAST(c_nationkey AS DOUBLE) * 10) END AS entero FROM customer")
+def general_texts(spark: SparkSession, sf: str) -> DataFrame:
+    b = F.col("c_acctbal")
+    whole = M.general_text(F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey") * 10))
+    return A.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), M.general_text(b).alias("saldo"), M.general_text(b * 1000).alias("grande"), M.general_text(b / 100_000_000).alias("chico"), whole.alias("entero"))
+
+
 @query("SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS desde, CAST(CAST(o_orderdate AS DATE) + 1 AS VARCHAR) AS hasta, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || 'T00:00:00Z' AS primer, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || 'T23:59:59Z' AS ultimo FROM orders")
 def day_intervals(spark: SparkSession, sf: str) -> DataFrame:
     day = F.to_date("o_orderdate")

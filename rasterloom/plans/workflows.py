@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from rasterloom import schema as S
 from rasterloom.functions import indices as M
-from rasterloom.operators import checks, compare, correlate, render, scenes, series, spatial
+from rasterloom.operators import checks, compare, correlate, ordering, render, scenes, series, spatial
 from rasterloom.operators import tiles as T
 from rasterloom.operators.scenes import InputDataError
-from rasterloom.sources import tables
+from rasterloom.sources import manifests, tables
 
 KEYS = ["lago", "fecha"]
 UNITS = {"ndvi": "adimensional", "ndwi": "adimensional", "cianobacteria": "ug/L"}
@@ -52,7 +52,7 @@ def prepare(spark: SparkSession, work: str) -> DataFrame:
     kept = spark.read.text(f"{work}/boxes")
     if not kept.select("lago", F.col("value").alias("geojson")).exceptAll(tables.geojson(rings)).isEmpty():
         raise InputDataError(f"other boxes are kept in {work}/boxes; they are not overwritten")
-    have = tables.read_csv(spark, path, S.SCENE_MANIFEST)
+    have = manifests.read(spark, path, S.SCENE_MANIFEST)
     if not checks.key_differences(wanted, have, KEYS).isEmpty() or not checks.duplicate_keys(have, KEYS).isEmpty():
         raise InputDataError("the manifest of scenes does not hold the configured ones")
     return have
@@ -132,10 +132,10 @@ def _named(pixels: DataFrame) -> DataFrame:
 
 def validate(spark: SparkSession, work: str) -> DataFrame:
     """Violations of both manifests; those of the scenes alone where there is no manifest of indices yet."""
-    have = spark.read.option("header", True).csv(f"{work}/scenes")
+    have = spark.read.option("header", True).csv(manifests.location(spark, f"{work}/scenes"))
     out = checks.manifest_violations(have.withColumn("fecha", F.to_date("fecha")), checks.expected_scenes(spark), KEYS, S.SCENE_MANIFEST.names).withColumn("tabla", F.lit("scenes"))
     if _exists(spark, f"{work}/indices"):
-        have = spark.read.option("header", True).csv(f"{work}/indices").withColumn("fecha", F.to_date("fecha"))
+        have = spark.read.option("header", True).csv(manifests.location(spark, f"{work}/indices")).withColumn("fecha", F.to_date("fecha"))
         more = checks.manifest_violations(have, checks.expected_indices(spark), [*KEYS, "indice"], S.INDEX_MANIFEST.names)
         flags = checks.flag_violations(have).select(F.lit("marca").alias("problema"), F.concat_ws(" ", "lago", F.col("fecha").cast("string"), "indice", "quality_flag").alias("clave"))
         out = out.unionByName(more.unionByName(flags).withColumn("tabla", F.lit("indices")))
@@ -215,45 +215,67 @@ def index_manifest(pixels: DataFrame, scenes_table: DataFrame, root: str, grids_
     return out.select(*((F.col(c) if c in out.columns else F.lit(None)).cast(S.INDEX_MANIFEST[c].dataType).alias(c) for c in S.INDEX_MANIFEST.names))
 
 
-def _swap(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write a table beside ``path`` and put it in its place, so that ``df`` may read the old one."""
-    tables.write_csv(df, f"{path}.next", "overwrite", files=1)
-    old, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.next"))  # noqa: SLF001
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise InputDataError(f"{path} could not be replaced")
-
-
 def _by_scene(pixels: DataFrame, path: str) -> None:
     """Replace the partitions of these scenes alone; a scene's rows are dealt by stripes."""
     stripes = pixels.repartition(*KEYS, F.floor(F.col("row") / T.SIZE))
     stripes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(path)
 
 
+def prepare_indices(spark: SparkSession, work: str) -> DataFrame:
+    """The manifest of indices: pending rows of all scenes and indices, written once."""
+    path = f"{work}/indices"
+    if not _exists(spark, path):
+        wanted = checks.expected_indices(spark)
+        tables.write_csv(wanted.select(*((F.col(c) if c in wanted.columns else F.lit(None)).cast(S.INDEX_MANIFEST[c].dataType).alias(c) for c in S.INDEX_MANIFEST.names)), path, "errorifexists", 1)
+    return manifests.read(spark, path, S.INDEX_MANIFEST)
+
+
+#: Raster files of a scene: <zone>/<date>/<file> or <zone>_<date>/<file>.
+SCENE_FILE = r"([a-z]+)[/_](\d{4}-\d{2}-\d{2})/[^/]+[.]tiff?$"
+
+
+def register(spark: SparkSession, work: str) -> int:
+    """Declare scenes whose files have come (by a download) and whose manifest row has no path yet: path, system, resolution, cover and state. Gives how many."""
+    from rasterloom.sources import geotiff
+
+    if not _exists(spark, f"{work}/rasters"):
+        return 0
+    waiting = prepare(spark, work).where("coalesce(ruta_local, '') = ''").select(*KEYS)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tif*").load(f"{work}/rasters")
+    place = lambda k: F.regexp_extract("path", SCENE_FILE, k)
+    found = files.where(place(1) != "").where(~F.lower(F.element_at(F.split("path", "/"), -1)).contains("cyano")).select("path", "content", place(1).alias("lago"), F.to_date(place(2)).alias("fecha")).join(waiting, KEYS, "left_semi")
+    if found.select("path").isEmpty():
+        return 0
+    seen = geotiff.inspect(found).withColumns({"lago": place(1), "fecha": F.to_date(place(2))})
+    rows = seen.groupBy(*KEYS).agg(
+        F.array_join(F.array_sort(F.collect_list(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"))), ";").alias("ruta_local"), F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("EPSG:"), F.col("crs").cast("string")))), ";").alias("crs_salida"),
+        F.array_join(F.array_sort(F.collect_set(M.general_text(F.col("resolution")))), ";").alias("resolucion_salida"),
+        F.round(F.try_divide(100.0 * F.sum("validos"), F.sum("total")), 4).alias("cobertura_valida_pct"),
+    ).withColumn("estado", F.lit("descargado"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)  # a row a scene that has just come
+    manifests.update(spark, f"{work}/scenes", S.SCENE_MANIFEST, KEYS, rows, lambda new: checks.require_none(checks.manifest_violations(new, checks.expected_scenes(spark), KEYS), "manifest"))
+    return rows.count()
+
+
 def run_indices(spark: SparkSession, work: str) -> int:
     """Indices of the scenes that have rasters and none yet; scenes computed before stay untouched. Gives how many were computed.
 
     Pixels go to their scene's partition alone, by stripes of rows, and the scenes' rows
-    of the manifest of indices replace the pending ones.
+    of the manifest of indices replace the pending ones in its next version.
     """
-    manifest = prepare(spark, work)
-    known = _exists(spark, f"{work}/indices")
-    done = tables.read_csv(spark, f"{work}/indices", S.INDEX_MANIFEST) if known else None
+    register(spark, work)
+    manifest, done = prepare(spark, work), prepare_indices(spark, work)
     grids_, declared = None, manifest.where("coalesce(ruta_local, '') <> ''").select(*KEYS)
     rasters = _exists(spark, f"{work}/rasters") and not declared.isEmpty()
     read = lambda: spark.read.parquet(f"{work}/bands").withColumn("fecha", F.to_date("fecha"))
     if not rasters and not _exists(spark, f"{work}/bands"):
         raise InputDataError("no scene of the manifest declares a raster")
     todo = declared if rasters else read().select(*KEYS).distinct()
-    if done is not None:  # also a scene whose layer has come since
-        ready = done.where(F.col("quality_flag") != S.PENDING).select(*KEYS, "indice")
-        late = layers(spark, work) if rasters else None
-        whole = ready.groupBy(*KEYS).agg(F.count_if(F.col("indice") == "cianobacteria").alias("c"))
-        if late is not None:
-            whole = whole.join(late.select(*KEYS, F.lit(1).alias("layer")), KEYS, "left").where("c > 0 OR layer IS NULL")
-        todo = todo.join(whole, KEYS, "left_anti")
-    todo = spark.createDataFrame(todo.collect(), "lago string, fecha date")  # a row a scene of the manifest
+    # scenes without an index yet, and those whose layer has come since
+    whole = done.where(F.col("quality_flag") != S.PENDING).groupBy(*KEYS).agg(F.count_if(F.col("indice") == "cianobacteria").alias("c"))
+    if rasters:
+        whole = whole.join(layers(spark, work).select(*KEYS, F.lit(1).alias("layer")), KEYS, "left").where("c > 0 OR layer IS NULL")
+    todo = spark.createDataFrame(todo.join(whole, KEYS, "left_anti").collect(), "lago string, fecha date")  # a row a scene of the manifest
     n = todo.count()
     if not n:
         return 0
@@ -264,11 +286,9 @@ def run_indices(spark: SparkSession, work: str) -> int:
         _by_scene(_named(aligned(tiles_)), f"{work}/bands")
     _by_scene(compute(read().join(F.broadcast(todo), KEYS, "left_semi")), f"{work}/pixels")
     found = index_manifest(read_pixels(spark, work).join(F.broadcast(todo), KEYS, "left_semi"), manifest, f"{work}/pixels", grids_)
-    if done is not None:
-        found = found.unionByName(done.where(F.col("quality_flag") != S.PENDING).join(F.broadcast(todo), KEYS, "left_anti"))
-    waiting = checks.missing_rows(checks.expected_indices(spark), found, [*KEYS, "indice"])  # scenes without rasters yet
-    waiting = waiting.select(*((F.col(c) if c in waiting.columns else F.lit(None).cast(S.INDEX_MANIFEST[c].dataType)).alias(c) for c in S.INDEX_MANIFEST.names))
-    _swap(spark, found.unionByName(waiting), f"{work}/indices")
+    found = spark.createDataFrame(found.collect(), found.schema)  # three rows a scene
+    keys = [*KEYS, "indice"]
+    manifests.update(spark, f"{work}/indices", S.INDEX_MANIFEST, keys, found, lambda new: checks.require_none(checks.manifest_violations(new, checks.expected_indices(spark), keys, S.INDEX_MANIFEST.names), "manifest of indices"))
     return n
 
 
@@ -278,7 +298,7 @@ def read_pixels(spark: SparkSession, work: str) -> DataFrame:
 
 
 def _flags(spark: SparkSession, work: str) -> DataFrame:
-    rows = tables.read_csv(spark, f"{work}/indices", S.INDEX_MANIFEST).where("indice = 'cianobacteria'")
+    rows = manifests.read(spark, f"{work}/indices", S.INDEX_MANIFEST).where("indice = 'cianobacteria'")
     ready, _ = scenes.split_ready(rows)
     bad = checks.undeclared(rows)
     if not bad.isEmpty():
@@ -359,25 +379,39 @@ def correlations(spark: SparkSession, work: str) -> tuple[DataFrame, DataFrame]:
     return dates, correlate.by_zone(dates).join(pooled, ["lago", "indice", "metodo"], "left")
 
 
+def correlation_tables(spark: SparkSession, work: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables of coefficients as they are published: with flags and notes."""
+    dates, zones = correlations(spark, work)
+    flags = manifests.read(spark, f"{work}/indices", S.INDEX_MANIFEST).select("lago", "fecha", "indice", "quality_flag")
+    return correlate.dated_table(dates, flags), correlate.zoned_table(zones)
+
+
+def written(spark: SparkSession, work: str, name: str) -> DataFrame:
+    """A table of the work folder: the one that was written, else made anew."""
+    path = f"{work}/tables/{name}"
+    return spark.read.parquet(path) if _exists(spark, path) else STEPS[name](spark, work)
+
+
 def distributions(spark: SparkSession, work: str) -> DataFrame:
     full = inside_outlines(read_pixels(spark, work), zone_runs(spark, work)).where("cyano IS NOT NULL AND ndvi IS NOT NULL AND ndwi IS NOT NULL").withColumn("v", F.col("cyano"))
     table = scenes.distribution(full).join(_flags(spark, work).drop("cobertura_valida_pct"), KEYS, "left")
-    return compare.with_reasons(table, series.select_dates(temporal(spark, work), extent(spark, work)))
+    return compare.with_reasons(table, series.select_dates(written(spark, work, "temporal"), written(spark, work, "extent")))
 
 
 def comparison(spark: SparkSession, work: str) -> DataFrame:
-    held = scenes.persistence_summary(persistence(spark, work)).select("lago", F.col("pct_alguna_vez").alias("pct_area_alguna_vez_alta"), F.col("pct_persistente").alias("pct_area_persistente"))
-    return compare.zone_comparison(temporal(spark, work), extent(spark, work), held, correlations(spark, work)[1])
+    held = scenes.persistence_summary(written(spark, work, "persistence")).select("lago", F.col("pct_alguna_vez").alias("pct_area_alguna_vez_alta"), F.col("pct_persistente").alias("pct_area_persistente"))
+    zones = written(spark, work, "zones").withColumnRenamed("coeficiente_mediano_fechas", "coef_mediana")
+    return compare.zone_comparison(written(spark, work, "temporal"), written(spark, work, "extent"), held, zones)
 
 
 def seasonal(spark: SparkSession, work: str) -> DataFrame:
-    return compare.seasonal(temporal(spark, work))
+    return compare.seasonal(written(spark, work, "temporal"))
 
 
 STEPS = {
-    "temporal": temporal, "peaks": lambda s, w: series.flag_peaks(temporal(s, w)), "extent": extent, "persistence": persistence, "distributions": distributions,
-    "correlations": lambda s, w: correlations(s, w)[0], "zones": lambda s, w: correlations(s, w)[1], "comparison": comparison, "seasonal": seasonal,
-    "pending": lambda s, w: scenes.pending_report(tables.read_csv(s, f"{w}/indices", S.INDEX_MANIFEST)), "plan": plan, "prepare": prepare, "validate": validate,
+    "temporal": temporal, "peaks": lambda s, w: series.flag_peaks(written(s, w, "temporal")), "extent": extent, "persistence": persistence, "distributions": distributions,
+    "correlations": lambda s, w: correlation_tables(s, w)[0], "zones": lambda s, w: correlation_tables(s, w)[1], "comparison": comparison, "seasonal": seasonal,
+    "pending": lambda s, w: scenes.pending_report(manifests.read(s, f"{w}/indices", S.INDEX_MANIFEST)), "plan": plan, "prepare": prepare, "validate": validate,
     "check-grid": check_grid, "maps": maps, "ingest": ingest,
 }
 
@@ -386,13 +420,14 @@ TABLES = ("temporal", "peaks", "extent", "persistence", "correlations", "zones",
 
 
 def run_all(spark: SparkSession, work: str) -> list[str]:
-    """Manifest, indices and every table of the work folder; tables that are there already are kept."""
+    """Manifest, indices and every table of the work folder; tables stay as they are unless scenes were computed."""
     prepare(spark, work)
     checks.require_none(validate(spark, work), "manifest")
-    run_indices(spark, work)
-    done = []
+    new, done = run_indices(spark, work), []
     for name in TABLES:
-        if not _exists(spark, f"{work}/tables/{name}"):
-            tables.write_once(STEPS[name](spark, work), f"{work}/tables/{name}")
+        path = f"{work}/tables/{name}"
+        if new or not _exists(spark, path):
+            STEPS[name](spark, work).write.mode("overwrite").parquet(path)
             done.append(name)
+    ordering.release()
     return done

@@ -52,7 +52,7 @@ SCENES = (
     ("atitlan", "2026-07-22", 4.02, "Sentinel-2B", None),
 )
 
-#: Notes of scenes; how scenes are fetched, and their flag until then.
+# Fixed values of the domain: notes of scenes; how scenes are fetched, and their flag until then.
 NOTES = {("amatitlan", "2026-02-07"): "Fecha oficial incluida para completar 11 observaciones; cobertura válida parcial aproximada de 57.1 %."}
 PRODUCT, FETCHED_BY, NOT_FETCHED = "SENTINEL2_L2A", "openEO Copernicus Data Space", "pendiente_descarga"
 LEAST_BANDS = ("B03", "B04", "B08", "SCL")
@@ -81,6 +81,18 @@ BLOOM_EXTENT = StructType([
     StructField("pixeles_validos_lago", _WHOLE), StructField("pixeles_altos", _WHOLE), StructField("area_valida_m2", _REAL), StructField("area_alta_m2", _REAL),
     StructField("porcentaje_alto", _REAL), StructField("cobertura_valida_pct", _REAL), StructField("quality_flag", _TEXT),
 ])
+CORRELATION_BY_DATE = StructType([
+    StructField("lago", _TEXT), StructField("fecha", _DAY), StructField("indice", _TEXT), StructField("metodo", _TEXT), StructField("coeficiente", _REAL), StructField("p_value", _TEXT),
+    StructField("n_pares", _WHOLE), StructField("direccion", _TEXT), StructField("magnitud", _TEXT), StructField("quality_flag_cianobacteria", _TEXT), StructField("quality_flag_indice", _TEXT),
+    StructField("nota_inferencia", _TEXT),
+])
+CORRELATION_BY_ZONE = StructType([
+    StructField("lago", _TEXT), StructField("indice", _TEXT), StructField("metodo", _TEXT), StructField("n_fechas", _WHOLE), StructField("n_pares_total", _WHOLE), StructField("coeficiente_medio_fechas", _REAL),
+    StructField("coeficiente_mediano_fechas", _REAL), StructField("coeficiente_minimo_fecha", _REAL), StructField("coeficiente_maximo_fecha", _REAL), StructField("fraccion_fechas_positivas", _REAL),
+    StructField("coeficiente_agrupado_estratificado", _REAL), StructField("p_value_agrupado", _TEXT), StructField("n_pares_agrupado", _WHOLE), StructField("magnitud_agrupada", _TEXT), StructField("nota_inferencia", _TEXT),
+])
+DATE_NOTE = "p_value_exploratorio_por_autocorrelacion_espacial"
+ZONE_NOTE = "muestra_equilibrada_por_fecha; p_value_exploratorio_por_autocorrelacion_espacial"
 PIXEL = StructType([
     StructField("lago", _TEXT), StructField("fecha", _DAY), StructField("row", IntegerType()), StructField("col", IntegerType()),
     StructField("cyano", FloatType()), StructField("ndvi", FloatType()), StructField("ndwi", FloatType()),
