@@ -5,7 +5,7 @@
     explain NAME FOLDER           its physical plan
     check                         the static configuration
     prepare | validate | compute | check-grid | pipeline   FOLDER
-    persistence-rasters FOLDER OUT
+    persistence-rasters | index-rasters   FOLDER OUT
     fetch-boundary ZONE OUT       outline of a zone by name, as GeoJSON
     fetch-cyano ZONE DATE OUT     one layer of the process service
     check-connection              a token of that service
@@ -23,7 +23,7 @@ from collections.abc import Callable
 
 from rasterloom.operators.scenes import InputDataError
 
-LOCAL = ("list", "run", "explain", "check", "prepare", "validate", "compute", "check-grid", "pipeline", "persistence-rasters")
+LOCAL = ("list", "run", "explain", "check", "prepare", "validate", "compute", "check-grid", "pipeline", "persistence-rasters", "index-rasters")
 REMOTE = ("fetch-boundary", "fetch-cyano", "check-connection", "download")
 
 
@@ -123,8 +123,9 @@ def main(args: list[str] | None = None) -> int:
                 workflows.run_indices(session(), work)
             elif given.action == "pipeline":
                 print(*workflows.run_all(session(), work), sep="\n")
-            elif given.action == "persistence-rasters":
-                workflows.export_persistence(session(), work, given.folder or _missing("a target"))
+            elif given.action in ("persistence-rasters", "index-rasters"):
+                export = workflows.export_persistence if given.action == "persistence-rasters" else workflows.export_indices
+                export(session(), work, given.folder or _missing("a target"))
             else:
                 checks.require_none((workflows.validate if given.action == "validate" else workflows.check_grid)(session(), work), given.action)
     except (InputDataError, RemoteError) as e:

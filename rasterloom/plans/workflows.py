@@ -17,8 +17,6 @@ so a choice of scenes prunes files.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -341,19 +339,40 @@ def persistence(spark: SparkSession, work: str, least_dates: int = 3) -> DataFra
     return scenes.persistence(inside_outlines(read_pixels(spark, work), zone_runs(spark, work)).withColumn("v", F.col("cyano")), least_dates=least_dates)
 
 
-def export_persistence(spark: SparkSession, work: str, out: str) -> None:
-    """Two rasters for each zone: share of high dates, and valid dates; on a file system that all workers mount."""
+def _rasters(rows: DataFrame, out: str) -> None:
+    """Write rasters from (path, band, row, col, value, meta): strips by many tasks."""
     from rasterloom.sources import geotiff
 
-    spark.dataSource.register(geotiff.GeoTiffSource)
-    found = persistence(spark, work)
-    for zone, grid in grids(spark, work).items():
-        x, y, step, _ = grid["transform"]
-        for name, value, unit in (("proporcion_alto", "proporcion", "fraccion_0_1"), ("conteo_valido", "n_valido", "conteo_de_fechas")):
-            rows = found.where(F.col("lago") == zone).select(F.lit(f"{zone}_{name}.tif").alias("path"), F.lit(1).alias("band"), "row", "col", F.col(value).cast("double").alias("value"))
-            tags = {"lago": zone, "indice": name, "unidad": unit, "fecha": "todas_las_fechas_listas", "formula_version": "persistencia-v1"}
-            options = {"crs": grid["crs"], "x": x, "y": y, "resolution": step, "width": grid["width"], "height": grid["height"], "description": name, "tags": json.dumps(tags)}
-            rows.coalesce(1).write.format("geotiff").options(**{k: str(v) for k, v in options.items()}).mode("append").save(out)  # one raster is one file
+    rows.sparkSession.dataSource.register(geotiff.GeoTiffSource)
+    strip = F.floor(F.col("row") / geotiff.STRIP_ROWS)
+    rows.repartition(F.col("path"), strip).sortWithinPartitions("path", "row").write.format("geotiff").mode("append").save(out)
+
+
+def _meta(name: Column, grid: dict[str, Column], tags: dict[str, Column]) -> Column:
+    return F.to_json(F.struct(*(v.alias(k) for k, v in grid.items()), name.alias("description"), F.struct(*(v.cast("string").alias(k) for k, v in tags.items())).alias("tags")))
+
+
+def export_persistence(spark: SparkSession, work: str, out: str) -> None:
+    """Two rasters for each zone: share of high dates, and valid dates; on a file system that all workers mount."""
+    c = F.col
+    grid = tables.read_csv(spark, f"{work}/grids", S.GRIDS).select("lago", *(c(a).alias(b) for a, b in (("crs", "_crs"), ("x", "_x"), ("y", "_y"), ("resolucion", "_step"), ("ancho", "_w"), ("alto", "_h"))))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(u).alias("unit"), c(v).cast("double").alias("value")) for n, v, u in (("proporcion_alto", "proporcion", "fraccion_0_1"), ("conteo_valido", "n_valido", "conteo_de_fechas"))))).alias("e")
+    found = persistence(spark, work).join(F.broadcast(grid), "lago").select("*", each)  # a row a zone
+    tags = {"lago": c("lago"), "indice": c("e.name"), "unidad": c("e.unit"), "fecha": F.lit("todas_las_fechas_listas"), "formula_version": F.lit("persistencia-v1")}
+    meta = _meta(c("e.name"), {"crs": c("_crs"), "x": c("_x"), "y": c("_y"), "resolution": c("_step"), "width": c("_w"), "height": c("_h")}, tags)
+    _rasters(found.select(F.concat_ws("_", "lago", F.concat("e.name", F.lit(".tif"))).alias("path"), F.lit(1).alias("band"), "row", "col", c("e.value").alias("value"), meta.alias("meta")), out)
+
+
+def export_indices(spark: SparkSession, work: str, out: str) -> None:
+    """A raster for each scene and index that was computed, on the grid of the scene's bands, with its tags."""
+    c = F.col
+    ready = manifests.read(spark, f"{work}/indices", S.INDEX_MANIFEST).where(c("quality_flag") != S.PENDING).select(*KEYS, "indice", "unidad", "formula_version")
+    about = ready.join(scene_grids(read_tiles(spark, work)), KEYS)  # a row a raster
+    found = long_form(read_pixels(spark, work)).join(about, [*KEYS, "indice"])
+    tags = {"lago": c("lago"), "fecha": c("fecha"), "indice": c("indice"), "formula_version": c("formula_version"), "unidad": c("unidad")}
+    meta = _meta(c("indice"), {"crs": c("grid.crs"), "x": c("grid.x"), "y": c("grid.y"), "resolution": c("grid.px"), "width": c("grid.width"), "height": c("grid.height")}, tags)
+    name = F.concat(F.concat_ws("_", "lago", c("fecha").cast("string"), "indice"), F.lit(".tif"))
+    _rasters(found.select(name.alias("path"), F.lit(1).alias("band"), "row", "col", c("v").cast("double").alias("value"), meta.alias("meta")), out)
 
 
 def maps(spark: SparkSession, work: str) -> DataFrame:

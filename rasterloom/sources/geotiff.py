@@ -12,19 +12,23 @@ the EPSG code of the geo keys.
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import json
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
 
 from rasterloom.operators.scenes import InputDataError
 
@@ -69,7 +73,7 @@ class Raster:
         return d
 
 
-def _directory(raw: bytes) -> tuple[str, dict[int, tuple]]:
+def _directory(raw: bytes | Ranged) -> tuple[str, dict[int, tuple]]:
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
     version = struct.unpack(order + "H", raw[2:4])[0] if order and len(raw) > 8 else 0
     if version not in (42, 43):
@@ -94,47 +98,80 @@ def _directory(raw: bytes) -> tuple[str, dict[int, tuple]]:
     return order, out
 
 
-def decode(raw: bytes) -> Raster:
-    """The raster in the bytes of a file; it must have positive dimensions."""
-    order, tags = _directory(raw)
-    width, height, samples = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, (1,))[0]
-    if width <= 0 or height <= 0:
-        raise InputDataError("the raster has no pixels")
-    kind = {1: "u", 2: "i", 3: "f"}[tags.get(FORMAT, (1,))[0]]
-    item = tags.get(BITS, (1,))[0] // 8
-    dtype = np.dtype(f"{order}{kind}{item}")
-    tiled = TILES in tags
-    w, h = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(height, tags.get(ROWS_PER_STRIP, (height,))[0]))
-    planar = tags.get(PLANAR, (1,))[0] == 2
-    inner = 1 if planar else samples
-    out = np.zeros((samples, height, width), dtype.newbyteorder("="))
-    across, down = -(-width // w), -(-height // h)
-    for k, (start, size) in enumerate(zip(tags[TILES if tiled else STRIPS], tags[TILE_BYTES if tiled else STRIP_BYTES], strict=True)):
-        band, place = divmod(k, across * down)
-        y, x = place // across * h, place % across * w
-        body = raw[start : start + size]
-        compression = tags.get(COMPRESSION, (1,))[0]
+class Layout:
+    """Where the blocks (strips or tiles) of a file lie, and how they are packed. ``raw`` gives bytes by slices: a whole file, or one that is read by ranges."""
+
+    def __init__(self, raw: bytes | Ranged):
+        order, self.tags = _directory(raw)
+        tags = self.tags
+        self.width, self.height, self.samples = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, (1,))[0]
+        if self.width <= 0 or self.height <= 0:
+            raise InputDataError("the raster has no pixels")
+        kind = {1: "u", 2: "i", 3: "f"}[tags.get(FORMAT, (1,))[0]]
+        self.dtype = np.dtype(f"{order}{kind}{tags.get(BITS, (1,))[0] // 8}")
+        self.tiled = TILES in tags
+        self.w, self.h = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if self.tiled else (self.width, min(self.height, tags.get(ROWS_PER_STRIP, (self.height,))[0]))
+        self.planar = tags.get(PLANAR, (1,))[0] == 2
+        self.starts, self.sizes = tags[TILES if self.tiled else STRIPS], tags[TILE_BYTES if self.tiled else STRIP_BYTES]
+        self.across, self.down = -(-self.width // self.w), -(-self.height // self.h)
+
+    def place(self, k: int) -> tuple[slice, int, int]:
+        """Bands, first row and first column of block k."""
+        band, at = divmod(k, self.across * self.down)
+        return slice(band, band + 1) if self.planar else slice(0, self.samples), at // self.across * self.h, at % self.across * self.w
+
+    def block(self, raw: bytes | Ranged, k: int) -> np.ndarray:
+        """The values (bands, rows, columns) of block k, cut at the raster's edge."""
+        _, y, x = self.place(k)
+        body = raw[self.starts[k] : self.starts[k] + self.sizes[k]]
+        compression = self.tags.get(COMPRESSION, (1,))[0]
         if compression in (8, 32946):
             body = zlib.decompress(body)
         elif compression == 5:
             body = unlzw(body)
         elif compression != 1:
             raise InputDataError(f"compression {compression} is not supported")
-        rows = h if tiled else min(h, height - y)
-        part = _unpredict(body, rows, w, inner, dtype, tags.get(PREDICTOR, (1,))[0])
-        part = part[: height - y, : width - x]
-        target = slice(band, band + 1) if planar else slice(0, samples)
-        out[target, y : y + part.shape[0], x : x + part.shape[1]] = np.moveaxis(part, 2, 0)
+        rows = self.h if self.tiled else min(self.h, self.height - y)
+        part = _unpredict(body, rows, self.w, 1 if self.planar else self.samples, self.dtype, self.tags.get(PREDICTOR, (1,))[0])
+        return np.moveaxis(part[: self.height - y, : self.width - x], 2, 0)
+
+    @property
+    def nodata(self) -> float | None:
+        try:
+            text = self.tags.get(NODATA, (None,))[0]
+            return None if text is None else float(text)
+        except ValueError:
+            return None
+
+
+class Ranged:
+    """A file by ranges: only the bytes of a slice are read."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.size = file, file.size()
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: slice) -> bytes:
+        start, stop, _ = at.indices(self.size)
+        return self.file.read_at(max(0, stop - start), start)
+
+
+def decode(raw: bytes) -> Raster:
+    """The raster in the bytes of a file; it must have positive dimensions."""
+    f = Layout(raw)
+    out = np.zeros((f.samples, f.height, f.width), f.dtype.newbyteorder("="))
+    for k in range(len(f.starts)):
+        bands, y, x = f.place(k)
+        part = f.block(raw, k)
+        out[bands, y : y + part.shape[1], x : x + part.shape[2]] = part
+    tags = f.tags
     scale, tie = tags.get(PIXEL_SCALE, (1.0, 1.0)), tags.get(TIE_POINT, (0.0,) * 6)
     keys = tags.get(GEO_KEYS, ())
     codes = {keys[i]: keys[i + 3] for i in range(4, len(keys), 4) if keys[i + 1] == 0}
-    nodata = tags.get(NODATA, (None,))[0]
-    try:
-        nodata = None if nodata is None else float(nodata)
-    except ValueError:
-        nodata = None
     origin = (tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1])
-    return Raster(out, codes.get(3072, codes.get(2048)), origin, (scale[0], scale[1]), nodata, tags.get(DESCRIPTION, ("",))[0], *_items(tags.get(METADATA, ("",))[0], samples))
+    return Raster(out, codes.get(3072, codes.get(2048)), origin, (scale[0], scale[1]), f.nodata, tags.get(DESCRIPTION, ("",))[0], *_items(tags.get(METADATA, ("",))[0], f.samples))
 
 
 def unlzw(body: bytes) -> bytes:
@@ -190,16 +227,29 @@ def _items(text: str, samples: int) -> tuple[dict[str, str], list[str]]:
     return tags, bands if any(bands) else []
 
 
-def encode(raster: Raster, rows_per_strip: int = 64) -> bytes:
+#: Rows of a strip that is written.
+STRIP_ROWS = 64
+
+
+def encode(raster: Raster, rows_per_strip: int = STRIP_ROWS) -> bytes:
     """A deflated GeoTIFF, one strip after another."""
     data = np.ascontiguousarray(np.moveaxis(raster.data, 0, 2))
     data = data.astype(data.dtype.newbyteorder("<"))
-    height, width, samples = data.shape
-    strips = [zlib.compress(data[y : y + rows_per_strip].tobytes(), 6) for y in range(0, height, rows_per_strip)]
-    kind = {"u": 1, "i": 2, "f": 3}[data.dtype.kind]
+    strips = [zlib.compress(data[y : y + rows_per_strip].tobytes(), 6) for y in range(0, data.shape[0], rows_per_strip)]
+    sizes = [len(s) for s in strips]
+    places = [sum(sizes[:k]) for k in range(len(sizes))]
+    return header(raster, data.shape, data.dtype, sizes, places, rows_per_strip) + b"".join(strips)
+
+
+def header(raster: Raster, shape: tuple[int, int, int], dtype: np.dtype, sizes: Sequence[int], places: Sequence[int], rows_per_strip: int = STRIP_ROWS, big: bool | None = None) -> bytes:
+    """All of a file before its strips, which lie at ``places`` behind it; of the big format if 32 bits don't reach them."""
+    height, width, samples = shape
+    if big is None:
+        big = max(map(sum, zip(sizes, places, strict=True))) + 16 * len(sizes) + (1 << 20) >= 1 << 32
+    kind = {"u": 1, "i": 2, "f": 3}[dtype.kind]
     fields: list[tuple[int, int, tuple | bytes]] = [
-        (WIDTH, 4, (width,)), (HEIGHT, 4, (height,)), (BITS, 3, (data.dtype.itemsize * 8,) * samples), (COMPRESSION, 3, (8,)), (PHOTOMETRIC, 3, (1,)),
-        (SAMPLES, 3, (samples,)), (ROWS_PER_STRIP, 4, (rows_per_strip,)), (STRIP_BYTES, 4, tuple(map(len, strips))), (PLANAR, 3, (1,)), (FORMAT, 3, (kind,) * samples),
+        (WIDTH, 4, (width,)), (HEIGHT, 4, (height,)), (BITS, 3, (dtype.itemsize * 8,) * samples), (COMPRESSION, 3, (8,)), (PHOTOMETRIC, 3, (1,)),
+        (SAMPLES, 3, (samples,)), (ROWS_PER_STRIP, 4, (rows_per_strip,)), (STRIP_BYTES, 4, tuple(sizes)), (PLANAR, 3, (1,)), (FORMAT, 3, (kind,) * samples),
         (PIXEL_SCALE, 12, (*raster.pixel, 0.0)), (TIE_POINT, 12, (0.0, 0.0, 0.0, *raster.origin, 0.0)),
     ]
     if raster.description:
@@ -215,27 +265,24 @@ def encode(raster: Raster, rows_per_strip: int = 64) -> bytes:
     if raster.crs is not None:
         flat = raster.crs == 4326
         fields.append((GEO_KEYS, 3, (1, 1, 0, 3, 1024, 0, 1, 2 if flat else 1, 1025, 0, 1, 1, 2048 if flat else 3072, 0, 1, raster.crs)))
-    fields.append((STRIPS, 4, (0,) * len(strips)))
+    word, room = ("Q", 8) if big else ("I", 4)
+    fields.append((STRIPS, 16 if big else 4, tuple(places)))
     fields.sort()
-    head = 8 + 2 + 12 * len(fields) + 4
-    extra, entries = b"", []
+    head = 16 + 8 + 20 * len(fields) + 8 if big else 8 + 2 + 12 * len(fields) + 4
     bodies = {tag: value if isinstance(value, bytes) else struct.pack("<" + _TYPES[k] * len(value), *value) for tag, k, value in fields}
-    total = head + sum(len(b) + len(b) % 2 for b in bodies.values() if len(b) > 4)
-    starts, at = [], total
-    for s in strips:
-        starts.append(at)
-        at += len(s)
-    bodies[STRIPS] = struct.pack("<" + "I" * len(starts), *starts)
+    total = head + sum(len(b) + len(b) % 2 for b in bodies.values() if len(b) > room)
+    bodies[STRIPS] = struct.pack("<" + word * len(places), *(total + p for p in places))
+    extra, entries = b"", []
     for tag, k, value in fields:
         body = bodies[tag]
-        n = len(body) if isinstance(value, bytes) else len(value)
-        if len(body) > 4:
-            where = struct.pack("<I", head + len(extra))
+        if len(body) > room:
+            where = struct.pack("<" + word, head + len(extra))
             extra += body + b"\0" * (len(body) % 2)
         else:
-            where = body.ljust(4, b"\0")
-        entries.append(struct.pack("<HHI", tag, k, n) + where)
-    return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(fields)) + b"".join(entries) + b"\0" * 4 + extra + b"".join(strips)
+            where = body.ljust(room, b"\0")
+        entries.append(struct.pack("<HH" + word, tag, k, len(value)) + where)
+    first = b"II+\0" + struct.pack("<HHQQ", 8, 0, 16, len(fields)) if big else b"II*\0" + struct.pack("<IH", 8, len(fields))
+    return first + b"".join(entries) + b"\0" * room + extra
 
 
 def load_bands(rasters: dict[str, Raster], wanted: Sequence[str]) -> dict[str, np.ndarray]:
@@ -411,77 +458,228 @@ def encode_scenes(pixels: DataFrame, keys: Sequence[str], crs: int | None = None
     return pixels.select(*keys, "row", "col", "v").groupBy(*keys).applyInArrow(one, schema)
 
 
+#: Bytes of a file that one task reads, about.
+SHARE = 64 << 20
+
+
 @dataclass
-class _File(InputPartition):
+class _Part(InputPartition):
+    """Share k of n of a file's blocks."""
+
     path: str
+    k: int
+    n: int
 
 
 class _Reader(DataSourceReader):
+    """Blocks of files, by ranges: a large file is read by several tasks, each of which reads the directory and its own blocks."""
+
     def __init__(self, options: dict):
         self.options = options
+        self.bands = [int(b) for b in str(options.get("bands", "1")).split(",")]
+        self.rows = (0, 1 << 62)
 
-    def partitions(self) -> list[_File]:
-        path = self.options.get("path", "")
-        files = sorted(glob.glob(os.path.join(path, "*.tif*")) if os.path.isdir(path) else glob.glob(path))
+    def partitions(self) -> list[_Part]:
+        fs, path = _store(self.options.get("path", ""))
+        found = fs.get_file_info(FileSelector(path)) if fs.get_file_info(path).type == FileType.Directory else [i for i in fs.get_file_info(FileSelector(os.path.dirname(path) or ".")) if fnmatch.fnmatch(i.base_name, os.path.basename(path))]
+        files = sorted((i.path, i.size) for i in found if i.is_file and fnmatch.fnmatch(i.base_name.lower(), "*.tif*"))
         if not files:
             raise InputDataError(f"no raster under {path}")
-        return [_File(f) for f in files]
+        share = int(self.options.get("share", SHARE))
+        return [_Part(f, k, n) for f, size in files for n in [max(1, -(-size // share))] for k in range(n)]
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        fs, _ = _store(self.options.get("path", ""))
+        with fs.open_input_file(partition.path) as file:
+            raw = Ranged(file)
+            f = Layout(raw)
+            blocks = len(f.starts)
+            for k in range(blocks * partition.k // partition.n, blocks * (partition.k + 1) // partition.n):
+                bands, y, x = f.place(k)
+                wanted = [b for b in self.bands if bands.start < b <= bands.stop]
+                if not wanted or y + f.h <= self.rows[0] or y > self.rows[1]:
+                    continue  # nothing of it is read
+                part = f.block(raw, k)
+                for b in wanted:
+                    v = part[b - 1 - bands.start].astype(np.float64)
+                    ok = ~np.isnan(v) if f.nodata is None or np.isnan(f.nodata) else ~np.isnan(v) & (v != f.nodata)
+                    r, c = np.nonzero(ok)
+                    keep = (r + y >= self.rows[0]) & (r + y <= self.rows[1])
+                    r, c = r[keep], c[keep]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([partition.path] * len(r), pa.string()), pa.array([b] * len(r), pa.int32()), pa.array((r + y).astype(np.int32)), pa.array((c + x).astype(np.int32)), pa.array(v[r, c])],
+                        ["path", "band", "row", "col", "value"],
+                    )
+
+
+class _PushingReader(_Reader):
+    """The same with conditions on band and row, which leave blocks unread. Spark asks for them where spark.sql.python.filterPushdown.enabled is set."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name = ".".join(f.attribute) if hasattr(f, "attribute") else ""
+            low, high = self.rows
+            if name == "band" and isinstance(f, EqualTo):
+                self.bands = [b for b in self.bands if b == f.value]
+            elif name == "band" and isinstance(f, In):
+                self.bands = [b for b in self.bands if b in f.value]
+            elif name == "row" and isinstance(f, EqualTo):
+                self.rows = max(low, f.value), min(high, f.value)
+            elif name == "row" and isinstance(f, GreaterThanOrEqual | GreaterThan):
+                self.rows = max(low, f.value + isinstance(f, GreaterThan)), high
+            elif name == "row" and isinstance(f, LessThanOrEqual | LessThan):
+                self.rows = low, min(high, f.value - isinstance(f, LessThan))
+            elif not (isinstance(f, IsNotNull) and name in ("band", "row", "path", "col", "value")):
+                yield f
+
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
-            raster = decode(f.read())
-        for k in [int(b) for b in str(self.options.get("bands", "1")).split(",")]:
-            v = raster.values(k - 1)
-            rows, cols = np.nonzero(~np.isnan(v))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([partition.path] * len(rows), pa.string()), pa.array([k] * len(rows), pa.int32()), pa.array(rows.astype(np.int32)), pa.array(cols.astype(np.int32)), pa.array(v[rows, cols])],
-                ["path", "band", "row", "col", "value"],
-            )
+def _store(path: str) -> tuple[FileSystem, str]:
+    """The file system of a path or URI that Arrow knows, and the path within it."""
+    return FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
+
+
+@dataclass
+class _Strip:
+    """A compressed strip, in a task's own file."""
+
+    name: str
+    at: int
+    file: str
+    start: int
+    size: int
+    meta: str
+    width: int
+    height: int
 
 
 @dataclass
 class _Done(WriterCommitMessage):
-    files: list[str]
+    strips: list[_Strip]
+    file: str
 
 
 class _Writer(DataSourceArrowWriter):
-    """One file for each path; rows of a path must be in one partition (repartition by path).
+    """Rasters from rows (path, band, row, col, value[, meta]), a file for each path.
 
-    Options: crs, x, y (upper left corner), resolution, width, height, description, tags (JSON).
+    Tasks compress strips of STRIP_ROWS rows beside the target; the commit puts the files together from
+    them, as bytes. Rows of a strip belong to one task (repartition by path and row div STRIP_ROWS; sorted by these,
+    a task holds one strip at a time). Options, or the JSON in ``meta``: crs, x, y (upper left corner), resolution, width, height, description, tags.
+    Without width and height a raster's rows belong to one task, and its size is that of its cells.
     """
 
     def __init__(self, options: dict, overwrite: bool):
         self.options, self.overwrite = options, overwrite
 
+    def _meta(self, text: str | None) -> dict:
+        o = dict(self.options) | (json.loads(text) if text else {})
+        o["tags"] = json.loads(o["tags"]) if isinstance(o.get("tags"), str) else o.get("tags", {})
+        return o
+
+    def _target(self, name: str) -> str:
+        target = os.path.join(self.options["path"], os.path.basename(name))
+        if os.path.exists(target) and not self.overwrite and self.options.get("replace", "false") != "true":
+            raise InputDataError(f"{target} exists")
+        return target
+
     def write(self, rows: Iterator) -> _Done:
-        cells: dict[str, list[tuple[np.ndarray, ...]]] = {}
-        for batch in rows:
-            row, col, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "col", "value"))
-            place = batch.column("path").dictionary_encode()
-            for k, name in enumerate(place.dictionary.to_pylist()):
-                own = place.indices.to_numpy(zero_copy_only=False) == k
-                cells.setdefault(name, []).append((row[own], col[own], value[own]))
-        folder, done = self.options["path"], []
+        folder = os.path.join(self.options["path"], ".strips")
         os.makedirs(folder, exist_ok=True)
-        for name, values in cells.items():
-            target = os.path.join(folder, os.path.basename(name))
-            if os.path.exists(target) and not self.overwrite and self.options.get("replace", "false") != "true":
-                raise InputDataError(f"{target} exists")
-            row, col, value = (np.concatenate(c) for c in zip(*values, strict=True))
-            o = self.options
-            grid = np.full((1, int(o.get("height", row.max() + 1)), int(o.get("width", col.max() + 1))), np.nan, np.float32)
-            grid[0, row, col] = value
-            crs, step = o.get("crs"), float(o.get("resolution", 1))
-            raster = Raster(grid, int(crs) if crs else None, (float(o.get("x", 0)), float(o.get("y", 0))), (step, step), float("nan"), o.get("description", ""), json.loads(o.get("tags", "{}")))
-            with open(target + ".tmp", "wb") as f:
-                f.write(encode(raster))
-            os.replace(target + ".tmp", target)
-            done.append(target)
-        return _Done(done)
+        own, done = os.path.join(folder, uuid.uuid4().hex), []
+        open_: dict[tuple[str, int], list] = {}  # (path, strip): values, cells seen
+        loose: dict[str, list] = {}  # rasters without a size
+        metas: dict[str, tuple[str, int | None, int | None]] = {}
+        with open(own, "wb") as out:
+
+            def flush(name: str, at: int, values: np.ndarray) -> None:
+                body = zlib.compress(values.astype("<f4").tobytes(), 6)
+                text, width, height = metas[name]
+                done.append(_Strip(name, at, own, out.tell(), len(body), text, width, height))
+                out.write(body)
+
+            for batch in rows:
+                row, col, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "col", "value"))
+                texts = batch.column("meta") if "meta" in batch.schema.names else None
+                place = batch.column("path").dictionary_encode()
+                for k, name in enumerate(place.dictionary.to_pylist()):
+                    at = np.flatnonzero(place.indices.to_numpy(zero_copy_only=False) == k)
+                    if name not in metas:
+                        self._target(name)
+                        text = texts[int(at[0])].as_py() if texts is not None else ""
+                        o = self._meta(text)
+                        metas[name] = text or "", *(int(o[c]) if o.get(c) is not None else None for c in ("width", "height"))
+                    width, height = metas[name][1:]
+                    if width is None or height is None:
+                        loose.setdefault(name, []).append((row[at], col[at], value[at]))
+                        continue
+                    strips = row[at] // STRIP_ROWS
+                    for s in np.unique(strips).tolist():
+                        if (name, s) not in open_:
+                            open_[name, s] = [np.full((min(STRIP_ROWS, height - s * STRIP_ROWS), width), np.nan, np.float32), 0]
+                        mine, held = at[strips == s], open_[name, s]
+                        held[0][row[mine] - s * STRIP_ROWS, col[mine]] = value[mine]
+                        held[1] += len(mine)
+                        if held[1] >= held[0].size:
+                            flush(name, s, open_.pop((name, s))[0])
+            for (name, s), held in open_.items():
+                flush(name, s, held[0])
+            for name, parts in loose.items():
+                row, col, value = (np.concatenate(c) for c in zip(*parts, strict=True))
+                whole = np.full((int(row.max()) + 1, int(col.max()) + 1), np.nan, np.float32)
+                whole[row, col] = value
+                metas[name] = metas[name][0], whole.shape[1], whole.shape[0]
+                for y in range(0, whole.shape[0], STRIP_ROWS):
+                    flush(name, y // STRIP_ROWS, whole[y : y + STRIP_ROWS])
+        return _Done(done, own)
+
+    def commit(self, messages: list[_Done | None]) -> None:
+        """Put the files together; what the driver moves are compressed bytes, a piece at a time."""
+        by: dict[str, list[_Strip]] = {}
+        for m in messages:
+            for s in m.strips if m else []:
+                by.setdefault(s.name, []).append(s)
+        try:
+            for name, strips in sorted(by.items()):
+                self._assemble(name, {s.at: s for s in strips}, len(strips))
+        finally:
+            self.abort(messages)
+
+    def _assemble(self, name: str, strips: dict[int, _Strip], n: int) -> None:
+        target, one = self._target(name), next(iter(strips.values()))
+        if n != len(strips) or len({(s.width, s.height) for s in strips.values()}) != 1:
+            raise InputDataError(f"{name}: a strip, or a raster without a size, was written by several tasks; repartition by path and row div {STRIP_ROWS}")
+        o, width, height = self._meta(one.meta), one.width, one.height
+        crs, step = o.get("crs"), float(o.get("resolution") or 1)
+        raster = Raster(np.zeros((1, 1, 1), np.float32), int(crs) if crs not in (None, "") else None, (float(o.get("x") or 0), float(o.get("y") or 0)), (step, step), float("nan"), o.get("description") or "", {k: str(v) for k, v in o["tags"].items()})
+        empty = {h: zlib.compress(np.full((h, width), np.nan, "<f4").tobytes(), 6) for h in {STRIP_ROWS, height % STRIP_ROWS or STRIP_ROWS, height} if h}
+        sizes, places, bodies, at = [], [], [], 0
+        for k in range(-(-height // STRIP_ROWS)):  # a strip without rows has no values
+            body = strips.get(k, empty[min(STRIP_ROWS, height - k * STRIP_ROWS)])
+            sizes.append(body.size if isinstance(body, _Strip) else len(body))
+            places.append(at)
+            bodies.append(body)
+            at += sizes[-1]
+        with open(target + ".tmp", "wb") as out:
+            out.write(header(raster, (height, width, 1), np.dtype("<f4"), sizes, places))
+            for body in bodies:
+                if isinstance(body, _Strip):
+                    with open(body.file, "rb") as f:
+                        f.seek(body.start)
+                        out.write(f.read(body.size))
+                else:
+                    out.write(body)
+        os.replace(target + ".tmp", target)
+
+    def abort(self, messages: list[_Done | None]) -> None:
+        for m in messages:
+            if m and os.path.exists(m.file):
+                os.remove(m.file)
 
 
 class GeoTiffSource(DataSource):
-    """Rows of pixels from and to GeoTIFF files on a file system that all workers mount."""
+    """Rows of pixels from and to GeoTIFF files, on a store that Arrow reads and a file system that all workers mount.
+
+    Option ``pushdown`` lets conditions on band and row reach the reader.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -491,7 +689,8 @@ class GeoTiffSource(DataSource):
         return "path string, band int, row int, col int, value double"
 
     def reader(self, schema) -> _Reader:
-        return _Reader(dict(self.options))
+        push = str(self.options.get("pushdown", "false")).lower() == "true"
+        return (_PushingReader if push else _Reader)(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         return _Writer(dict(self.options), overwrite)

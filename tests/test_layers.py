@@ -184,3 +184,66 @@ def test_runs_are_cheap_for_long_outlines(spark):
     assert "BroadcastHashJoin" in plan and "aggregate(" not in plan
     inner, outer = (math.pi * r * r for r in (180, 240))
     assert inner < got.count() < outer
+
+
+def test_index_rasters(spark, work, tmp_path):
+    W.export_indices(spark, str(work), str(tmp_path / "r"))
+    names = sorted(p.name for p in (tmp_path / "r").glob("*.tif"))
+    assert names == sorted(f"{z}_{d}_{i}.tif" for z, d in DAYS.items() for i in S.INDICES if (z, i) != ("amatitlan", "cianobacteria"))
+    r = geotiff.decode((tmp_path / "r" / f"atitlan_{DAYS['atitlan']}_ndvi.tif").read_bytes())
+    assert r.grid == {"crs": 32615, "transform": (*ORIGIN["atitlan"], 10.0, 10.0), "width": SIDE, "height": SIDE}
+    assert r.tags == {"lago": "atitlan", "fecha": DAYS["atitlan"], "indice": "ndvi", "formula_version": "1", "unidad": "adimensional"} and r.description == "ndvi"
+    assert np.isnan(r.data[0, 0, 1]) and np.isfinite(r.data).sum() == SIDE * SIDE - 2 and not any((tmp_path / "r" / ".strips").iterdir())
+
+
+# -- the data source --------------------------------------------------------------------------
+
+
+def test_strips_by_many_tasks(spark, tmp_path):
+    spark.dataSource.register(geotiff.GeoTiffSource)
+    h, w = 300, 70
+    d = spark.range(h * w).select(F.lit("a.tif").alias("path"), F.lit(1).alias("band"), (F.col("id") / w).cast("int").alias("row"), (F.col("id") % w).cast("int").alias("col")).where("row < 64 OR row >= 128")
+    d = d.withColumn("value", F.col("row") + F.col("col") / 1000)
+    d.repartition(6, F.col("path"), F.floor(F.col("row") / geotiff.STRIP_ROWS)).write.format("geotiff").options(width=w, height=h, crs=32615, x=5, y=9, resolution=2).mode("append").save(str(tmp_path))
+    raw = (tmp_path / "a.tif").read_bytes()
+    r, f = geotiff.decode(raw), geotiff.Layout(raw)
+    want = np.arange(h)[:, None] + np.arange(w)[None] / 1000
+    want[64:128] = np.nan
+    assert np.allclose(r.values(), want, equal_nan=True, atol=1e-4) and len(f.starts) == 5 and r.grid["transform"] == (5.0, 9.0, 2.0, 2.0)
+    with pytest.raises(Exception, match="several tasks"):
+        d.repartition(6, "col").write.format("geotiff").options(width=w, height=h, replace="true").mode("append").save(str(tmp_path))
+    assert (tmp_path / "a.tif").read_bytes() == raw and not any((tmp_path / ".strips").iterdir())
+    # the big format has the same values
+    one = geotiff.header(r, (h, w, 1), np.dtype("<f4"), f.sizes, [s - f.starts[0] for s in f.starts], big=True)
+    assert one[:4] == b"II+\0" and np.allclose(geotiff.decode(one + raw[f.starts[0] :]).data, r.data, equal_nan=True)
+
+
+def test_files_are_split_and_conditions_leave_blocks_unread(spark, tmp_path):
+    data = np.arange(2 * 400 * 30, dtype=np.float32).reshape(2, 400, 30)
+    data[0, 3, 4] = -1
+    (tmp_path / "x.tif").write_bytes(geotiff.encode(geotiff.Raster(data, 32615, nodata=-1.0)))
+    reader = geotiff._PushingReader({"path": str(tmp_path), "bands": "1,2", "share": "9000"})
+    parts = reader.partitions()
+    assert len(parts) > 3
+    rest = list(reader.pushFilters([geotiff.EqualTo(("band",), 2), geotiff.GreaterThan(("row",), 99), geotiff.LessThanOrEqual(("row",), 180), geotiff.EqualTo(("col",), 3)]))
+    assert len(rest) == 1 and reader.bands == [2] and reader.rows == (100, 180)
+    read = []
+    block = geotiff.Layout.block
+    geotiff.Layout.block = lambda self, raw, k: read.append(k) or block(self, raw, k)
+    try:
+        got = sum(b.num_rows for p in parts for b in reader.read(p))
+    finally:
+        geotiff.Layout.block = block
+    assert got == 81 * 30 and read == [1, 2]
+    spark.dataSource.register(geotiff.GeoTiffSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        d = spark.read.format("geotiff").options(bands="1,2", share=9000, pushdown="true").load(str(tmp_path))
+        some = d.where("band = 2 AND row BETWEEN 100 AND 180")
+        assert some.count() == got and {r.value for r in some.where("col = 3 AND row = 101").collect()} == {float(data[1, 101, 3])}
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    every = spark.read.format("geotiff").options(bands="1,2", share=9000).load("file://" + str(tmp_path) + "/*.tif")
+    assert every.rdd.getNumPartitions() == len(parts) and every.count() == 2 * 400 * 30 - 1
+    with pytest.raises(Exception, match="no raster"):
+        spark.read.format("geotiff").load(str(tmp_path / "none")).count()
