@@ -148,7 +148,7 @@ class Held:
 FAR = float(1 << 62)
 #: Probes: anchors with their windows (positives of them in the second search) and k-th scores.
 PROBE = "task long, kind int, list int, uid long, id long, label long, q binary, partners array<long>, scores array<long>, kth array<long>"
-FOUND = "uid long, anchor long, partner long, partner_score long, id long, score long"
+FOUND = "uid long, anchor long, place long, partner long, partner_score long, id long, score long"
 
 
 class Index:
@@ -298,7 +298,7 @@ class Index:
                 found = held.search(np.frombuffer(r["q"], np.int32), r["uid"], r["label"], low, high, same, kth, k)
                 for w, (scores, ids) in enumerate(found):
                     n = len(ids)
-                    row = (r["uid"], r["id"], r["partners"][w] if r["partners"] else None, r["scores"][w] if r["scores"] else None)
+                    row = (r["uid"], r["id"], w, r["partners"][w] if r["partners"] else None, r["scores"][w] if r["scores"] else None)
                     for column, value in zip(out, (*([v] * n for v in row), ids.tolist(), scores.tolist()), strict=True):
                         column += value
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [f.split()[0] for f in FOUND.split(", ")])
@@ -339,12 +339,11 @@ def mine(spark: SparkSession, rows: DataFrame, anchors: Column, positives: int =
     wanted = probes.drop("partners", "scores").join(stage(spark, close, "positives"), F.col("uid") == F.col("u")).drop("u")
     # negatives, within the windows of the positives
     home = stage(spark, index.search(wanted.withColumn("kth", null), False, negatives, False), "home")
-    kth = _kth(home, negatives, "uid", "partner", "partner_score").groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("partner", "partner_score"), "least"))).alias("least"))
+    kth = _kth(home, negatives, "uid", "place").groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("place", "least"))).alias("least"))
     kth = kth.select(F.col("uid").alias("u"), "least")
-    named = F.arrays_zip("partners", "scores")
-    each = F.transform(named, lambda p: F.coalesce(F.element_at("least", F.struct(p["partners"].alias("partner"), p["scores"].alias("partner_score"))), F.lit(-(1 << 62))))
+    each = F.transform("scores", lambda _, k: F.coalesce(F.element_at("least", k.cast("long")), F.lit(-(1 << 62))))
     rest = index.search(wanted.join(kth, F.col("uid") == F.col("u"), "left").withColumn("kth", F.when(F.col("least").isNotNull(), each)), False, negatives, True)
-    out = _first(home.unionByName(rest), negatives, "uid", "partner", "partner_score")
+    out = _first(home.unionByName(rest), negatives, "uid", "place")
     return out.select(
         F.col("anchor").alias("anchor_id"), F.col("partner").alias("positive_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"),
         F.col("partner_score").alias("positive_score"), F.col("score").alias("negative_score"),
