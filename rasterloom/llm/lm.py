@@ -14,8 +14,8 @@ output has a weight for every pair of a history (the two words before, hashed) a
 output seen after it; their number grows with the corpus. These weights are sharded by
 history: the tokens of a shard meet in one task (``SHARD`` of them, about), which takes
 gradient steps on the weights of its histories, with an L1 penalty, and scores its
-tokens with them. Histories seen once have no weights. A history of two words so
-frequent that it could outgrow a shard is salted; each salt learns from its own tokens.
+tokens with them. Histories seen once have no weights. A history that has more tokens than a
+shard (by its own count) is salted; each salt learns from its own tokens, a shard's worth of them.
 The last factor is a closed form of the counts. Classes come from clustering the
 outputs by the very frequent words before them. Every training text is counted, and
 takes part in one round.
@@ -327,6 +327,29 @@ def fit_shard(history: np.ndarray, output: np.ndarray, learn: np.ndarray, share:
     return out
 
 
+def _hot(coded: DataFrame, closed) -> tuple[np.ndarray, np.ndarray]:
+    """Histories with more tokens than a shard, in order, and their salts; there are fewer of them than shards.
+
+    Only pairs of words that both have as many tokens are counted at all.
+    """
+    count = np.concatenate((closed.value[3], [max(closed.value[4], 1)]))  # that of the marks: rows
+    if not (count > SHARD).any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.concatenate((closed.value[3], [max(closed.value[4], 1)]))
+        for whole in batches:
+            for cut in range(0, whole.num_rows, 512):
+                seq, at, _ = padded(whole.column("ids").slice(cut, 512).to_pylist())
+                h, one, two = (x[at] for x in histories(seq))
+                key, n = np.unique(h[np.minimum(count[one], count[two]) > SHARD], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    found = coded.select("ids").mapInArrow(tally, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > SHARD).collect()  # one a shard at most
+    found = sorted((r["h"] % (1 << 64), r["n"]) for r in found)
+    return np.array([h for h, _ in found], np.uint64), np.array([-(-n // SHARD) for _, n in found], np.uint64)
+
+
 def joint(spark: SparkSession, coded: DataFrame, closed, tokens: int) -> DataFrame:
     """(u, gain): for every row of ``coded`` (uid, held_out, ids) what its tokens gain by their histories' weights.
 
@@ -335,9 +358,10 @@ def joint(spark: SparkSession, coded: DataFrame, closed, tokens: int) -> DataFra
     """
     shards = max(SHARDS, -(-tokens // SHARD))
     top, most = DEALT
+    salts_of = spark.sparkContext.broadcast(_hot(coded, closed))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.concatenate((closed.value[3], [max(closed.value[4], 1)]))  # that of the marks: rows
+        hot, n_salts = salts_of.value
         for whole in batches:
             uid, held, size = whole.column("uid").to_numpy(), whole.column("held_out").to_numpy(zero_copy_only=False), whole.column("n_tokens").to_numpy()
             room, ids = np.cumsum(size), whole.column("ids")
@@ -348,12 +372,12 @@ def joint(spark: SparkSession, coded: DataFrame, closed, tokens: int) -> DataFra
                 while hi < len(uid) and hi - lo < top and room[hi] <= limit and uid[hi] == uid[hi - 1] + 1:
                     hi += 1
                 seq, at, _ = padded(ids.slice(lo, hi - lo).to_pylist())
-                h, one, two = (x[at] for x in histories(seq))
-                salts = np.minimum(count[one], count[two]) // SHARD + 1
-                salted = np.flatnonzero(salts > 1)
-                if len(salted):
-                    own = int(mixed(np.array([uid[lo]], np.uint64))[0])
-                    h[salted] = mixed(h[salted] + np.uint64(1) + np.uint64(own) % salts[salted].astype(np.uint64))
+                h = histories(seq)[0][at]
+                if len(hot):
+                    near = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                    salted = np.flatnonzero(hot[near] == h)
+                    own = mixed(np.array([uid[lo]], np.uint64))[0]
+                    h[salted] = mixed(h[salted] + np.uint64(1) + own % n_salts[near[salted]])
                 shard = ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
                 row = np.repeat(np.arange(hi - lo) + np.where(held[lo:hi], 1 << 15, 0), size[lo:hi]).astype("<u2")
                 order = np.argsort(shard, kind="stable")

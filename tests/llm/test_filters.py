@@ -346,3 +346,28 @@ def test_every_labelled_language_is_learned(spark):
     assert len(model.languages) == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(400)) > 256
     assert langid.per_language([1000] * 4) == 600 and langid.per_language([1000] * 100) == 240 and langid.per_language([1000] * 3000) == 30
     assert langid.per_language([5, 5]) == 600  # all of them
+
+
+def test_rare_pairs_of_common_words_stay_whole(spark, monkeypatch):
+    """Salts go by a history's own tokens: a pair of two very frequent words that seldom meet is learned from all of its tokens."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(lm, "SHARD", 50)
+    seq = [0, 2] * 60 + [1, 2] * 60 + [0, 1, 2] * 5 + [3]  # 0 and 1 are frequent; 0 1 is a rare history, 0 2 a frequent one
+    rows = [(k, np.array(seq, np.uint16).tobytes()) for k in range(2)]
+    coded = spark.createDataFrame(rows, "uid long, ids binary")
+    count = np.zeros(lm._OUTPUTS, np.int64)
+    count[:4] = 2 * np.bincount(seq, minlength=4)
+    hot, salts = lm._hot(coded, SimpleNamespace(value=(None, None, None, count, 2)))
+    plain = {}
+    for raw in rows:
+        ids, at, _ = lm.padded([raw[1]])
+        h = lm.histories(ids)[0][at]
+        for x in h.tolist():
+            plain[x] = plain.get(x, 0) + 1
+    want = {h: -(-n // 50) for h, n in plain.items() if n > 50}
+    assert dict(zip(hot.tolist(), salts.tolist(), strict=True)) == want and 1 < len(want) < len(plain)
+    assert (np.diff(hot.astype(object)) > 0).all()
+    rare = [h for h, n in plain.items() if n <= 50]
+    assert rare and not set(rare) & set(want)
+    assert len(lm._hot(coded, SimpleNamespace(value=(None, None, None, count // 10, 2)))[0]) == 0
