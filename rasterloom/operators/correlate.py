@@ -30,7 +30,8 @@ def by_group(pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y")
     Ranks come from counts of equal values in ranges, so no task sees a whole group.
     """
     pairs = complete_pairs(pairs, x, y)
-    ranked = average_ranks(average_ranks(pairs, keys, x, "_rx"), keys, y, "_ry")
+    pairs = pairs.select(*dict.fromkeys([*keys, x, y]))
+    ranked = average_ranks(average_ranks(pairs, keys, x, "_rx"), keys, y, "_ry", pairs)
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pares"), pearson(x, y).alias("pearson"), pearson("_rx", "_ry").alias("spearman"))
 
 

@@ -62,8 +62,8 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return met.select(*df.columns, (F.col("_i") - F.col("_first") + F.col("_before")).alias("_k"), "_n")
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Ranks from 1 in which ties share their mean; null values come first.
+def rank_table(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """(_g_<key>..., _g_<value>, out): the average rank from 1 of each distinct value of a group; null values come first.
 
     Equal values are counted before anything is sorted, so a value that very many rows have is one row.
     """
@@ -73,7 +73,12 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
     parts = parts.select(*(F.col(k).alias(f"_g_{k}") for k in keys), F.col("_p").alias("_q"), "_before")
     upto = F.sum("_c").over(Window.partitionBy("_p", *keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))  # within one range
     ranks = counts.withColumn("_upto", upto).join(parts, (F.col("_p") == F.col("_q")) & _same(keys))
-    ranks = ranks.select(*(F.col(k).alias(f"_g_{k}") for k in [*keys, value]), (F.col("_before") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(out))
+    return ranks.select(*(F.col(k).alias(f"_g_{k}") for k in [*keys, value]), (F.col("_before") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(out))
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, of: DataFrame | None = None) -> DataFrame:
+    """Ranks from 1 in which ties share their mean, by a join with the ranks of distinct values (of ``of``, which has the same rows, where making ``df`` is dear)."""
+    ranks = rank_table(df if of is None else of, keys, value, out)
     return df.join(ranks, _same([*keys, value])).select(*df.columns, out)
 
 

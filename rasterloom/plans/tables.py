@@ -342,13 +342,15 @@ _BOUNDS = (-91.3, -91.29, 14.4, 14.41)
 _ORIGIN = (682000.0, 1594000.0)
 
 
-@query(
+_WARPED = (
     f", g AS (SELECT * FROM {utm_sql('(SELECT r AS row, c AS col, -91.3::DOUBLE + (c + 0.5::DOUBLE) * (0.01::DOUBLE / 40) AS lon, 14.41::DOUBLE - (r + 0.5::DOUBLE) * (0.01::DOUBLE / 40) AS lat FROM range(40) r(r), range(40) c(c))')}), "
     f"q AS (SELECT row, col, ({_ORIGIN[1]!r}::DOUBLE - norte) / 20 - 0.5::DOUBLE AS y, (este - {_ORIGIN[0]!r}::DOUBLE) / 20 - 0.5::DOUBLE AS x FROM g), t AS (SELECT lago, row AS sr, col AS sc, v FROM tile), z AS (SELECT DISTINCT lago FROM t), "
     "n AS (SELECT z.lago, q.row, q.col, t.v, (1 - abs(q.y - t.sr)) * (1 - abs(q.x - t.sc)) AS w FROM z CROSS JOIN q LEFT JOIN t ON t.lago = z.lago AND t.sr IN (floor(q.y), floor(q.y) + 1) AND t.sc IN (floor(q.x), floor(q.x) + 1)) "
-    "SELECT lago, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(sum(w * v) / nullif(sum(w) FILTER (v IS NOT NULL), 0), 5) AS v FROM n GROUP BY lago, row, col",
-    "tile",
-)
+    ", d AS (SELECT lago, row, col, sum(w * v) / nullif(sum(w) FILTER (v IS NOT NULL), 0) AS v FROM n GROUP BY lago, row, col) "
+)
+
+
+@query(_WARPED + "SELECT lago, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(v, 5) AS v FROM d", "tile")
 def warp_to_degrees(spark: SparkSession, sf: str) -> DataFrame:
     t = A.tile(spark, sf).withColumn("row", F.col("row").cast("int"))
     out = spatial.warp_wgs84(t, ["lago"], _ORIGIN, 20.0, _BOUNDS, 40, 40)
@@ -459,6 +461,18 @@ def coloured_map(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("lago", "row", *(F.col(c).cast("long").alias(c) for c in ("col", "rojo", "verde", "azul", "alfa")))
 
 
+@query(
+    _WARPED + f", c AS (SELECT lago, greatest(0, least(1, (v + 0.4) / 0.8::DOUBLE)) AS t FROM d WHERE v IS NOT NULL), k AS (SELECT lago, {_channel(1)} AS rojo, {_channel(2)} AS verde, {_channel(3)} AS azul FROM c) SELECT lago, count(*) AS n, round(avg(rojo), 1) AS rojo, round(avg(verde), 1) AS verde, round(avg(azul), 1) AS azul FROM k GROUP BY lago",
+    "tile",
+)
+def layered_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Each zone's cells as a coloured layer on a grid of degrees."""
+    t = A.tile(spark, sf).withColumn("row", F.col("row").cast("int"))
+    grid = {"transform": (*_ORIGIN, 20.0, 20.0), "width": 40, "height": 40}
+    out = render.layers(t, ["lago"], grid, _BOUNDS, -0.4, 0.4).where("v IS NOT NULL")
+    return out.groupBy("lago").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 1).alias(c) for c in ("rojo", "verde", "azul")))
+
+
 @query(f"SELECT lago, CAST(fecha AS VARCHAR) AS fecha, porcentaje_alto, quality_flag = '{S.PARTIAL}' AS parcial FROM extent JOIN series USING (lago, fecha)", "obs", "series", "extent")
 def extent_series(spark: SparkSession, sf: str) -> DataFrame:
     e = scenes.extent(A.obs(spark, sf)).join(A.series(spark, sf).select("lago", "fecha", "quality_flag"), ["lago", "fecha"])

@@ -383,6 +383,22 @@ def maps(spark: SparkSession, work: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def layers_on_map(spark: SparkSession, work: str, most: int = 1000) -> DataFrame:
+    """Coloured cells of every scene's cyano index on a grid of degrees over its zone's box, at most ``most`` a side: the layers of a map.
+
+    All scenes at once, by tiles; cells without a value are left out.
+    """
+    pixels = read_pixels(spark, work).where("con_cyano")
+    top = scenes.comparison_scale(pixels, value="cyano").first()
+    c = F.col
+    share = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest("grid.width", "grid.height"))
+    w, h = (F.greatest(F.lit(1), F.round(c(f"grid.{n}") * share).cast("int")) for n in ("width", "height"))
+    to = F.struct(F.lit(4326).alias("crs"), c("west").alias("x"), c("north").alias("y"), ((c("east") - c("west")) / w).alias("px"), ((c("north") - c("south")) / h).alias("py"), w.alias("width"), h.alias("height"))
+    plan_ = scene_grids(read_tiles(spark, work)).join(prepare(spark, work).select(*KEYS, "west", "east", "south", "north"), KEYS).select(*KEYS, c("grid").alias("of"), to.alias("to"))
+    found = T.cells(T.resample(T.from_cells(pixels.select(*KEYS, "row", "col", c("cyano").alias("v")), KEYS), plan_, KEYS), KEYS).where("v IS NOT NULL")
+    return render.coloured(found, top["vmin"], top["vmax"])
+
+
 def pairs(spark: SparkSession, work: str) -> DataFrame:
     p = read_pixels(spark, work)
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("indice"), F.col(i).alias("y")) for i in ("ndvi", "ndwi")))).alias("e")
@@ -431,7 +447,7 @@ STEPS = {
     "temporal": temporal, "peaks": lambda s, w: series.flag_peaks(written(s, w, "temporal")), "extent": extent, "persistence": persistence, "distributions": distributions,
     "correlations": lambda s, w: correlation_tables(s, w)[0], "zones": lambda s, w: correlation_tables(s, w)[1], "comparison": comparison, "seasonal": seasonal,
     "pending": lambda s, w: scenes.pending_report(manifests.read(s, f"{w}/indices", S.INDEX_MANIFEST)), "plan": plan, "prepare": prepare, "validate": validate,
-    "check-grid": check_grid, "maps": maps, "ingest": ingest,
+    "check-grid": check_grid, "maps": maps, "layers": layers_on_map, "ingest": ingest,
 }
 
 #: Tables of the whole run, in order.

@@ -247,3 +247,9 @@ def test_files_are_split_and_conditions_leave_blocks_unread(spark, tmp_path):
     assert every.rdd.getNumPartitions() == len(parts) and every.count() == 2 * 400 * 30 - 1
     with pytest.raises(Exception, match="no raster"):
         spark.read.format("geotiff").load(str(tmp_path / "none")).count()
+
+
+def test_layers_of_a_map(spark, work):
+    got = W.layers_on_map(spark, str(work), most=SIDE)
+    assert {(r.lago, str(r.fecha)) for r in got.select("lago", "fecha").distinct().collect()} <= {("atitlan", DAYS["atitlan"])}
+    assert {"rojo", "verde", "azul", "alfa", "v"} <= set(got.columns)
