@@ -338,12 +338,13 @@ def crossed_ways(spark: SparkSession, sf: str) -> DataFrame:
     return found.where("k > 0").groupBy("lago", "part").agg(F.count(F.lit(1)).alias("puntos")).join(size, ["lago", "part"]).select("lago", "part", "puntos", r6("area"))
 
 
-_BOUNDS = (-91.3, -91.29, 14.4, 14.41)
-_ORIGIN = (682000.0, 1594000.0)
+#: A box of degrees over the cells of ``tile``, whose upper left corner is _ORIGIN: 64 columns and 500 rows of 20 m.
+_BOUNDS = (-91.3, -91.288, 14.32, 14.41)
+_ORIGIN = (683200.0, 1593800.0)
 
 
 _WARPED = (
-    f", g AS (SELECT * FROM {utm_sql('(SELECT r AS row, c AS col, -91.3::DOUBLE + (c + 0.5::DOUBLE) * (0.01::DOUBLE / 40) AS lon, 14.41::DOUBLE - (r + 0.5::DOUBLE) * (0.01::DOUBLE / 40) AS lat FROM range(40) r(r), range(40) c(c))')}), "
+    f", g AS (SELECT * FROM {utm_sql('(SELECT r AS row, c AS col, -91.3::DOUBLE + (c + 0.5::DOUBLE) * ((-91.288::DOUBLE + 91.3::DOUBLE) / 40) AS lon, 14.41::DOUBLE - (r + 0.5::DOUBLE) * ((14.41::DOUBLE - 14.32::DOUBLE) / 40) AS lat FROM range(40) r(r), range(40) c(c))')}), "
     f"q AS (SELECT row, col, ({_ORIGIN[1]!r}::DOUBLE - norte) / 20 - 0.5::DOUBLE AS y, (este - {_ORIGIN[0]!r}::DOUBLE) / 20 - 0.5::DOUBLE AS x FROM g), t AS (SELECT lago, row AS sr, col AS sc, v FROM tile), z AS (SELECT DISTINCT lago FROM t), "
     "n AS (SELECT z.lago, q.row, q.col, t.v, (1 - abs(q.y - t.sr)) * (1 - abs(q.x - t.sc)) AS w FROM z CROSS JOIN q LEFT JOIN t ON t.lago = z.lago AND t.sr IN (floor(q.y), floor(q.y) + 1) AND t.sc IN (floor(q.x), floor(q.x) + 1)) "
     ", d AS (SELECT lago, row, col, sum(w * v) / nullif(sum(w) FILTER (v IS NOT NULL), 0) AS v FROM n GROUP BY lago, row, col) "
