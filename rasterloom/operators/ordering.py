@@ -62,24 +62,31 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return met.select(*df.columns, (F.col("_i") - F.col("_first") + F.col("_before")).alias("_k"), "_n")
 
 
+def _hashes(columns: Sequence[str], *names: str) -> list[Column]:
+    """Two independent hashes under the names: 16 bytes that stand for any number and kind of columns, nulls included."""
+    return [F.xxhash64(*columns).alias(names[0]), F.xxhash64(F.lit(1), *columns).alias(names[1])]
+
+
 def rank_table(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """(_g_<key>..., _g_<value>, out): the average rank from 1 of each distinct value of a group; null values come first.
+    """(_h, _h2, out): the average rank from 1 of each distinct value of a group, by the hashes of its group and value; null values come first.
 
-    Equal values are counted before anything is sorted, so a value that very many rows have is one row.
+    Equal values are counted before anything is sorted, so a value that very many rows have is one row. Groups are known by hashes, as their order doesn't matter.
     """
-    keys = list(keys)
-    counts = _ranged(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), keys, [value])
-    parts = _before(counts.groupBy(*keys, "_p").agg(F.sum("_c").alias("_m")), keys, "_m")
-    parts = parts.select(*(F.col(k).alias(f"_g_{k}") for k in keys), F.col("_p").alias("_q"), "_before")
-    upto = F.sum("_c").over(Window.partitionBy("_p", *keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))  # within one range
-    ranks = counts.withColumn("_upto", upto).join(parts, (F.col("_p") == F.col("_q")) & _same(keys))
-    return ranks.select(*(F.col(k).alias(f"_g_{k}") for k in [*keys, value]), (F.col("_before") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(out))
+    group = ["_g", "_g2"]
+    counts = df.select(*_hashes(keys, *group), F.col(value).alias("_v")).groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = _ranged(counts, group, ["_v"])
+    parts = _before(counts.groupBy(*group, "_p").agg(F.sum("_c").alias("_m")), group, "_m")
+    parts = parts.select("_g", "_g2", "_p", "_before")
+    upto = F.sum("_c").over(Window.partitionBy("_p", *group).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))  # within one range
+    ranks = counts.withColumn("_upto", upto).join(parts, ["_p", *group])
+    return ranks.select(*_hashes([*group, "_v"], "_h", "_h2"), (F.col("_before") + F.col("_upto") - (F.col("_c") - 1) / 2).alias(out))
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, of: DataFrame | None = None) -> DataFrame:
     """Ranks from 1 in which ties share their mean, by a join with the ranks of distinct values (of ``of``, which has the same rows, where making ``df`` is dear)."""
     ranks = rank_table(df if of is None else of, keys, value, out)
-    return df.join(ranks, _same([*keys, value])).select(*df.columns, out)
+    own = df.select("*", *_hashes(keys, "_g", "_g2")).select("*", *_hashes(["_g", "_g2", value], "_h", "_h2"))
+    return own.join(ranks, ["_h", "_h2"]).select(*df.columns, out)
 
 
 #: Bins of a pass, a power of two: 16 of the 64 bits of a key.
