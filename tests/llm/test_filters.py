@@ -371,3 +371,33 @@ def test_rare_pairs_of_common_words_stay_whole(spark, monkeypatch):
     rare = [h for h, n in plain.items() if n <= 50]
     assert rare and not set(rare) & set(want)
     assert len(lm._hot(coded, SimpleNamespace(value=(None, None, None, count // 10, 2)))[0]) == 0
+
+
+def test_lines_of_a_very_long_text(spark):
+    """A text of 60,000 lines among short ones: only repeats of lines on ten sites go, and the first of them stays."""
+    shared = "all rights reserved"
+    long = "\n".join(shared if k % 1000 == 0 else f"own line {k}" for k in range(60_000))
+    texts = [f"{shared}\nshort {k}" for k in range(12)] + [long]
+    df = docs(spark, texts, source=[f"s{k}" for k in range(13)])
+    got = {x.doc_id: x for x in lines.report(spark, df).collect()}
+    assert [got[k].n_removed for k in range(13)] == [0] + [1] * 11 + [60] and got[12].n_lines == 60_000
+    assert got[12].clean_md5 == hashlib.md5("\n".join(x for x in long.split("\n") if x != shared).encode()).hexdigest()  # noqa: S324
+
+
+def test_repeated_rows_are_judged_alike(spark):
+    """Copies of a row, under its own id or another, get one language and score, and one perplexity and verdict."""
+    texts, lang = many(spark, 300)
+    texts, lang = texts + texts[:40], lang + lang[:40]
+    df = docs(spark, texts, lang)
+    twice = df.unionByName(df.where("doc_id < 30"))
+    rows = langid.report(spark, twice).collect()
+    assert len(rows) == 370
+    seen = {}
+    for x in rows:
+        assert seen.setdefault(texts[x.doc_id], (x.lang_pred, x.score)) == (x.lang_pred, x.score)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    rows = kneser.report(spark, twice, labels).collect()
+    assert len(rows) == 370
+    seen = {}
+    for x in rows:
+        assert seen.setdefault((texts[x.doc_id], lang[x.doc_id]), (x.perplexity, x.kept)) == (x.perplexity, x.kept)
