@@ -341,6 +341,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, vec_id: str = "vec_
     whole = stage(spark, whole, "roots")
     low = stage(spark, whole.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("size")), "low")
     classes = stage(spark, join_split(whole, ["root"], low, ["r"], "size", ["rep"]).select("g", "g2", "m", "n_links", "component_id"), "classes")
-    out = join_split(rows, ["k", "k2"], classes, ["g", "g2"], "m", ["uid"], "left")
-    component = F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    out = join_split(rows.where("k IS NOT NULL"), ["k", "k2"], classes, ["g", "g2"], "m", ["uid"], "left").select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
+    # vectors that link with nothing would all have one key: they take no part in the join
+    alone = rows.where("k IS NULL").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
