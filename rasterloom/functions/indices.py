@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,16 +29,16 @@ def fixed_text(c: Column, digits: int) -> Column:
 
 
 def general_text(c: Column) -> Column:
-    """A number with six significant digits and no zeros at its end; with an exponent below 1e-4 and from 1e6 on; the empty text for none."""
-    c = c.cast("double")
-    size = F.floor(F.log10(F.abs(c)))
-    place = F.pow(F.lit(10.0), size - 5)
-    digits = F.when(c == 0, F.lit(0.0)).otherwise(F.bround(c / place) * place)
-    large = F.format_string("%.5e", c)
-    plain = (c == 0) | ((F.abs(digits) >= 1e-4) & (F.abs(digits) < 1e6))
-    fixed = F.regexp_replace(F.format_string("%.10f", F.round(digits, 10)), "[.]?0+$", "")
-    text = F.when(plain, F.when(c == 0, "0").otherwise(fixed)).otherwise(F.regexp_replace(large, "[.]?0+e", "e"))
-    return F.when(c.isNotNull(), text).otherwise(F.lit(""))
+    """C's ``%g``: six significant digits, no zeros at the end, an exponent below 1e-4 and from 1e6 on; the empty text for none.
+
+    What the double holds is rounded once, ties to even. The JVM's formats round the shortest decimal text, half up.
+    """
+
+    @F.arrow_udf("string")
+    def text(x: pa.Array) -> pa.Array:
+        return pa.array(["%g" % v if v is not None else "" for v in x.to_pylist()], pa.string())
+
+    return text(c.cast("double"))
 
 
 def normalized_difference(a: Column, b: Column) -> Column:

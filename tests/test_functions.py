@@ -112,3 +112,10 @@ def test_p_values_to_eight_digits(r, n):
     top = min(math.pi / 2, math.asin(r) + 12 / math.sqrt(v))
     want = integral(math.asin(r), top) / integral(0, min(math.pi / 2, 12 / math.sqrt(v)))
     assert p_value(r, n) == pytest.approx(want, rel=2e-9 if n > 10 else 1e-6)
+
+
+def test_general_text_is_that_of_c(spark):
+    ties = [1234565.0, 1234575.0, 12345650.0, 123456.5, 123457.5, 1.234565, 0.0001234565]
+    values = [*ties, -1234565.0, 0.0, -0.0, 5e-324, 1.7976931348623157e308, 0.0001, 0.00009999995, 999999.5, 999998.5, 1e16, float("inf"), float("-inf"), float("nan"), None]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double").select("k", M.general_text(F.col("x"))).collect()
+    assert dict(rows) == {k: "" if v is None else f"{v:g}" for k, v in enumerate(values)}
