@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.session import ship
+
 Ring = Sequence[tuple[float, float]]
 
 
@@ -165,37 +169,56 @@ def utm_arrays(lon: np.ndarray, lat: np.ndarray, zone: int = 15) -> tuple[np.nda
 
 
 def degree_arrays(east: np.ndarray, north: np.ndarray, zone: int = 15) -> tuple[np.ndarray, np.ndarray]:
-    """Longitude and latitude of arrays of northern UTM points."""
+    """Longitude and latitude of arrays of northern UTM points: the very inverse of ``utm_arrays``.
+
+    The series is solved by Newton's method over complex numbers, the latitude by iteration; a series
+    back would err by 1e-9 degrees from 25 degrees off the zone's meridian on. Within a few degrees
+    of the two points on the equator 90 degrees off it the projection has no inverse.
+    """
     n = _F / (2 - _F)
     radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    xi, eta = north / (_K0 * radius), (east - 500000) / (_K0 * radius)
-    a, b = xi, eta
-    for j, k in enumerate((n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480), 1):
-        a = a - k * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
-        b = b - k * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
-    chi = np.arcsin(np.sin(a) / np.cosh(b))
-    lat = chi
-    for j, k in enumerate((2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15), 1):
-        lat = lat + k * np.sin(2 * j * chi)
-    return 6 * zone - 183 + np.degrees(np.arctan2(np.sinh(b), np.cos(a))), np.degrees(lat)
+    e = 2 * math.sqrt(n) / (1 + n)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    z = (north + 1j * (east - 500000)) / (_K0 * radius)
+    w = z
+    for _ in range(6):
+        off = w - z + sum(a * np.sin(2 * j * w) for j, a in enumerate(alpha, 1))
+        w = w - off / (1 + sum(2 * j * a * np.cos(2 * j * w) for j, a in enumerate(alpha, 1)))
+    t = np.sin(w.real) / np.hypot(np.sinh(w.imag), np.cos(w.real))
+    s = t / np.sqrt(1 + t * t)
+    for _ in range(8):
+        s = np.tanh(np.arcsinh(t) + e * np.arctanh(e * s))
+    return 6 * zone - 183 + np.degrees(np.arctan2(np.sinh(w.imag), np.cos(w.real))), np.degrees(np.arcsin(s))
+
+
+def _by_arrays(function: Callable, a: Column, b: Column, zone: int) -> tuple[Column, Column]:
+    """A function of two arrays as two columns, in Arrow tasks."""
+    ship(SparkSession.active())
+
+    @F.arrow_udf("a double, b double")
+    def both(x: pa.Array, y: pa.Array) -> pa.Array:
+        none = pa.compute.or_(x.is_null(), y.is_null())
+        with np.errstate(all="ignore"):
+            out = function(x.to_numpy(zero_copy_only=False).astype(float), y.to_numpy(zero_copy_only=False).astype(float), zone)
+        return pa.StructArray.from_arrays([pa.array(v, mask=none.to_numpy(zero_copy_only=False)) for v in out], ["a", "b"])
+
+    pair = both(a.cast("double"), b.cast("double"))
+    return pair["a"], pair["b"]
+
+
+def utm_points(lon: Column, lat: Column, zone: int = 15) -> tuple[Column, Column]:
+    """``to_utm`` by ``utm_arrays``: the C library's sines, with which other engines agree to the last bit."""
+    return _by_arrays(utm_arrays, lon, lat, zone)
 
 
 def from_utm(east: Column, north: Column, zone: int = 15) -> tuple[Column, Column]:
-    """Longitude and latitude of a northern UTM point."""
-    n = _F / (2 - _F)
-    radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
-    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
-    xi, eta = north / (_K0 * radius), (east - 500000) / (_K0 * radius)
-    a, b = xi, eta
-    for j, k in enumerate(beta, 1):
-        a = a - k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        b = b - k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(a) / F.cosh(b))
-    lat = chi
-    for j, k in enumerate(delta, 1):
-        lat = lat + k * F.sin(2 * j * chi)
-    return F.lit(float(6 * zone - 183)) + F.degrees(F.atan2(F.sinh(b), F.cos(a))), F.degrees(lat)
+    """Longitude and latitude of a northern UTM point, by ``degree_arrays``."""
+    return _by_arrays(degree_arrays, east, north, zone)
+
+
+def turned(a: Column, b: Column) -> Column:
+    """Distance of two angles in degrees, whole turns aside."""
+    return F.abs(F.pmod(a - b + 180, F.lit(360.0)) - 180)
 
 
 def align_bilinear(source: DataFrame, targets: DataFrame, keys: Sequence[str], row: Column, col: Column) -> DataFrame:

@@ -531,8 +531,8 @@ def utm_sql(points: str) -> str:
 @query(f"SELECT lon, lat, round(este, 3) AS este, round(norte, 3) AS norte, 0.0::DOUBLE AS error_lon, 0.0::DOUBLE AS error_lat FROM {utm_sql('(SELECT round(row * 0.001::DOUBLE - 91.3::DOUBLE, 6) AS lon, round(col * 0.002::DOUBLE + 14.4::DOUBLE, 6) AS lat FROM tile)')}", "tile")
 def utm_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     points = A.tile(spark, sf).select(F.round(F.col("row") * 0.001 - 91.3, 6).alias("lon"), F.round(F.col("col") * 0.002 + 14.4, 6).alias("lat"))
-    e, n = spatial.to_utm(F.col("lon"), F.col("lat"))
+    e, n = spatial.utm_points(F.col("lon"), F.col("lat"))
     out = points.withColumns({"este": e, "norte": n})
     lon, lat = spatial.from_utm(F.col("este"), F.col("norte"))
-    out = out.withColumns({"error_lon": F.round(F.abs(lon - F.col("lon")), 9), "error_lat": F.round(F.abs(lat - F.col("lat")), 9)})
+    out = out.withColumns({"error_lon": F.round(spatial.turned(lon, F.col("lon")), 9), "error_lat": F.round(F.abs(lat - F.col("lat")), 9)})
     return out.withColumns({c: F.round(c, 3) for c in ("este", "norte")})

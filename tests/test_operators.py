@@ -132,6 +132,19 @@ def test_utm(spark):
         assert (r.a, r.b) == pytest.approx((r.lon, r.lat), abs=1e-9)
 
 
+def test_utm_and_back_far_from_the_meridian(spark):
+    points = [(k * 7.3 - 93.0, lat) for k in range(-10, 60) for lat in (14.4, 52.0)] + [(-91.2, None)]
+    p = spark.createDataFrame([(float(x), y) for x, y in points], "lon double, lat double")
+    e, n = spatial.utm_points(F.col("lon"), F.col("lat"))
+    near = p.where("abs(lon + 93) < 30 AND lat IS NOT NULL").select(e, n, *spatial.to_utm(F.col("lon"), F.col("lat"))).collect()
+    assert len(near) == 18 and all(r[:2] == pytest.approx(r[2:], abs=1e-6) for r in near)
+    q = p.withColumns({"e": e, "n": n})
+    lon, lat = spatial.from_utm(F.col("e"), F.col("n"))
+    *rows, last = q.select("lon", "lat", "e", lon.alias("a"), lat.alias("b"), spatial.turned(lon, F.col("lon")).alias("d")).collect()
+    assert max(r.d for r in rows) < 1e-10 and max(abs(r.b - r.lat) for r in rows) < 1e-10
+    assert (last.e, last.a, last.b) == (None, None, None)
+
+
 def test_bilinear_shares_the_weight_of_nodata(spark):
     src = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 0, 1, 3.0), ("a", 1, 0, None)], "lago string, row int, col int, v double")
     to = spark.createDataFrame([("a", 0, 0), ("a", 5, 5)], "lago string, row int, col int")
