@@ -401,3 +401,25 @@ def test_repeated_rows_are_judged_alike(spark):
     seen = {}
     for x in rows:
         assert seen.setdefault((texts[x.doc_id], lang[x.doc_id]), (x.perplexity, x.kept)) == (x.perplexity, x.kept)
+
+
+def test_quality_counts_every_trusted_document_of_its_half(spark, monkeypatch):
+    """More trusted text than the bounds of old rows and long texts would let in; the tables come in many shards, the texts in many slabs."""
+    for name, value in (("ROWS", 100), ("LONGEST", 50), ("SHARD_ROWS", 300), ("SLAB", 2_000)):
+        monkeypatch.setattr(kneser, name, value)
+    texts, lang = many(spark, 300)
+    texts[0], texts[200:250] = "der und " * 2_000, texts[150:200]
+    df = docs(spark, texts, lang)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    half = {r.g for r in kneser.trusted(spark, df, labels).where("train").collect()}
+    assert 120 < len(half) < 180
+    assert {k for k in range(300) if texts[k] in {texts[j] for j in half}} == half
+    p, _ = plain_kneser([texts[k] for k in sorted(half)])
+    shared, limits, measured = kneser.fit(spark, df, labels)
+    assert sum(shared.facts.sizes.values()) > 100 and len(shared.parts["tri"]) > 1
+    assert sum(m for name, band, _, m in limits if name == kneser.ANY and band == kneser.ANY) == 300 - len(half)
+    got = {r.id: r for r in measured.collect()}
+    for k in (0, 1, 7, min(half), 299):
+        x = ["<s>", "<s>", *texts[k].lower().split(), ""]
+        grams = Counter(zip(x, x[1:], x[2:], strict=False))
+        assert got[k].n == len(x) - 2 and got[k].x == pytest.approx(-sum(c * np.log10(p(*g)) for g, c in grams.items()) / (len(x) - 2), rel=1e-5)
