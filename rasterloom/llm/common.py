@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -73,6 +74,12 @@ def release_since(before: set[str], keep: DataFrame) -> None:
             _staged.remove((spark, path))
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the driver drop plans that nothing refers to, so that Spark's cleaner deletes their shuffle files before the next pass writes its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+
+
 @contextmanager
 def staged(spark: SparkSession) -> Iterator[None]:
     """A scope that deletes the tables staged within it when it ends; write what is to stay before."""

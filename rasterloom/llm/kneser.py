@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructType
 
-from rasterloom.llm.common import SPACE, release, release_since, ship, stage, staged_paths
+from rasterloom.llm.common import HOT, SPACE, fresh, join_split, release, release_since, ship, stage, staged_paths, sweep
 
 #: Share of the trusted documents that is counted; the rest gives the thresholds.
 COUNTED = 0.5
@@ -49,6 +50,10 @@ SENT = 1_000_000
 #: Rows of a shard of the model, about, and bytes of texts that are joined with it at once.
 SHARD_ROWS = 1_000_000
 SLAB = 6_000_000
+#: Without a bound: parts of the middle words, by hash, that are scored one after the other, so that only one part's tokens are on disk; and those counted so.
+PASSES, COUNT_PASSES = 8, 2
+#: Tokens of a task, about; a middle word with over a quarter of that, and over 1 / HOT of all tokens, is dealt over several tasks.
+TASK_TOKENS = 1_000_000
 QUANTILE = 0.999
 #: Steps of a unit of log10 perplexity, rounded up, in which the quantiles are counted.
 STEPS = 1 << 14
@@ -248,7 +253,8 @@ class Shared:
     def drop(self) -> None:
         for part in self.parts.values():
             for b in part:
-                b.unpersist()
+                if hasattr(b, "unpersist"):
+                    b.unpersist()
 
 
 def share(spark: SparkSession, made: dict[str, DataFrame], facts: Facts) -> Shared:
@@ -306,6 +312,352 @@ def trigrams(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(emit, "u long, v long, w long").groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("n"))
 
 
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for every byte (the same for either case of A-Z), and powers of an odd base and of its inverse modulo 2**64."""
+    base = 0x9E3779B97F4A7C15
+    of = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    of[65:91] = of[97:123]
+    up = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64)))) for x in (base, pow(base, -1, 1 << 64))]
+    return of, *up
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+#: Keys of the start and of the end of a text; those of words are hashes.
+START, END = 1, 2
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all words (those of ``words_of``), each text as start, start, words, end; and the numbers of words of every text."""
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    in_word = np.zeros(len(data) + 2, bool)
+    in_word[1:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    first = in_word[1:] & ~in_word[:-1]
+    cuts = bounds[in_word[bounds] & in_word[bounds + 1]]  # two texts meet without a space
+    first[cuts] = True
+    starts = np.flatnonzero(first[: len(data)])
+    last = in_word[:-1] & ~in_word[1:]
+    last[cuts] = True
+    ends = np.flatnonzero(last)
+    of, up, down = _powers(1 << max(16, len(data).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(of[data] * up[: len(data)], out=sums[1:])
+    keys = (_mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+    n = np.diff(np.searchsorted(starts, bounds))
+    out = np.full(len(keys) + 3 * len(n), START, np.int64)
+    word = np.ones(len(out), bool)
+    stop = np.cumsum(n + 3)
+    for k in (stop - 1, stop - n - 3, stop - n - 2):
+        word[k] = False
+    out[word] = keys
+    out[stop - 1] = END
+    return out, n
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal rows of sorted columns begin, and their lengths."""
+    size = len(columns[0])
+    new = np.ones(size, bool)
+    new[1:] = reduce(np.logical_or, (c[1:] != c[:-1] for c in columns)) if size else new[1:]
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, size))
+
+
+def _seek(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the wanted in the known, which are sorted; -1 where absent."""
+    if not len(known):
+        return np.full(len(wanted), -1)
+    at = np.searchsorted(known, wanted)
+    at[at == len(known)] = 0
+    return np.where(known[at] == wanted, at, -1)
+
+
+def _column(batches: list[pa.RecordBatch], name: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(b.column(name).to_numpy() for b in batches)])
+
+
+_LOW = np.int64((1 << 32) - 1)
+
+
+@dataclass
+class Counted:
+    """Trigrams, pairs and contexts of one task's trained tokens, all that have its middle words (of a salted word: its share of the last words)."""
+
+    k: np.ndarray  # middle << 32 | last, of each distinct trigram
+    u: np.ndarray
+    n: np.ndarray
+    ends: np.ndarray  # distinct k, and the distinct words before them
+    before: np.ndarray
+
+    @classmethod
+    def of(cls, k: np.ndarray, u: np.ndarray) -> Counted:
+        order = np.lexsort((u, k))
+        k, u = k[order], u[order]
+        at, n = _runs(k, u)
+        k, u = k[at], u[at]
+        at, before = _runs(k)
+        return cls(k, u, n, k[at], before)
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """middle << 32 | first, sorted; and total, words after it once, twice, more often."""
+        key = (self.k >> 32 << 32) | self.u
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], self.n[order]
+        at, _ = _runs(key)
+        return key[at], _sums(n, at)
+
+
+def _sums(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    rows = np.stack((n, n == 1, n == 2, n > 2)).astype(np.int64)
+    return np.add.reduceat(rows, at, axis=1) if len(at) else rows[:, :0]
+
+
+@dataclass
+class Words:
+    """Broadcasts: sorted keys of the trained words (number 1 and up; 0: never trained), salts of the frequent ones, and their counts by number."""
+
+    keys: list
+    salts: dict[int, int] = field(default_factory=dict)
+    counts: list = field(default_factory=list)
+
+    def known(self) -> np.ndarray:
+        return np.concatenate([b.value for b in self.keys])
+
+    def table(self) -> np.ndarray:
+        """By number: distinct words before it; as a context its count and the mass freed."""
+        return np.concatenate([np.zeros((3, 1), np.float32), *(b.value for b in self.counts)], axis=1)
+
+
+def dealt(rows: DataFrame, words: Words, part: int, parts: int, facts: Facts | None) -> DataFrame:
+    """Tokens (b, k, m, h) of (t, h, f) whose middle word is of the part; b tells the task: k is middle << 32 | last, m first << 1 | trained.
+
+    Tokens after a word that was never trained only need their last word: with facts,
+    their sum comes as a row of a text with k = -1 and its bits as m, else not at all.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.known()
+        salts = np.ones(len(known) + 1, np.int64)
+        for i, s in words.salts.items():
+            salts[i] = s
+        p1 = None if facts is None else _lowest(words.table()[0], facts)
+        for whole in batches:
+            for batch in slabs(whole, 0):
+                x, n = tokens(batch.column(0))
+                doc = np.repeat(np.arange(len(n)), n + 3)
+                last = np.ones(len(x), bool)
+                begin = np.cumsum(n + 3) - n - 3
+                last[begin] = last[begin + 1] = False
+                last[1:] &= (x[:-1] >> 20) % parts == part
+                at = np.flatnonzero(last)
+                u, v, w = (_seek(known, x[at - k]) + 1 for k in (2, 1, 0))
+                doc, hashes = doc[at], batch.column(1).to_numpy()
+                f = batch.column(2).to_numpy(zero_copy_only=False) & (n > 0)
+                ok = v > 0
+                out = [np.zeros(0, np.int64)] * 4
+                if p1 is not None and not ok.all():
+                    sums = np.bincount(doc[~ok], np.log10(p1[w[~ok]]), len(n))
+                    some = np.flatnonzero(sums)
+                    out = [hashes[some] & np.int64(0x7FFFFFFF), np.full(len(some), -1), sums[some].view(np.int64), hashes[some]]
+                u, v, w, doc = u[ok], v[ok], w[ok], doc[ok]
+                salt = (w * 0x9E3779B1 >> 7) % salts[v]
+                mine = [_bucket(v, salt), v << 32 | w, u << 1 | f[doc], hashes[doc]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(out, mine, strict=True)], ["b", "k", "m", "h"])
+
+    return rows.select("t", "h", "f").mapInArrow(emit, "b long, k long, m long, h long").select(F.col("b").cast("int").alias("b"), "k", "m", "h")
+
+
+def _bucket(v: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return (_mix((v << 20 | salt).astype(np.uint64)) >> np.uint64(33)).astype(np.int64)
+
+
+def _lowest(before: np.ndarray, facts: Facts) -> np.ndarray:
+    return (np.maximum(before.astype(np.float64) - D1, 0) + D1 * facts.words / (facts.words + 1)) / max(1, facts.pairs)
+
+
+#: Rows of the counts: numbers of trigrams by count, of pairs by words before them; a word as a context, and as the last; contexts of salted words.
+TRI, PAIR, CONTEXT, LAST, SALTED = range(5)
+
+
+def counts(rows: DataFrame, words: Words, part: int, tasks: int) -> DataFrame:
+    """(kind, a, b, n, c1, c2, c3) of one part's trained tokens, summed by kind, a and b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        c = Counted.of(_column(held, "k"), _column(held, "m") >> 1)
+        middle = c.ends >> 32
+        at, _ = _runs(middle)
+        last, number = np.unique(c.ends & _LOW, return_counts=True)
+        context, sums = c.contexts()
+        salted = np.isin(context >> 32, np.array(list(words.salts), np.int64))
+        histogram = lambda n: np.bincount(np.minimum(n, 5), minlength=6)[1:]
+        plain = lambda kind, a, n: (kind, a, a * 0, np.stack((n, *[n * 0] * 3)))
+        of = np.arange(1, 6)
+        for kind, a, b, n in (plain(TRI, of, histogram(c.n)), plain(PAIR, of, histogram(c.before)), (CONTEXT, middle[at], middle[at] * 0, _sums(c.before, at)), plain(LAST, last, number), (SALTED, context[salted] >> 32, context[salted] & _LOW, sums[:, salted])):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind)), *(pa.array(x.astype(np.int64)) for x in (a, b, *n))], ["kind", "a", "b", "n", "c1", "c2", "c3"])
+
+    made = dealt(rows, words, part, COUNT_PASSES, None).repartition(tasks, "b").mapInArrow(run, "kind long, a long, b long, n long, c1 long, c2 long, c3 long")
+    return made.groupBy("kind", "a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "c1", "c2", "c3")))
+
+
+def sums_of(rows: DataFrame, words: Words, facts: Facts, part: int, tasks: int, contexts: DataFrame | None) -> DataFrame:
+    """(h, s): sums of log10 P over the part's tokens of all texts of a hash.
+
+    A task counts its trained tokens anew and looks up the others in these counts.
+    Salted words have their ``contexts`` (v, u, n, freed) sent to each of their tasks.
+    """
+    mine = dealt(rows, words, part, PASSES, facts)
+    if contexts is not None:
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = words.known()
+            for batch in batches:
+                v, u, n, freed = (c.to_numpy() for c in batch.columns)
+                here = (known[v - 1] >> 20) % PASSES == part
+                v, u, n, freed = (c[here] for c in (v, u, n, freed))
+                salts = np.array([words.salts[i] for i in v.tolist()], np.int64)
+                each = np.repeat(np.arange(len(v)), salts)
+                salt = np.arange(len(each)) - np.repeat(np.cumsum(salts) - salts, salts)
+                payload = np.stack((n, freed), 1).astype(np.float32).view(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_bucket(v[each], salt), v[each] << 32, -1 - u[each], payload[each])], ["b", "k", "m", "h"])
+
+        more = contexts.mapInArrow(send, "b long, k long, m long, h long").select(F.col("b").cast("int").alias("b"), "k", "m", "h")
+        mine = mine.unionByName(more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        k, m, h = (_column(held, c) for c in ("k", "m", "h"))
+        del held
+        done, sent = k < 0, (k >= 0) & (m < 0)
+        sums, hashes = [m[done].view(np.float64)], [h[done]]
+        extra_key, extra = k[sent] | (-1 - m[sent]), h[sent].view(np.float32).reshape(-1, 2)
+        rest = ~(done | sent)
+        k, m, h = k[rest], m[rest], h[rest]
+        u, trained = m >> 1, (m & 1) == 1
+        c = Counted.of(k[trained], u[trained])
+        context, n = c.contexts()
+        stats = np.stack((n[0], n[1:].T @ facts.d3[1:]), 1)
+        whole = ~np.isin(context >> 32, np.array(list(words.salts), np.int64))
+        context, stats = np.concatenate((context[whole], extra_key)), np.concatenate((stats[whole], extra))
+        order = np.argsort(context)
+        context, stats = context[order], np.concatenate((stats[order], np.zeros((1, 2))))  # absent ones get the last
+        table = words.table()
+        v, w = k >> 32, k & _LOW
+        end = _seek(c.ends, k)
+        tri = _seek((_seek(c.ends, c.k) << 32) | c.u, np.where(end < 0, -1, (end << 32) | u))
+        cut = lambda n, d: np.maximum(n - d[np.minimum(n, 3)], 0)
+        p1, t2 = _lowest(table[0], facts)[w], table[1][v].astype(np.float64)
+        p2 = np.where(t2 > 0, (cut(np.append(c.before, 0)[end], facts.d2) + table[2][v] * p1) / np.maximum(t2, 1), p1)
+        t3, freed = stats[_seek(context, (v << 32) | u)].T
+        p3 = np.where(t3 > 0, (cut(np.append(c.n, 0)[tri], facts.d3) + freed * p2) / np.maximum(t3, 1), p2)
+        of, place = np.unique(np.concatenate((*hashes, h)), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.bincount(place, np.concatenate((*sums, np.log10(p3))), len(of)))], ["h", "s"])
+
+    return mine.repartition(tasks, "b").mapInArrow(run, "h long, s double").groupBy("h").agg(F.sum("s").alias("s"))
+
+
+def measure_all(spark: SparkSession, docs: DataFrame, chosen: DataFrame) -> tuple[Shared | None, DataFrame | None]:
+    """The model's facts and every row's (id, l, n, x, h), with the counts of all chosen texts; a text and its copies share h.
+
+    Tokens go to tasks by their middle word, where all that its trigrams, pairs and
+    contexts need comes together: trained tokens are counted there and never leave.
+    """
+    before = staged_paths()
+    rows = docs.withColumn("h", F.xxhash64("t"))
+    match = (F.col("id") == F.col("g")) & F.col("l").eqNullSafe(F.col("k"))
+    trained = rows.join(chosen, match).select("t", "h", F.lit(True).alias("f"))
+    flagged = rows.join(chosen, match, "left").select("t", "h", F.col("g").isNotNull().alias("f"))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slabs(whole, 0):
+                x, n = tokens(batch.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(x[np.repeat(n > 0, n + 3)]))], ["key"])
+
+    vocabulary = stage(spark, trained.select("t").mapInArrow(distinct, "key long").distinct(), "vocabulary")
+    size = vocabulary.count()
+    if not size:
+        return None, None
+    send = spark.sparkContext.broadcast
+    words = Words([send(keys) for (keys,) in shards(vocabulary, 1 + size // SHARD_ROWS)])
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.known()
+        for whole in batches:
+            for batch in slabs(whole, 2):
+                x, n = tokens(batch.column(2))
+                keys, c = np.unique(x[x != END], return_counts=True)
+                some = c > len(x) // HOT
+                number = _seek(known, keys[some]) + 1
+                c = c[some][number > 0]
+                number, none = number[number > 0], pa.nulls(int((number > 0).sum()))
+                first = [*batch.columns[:2], batch.column(3), pa.array(n + 1), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())]
+                names = ["id", "l", "h", "n", "v", "c"]
+                yield pa.RecordBatch.from_arrays(first, names)
+                yield pa.RecordBatch.from_arrays([none.cast(first[0].type), none.cast(first[1].type), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(number), pa.array(c)], names)
+
+    found = stage(spark, rows.select("id", "l", "t", "h").mapInArrow(lengths, f"id {kind}, l string, h long, n long, v long, c long"), "lengths")
+    known = found.where("v IS NULL").select("id", "l", "h", "n")
+    total = known.agg(F.sum("n")).first()[0]
+    limit = max(TASK_TOKENS // 4, total // HOT)
+    words.salts = {r["v"]: -(-r["c"] // limit) for r in found.where("v IS NOT NULL").groupBy("v").agg(F.sum("c").alias("c")).where(F.col("c") > limit).collect()}  # HOT at most
+    tasks = lambda parts: max(4, total // parts // TASK_TOKENS)
+    parted = []
+    for part in range(COUNT_PASSES):
+        parted.append(stage(spark, counts(trained, words, part, tasks(COUNT_PASSES)), "counts"))
+        sweep(spark)
+    made = reduce(DataFrame.unionByName, parted).groupBy("kind", "a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "c1", "c2", "c3")))
+    few = {(r["kind"], r["a"]): r["n"] for r in made.where(F.col("kind").isin(TRI, PAIR)).collect()}  # ten rows
+    of = lambda kind: {a: n for (k, a), n in few.items() if k == kind}
+    d3, d2 = discounts(of(TRI)), discounts(of(PAIR))
+    freed = lambda d: sum(F.col(f"c{k}") * float(d[k]) for k in (1, 2, 3))
+    is_last = F.col("kind") == LAST
+    uni = made.where(F.col("kind").isin(CONTEXT, LAST)).groupBy(F.col("a").alias("key")).agg(F.sum(F.when(is_last, F.col("n"))).alias("before"), F.sum(F.when(~is_last, F.col("n"))).alias("total"), F.sum(F.when(~is_last, freed(d2))).alias("freed"))
+    uni = stage(spark, uni.na.fill(0), "words")
+    facts = Facts(d3, d2, sum(of(PAIR).values()), uni.where("before > 0").count(), {"tri": sum(of(TRI).values()), "pair": sum(of(PAIR).values()), "uni": size})
+    for low in range(1, size + 1, SHARD_ROWS):
+        shard = uni.where(F.col("key").between(low, low + SHARD_ROWS - 1)).toArrow()
+        table = np.zeros((3, min(SHARD_ROWS, size + 1 - low)), np.float32)
+        for row, c in zip(table, ("before", "total", "freed"), strict=True):
+            row[shard.column("key").to_numpy() - low] = shard.column(c).to_numpy()
+        words.counts.append(send(table))
+    contexts = stage(spark, made.where(F.col("kind") == SALTED).select("a", "b", "n", freed(d3).alias("freed")), "contexts") if words.salts else None
+    release(*parted, vocabulary, uni)
+    sums = []
+    for part in range(PASSES):
+        sums.append(stage(spark, sums_of(flagged, words, facts, part, tasks(PASSES), contexts), "sums"))
+        sweep(spark)
+    copies = known.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.lit(0.0).alias("s"))
+    scored = reduce(DataFrame.unionByName, (df.withColumn("copies", F.lit(0).cast("long")) for df in sums), copies.select("h", "s", "copies"))
+    scored = stage(spark, scored.groupBy(F.col("h").alias("g")).agg(F.sum("s").alias("s"), F.sum("copies").alias("copies")), "scored")
+    x = (-F.col("s") / (F.col("copies") * F.col("n"))).alias("x")
+    measured = stage(spark, join_split(known, ["h"], scored, ["g"], "copies", ["id"]).select("id", "l", "n", x, "h"), "measured")
+    release_since(before, measured)
+    return Shared(facts, {"uni": [*words.keys, *words.counts], "tri": list(range(PASSES))}), measured
+
+
+def limits_of(measured: DataFrame, good: DataFrame) -> list[tuple]:
+    """Thresholds (language or None, band or None, log10 perplexity, documents) from the trusted documents that weren't counted."""
+    band = F.lit(len(BANDS))
+    for k, top in reversed(list(enumerate(BANDS))):
+        band = F.when(F.col("n") <= top, F.lit(k)).otherwise(band)
+    rest = good.where(~F.col("train")).select("g", F.col("l").alias("k"))
+    judged = measured.where("n > 1").join(rest, (F.col("id") == F.col("g")) & F.col("l").eqNullSafe(F.col("k")))
+    steps = judged.groupBy("l", band.alias("b"), F.ceil(F.col("x") * STEPS).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    sums = [F.sum("c").alias("m"), F.expr(f"percentile(x, {QUANTILE}D, c)").alias("q"), F.expr("percentile(x, 0.5D, c)").alias("mid")]
+    rows = steps.cube("l", "b").agg(F.grouping("l").alias("any_l"), F.grouping("b").alias("any_b"), *sums).collect()  # a row a language and band
+    return [(ANY if r["any_l"] else r["l"], ANY if r["any_b"] else r["b"], (r["q"] + SLACK * (r["q"] - r["mid"])) / STEPS, r["m"]) for r in rows]
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", bound: int | None = None, chars: int | None = None) -> tuple[Shared | None, list[tuple], DataFrame | None]:
     """The shared model, thresholds (language or None, band or None, log10 perplexity), and every row's (id, l, n, x) with its measures."""
     ship(spark)
@@ -313,13 +665,16 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc_id: str = "
     good = trusted(spark, docs, labels, "id", "t", "l", bound, chars)
     chosen = good.where("train").select("g", F.col("l").alias("k"))
     chosen = F.broadcast(chosen) if chosen.count() <= SENT else chosen
+    if bound is None:
+        shared, measured = measure_all(spark, docs, chosen)
+        return shared, limits_of(measured, good) if shared else [], measured
     some = docs.join(chosen, (F.col("id") == F.col("g")) & F.col("l").eqNullSafe(F.col("k"))).select("t")
     before = staged_paths()
     grams = stage(spark, trigrams(some.where(F.length(F.btrim("t", F.lit(SPACE))) > 0)), "grams")
     if grams.isEmpty():
         return None, [], None
     made, facts = tables(spark, grams)
-    if bound is not None and sum(facts.sizes.values()) > ROWS:
+    if sum(facts.sizes.values()) > ROWS:
         return fit(spark, docs, labels, "id", "t", "l", max(1, bound // 2), None if chars is None else chars // 2)
     shared = share(spark, made, facts)
     release_since(before, good)
@@ -333,15 +688,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc_id: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(-s / n)], ["id", "l", "n", "x"])
 
     measured = stage(spark, docs.mapInArrow(measure, f"id {kind}, l string, n long, x double"), "measured")
-    band = F.lit(len(BANDS))
-    for k, top in reversed(list(enumerate(BANDS))):
-        band = F.when(F.col("n") <= top, F.lit(k)).otherwise(band)
-    rest = good.where(~F.col("train")).select("g", F.col("l").alias("k"))
-    judged = measured.where("n > 1").join(rest, (F.col("id") == F.col("g")) & F.col("l").eqNullSafe(F.col("k")))
-    steps = judged.groupBy("l", band.alias("b"), F.ceil(F.col("x") * STEPS).alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    sums = [F.sum("c").alias("m"), F.expr(f"percentile(x, {QUANTILE}D, c)").alias("q"), F.expr("percentile(x, 0.5D, c)").alias("mid")]
-    rows = steps.cube("l", "b").agg(F.grouping("l").alias("any_l"), F.grouping("b").alias("any_b"), *sums).collect()  # a row a language and band
-    return shared, [(ANY if r["any_l"] else r["l"], ANY if r["any_b"] else r["b"], (r["q"] + SLACK * (r["q"] - r["mid"])) / STEPS, r["m"]) for r in rows], measured
+    return shared, limits_of(measured, good), measured
 
 
 #: Stands for every language or band; no value of a column.
@@ -392,22 +739,13 @@ def report(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
 
 
 def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose perplexity is within their threshold; they are measured again, so that texts aren't staged."""
+    """The rows of ``docs`` whose perplexity is within their threshold; the others are told by hashes, so that texts aren't staged."""
     shared, limits, measured = fit(spark, docs, labels)
     if shared is None:
         return docs
+    shared.drop()
+    h, lang = fresh(docs, "failed_hash", "failed_lang")
+    failed = stage(spark, judge(spark, measured, limits).where(~F.col("kept")).select(F.col("h").alias(h), F.col("l").alias(lang)).distinct(), "failed")
     release(measured)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared.scorer()
-        known: dict[tuple, float] = {}
-        for whole in batches:
-            for batch in slabs(whole, whole.schema.get_field_index("text")):
-                s, n = scorer.score(batch.column("text").to_pylist())
-                keys = [(name, sum(m > t for t in BANDS), m) for name, m in zip(batch.column("lang").to_pylist(), n.tolist(), strict=True)]
-                for name, band, m in keys:
-                    if (name, band) not in known:
-                        known[name, band] = threshold(limits, name, m)
-                yield batch.filter(pa.array(-s / n <= np.array([known[name, band] for name, band, _ in keys])))
-
-    return docs.mapInArrow(run, docs.schema)
+    failed = F.broadcast(failed) if failed.count() <= SENT else failed
+    return docs.join(failed, (F.xxhash64("text") == F.col(h)) & F.col("lang").eqNullSafe(F.col(lang)), "left_anti")

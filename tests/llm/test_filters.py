@@ -423,3 +423,40 @@ def test_quality_counts_every_trusted_document_of_its_half(spark, monkeypatch):
         x = ["<s>", "<s>", *texts[k].lower().split(), ""]
         grams = Counter(zip(x, x[1:], x[2:], strict=False))
         assert got[k].n == len(x) - 2 and got[k].x == pytest.approx(-sum(c * np.log10(p(*g)) for g, c in grams.items()) / (len(x) - 2), rel=1e-5)
+
+
+def test_quality_counts_stay_in_tasks_and_frequent_words_are_dealt(spark, monkeypatch):
+    """No counts of trigrams in broadcasts, which every executor's disk would hold; words over several tasks give the plain model's sums."""
+    monkeypatch.setattr(kneser, "TASK_TOKENS", 40)
+    monkeypatch.setattr(kneser, "HOT", 20)
+    texts, lang = many(spark, 200)
+    texts[3], texts[4], texts[5], texts[6:9] = None, " \n", "Never0 seen1 NEVER0 seen1 " * 40, texts[9:12]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(150)], "doc_id long, quality int, toxic int")
+    df = docs(spark, texts, lang)
+    half = {r.g for r in kneser.trusted(spark, df, labels).where("train").collect()}
+    p, _ = plain_kneser([texts[k] for k in sorted(half) if (texts[k] or "").split()])
+    shared, _, measured = kneser.fit(spark, df, labels)
+    assert not any(hasattr(b, "value") for b in shared.parts["tri"])
+    got = {r.id: r for r in measured.collect()}
+    assert len(got) == 200
+    for k in (*range(3, 12), 60, 150, 199):
+        x = ["<s>", "<s>", *(texts[k] or "").lower().split(), ""]
+        grams = Counter(zip(x, x[1:], x[2:], strict=False))
+        assert got[k].n == len(x) - 2 and got[k].x == pytest.approx(-sum(c * np.log10(p(*g)) for g, c in grams.items()) / (len(x) - 2), rel=1e-5)
+
+
+def test_words_of_a_batch_are_those_of_each_text():
+    import pyarrow as pa
+
+    texts = ["a B\tc", None, "", " lead", "trail ", "x", "x", "Ä ä É é", "b\x1cc\x85 a", "c b a"]
+    for column in (pa.array(texts), pa.array(["skip", *texts]).slice(1)):
+        x, n = kneser.tokens(column)
+        assert n.tolist() == [len(kneser.words_of(t)) for t in texts]
+        words, at = {}, 0
+        for t in texts:
+            own = [*kneser.words_of(t), b""]
+            assert x[at : at + 2].tolist() == [kneser.START] * 2
+            for w, key in zip(own, x[at + 2 : at + 2 + len(own)].tolist(), strict=True):
+                assert words.setdefault(w, key) == key
+            at += len(own) + 2
+        assert at == len(x) and len(set(words.values())) == len(words)
