@@ -1,15 +1,15 @@
 """Quality by the perplexity under an interpolated modified Kneser-Ney trigram model.
 
 The model counts every trusted text (labelled good, not toxic) of one half, told by a
-hash of the text (copies are in one half), whole and at any number; the other half gives the thresholds. Counts,
-continuation counts and the counts of counts are DataFrame aggregations on the
-executors; their tables are staged. They are cut by key range into shards of
-``SHARD_ROWS`` rows or so. One shard after the other passes through the driver into a
-broadcast, and every task joins the n-grams of ``SLAB`` bytes of text with one shard
-after the other, of which it holds one at a time, so texts are never shuffled and no
-memory grows with the model. A caller may bound the training instead (``bound``
+hash of the text (copies are in one half), whole and at any number; the other half gives the thresholds. Tokens
+of all texts go to tasks by their middle word (frequent ones by last word, too), packed
+as numbers of trained words; a task counts the trained trigrams, pairs and contexts of
+its middle words anew and looks up all others in them, so that no table of trigrams is
+sent, joined or stored. Middle words are dealt into ``PASSES`` parts that follow one
+another, so that one part's tokens are on disk. The trained words with their counts
+(20 bytes a word) are broadcast, ``SHARD_ROWS`` at a time, and held by every task. A caller may bound the training instead (``bound``
 documents and ``chars`` characters in expectation, half of the bound dealt by the
-languages' sizes, half in equal shares; ``ROWS`` rows of the tables, by drawing anew).
+languages' sizes, half in equal shares; ``ROWS`` rows of the tables, by drawing anew); its tables are broadcast then.
 All trusted documents that the model wasn't trained on give the quantiles of the log
 perplexity for each language and band of lengths, from distributed counts of its values
 in steps of 1 / ``STEPS``; documents beyond their quantile fail. Quantiles of small
@@ -33,6 +33,7 @@ from functools import cache, reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructType
@@ -49,11 +50,11 @@ ROWS = 8_000_000
 SENT = 1_000_000
 #: Rows of a shard of the model, about, and bytes of texts that are joined with it at once.
 SHARD_ROWS = 1_000_000
-SLAB = 6_000_000
+SLAB = 3_000_000
 #: Without a bound: parts of the middle words, by hash, that are scored one after the other, so that only one part's tokens are on disk; and those counted so.
-PASSES, COUNT_PASSES = 8, 2
-#: Tokens of a task, about; a middle word with over a quarter of that, and over 1 / HOT of all tokens, is dealt over several tasks.
-TASK_TOKENS = 1_000_000
+PASSES, COUNT_PASSES = 4, 2
+#: Tokens of a task, about; a middle word with over twice that, and over 1 / HOT of all tokens, is dealt over several tasks.
+TASK_TOKENS = 750_000
 QUANTILE = 0.999
 #: Steps of a unit of log10 perplexity, rounded up, in which the quantiles are counted.
 STEPS = 1 << 14
@@ -380,10 +381,6 @@ def _seek(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(known[at] == wanted, at, -1)
 
 
-def _column(batches: list[pa.RecordBatch], name: str) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(b.column(name).to_numpy() for b in batches)])
-
-
 _LOW = np.int64((1 << 32) - 1)
 
 
@@ -436,11 +433,12 @@ class Words:
         return np.concatenate([np.zeros((3, 1), np.float32), *(b.value for b in self.counts)], axis=1)
 
 
-def dealt(rows: DataFrame, words: Words, part: int, parts: int, facts: Facts | None) -> DataFrame:
-    """Tokens (b, k, m, h) of (t, h, f) whose middle word is of the part; b tells the task: k is middle << 32 | last, m first << 1 | trained.
+def dealt(rows: DataFrame, words: Words, part: int, parts: int, facts: Facts | None, tasks: int) -> DataFrame:
+    """Packed tokens (k, m, h) of (t, h, f) whose middle word is of the part; b tells the task: k is middle << 32 | last, m first << 1 | trained.
 
-    Tokens after a word that was never trained only need their last word: with facts,
-    their sum comes as a row of a text with k = -1 and its bits as m, else not at all.
+    h numbers the texts. With facts, each has two more rows: k = SUM with the bits of a
+    sum as m, over its tokens after words that were never trained (these only need their
+    last word), and k = HASH with its hash as m.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,6 +447,7 @@ def dealt(rows: DataFrame, words: Words, part: int, parts: int, facts: Facts | N
         for i, s in words.salts.items():
             salts[i] = s
         p1 = None if facts is None else _lowest(words.table()[0], facts)
+        number = TaskContext.get().partitionId() << 32  # of a text: the task, and its place there
         for whole in batches:
             for batch in slabs(whole, 0):
                 x, n = tokens(batch.column(0))
@@ -459,24 +458,69 @@ def dealt(rows: DataFrame, words: Words, part: int, parts: int, facts: Facts | N
                 last[1:] &= (x[:-1] >> 20) % parts == part
                 at = np.flatnonzero(last)
                 u, v, w = (_seek(known, x[at - k]) + 1 for k in (2, 1, 0))
-                doc, hashes = doc[at], batch.column(1).to_numpy()
+                doc = doc[at]
                 f = batch.column(2).to_numpy(zero_copy_only=False) & (n > 0)
                 ok = v > 0
-                out = [np.zeros(0, np.int64)] * 4
-                if p1 is not None and not ok.all():
-                    sums = np.bincount(doc[~ok], np.log10(p1[w[~ok]]), len(n))
-                    some = np.flatnonzero(sums)
-                    out = [hashes[some] & np.int64(0x7FFFFFFF), np.full(len(some), -1), sums[some].view(np.int64), hashes[some]]
+                if p1 is not None:
+                    sums = np.bincount(doc[~ok], np.log10(p1[w[~ok]]), len(n)).astype(np.float64)
+                    every = np.arange(len(n))
+                    for kind, value in ((SUM, sums.view(np.int64)), (HASH, batch.column(1).to_numpy())):
+                        yield from packed([_bucket(every, 0, tasks), every * 0 + kind, value, every + number])
                 u, v, w, doc = u[ok], v[ok], w[ok], doc[ok]
                 salt = (w * 0x9E3779B1 >> 7) % salts[v]
-                mine = [_bucket(v, salt), v << 32 | w, u << 1 | f[doc], hashes[doc]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(out, mine, strict=True)], ["b", "k", "m", "h"])
-
-    return rows.select("t", "h", "f").mapInArrow(emit, "b long, k long, m long, h long").select(F.col("b").cast("int").alias("b"), "k", "m", "h")
-
-
-def _bucket(v: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    return (_mix((v << 20 | salt).astype(np.uint64)) >> np.uint64(33)).astype(np.int64)
+                mine = [_bucket(v, salt, tasks), v << 32 | w, u << 1 | f[doc], doc + number]
+                yield from packed(mine)
+                number += len(n)
+
+    return rows.select("t", "h", "f").mapInArrow(emit, PACKED)
+
+
+#: Rows of a text, told by k.
+SUM, HASH = -1, -2
+#: Rows of one kind that go to one task, packed.
+PACKED = "b int, packed binary"
+
+
+def packed(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (b, k, m, h) as one compressed value for each b: columns of k by halves, m and h, sorted by k."""
+    order = np.lexsort((columns[1], columns[0]))
+    b, k, m, h = (c[order] for c in columns)
+    at, n = _runs(b)
+    codec = pa.Codec("zstd", 1)
+    values = []
+    for i, size in zip(at.tolist(), n.tolist(), strict=True):
+        own, wide, of = k[i : i + size], m[i : i + size], h[i : i + size]
+        first = of.min()
+        narrow = own[0] >= 0 and wide.min() >= 0 and wide.max() < 1 << 31
+        high = np.diff(own >> 32, prepend=0).astype(np.int32)
+        rest = (wide.astype(np.int32), (of - first).astype(np.uint32)) if narrow else (wide, of)
+        raw = b"".join(x.tobytes() for x in (np.array([size, first, narrow], np.int64), *rest, high, (own & _LOW).astype(np.uint32)))
+        values.append(len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True))
+    yield pa.RecordBatch.from_arrays([pa.array(b[at], pa.int32()), pa.array(values, pa.binary())], ["b", "packed"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """(k, m, h) of all rows of a task."""
+    codec = pa.Codec("zstd")
+    out: tuple[list, ...] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+    for batch in batches:
+        for value in batch.column("packed").to_pylist():
+            raw = codec.decompress(value[8:], int.from_bytes(value[:8], "little"), asbytes=True)
+            size, first, narrow = np.frombuffer(raw, np.int64, 3).tolist()
+            at = 24
+            columns = []
+            for kind in (np.int32, np.uint32, np.int32, np.uint32) if narrow else (np.int64, np.int64, np.int32, np.uint32):
+                columns.append(np.frombuffer(raw, kind, size, at))
+                at += columns[-1].nbytes
+            m, h, high, low = columns
+            for to, x in zip(out, (np.cumsum(high, dtype=np.int64) << 32 | low.astype(np.int64), m.astype(np.int64), h.astype(np.int64) + (first if narrow else 0)), strict=True):
+                to.append(x)
+    return tuple(np.concatenate(x) for x in out)
+
+
+def _bucket(v: np.ndarray, salt: np.ndarray | int, tasks: int) -> np.ndarray:
+    """Several to a task, so that tasks are about even."""
+    return (_mix((v << 20 | salt).astype(np.uint64)) % np.uint64(4 * tasks)).astype(np.int64)
 
 
 def _lowest(before: np.ndarray, facts: Facts) -> np.ndarray:
@@ -491,8 +535,8 @@ def counts(rows: DataFrame, words: Words, part: int, tasks: int) -> DataFrame:
     """(kind, a, b, n, c1, c2, c3) of one part's trained tokens, summed by kind, a and b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        c = Counted.of(_column(held, "k"), _column(held, "m") >> 1)
+        k, m, _ = unpacked(batches)
+        c = Counted.of(k, m >> 1)
         middle = c.ends >> 32
         at, _ = _runs(middle)
         last, number = np.unique(c.ends & _LOW, return_counts=True)
@@ -504,7 +548,7 @@ def counts(rows: DataFrame, words: Words, part: int, tasks: int) -> DataFrame:
         for kind, a, b, n in (plain(TRI, of, histogram(c.n)), plain(PAIR, of, histogram(c.before)), (CONTEXT, middle[at], middle[at] * 0, _sums(c.before, at)), plain(LAST, last, number), (SALTED, context[salted] >> 32, context[salted] & _LOW, sums[:, salted])):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind)), *(pa.array(x.astype(np.int64)) for x in (a, b, *n))], ["kind", "a", "b", "n", "c1", "c2", "c3"])
 
-    made = dealt(rows, words, part, COUNT_PASSES, None).repartition(tasks, "b").mapInArrow(run, "kind long, a long, b long, n long, c1 long, c2 long, c3 long")
+    made = dealt(rows, words, part, COUNT_PASSES, None, tasks).repartition(tasks, "b").mapInArrow(run, "kind long, a long, b long, n long, c1 long, c2 long, c3 long")
     return made.groupBy("kind", "a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "c1", "c2", "c3")))
 
 
@@ -514,7 +558,7 @@ def sums_of(rows: DataFrame, words: Words, facts: Facts, part: int, tasks: int,
     A task counts its trained tokens anew and looks up the others in these counts.
     Salted words have their ``contexts`` (v, u, n, freed) sent to each of their tasks.
     """
-    mine = dealt(rows, words, part, PASSES, facts)
+    mine = dealt(rows, words, part, PASSES, facts, tasks)
     if contexts is not None:
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -527,19 +571,18 @@ def sums_of(rows: DataFrame, words: Words, facts: Facts, part: int, tasks: int,
                 each = np.repeat(np.arange(len(v)), salts)
                 salt = np.arange(len(each)) - np.repeat(np.cumsum(salts) - salts, salts)
                 payload = np.stack((n, freed), 1).astype(np.float32).view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_bucket(v[each], salt), v[each] << 32, -1 - u[each], payload[each])], ["b", "k", "m", "h"])
+                yield from packed([_bucket(v[each], salt, tasks), v[each] << 32, -1 - u[each], payload[each]])
 
-        more = contexts.mapInArrow(send, "b long, k long, m long, h long").select(F.col("b").cast("int").alias("b"), "k", "m", "h")
-        mine = mine.unionByName(more)
+        mine = mine.unionByName(contexts.mapInArrow(send, PACKED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        k, m, h = (_column(held, c) for c in ("k", "m", "h"))
-        del held
-        done, sent = k < 0, (k >= 0) & (m < 0)
+        k, m, h = unpacked(batches)
+        named = k == HASH
+        yield pa.RecordBatch.from_arrays([pa.array(h[named]), pa.array(np.zeros(named.sum())), pa.array(m[named])], ["d", "s", "g"])
+        done, sent = k == SUM, (k >= 0) & (m < 0)
         sums, hashes = [m[done].view(np.float64)], [h[done]]
         extra_key, extra = k[sent] | (-1 - m[sent]), h[sent].view(np.float32).reshape(-1, 2)
-        rest = ~(done | sent)
+        rest = ~(named | done | sent)
         k, m, h = k[rest], m[rest], h[rest]
         u, trained = m >> 1, (m & 1) == 1
         c = Counted.of(k[trained], u[trained])
@@ -559,9 +602,9 @@ def sums_of(rows: DataFrame, words: Words, facts: Facts, part: int, tasks: int,
         t3, freed = stats[_seek(context, (v << 32) | u)].T
         p3 = np.where(t3 > 0, (cut(np.append(c.n, 0)[tri], facts.d3) + freed * p2) / np.maximum(t3, 1), p2)
         of, place = np.unique(np.concatenate((*hashes, h)), return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.bincount(place, np.concatenate((*sums, np.log10(p3))), len(of)))], ["h", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.bincount(place, np.concatenate((*sums, np.log10(p3))), len(of)).astype(np.float64)), pa.nulls(len(of), pa.int64())], ["d", "s", "g"])
 
-    return mine.repartition(tasks, "b").mapInArrow(run, "h long, s double").groupBy("h").agg(F.sum("s").alias("s"))
+    return mine.repartition(tasks, "b").mapInArrow(run, "d long, s double, g long").groupBy("d").agg(F.sum("s").alias("s"), F.max("g").alias("h")).groupBy("h").agg(F.sum("s").alias("s"))
 
 
 def measure_all(spark: SparkSession, docs: DataFrame, chosen: DataFrame) -> tuple[Shared | None, DataFrame | None]:
@@ -608,7 +651,7 @@ def measure_all(spark: SparkSession, docs: DataFrame, chosen: DataFrame) -> tupl
     found = stage(spark, rows.select("id", "l", "t", "h").mapInArrow(lengths, f"id {kind}, l string, h long, n long, v long, c long"), "lengths")
     known = found.where("v IS NULL").select("id", "l", "h", "n")
     total = known.agg(F.sum("n")).first()[0]
-    limit = max(TASK_TOKENS // 4, total // HOT)
+    limit = max(2 * TASK_TOKENS, total // HOT)
     words.salts = {r["v"]: -(-r["c"] // limit) for r in found.where("v IS NOT NULL").groupBy("v").agg(F.sum("c").alias("c")).where(F.col("c") > limit).collect()}  # HOT at most
     tasks = lambda parts: max(4, total // parts // TASK_TOKENS)
     parted = []
