@@ -77,6 +77,7 @@ def release_since(before: set[str], keep: DataFrame) -> None:
 def sweep(spark: SparkSession) -> None:
     """Have the driver drop plans that nothing refers to, so that Spark's cleaner deletes their shuffle files before the next pass writes its own."""
     gc.collect()
+    spark.range(1).count()  # listeners hold the plan of the last query until another has ended
     spark.sparkContext._jvm.System.gc()  # noqa: SLF001
 
 

@@ -6,7 +6,7 @@ of all texts go to tasks by their middle word (frequent ones by last word, too),
 as numbers of trained words; a task counts the trained trigrams, pairs and contexts of
 its middle words anew and looks up all others in them, so that no table of trigrams is
 sent, joined or stored. Middle words are dealt into ``PASSES`` parts that follow one
-another, so that one part's tokens are on disk. The trained words with their counts
+another, so that one part's tokens are on disk. A task unpacks one bucket of its words at a time. The trained words with their counts
 (20 bytes a word) are broadcast, ``SHARD_ROWS`` at a time, and held by every task. A caller may bound the training instead (``bound``
 documents and ``chars`` characters in expectation, half of the bound dealt by the
 languages' sizes, half in equal shares; ``ROWS`` rows of the tables, by drawing anew); its tables are broadcast then.
@@ -50,11 +50,15 @@ ROWS = 8_000_000
 SENT = 1_000_000
 #: Rows of a shard of the model, about, and bytes of texts that are joined with it at once.
 SHARD_ROWS = 1_000_000
-SLAB = 3_000_000
+SLAB = 1_000_000
 #: Without a bound: parts of the middle words, by hash, that are scored one after the other, so that only one part's tokens are on disk; and those counted so.
 PASSES, COUNT_PASSES = 4, 2
 #: Tokens of a task, about; a middle word with over twice that, and over 1 / HOT of all tokens, is dealt over several tasks.
 TASK_TOKENS = 750_000
+#: Tokens that a task looks up at once; and, about, those that it deals out at once.
+STEP, DEALT = 1 << 17, 400_000
+#: Parts of a unit of log10 P in which sums are kept; being whole numbers, they don't depend on the order of tokens.
+UNIT = float(1 << 24)
 QUANTILE = 0.999
 #: Steps of a unit of log10 perplexity, rounded up, in which the quantiles are counted.
 STEPS = 1 << 14
@@ -348,7 +352,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     last = in_word[:-1] & ~in_word[1:]
     last[cuts] = True
     ends = np.flatnonzero(last)
-    of, up, down = _powers(1 << max(16, len(data).bit_length()))
+    of, up, down = _powers(1 << max(20, len(data).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(of[data] * up[: len(data)], out=sums[1:])
     keys = (_mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
@@ -381,6 +385,19 @@ def _seek(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(known[at] == wanted, at, -1)
 
 
+def _numbers(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Numbers of the keys x by their place in the known (0: absent); a key is sought once for all its rows, which find it by its low bits."""
+    own = np.unique(x)
+    number = _seek(known, own) + 1
+    low = np.int64((1 << (4 * len(own)).bit_length()) - 1)
+    place = np.zeros(low + 1, np.int32)
+    place[own & low] = np.arange(len(own))
+    at = place[x & low]
+    other = np.flatnonzero(own[at] != x)
+    at[other] = np.searchsorted(own, x[other])
+    return number[at]
+
+
 _LOW = np.int64((1 << 32) - 1)
 
 
@@ -436,8 +453,8 @@ class Words:
 def dealt(rows: DataFrame, words: Words, part: int, parts: int, facts: Facts | None, tasks: int) -> DataFrame:
     """Packed tokens (k, m, h) of (t, h, f) whose middle word is of the part; b tells the task: k is middle << 32 | last, m first << 1 | trained.
 
-    h numbers the texts. With facts, each has two more rows: k = SUM with the bits of a
-    sum as m, over its tokens after words that were never trained (these only need their
+    h numbers the texts. With facts, each has two more rows: k = SUM with a sum, in
+    parts of 1 / ``UNIT``, as m, over its tokens after words that were never trained (these only need their
     last word), and k = HASH with its hash as m.
     """
 
@@ -448,6 +465,7 @@ def dealt(rows: DataFrame, words: Words, part: int, parts: int, facts: Facts | N
             salts[i] = s
         p1 = None if facts is None else _lowest(words.table()[0], facts)
         number = TaskContext.get().partitionId() << 32  # of a text: the task, and its place there
+        held: list[list[np.ndarray]] = []
         for whole in batches:
             for batch in slabs(whole, 0):
                 x, n = tokens(batch.column(0))
@@ -457,20 +475,25 @@ def dealt(rows: DataFrame, words: Words, part: int, parts: int, facts: Facts | N
                 last[begin] = last[begin + 1] = False
                 last[1:] &= (x[:-1] >> 20) % parts == part
                 at = np.flatnonzero(last)
-                u, v, w = (_seek(known, x[at - k]) + 1 for k in (2, 1, 0))
+                number_of = _numbers(known, x) if len(x) else x
+                u, v, w = (number_of[at - k] for k in (2, 1, 0))
                 doc = doc[at]
                 f = batch.column(2).to_numpy(zero_copy_only=False) & (n > 0)
                 ok = v > 0
                 if p1 is not None:
-                    sums = np.bincount(doc[~ok], np.log10(p1[w[~ok]]), len(n)).astype(np.float64)
+                    sums = np.bincount(doc[~ok], np.rint(np.log10(p1[w[~ok]]) * UNIT), len(n)).astype(np.int64)
                     every = np.arange(len(n))
-                    for kind, value in ((SUM, sums.view(np.int64)), (HASH, batch.column(1).to_numpy())):
-                        yield from packed([_bucket(every, 0, tasks), every * 0 + kind, value, every + number])
+                    for kind, value in ((SUM, sums), (HASH, batch.column(1).to_numpy())):
+                        yield from packed([_bucket(every * 0 + number % 1_000_003, 0, tasks), every * 0 + kind, value, every + number])
                 u, v, w, doc = u[ok], v[ok], w[ok], doc[ok]
                 salt = (w * 0x9E3779B1 >> 7) % salts[v]
-                mine = [_bucket(v, salt, tasks), v << 32 | w, u << 1 | f[doc], doc + number]
-                yield from packed(mine)
+                held.append([_bucket(v, salt, tasks), v << 32 | w, u << 1 | f[doc], doc + number])
                 number += len(n)
+                if sum(len(columns[0]) for columns in held) >= DEALT:
+                    yield from packed([np.concatenate(c) for c in zip(*held, strict=True)])
+                    held.clear()
+        if held:
+            yield from packed([np.concatenate(c) for c in zip(*held, strict=True)])
 
     return rows.select("t", "h", "f").mapInArrow(emit, PACKED)
 
@@ -495,27 +518,41 @@ def packed(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         high = np.diff(own >> 32, prepend=0).astype(np.int32)
         rest = (wide.astype(np.int32), (of - first).astype(np.uint32)) if narrow else (wide, of)
         raw = b"".join(x.tobytes() for x in (np.array([size, first, narrow], np.int64), *rest, high, (own & _LOW).astype(np.uint32)))
-        values.append(len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True))
+        values.append(len(raw).to_bytes(8, "little") + size.to_bytes(8, "little") + codec.compress(raw, asbytes=True))
     yield pa.RecordBatch.from_arrays([pa.array(b[at], pa.int32()), pa.array(values, pa.binary())], ["b", "packed"])
 
 
-def unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-    """(k, m, h) of all rows of a task."""
+def unpacked(values: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(k, m, h) of all rows of packed values."""
     codec = pa.Codec("zstd")
-    out: tuple[list, ...] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+    out = tuple(np.empty(sum(int.from_bytes(value[8:16], "little") for value in values), np.int64) for _ in range(3))
+    end = 0
+    for value in values:
+        raw = codec.decompress(memoryview(value)[16:], int.from_bytes(value[:8], "little"), asbytes=True)
+        size, first, narrow = np.frombuffer(raw, np.int64, 3).tolist()
+        at = 24
+        columns = []
+        for kind in (np.int32, np.uint32, np.int32, np.uint32) if narrow else (np.int64, np.int64, np.int32, np.uint32):
+            columns.append(np.frombuffer(raw, kind, size, at))
+            at += columns[-1].nbytes
+        k, m, h = (c[end : end + size] for c in out)
+        m[:], h[:], high, low = columns
+        h += first if narrow else 0
+        np.cumsum(high, dtype=np.int64, out=k)
+        k <<= 32
+        k |= low
+        end += size
+    return out
+
+
+def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(k, m, h) of a task's rows, one bucket after the other; the others stay packed."""
+    values: dict[int, list[bytes]] = {}
     for batch in batches:
-        for value in batch.column("packed").to_pylist():
-            raw = codec.decompress(value[8:], int.from_bytes(value[:8], "little"), asbytes=True)
-            size, first, narrow = np.frombuffer(raw, np.int64, 3).tolist()
-            at = 24
-            columns = []
-            for kind in (np.int32, np.uint32, np.int32, np.uint32) if narrow else (np.int64, np.int64, np.int32, np.uint32):
-                columns.append(np.frombuffer(raw, kind, size, at))
-                at += columns[-1].nbytes
-            m, h, high, low = columns
-            for to, x in zip(out, (np.cumsum(high, dtype=np.int64) << 32 | low.astype(np.int64), m.astype(np.int64), h.astype(np.int64) + (first if narrow else 0)), strict=True):
-                to.append(x)
-    return tuple(np.concatenate(x) for x in out)
+        for b, value in zip(batch.column("b").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            values.setdefault(b, []).append(value)
+    for b in list(values):
+        yield unpacked(values.pop(b))
 
 
 def _bucket(v: np.ndarray, salt: np.ndarray | int, tasks: int) -> np.ndarray:
@@ -535,7 +572,7 @@ def counts(rows: DataFrame, words: Words, part: int, tasks: int) -> DataFrame:
     """(kind, a, b, n, c1, c2, c3) of one part's trained tokens, summed by kind, a and b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, m, _ = unpacked(batches)
+        k, m, _ = unpacked([value for batch in batches for value in batch.column("packed").to_pylist()])
         c = Counted.of(k, m >> 1)
         middle = c.ends >> 32
         at, _ = _runs(middle)
@@ -552,6 +589,92 @@ def counts(rows: DataFrame, words: Words, part: int, tasks: int) -> DataFrame:
     return made.groupBy("kind", "a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "c1", "c2", "c3")))
 
 
+#: Sums or hashes (kind) of the texts that one task of ``dealt`` numbered (p), packed.
+BUNDLED = "p int, kind int, packed binary"
+
+
+def bundled(kind: int, d: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    """A row for each task that numbered the texts d, which are sorted, with their values."""
+    codec = pa.Codec("zstd", 1)
+    at, n = _runs(d >> 32)
+    values = []
+    for i, size in zip(at.tolist(), n.tolist(), strict=True):
+        own = value[i : i + size]
+        raw = b"".join(x.tobytes() for x in (np.diff(d[i : i + size] & _LOW, prepend=0).astype(np.uint32), (own & _LOW).astype(np.uint32), (own >> 32).astype(np.int32)))
+        values.append(size.to_bytes(8, "little") + codec.compress(raw, asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(d[at] >> 32, pa.int32()), pa.array(np.full(len(at), kind), pa.int32()), pa.array(values, pa.binary())], ["p", "kind", "packed"])
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, s): the hash of every text and its sum, by the texts' places in the task that numbered them."""
+    codec = pa.Codec("zstd")
+    whole: dict[int, dict[int, np.ndarray]] = {SUM: {}, HASH: {}}
+    n: dict[int, int] = {}
+    for batch in batches:
+        for p, kind, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            size = int.from_bytes(value[:8], "little")
+            raw = codec.decompress(memoryview(value)[8:], 12 * size, asbytes=True)
+            d = np.cumsum(np.frombuffer(raw, np.uint32, size), dtype=np.int64)
+            known = whole[kind].get(p, np.zeros(0, np.int64))
+            if len(known) <= d[-1]:
+                known = whole[kind][p] = np.concatenate((known, np.zeros(max(int(d[-1]) + 1, 2 * len(known)) - len(known), np.int64)))
+            known[d] += np.frombuffer(raw, np.int32, size, 8 * size).astype(np.int64) << 32 | np.frombuffer(raw, np.uint32, size, 4 * size)
+            if kind == HASH:
+                n[p] = max(n.get(p, 0), int(d[-1]) + 1)
+    for p, size in n.items():
+        s = whole[SUM].get(p, np.zeros(0, np.int64))[:size]
+        yield pa.RecordBatch.from_arrays([pa.array(whole[HASH][p][:size]), pa.array(np.concatenate((s, np.zeros(size - len(s), np.int64))) / UNIT)], ["h", "s"])
+
+
+def task_sums(batches: Iterator[pa.RecordBatch], table: np.ndarray, salted: np.ndarray, facts: Facts) -> Iterator[pa.RecordBatch]:
+    """Bundled sums of log10 P by text, of a task's packed rows, and hashes of the texts.
+
+    Of all the task's tokens only one bucket's are unpacked at a time, and only ``STEP`` of these are looked up at once.
+    """
+    cut = lambda n, d: np.maximum(n - d[np.minimum(n, 3)], 0)
+    lowest = _lowest(table[0], facts)
+    logs: list[np.ndarray] = []
+    of: list[np.ndarray] = []
+
+    def summed() -> pa.RecordBatch:
+        texts, place = np.unique(np.concatenate(of), return_inverse=True)
+        total = np.bincount(place, np.concatenate(logs), len(texts)).astype(np.int64)
+        of.clear(), logs.clear()
+        return bundled(SUM, texts, total)
+
+    for k, m, h in buckets(batches):
+        named, done, sent = k == HASH, k == SUM, (k >= 0) & (m < 0)
+        order = np.argsort(h[named])
+        yield bundled(HASH, h[named][order], m[named][order])
+        logs.append(m[done].astype(np.float64)), of.append(h[done])
+        extra_key, extra = k[sent] | (-1 - m[sent]), h[sent].view(np.float32).reshape(-1, 2)
+        rest = ~(named | done | sent)
+        k, m, h = k[rest], m[rest], h[rest]
+        trained = (m & 1) == 1
+        c = Counted.of(k[trained], m[trained] >> 1)
+        context, n = c.contexts()
+        stats = np.stack((n[0], n[1:].T @ facts.d3[1:]), 1)
+        whole = ~np.isin(context >> 32, salted)
+        context, stats = np.concatenate((context[whole], extra_key)), np.concatenate((stats[whole], extra))
+        order = np.argsort(context)
+        context, stats = context[order], np.concatenate((stats[order], np.zeros((1, 2))))  # absent ones get the last
+        known, before, count = (_seek(c.ends, c.k) << 32) | c.u, np.append(c.before, 0), np.append(c.n, 0)
+        for low in range(0, len(k), STEP):
+            own = k[low : low + STEP]
+            u, v, w = m[low : low + STEP] >> 1, own >> 32, own & _LOW
+            end = _seek(c.ends, own)
+            tri = _seek(known, np.where(end < 0, -1, (end << 32) | u))
+            p1, t2 = lowest[w], table[1][v].astype(np.float64)
+            p2 = np.where(t2 > 0, (cut(before[end], facts.d2) + table[2][v] * p1) / np.maximum(t2, 1), p1)
+            t3, freed = stats[_seek(context, (v << 32) | u)].T
+            p3 = np.where(t3 > 0, (cut(count[tri], facts.d3) + freed * p2) / np.maximum(t3, 1), p2)
+            logs.append(np.rint(np.log10(p3) * UNIT)), of.append(h[low : low + STEP])
+            if sum(map(len, of)) >= TASK_TOKENS:
+                yield summed()
+    if of:
+        yield summed()
+
+
 def sums_of(rows: DataFrame, words: Words, facts: Facts, part: int, tasks: int, contexts: DataFrame | None) -> DataFrame:
     """(h, s): sums of log10 P over the part's tokens of all texts of a hash.
 
@@ -576,35 +699,9 @@ def sums_of(rows: DataFrame, words: Words, facts: Facts, part: int, tasks: int,
         mine = mine.unionByName(contexts.mapInArrow(send, PACKED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, m, h = unpacked(batches)
-        named = k == HASH
-        yield pa.RecordBatch.from_arrays([pa.array(h[named]), pa.array(np.zeros(named.sum())), pa.array(m[named])], ["d", "s", "g"])
-        done, sent = k == SUM, (k >= 0) & (m < 0)
-        sums, hashes = [m[done].view(np.float64)], [h[done]]
-        extra_key, extra = k[sent] | (-1 - m[sent]), h[sent].view(np.float32).reshape(-1, 2)
-        rest = ~(named | done | sent)
-        k, m, h = k[rest], m[rest], h[rest]
-        u, trained = m >> 1, (m & 1) == 1
-        c = Counted.of(k[trained], u[trained])
-        context, n = c.contexts()
-        stats = np.stack((n[0], n[1:].T @ facts.d3[1:]), 1)
-        whole = ~np.isin(context >> 32, np.array(list(words.salts), np.int64))
-        context, stats = np.concatenate((context[whole], extra_key)), np.concatenate((stats[whole], extra))
-        order = np.argsort(context)
-        context, stats = context[order], np.concatenate((stats[order], np.zeros((1, 2))))  # absent ones get the last
-        table = words.table()
-        v, w = k >> 32, k & _LOW
-        end = _seek(c.ends, k)
-        tri = _seek((_seek(c.ends, c.k) << 32) | c.u, np.where(end < 0, -1, (end << 32) | u))
-        cut = lambda n, d: np.maximum(n - d[np.minimum(n, 3)], 0)
-        p1, t2 = _lowest(table[0], facts)[w], table[1][v].astype(np.float64)
-        p2 = np.where(t2 > 0, (cut(np.append(c.before, 0)[end], facts.d2) + table[2][v] * p1) / np.maximum(t2, 1), p1)
-        t3, freed = stats[_seek(context, (v << 32) | u)].T
-        p3 = np.where(t3 > 0, (cut(np.append(c.n, 0)[tri], facts.d3) + freed * p2) / np.maximum(t3, 1), p2)
-        of, place = np.unique(np.concatenate((*hashes, h)), return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.bincount(place, np.concatenate((*sums, np.log10(p3))), len(of)).astype(np.float64)), pa.nulls(len(of), pa.int64())], ["d", "s", "g"])
-
-    return mine.repartition(tasks, "b").mapInArrow(run, "d long, s double, g long").groupBy("d").agg(F.sum("s").alias("s"), F.max("g").alias("h")).groupBy("h").agg(F.sum("s").alias("s"))
+        yield from task_sums(batches, words.table(), np.array(list(words.salts), np.int64), facts)
+
+    return mine.repartition(tasks, "b").mapInArrow(run, BUNDLED).repartition(tasks, "p").mapInArrow(gathered, "h long, s double").groupBy("h").agg(F.sum("s").alias("s"))
 
 
 def measure_all(spark: SparkSession, docs: DataFrame, chosen: DataFrame) -> tuple[Shared | None, DataFrame | None]:

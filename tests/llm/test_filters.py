@@ -445,6 +445,28 @@ def test_quality_counts_stay_in_tasks_and_frequent_words_are_dealt(spark, monkey
         assert got[k].n == len(x) - 2 and got[k].x == pytest.approx(-sum(c * np.log10(p(*g)) for g, c in grams.items()) / (len(x) - 2), rel=1e-5)
 
 
+def test_a_task_unpacks_one_bucket_of_tokens_at_a_time(monkeypatch):
+    """A task's memory stays under what all its tokens would take unpacked, and its sums are the same in any order."""
+    import tracemalloc
+
+    monkeypatch.setattr(kneser, "TASK_TOKENS", 60_000)
+    r, n = np.random.default_rng(3), 30_000
+    facts = kneser.Facts(np.array([0.0, 0.5, 0.7, 0.9]), np.array([0.0, 0.5, 0.7, 0.9]), 100, 100)
+    table = r.integers(1, 50, (3, 1_001)).astype(np.float32)
+    texts, tokens = np.arange(2_000), [(40 * b + r.integers(1, 40, n), r.integers(1, 900, n), r.integers(1, 900, n) << 1 | (r.random(n) < 0.2), r.integers(0, 2_000, n)) for b in range(20)]
+    rows = [x for b, (v, w, m, h) in enumerate(tokens) for x in kneser.packed([np.full(n, b), v << 32 | w, m, h])]
+    rows += kneser.packed([texts * 0, texts * 0 + kneser.HASH, texts * 7 - 99, texts])
+    got = []
+    for order in (rows, rows[::-1]):
+        tracemalloc.start()
+        sums = list(kneser.task_sums(iter(order), table, np.zeros(0, np.int64), facts))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 3 * 8 * n * len(tokens)
+        got.append({h: s for x in kneser.gathered(iter(sums)) for h, s in zip(*(c.to_pylist() for c in x.columns), strict=True)})
+    assert got[0] == got[1] and sorted(got[0]) == (texts * 7 - 99).tolist() and max(got[0].values()) < 0
+
+
 def test_words_of_a_batch_are_those_of_each_text():
     import pyarrow as pa
 
