@@ -19,6 +19,9 @@ with the longest length is taken.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -37,6 +40,27 @@ VOCABULARY = "word_bpe_49k.json"
 END = b"\0\0\0\0"
 #: Words that a worker remembers the ids of at most; beyond it starts anew.
 REMEMBERED = 900_000
+#: Words of ASCII and of Latin letters whose lower case and normal form are plain, without apostrophes and the marks of special tokens; and the runs that a vocabulary with these cuts makes of them.
+_PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+").fullmatch
+_RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _cuts_are_known(vocabulary: dict) -> bool:
+    """Whether words are lower-cased and cut by ``_CUTS`` into runs that go to a BPE model by their bytes."""
+    steps = [x["type"] for x in (vocabulary["normalizer"] or {}).get("normalizers", [])]
+    cuts = (vocabulary["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = cuts[0] if cuts else {}
+    return (steps, [x["type"] for x in cuts], split.get("pattern"), split.get("behavior"), split.get("invert"), vocabulary["model"]["type"]) == (
+        ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], {"Regex": _CUTS}, "Removed", True, "BPE"
+    ) and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"] and vocabulary["post_processor"] is None
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter for each byte of a byte-level vocabulary: printable ones stand for themselves, the others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [x for x in range(256) if x not in plain]
+    return {x: chr(x) for x in plain} | {x: chr(256 + k) for k, x in enumerate(rest)}
 #: Rows in a salted group of one length, about; salts at most.
 GROUP, SALTS = 5_000, 4_096
 
@@ -51,8 +75,8 @@ class Encoder(dict):
     """Ids (little-endian 32-bit, as bytes) of words cut at ASCII white space.
 
     The vocabulary drops white space and never joins across it, so a text's ids are
-    its words' ids. A word that ends in a letter and a full stop or comma is that
-    word's ids and the mark's.
+    its words' ids. Where the vocabulary's cuts are known, a plain word's ids are those
+    of its runs of letters, digits and other characters, straight from the model.
     """
 
     def __init__(self, path: str):
@@ -63,17 +87,26 @@ class Encoder(dict):
 
         super().__init__()
         self.model = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.bpe = self.model.model if _cuts_are_known(json.load(file)) else None
+        self.letters = _byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        if len(word) > 1 and word[-1:] in b".," and 97 <= word[-2] <= 122:
-            ids = self[word[:-1]] + self[word[-1:]]
+        text = word.decode("utf-8", "replace")
+        runs = _RUNS(text.lower()) if self.bpe and _PLAIN(text) else []
+        if len(runs) > 1:
+            ids = b"".join([self[run.encode()] for run in runs])
         else:
-            ids = np.array(self.model.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            found = [t.id for t in self.bpe.tokenize(self.spelt(runs[0]))] if runs else self.model.encode(text, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
         self[word] = ids
         return ids
 
+    def spelt(self, run: str) -> str:
+        return run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+
     def encode(self, text: str | bytes | None) -> bytes:
         text = text.encode("utf-8", "replace") if isinstance(text, str) else text or b""
         words = text.lower().split()

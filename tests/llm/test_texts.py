@@ -22,6 +22,27 @@ def test_word_cache_gives_the_vocabulary_ids():
         assert np.frombuffer(coder.encode(t), "<u4").tolist() == model.encode(t or "", add_special_tokens=False).ids
 
 
+def test_new_plain_words_take_their_ids_straight_from_the_model():
+    """Only words that aren't plain go through the whole tokenizer; ids of odd words are its own."""
+    tokenizers = pytest.importorskip("tokenizers")
+    model = tokenizers.Tokenizer.from_file(packing.vocabulary_path())
+    coder = packing.Encoder(packing.vocabulary_path())
+    asked = []
+
+    class Asked:
+        def encode(self, text, add_special_tokens):
+            asked.append(text)
+            return model.encode(text, add_special_tokens=add_special_tokens)
+
+    coder.model = Asked()
+    r = np.random.default_rng(5)
+    letters = np.array([*"abzA019.,-_<|>'[]{}!/@#~`^=+:;\x00\x1c\x7féÀßÿ÷×µªº²\u0301ñİΣσ日\xad\xa0"])
+    words = ["Never12", "café.", "don't", "ÀÉß-9", *("".join(r.choice(letters, n)) for n in r.integers(1, 9, 3000))]
+    for w in words:
+        assert np.frombuffer(coder.encode(w), "<u4").tolist() == model.encode(w, add_special_tokens=False).ids
+    assert asked and all(not packing._PLAIN(w) for w in asked) and "don't" in asked
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_every_piece_once(seed):
     r = np.random.default_rng(seed)
